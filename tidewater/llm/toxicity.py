@@ -73,7 +73,7 @@ class Scorer:
 
 def features(most: int, total: int, n: int) -> list[float]:
     m = min(most, 12)
-    return [1.0, float(m), float(m > 2), float(np.log1p(total)), float(np.log1p(n))]
+    return [1.0, float(m), float(m > 2), float(np.log1p(total)), float(np.log1p(n)) if m else 0.0]
 
 
 def _contexts(texts: list[str]) -> tuple[Counter, int]:
