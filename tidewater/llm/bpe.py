@@ -1,8 +1,8 @@
 """Byte-level BPE by DuckDB recursive queries, run inside each partition.
 
 A partition's pre-tokens (matches of the split pattern) become rows (word, pos, tok), one per byte. A recursive query
-joins neighbouring tokens to the merge table and contracts each word's leftmost pair of minimum rank, until no pair of
-the word can merge; decoding is an ordered aggregation of the tokens' bytes. A worker keeps what it has encoded (a
+joins each token and its neighbour to the merge table and contracts each word's leftmost pair of minimum rank, until no
+pair of the word can merge; decoding is an ordered aggregation of the tokens' bytes. A worker keeps what it has encoded (a
 bounded number of distinct pre-tokens), so a pre-token is merged once and not once for each occurrence.
 
 The merge table holds every split of a vocabulary entry into two entries; a pre-token that is itself an entry starts as
@@ -26,24 +26,22 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG, WORDS_AT_ONCE, CACHED = 400, 20_000, 250_000
+LONG, WORDS_AT_ONCE, CACHED = 400, 20_000, 500_000
 
 MERGE = """
-WITH RECURSIVE step(word, pos, tok, nxt, round) AS (
-    SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos), 0 FROM tokens
+WITH RECURSIVE step(word, pos, after, tok, nxt, round) AS (
+    SELECT word, pos, CASE WHEN nxt IS NOT NULL THEN pos + 1 END, tok, nxt, 0 FROM tokens
   UNION ALL
-    SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos), round + 1
-    FROM (SELECT word, pos, round, best, lag(pos) OVER (PARTITION BY word ORDER BY pos) AS before,
-                 CASE WHEN pos = best % 1048576 THEN best // 1048576 ELSE tok END AS tok
-          FROM (SELECT s.word, s.pos, s.tok, s.round, min(m.rank * 1048576 + s.pos) OVER (PARTITION BY s.word) AS best
-                FROM step s LEFT JOIN merges m ON m.l = s.tok AND m.r = s.nxt)
-          WHERE best IS NOT NULL)
-    WHERE before IS NULL OR before <> best % 1048576
-), final AS (
-    SELECT word, pos, tok FROM step QUALIFY round = max(round) OVER (PARTITION BY word)
-)
-SELECT word, string_agg(tok::VARCHAR, ',' ORDER BY pos) AS ids, count(*) AS n, string_agg(v.hexed, '' ORDER BY pos) AS bytes
-FROM final JOIN vocab v ON v.id = final.tok GROUP BY word ORDER BY word
+    (WITH best AS (SELECT s.word, min(m.rank::BIGINT * 1048576 + s.pos) AS b FROM step s JOIN merges m ON m.l = s.tok AND m.r = s.nxt GROUP BY s.word),
+     pair AS (SELECT b.word, s.pos AS at, (b.b // 1048576)::INTEGER AS rank, s.after AS gone FROM best b JOIN step s ON s.word = b.word AND s.pos = b.b % 1048576),
+     cut AS (SELECT p.*, s.after AS beyond, s.nxt AS follows FROM pair p JOIN step s ON s.word = p.word AND s.pos = p.gone)
+     SELECT s.word, s.pos, CASE WHEN s.pos = c.at THEN c.beyond ELSE s.after END,
+            CASE WHEN s.pos = c.at THEN c.rank ELSE s.tok END,
+            CASE WHEN s.pos = c.at THEN c.follows WHEN s.after = c.at THEN c.rank ELSE s.nxt END, s.round + 1
+     FROM step s JOIN cut c ON c.word = s.word WHERE s.pos <> c.gone)
+), last AS (SELECT word, max(round) AS round FROM step GROUP BY word)
+SELECT word, string_agg(v.name, ',' ORDER BY pos) AS ids, count(*) AS n, string_agg(v.hexed, '' ORDER BY pos) AS bytes
+FROM step JOIN last USING (word, round) JOIN vocab v ON v.id = step.tok GROUP BY word ORDER BY word
 """
 
 
@@ -61,14 +59,16 @@ class Codec:
         self.known: dict[str, tuple[str, int, bytes]] = {}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": "", "preserve_insertion_order": "false"})
         splits = [(ranks[b[:i]], ranks[b[i:]], r) for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
-        left, right, rank = (pa.array(x, pa.int64()) for x in zip(*splits, strict=True)) if splits else (pa.array([], pa.int64()),) * 3
-        merges, vocab = pa.table({"l": left, "r": right, "rank": rank}), pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "hexed": [b.hex() for b in ranks]})  # noqa: F841
+        left, right, rank = (pa.array(x, pa.int32()) for x in zip(*splits, strict=True)) if splits else (pa.array([], pa.int32()),) * 3
+        merges = pa.table({"l": left, "r": right, "rank": rank})  # noqa: F841
+        vocab = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "name": [str(r) for r in ranks.values()], "hexed": [b.hex() for b in ranks]})  # noqa: F841
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM vocab")
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str], in_use: set[str] = frozenset()) -> None:
+        """Encode words; if that is too much to keep, only what is in use stays."""
         if len(self.known) + len(words) > CACHED:
-            self.known.clear()
+            self.known = {w: x for w, x in self.known.items() if w in in_use}
         for i in range(0, len(words), WORDS_AT_ONCE):
             self._merge(words[i : i + WORDS_AT_ONCE])
 
@@ -88,7 +88,10 @@ class Codec:
             return
         size = np.array([len(x) for x in ids])
         begins = np.repeat(np.cumsum(size) - size, size)
-        tokens = pa.table({"word": np.repeat(np.arange(len(some)), size), "pos": np.arange(len(begins)) - begins, "tok": np.concatenate(ids)})
+        tok = np.concatenate(ids).astype(np.int32)
+        is_last = np.zeros(len(tok), dtype=bool)
+        is_last[np.cumsum(size) - 1] = True
+        tokens = pa.table({"word": np.repeat(np.arange(len(some), dtype=np.int32), size), "pos": (np.arange(len(tok)) - begins).astype(np.int32), "tok": tok, "nxt": pa.array(np.append(tok[1:], np.int32(0)), mask=is_last)})
         self.con.register("tokens", tokens)
         got = self.con.sql(MERGE).to_arrow_table()
         self.con.unregister("tokens")
@@ -158,11 +161,8 @@ def _each(texts: Iterator[pa.Array], data: bytes, pattern: str, digest: bool) ->
         rows: list[tuple] = []
         for group in _groups(batch):
             words = [cut.findall(t) for t in group]
-            new = set().union(*words) if words else set()
-            if len(coder.known) + len(new) > CACHED:
-                coder.known.clear()
-            new.difference_update(coder.known)
-            coder.learn(sorted(new))
+            used = set().union(*words)
+            coder.learn(sorted(used.difference(coder.known)), used)
             get = coder.known.__getitem__
             for ws in words:
                 got = [get(w) for w in ws]
