@@ -150,7 +150,9 @@ def infeasible_subsets(rows: DataFrame, key: str) -> DataFrame:
         sides = {}
         for r in pdf.itertuples(index=False):
             c = {k: Fraction(str(v)) for k, v in (r.coefficients.items() if hasattr(r.coefficients, "items") else r.coefficients)}
-            sides[r.constraint_id] = [(c, Fraction(str(r.upper)))] * (not pd.isna(r.upper)) + [({k: -v for k, v in c.items()}, -Fraction(str(r.lower)))] * (not pd.isna(r.lower))
+            above = [] if pd.isna(r.upper) else [(c, Fraction(str(r.upper)))]
+            below = [] if pd.isna(r.lower) else [({k: -v for k, v in c.items()}, -Fraction(str(r.lower)))]
+            sides[r.constraint_id] = above + below
         ids = sorted(sides)
         hit = next((s for n in range(1, len(ids) + 1) for s in combinations(ids, n) if not feasible([x for i in s for x in sides[i]])), None)
         return pd.DataFrame({key: [pdf[key].iloc[0]], "subset": [",".join(hit) if hit else None]})

@@ -142,7 +142,7 @@ def market_local_date(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", T.market_date(ts, "America/New_York").alias("ny_date"), T.market_date(ts, "Asia/Shanghai").alias("sh_date"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, floor(l_quantity / 5)::BIGINT * 5 AS lots, (floor(CAST(l_extendedprice / l_quantity AS DECIMAL(18,6)) / 0.05)::BIGINT * 5)::BIGINT AS ticks_cents FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, floor(l_quantity / 5)::BIGINT * 5 AS lots, (CAST(l_extendedprice / l_quantity AS DECIMAL(18,6)) * 1000000)::BIGINT // 50000 * 5 AS ticks_cents FROM lineitem""")
 def lot_tick_floor(spark, sf_dir):
     from ..operators.trading import lots, tick_floor
 

@@ -38,8 +38,8 @@ def resolve_exactly_one(spark, sf_dir):
 
 @query("""WITH v AS (SELECT c_custkey, DATE '1995-01-01' + (c_custkey % 900)::INTEGER AS effective_from, CASE WHEN c_custkey % 4 = 0 THEN DATE '1998-01-01' END AS effective_to, 'a' || c_custkey AS version_id FROM customer
 UNION ALL SELECT c_custkey, DATE '1996-06-01', NULL, 'b' || c_custkey FROM customer WHERE c_custkey % 3 = 0),
-p AS (SELECT DISTINCT o_custkey AS c_custkey, CAST(o_orderdate AS DATE) AS at FROM orders)
-SELECT c_custkey, at, version_id FROM (SELECT p.c_custkey, p.at, v.version_id, row_number() OVER (PARTITION BY p.c_custkey, p.at ORDER BY v.effective_from DESC NULLS LAST, v.effective_to DESC NULLS FIRST, v.version_id) AS r FROM p LEFT JOIN v ON v.c_custkey = p.c_custkey AND v.effective_from <= p.at AND (v.effective_to IS NULL OR p.at <= v.effective_to)) WHERE r = 1""")
+p AS (SELECT DISTINCT o_custkey AS c_custkey, CAST(o_orderdate AS DATE) AS "at" FROM orders)
+SELECT c_custkey, "at", version_id FROM (SELECT p.c_custkey, p."at", v.version_id, row_number() OVER (PARTITION BY p.c_custkey, p."at" ORDER BY v.effective_from DESC NULLS LAST, v.effective_to DESC NULLS FIRST, v.version_id) AS r FROM p LEFT JOIN v ON v.c_custkey = p.c_custkey AND v.effective_from <= p."at" AND (v.effective_to IS NULL OR p."at" <= v.effective_to)) WHERE r = 1""")
 def scd2_point_lookup(spark, sf_dir):
     c = load(spark, sf_dir, "customer")
     k = F.col("c_custkey")
@@ -104,9 +104,9 @@ def revision_history(spark, sf_dir):
     return versions.history(_chain(spark, sf_dir), {"asset_id": 7, "metric": "click"}).select("event_id", "revision_position", "content")
 
 
-@query(_CHAIN + """, cur AS (SELECT asset_id, metric, arg_max(content, revision_position) AS now, max(revision_position) AS at FROM ch GROUP BY 1, 2),
+@query(_CHAIN + """, cur AS (SELECT asset_id, metric, arg_max(content, revision_position) AS now, max(revision_position) AS "at" FROM ch GROUP BY 1, 2),
 inc AS (SELECT DISTINCT asset_id % 200 AS asset_id, 'click' AS metric, asset_id % 4 AS content FROM observations WHERE asset_id < 200 UNION ALL SELECT 100000, 'click', 1)
-SELECT inc.asset_id, inc.metric, inc.content::BIGINT AS content, (coalesce(at, 0) + 1)::INTEGER AS revision_position, now AS predecessor_content FROM inc LEFT JOIN cur USING (asset_id, metric) WHERE now IS NULL OR now <> inc.content""")
+SELECT inc.asset_id, inc.metric, inc.content::BIGINT AS content, (coalesce("at", 0) + 1)::INTEGER AS revision_position, now AS predecessor_content FROM inc LEFT JOIN cur USING (asset_id, metric) WHERE now IS NULL OR now <> inc.content""")
 def publish_successors(spark, sf_dir):
     inc = observations(spark, sf_dir).filter("asset_id < 200").select((F.col("asset_id") % 200).alias("asset_id"), F.lit("click").alias("metric"), (F.col("asset_id") % 4).alias("content")).distinct()
     new = spark.range(100000, 100001).select(F.col("id").alias("asset_id"), F.lit("click").alias("metric"), F.lit(1).cast("long").alias("content"))
@@ -189,10 +189,10 @@ def survivorship_warnings(spark, sf_dir):
     return universe.survivorship_warnings(memberships(spark, sf_dir), days)
 
 
-_FX = with_views("fx_rates") + """, v AS (SELECT o_orderkey, n_name AS source_currency, CASE WHEN o_orderkey % 10 = 0 THEN n_name ELSE 'BASE' END AS target_currency, CAST(o_orderdate AS DATE) AS at, CASE WHEN o_orderkey % 97 = 0 THEN 0.0 ELSE o_totalprice END AS amount FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"""
+_FX = with_views("fx_rates") + """, v AS (SELECT o_orderkey, n_name AS source_currency, CASE WHEN o_orderkey % 10 = 0 THEN n_name ELSE 'BASE' END AS target_currency, CAST(o_orderdate AS DATE) AS "at", CASE WHEN o_orderkey % 97 = 0 THEN 0.0 ELSE o_totalprice END AS amount FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"""
 
 
-@query(_FX + """, j AS (SELECT v.*, r.rate, r.version_id AS ver FROM v LEFT JOIN fx_rates r ON r.source_currency = v.source_currency AND r.target_currency = v.target_currency AND r.rate_date = CAST(date_trunc('month', v.at) AS DATE) AND v.at - r.rate_date <= 4)
+@query(_FX + """, j AS (SELECT v.*, r.rate, r.version_id AS ver FROM v LEFT JOIN fx_rates r ON r.source_currency = v.source_currency AND r.target_currency = v.target_currency AND r.rate_date = CAST(date_trunc('month', v."at") AS DATE) AND v."at" - r.rate_date <= 4)
 SELECT o_orderkey, CASE WHEN amount <= 0 THEN 'invalid-value' WHEN source_currency = target_currency THEN 'identity' WHEN rate IS NULL THEN 'unavailable' ELSE 'converted' END AS status,
 round(CASE WHEN amount <= 0 THEN NULL WHEN source_currency = target_currency THEN amount ELSE amount * rate END, 4) AS converted, CASE WHEN amount > 0 AND source_currency <> target_currency THEN ver END AS version_id FROM j""")
 def fx_asof_convert(spark, sf_dir):
@@ -224,23 +224,23 @@ def next_session_schedule(spark, sf_dir):
     return temporal.next_event(c, o, ["custkey"], "decision_at", "o_orderdate", "next_at").select("custkey", F.col("decision_at").cast("date").alias("decision_date"), F.col("next_at").cast("date").alias("next_date"))
 
 
-@query(with_views("open_days") + """, t AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_shipdate AS DATE) AS at, (l_linenumber % 3)::INTEGER AS n FROM lineitem), f AS (SELECT t.*, (SELECT min(idx) FROM open_days WHERE day >= t.at) AS i, EXISTS (SELECT 1 FROM open_days WHERE day = t.at) AS open FROM (SELECT DISTINCT at, n FROM t) t)
-SELECT at AS trade_date, n, d.day AS settles FROM f LEFT JOIN open_days d ON d.idx = CASE WHEN open OR n = 0 THEN i + n ELSE i + n - 1 END""")
+@query(with_views("open_days") + """, t AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_shipdate AS DATE) AS "at", (l_linenumber % 3)::INTEGER AS n FROM lineitem), f AS (SELECT t.*, (SELECT min(idx) FROM open_days WHERE day >= t."at") AS i, EXISTS (SELECT 1 FROM open_days WHERE day = t."at") AS open FROM (SELECT DISTINCT "at", n FROM t) t)
+SELECT "at" AS trade_date, n, d.day AS settles FROM f LEFT JOIN open_days d ON d.idx = CASE WHEN open OR n = 0 THEN i + n ELSE i + n - 1 END""")
 def nth_open_day_settlement(spark, sf_dir):
     t = load(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("trade_date"), (F.col("l_linenumber") % 3).cast("int").alias("n")).distinct()
     return temporal.nth_open_day(t, open_days(spark, sf_dir), "trade_date", F.col("n"), "settles")
 
 
-@query(with_views("bars") + """, p AS (SELECT DISTINCT asset_id, (bar_date + INTERVAL 45 DAY)::DATE AS at FROM bars)
-SELECT p.asset_id, p.at, round((SELECT close FROM bars b WHERE b.asset_id = p.asset_id AND b.bar_date <= p.at ORDER BY b.bar_date DESC LIMIT 1), 6) AS close FROM p""")
+@query(with_views("bars") + """, p AS (SELECT DISTINCT asset_id, (bar_date + INTERVAL 45 DAY)::DATE AS "at" FROM bars)
+SELECT p.asset_id, p."at", round((SELECT close FROM bars b WHERE b.asset_id = p.asset_id AND b.bar_date <= p."at" ORDER BY b.bar_date DESC LIMIT 1), 6) AS close FROM p""")
 def latest_close_valuation(spark, sf_dir):
     b = bars(spark, sf_dir).select("asset_id", "bar_date", "close")
     p = b.select("asset_id", F.date_add("bar_date", 45).alias("at")).distinct()
     return temporal.asof_join(p, b, ["asset_id"], "at", "bar_date", "bar_date", ["close"]).select("asset_id", "at", F.round("close", 6).alias("close"))
 
 
-@query(with_views("bars") + """, p AS (SELECT DISTINCT asset_id, (bar_date + INTERVAL 20 DAY)::DATE AS at FROM bars UNION SELECT DISTINCT asset_id, (bar_date + INTERVAL 3 DAY)::DATE FROM bars)
-SELECT p.asset_id, p.at, round(b.close, 6) AS close, CASE WHEN b.close IS NULL THEN 'unavailable' ELSE 'valued' END AS status FROM p LEFT JOIN bars b ON b.asset_id = p.asset_id AND b.bar_date = CAST(date_trunc('month', p.at) AS DATE) AND p.at - b.bar_date <= 5""")
+@query(with_views("bars") + """, p AS (SELECT DISTINCT asset_id, (bar_date + INTERVAL 20 DAY)::DATE AS "at" FROM bars UNION SELECT DISTINCT asset_id, (bar_date + INTERVAL 3 DAY)::DATE FROM bars)
+SELECT p.asset_id, p."at", round(b.close, 6) AS close, CASE WHEN b.close IS NULL THEN 'unavailable' ELSE 'valued' END AS status FROM p LEFT JOIN bars b ON b.asset_id = p.asset_id AND b.bar_date = CAST(date_trunc('month', p."at") AS DATE) AND p."at" - b.bar_date <= 5""")
 def bounded_valuation(spark, sf_dir):
     b = bars(spark, sf_dir).select("asset_id", "bar_date", "close")
     p = b.select("asset_id", F.date_add("bar_date", 20).alias("at")).union(b.select("asset_id", F.date_add("bar_date", 3).alias("at"))).distinct()
@@ -257,7 +257,7 @@ def asof_events(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT s_suppkey, DATE '1996-01-01' + (s_suppkey * 37 % 1500)::INTEGER AS a FROM supplier), sp AS (SELECT s_suppkey, a, CASE WHEN s_suppkey % 5 > 0 THEN a + 90 END AS b FROM s),
-d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS at FROM orders) SELECT at, count(*) AS n_active FROM d JOIN sp ON a <= at AND (b IS NULL OR at <= b) GROUP BY 1""")
+d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS "at" FROM orders) SELECT "at", count(*) AS n_active FROM d JOIN sp ON a <= "at" AND (b IS NULL OR "at" <= b) GROUP BY 1""")
 def binned_interval_counts(spark, sf_dir):
     s = load(spark, sf_dir, "supplier").select("s_suppkey", F.date_add(F.lit("1996-01-01").cast("date"), (F.col("s_suppkey") * 37 % 1500).cast("int")).alias("effective_from"))
     s = s.withColumn("effective_to", F.when(F.col("s_suppkey") % 5 > 0, F.date_add("effective_from", 90)))

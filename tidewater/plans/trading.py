@@ -33,7 +33,7 @@ def rule_evaluation(spark, sf_dir):
         F.when(F.col("quantity") != 17, F.lit(1500.0)).alias("reference_price"),
         F.lit(0.1).alias("limit_pct"),
         F.lit(0.3).alias("band_pct"),
-        ~dow.isin(1, 7).alias("has_session"),
+        (~dow.isin(1, 7)).alias("has_session"),
         F.when(dow == 7, F.date_add("trade_date", 2)).alias("session_date"),
     )
     return t.select(F.regexp_replace(B.rule_outcome(), "^deferred:.*", "deferred").alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
