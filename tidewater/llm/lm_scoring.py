@@ -1,22 +1,27 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-The model is a bigram model over a closed vocabulary: the most frequent words, at most ``vocab_size`` of them (a
-parameter of the model; every other word counts as the unknown word, no token is left out). Its tables are
+The model is a bigram model over every word of the corpus. Its tables are
 
-* words   (word, count)          - one row per word of the corpus, hash-partitioned by word,
-* bigrams (key, count)           - one row per pair of vocabulary ids, hash-partitioned by key.
+* words   (code, c)   - one row per word, hash-partitioned by code,
+* bigrams (r, o, c)   - one row per pair of words that occurs at least twice, hash-partitioned by (r, o); a pair that
+  occurs once is of no use, as a document is scored by the rest of the corpus.
 
-A document's n-grams are exploded to (doc_id, key, n) and joined to the bigram table on the key; the scores are summed
-per document. A bigram's own occurrences in the document are taken off its count first, so that a document is scored by
-the rest of the corpus:
+A document's n-grams are exploded to (doc_id, r, o, n) and joined to the bigram table; the scores are summed per
+document. A bigram's own occurrences in the document are taken off its count first:
 
     S(w | v) = (c(vw) - n) / c(v)      if c(vw) > n
              = alpha * c(w) / N        otherwise
 
-and the first word of a document scores c(w) / N. Pairs that hold at least 1/``hot_share`` of all pairs can be at most
-``hot_share`` many; they are broadcast and summed where the text is read, so no join key is hot.
+and the first word of a document scores c(w) / N.
 
-Nulls and texts without words score 0 with no tokens; rows that share a doc_id (null included) are one document.
+The code of one of the ``common`` most frequent words is its place among them (their counts are broadcast, a bounded
+table); any other word's code is a 61-bit hash, and its count comes by joins. A pair of two common words has its codes
+packed in r; else r is the code of a rarer word, o that of the other word and its side. So a join key is hot only if
+it is a pair of common words: those that hold at least 1/``hot_share`` of all pairs (``hot_share`` at most) are
+broadcast and summed where the text is read.
+
+Nulls and texts without words score 0 with no tokens. Rows that share a doc_id (null included) are scored one by one and
+summed.
 """
 
 from __future__ import annotations
@@ -25,152 +30,191 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, Stash
 
 SHIFT = 17
+RARE = 1 << 61
+PACKED, SINGLE, HEAD = -1, -2, -3  # what o says of r: two common words, one word, nothing (a document's own row)
 ALPHA = 0.4
 
 
+def hash_code(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word) >> 3 | RARE
+
+
 def _chunks(batches, rows: int = 1000):
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
 
 
-def _bytes(column) -> list:
-    return column.cast(pa.binary()).to_pylist()
+def _words(text: bytes | None) -> list[bytes]:
+    return text.translate(ASCII_LOWER).split() if text else []
+
+
+def _record(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word binary, c long) over all documents; each task sums its own words first."""
+    """(code, c long) over all documents, every code a hash; each task sums its own words first."""
 
     def count(batches):
         seen: Counter = Counter()
 
         def flush():
-            ws, ns = list(seen.keys()), list(seen.values())
+            codes, ns = [hash_code(w) for w in seen], list(seen.values())
             seen.clear()
-            for i in range(0, len(ws), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(ws[i : i + 50_000], pa.binary()), pa.array(ns[i : i + 50_000], pa.int64())], ["word", "c"])
+            for i in range(0, len(codes), 100_000):
+                yield _record(code=codes[i : i + 100_000], c=ns[i : i + 100_000])
 
         for b in _chunks(batches):
-            for t in _bytes(b.column(0)):
-                if t:
-                    seen.update(t.translate(ASCII_LOWER).split())
-            if len(seen) > 400_000:
-                yield from flush()
-        yield from flush()
+            for t in b.column(0).cast(pa.binary()).to_pylist():
+                seen.update(_words(t))
+                if len(seen) > 400_000:
+                    yield from flush()
+        if seen:
+            yield from flush()
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
 
-def vocabulary(words: DataFrame, vocab_size: int) -> DataFrame:
-    """The words whose count is so high that at most vocab_size words have as much."""
-    by_count = words.groupBy("c").agg(F.count("*").alias("k"))
-    down = Window.orderBy(F.col("c").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    least = by_count.withColumn("upto", F.sum("k").over(down)).filter(F.col("upto") <= vocab_size).agg(F.min("c")).first()[0]
-    return words.filter(F.col("c") >= least) if least is not None else words.limit(0)
+class Coder:
+    """Words to codes; keeps a bounded number of the codes it has made."""
 
+    def __init__(self, common: dict[int, int], keep: int = 500_000):
+        self.common, self.keep, self.known = common, keep, {}
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, vocab_size: int = 65_536, hot_share: int = 131_072) -> DataFrame:
+    def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of all words of the texts, and the text of each."""
+        codes, sizes = [], []
+        for t in texts:
+            ws = _words(t)
+            known = self.known
+            if len(known) > self.keep:
+                known = self.known = {}
+            for w in set(ws).difference(known):
+                h = hash_code(w)
+                known[w] = self.common.get(h, h)
+            codes.append(np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)))
+            sizes.append(len(ws))
+        return np.concatenate(codes) if codes else np.zeros(0, np.int64), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def pair_keys(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(r, o) of pairs of codes."""
+    rare_v, rare_w = v >= RARE, w >= RARE
+    r = np.where(rare_w, w, np.where(rare_v, v, v << SHIFT | w))
+    return r, np.where(rare_w, v << 1, np.where(rare_v, w << 1 | 1, PACKED))
+
+
+def _counted(*keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct rows of the key columns, and the number of each."""
+    if not len(keys[0]):
+        return (*keys, np.zeros(0, np.int64))
+    order = np.lexsort(keys[::-1])
+    keys = tuple(k[order] for k in keys)
+    new = np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]
+    at = np.flatnonzero(new)
+    return (*(k[at] for k in keys), np.diff(np.r_[at, len(new)]).astype(np.int64))
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, common: int = 65_536, hot_share: int = 131_072) -> DataFrame:
     """One row per doc_id: n_tokens, n_seen (bigrams that other documents hold too), log_score, mean_log_score."""
     spark = docs.sparkSession
     stash = Stash(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    id_type = docs.schema["doc_id"].dataType
+    id_type = docs.schema["doc_id"].dataType.simpleString()
     words = stash.put(word_counts(docs))
     total = words.agg(F.sum("c")).first()[0] or 0
-    vocab = vocabulary(words, vocab_size).orderBy(F.col("c").desc(), "word").collect()  # at most vocab_size rows
-    count = np.array([total - sum(r.c for r in vocab), *(r.c for r in vocab)], dtype=np.float64)
-    with np.errstate(divide="ignore"):
-        log_c = np.log(count)
-    log_n = float(np.log(max(total, 1)))
-    back = np.log(alpha) + log_c - log_n
-    shared = spark.sparkContext.broadcast({bytes(r.word): i for i, r in enumerate(vocab, 1)})
-
-    def keyed(b, ids):
-        """ids of all words of a batch, the document of each, the pair keys and the document of each."""
-        get, doc_of, out = ids.get, [], []
-        for i, t in enumerate(_bytes(b)):
-            ws = t.translate(ASCII_LOWER).split() if t else ()
-            out.extend([get(w, 0) for w in ws])
-            doc_of.append(len(ws))
-        x, d = np.array(out, dtype=np.int64), np.repeat(np.arange(len(doc_of)), doc_of)
-        same = d[1:] == d[:-1]
-        return x, d, ((x[:-1] << SHIFT) | x[1:])[same], d[1:][same]
+    log_n, log_alpha = float(np.log(max(total, 1))), float(np.log(alpha))
+    top = words.orderBy(F.col("c").desc(), "code").limit(common).collect()  # `common` rows
+    log_c = np.log(np.array([r.c for r in top], dtype=np.float64))
+    codes = spark.sparkContext.broadcast({r.code: i for i, r in enumerate(top)})
 
     def pairs(batches):
-        ids, held, size = shared.value, [], 0
+        coder, held, size = Coder(codes.value), [], 0
 
         def flush():
-            k, n = np.unique(np.concatenate(held), return_counts=True)
-            for i in range(0, len(k), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 200_000]), pa.array(n[i : i + 200_000].astype(np.int64))], ["key", "c"])
+            r, o, c = _counted(*map(np.concatenate, zip(*held, strict=True)))
+            for i in range(0, len(r), 200_000):
+                yield _record(r=r[i : i + 200_000], o=o[i : i + 200_000], c=c[i : i + 200_000])
 
         for b in _chunks(batches):
-            k = keyed(b.column(0), ids)[2]
-            held.append(k)
-            size += len(k)
-            if size > 8_000_000:
+            x, d = coder(b.column(0).cast(pa.binary()).to_pylist())
+            same = d[1:] == d[:-1]
+            held.append(pair_keys(x[:-1][same], x[1:][same]))
+            size += len(held[-1][0])
+            if size > 4_000_000:
                 yield from flush()
                 held, size = [], 0
         if size:
             yield from flush()
 
-    bigrams = stash.put(docs.select("text").mapInArrow(pairs, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))
-    n_pairs = bigrams.agg(F.sum("c")).first()[0] or 0
-    hot = bigrams.filter(F.col("c") * hot_share >= n_pairs).collect() if n_pairs else []  # at most hot_share rows
-    hot_key = np.array(sorted(r.key for r in hot), dtype=np.int64)
-    by_key = {r.key: r.c for r in hot}
-    model = spark.sparkContext.broadcast((hot_key, np.array([by_key[k] for k in hot_key.tolist()], dtype=np.int64), log_c, back))
+    bigrams = stash.put(docs.select("text").mapInArrow(pairs, "r long, o long, c long").groupBy("r", "o").agg(F.sum("c").alias("c")).filter("c > 1"))
+    is_hot = (F.col("o") == PACKED) & (F.col("c") * hot_share >= total)
+    hot = sorted((r.r, r.c) for r in bigrams.filter(is_hot).select("r", "c").collect())  # hot_share rows at most
+    model = spark.sparkContext.broadcast((np.array([r for r, _ in hot], np.int64), np.array([c for _, c in hot], np.int64), log_c))
 
     def exploded(batches):
-        """Rows (doc_id, key, n, ...): the n-grams to join; a row without key has what is known here already."""
-        ids = shared.value
-        keys, counts, log_c, back = model.value
+        """Rows (doc_id, r, o, n): the n-grams to join; each document's HEAD row has what is known here already."""
+        coder, (hot_r, hot_c, log_c) = Coder(codes.value), model.value
         for b in _chunks(batches):
             who = b.column(0)
-            x, d, k, kd = keyed(b.column(1), ids)
-            tokens = np.bincount(d, minlength=len(who))
-            first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.zeros(0, int)
-            known = np.zeros(len(who))
-            known[d[first]] = log_c[x[first]] - log_n
-            u, n = np.unique((kd.astype(np.int64) << (2 * SHIFT)) | k, return_counts=True)
-            kd, k = u >> (2 * SHIFT), u & ((1 << (2 * SHIFT)) - 1)
-            at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-            is_hot = keys[at] == k if len(keys) else np.zeros(len(k), bool)
-            seen = np.zeros(len(who), np.int64)
-            if is_hot.any():
-                hk, hd, hn = k[is_hot], kd[is_hot], n[is_hot]
-                left = counts[at[is_hot]] - hn
-                s = np.where(left > 0, np.log(np.maximum(left, 1)) - log_c[hk >> SHIFT], back[hk & ((1 << SHIFT) - 1)]) * hn
-                known += np.bincount(hd, weights=s, minlength=len(who))
-                seen += np.bincount(hd, weights=np.where(left > 0, hn, 0), minlength=len(who)).astype(np.int64)
-            cold = ~is_hot
-            nothing = pa.nulls(len(who), pa.int64())
-            yield pa.RecordBatch.from_arrays([who, nothing, nothing, pa.array(tokens.astype(np.int64)), pa.array(seen), pa.array(known)], ["doc_id", "key", "n", "n_tokens", "n_seen", "s"])
-            m = int(cold.sum())
-            if m:
-                yield pa.RecordBatch.from_arrays([who.take(pa.array(kd[cold])), pa.array(k[cold]), pa.array(n[cold].astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64())], ["doc_id", "key", "n", "n_tokens", "n_seen", "s"])
-
-    rows = docs.mapInArrow(exploded, f"doc_id {id_type.simpleString()}, key long, n long, n_tokens long, n_seen long, s double")
-    ids = spark.createDataFrame([(i, float(a), float(z)) for i, (a, z) in enumerate(zip(np.where(np.isfinite(log_c), log_c, 0.0), np.where(np.isfinite(back), back, 0.0), strict=True))], "id int, log_c double, back double")  # vocab_size + 1 rows at most
-    table = (
-        bigrams.filter(F.col("c") * hot_share < n_pairs)
-        .withColumn("v", F.shiftright("key", SHIFT).cast("int"))
-        .withColumn("w", F.col("key").bitwiseAND((1 << SHIFT) - 1).cast("int"))
-        .join(F.broadcast(ids.select(F.col("id").alias("v"), "log_c")), "v")
-        .join(F.broadcast(ids.select(F.col("id").alias("w"), "back")), "w")
-        .select("key", "c", "log_c", "back")
-    )
-    other = F.col("c") > F.col("n")
-    joined = (
-        rows.join(table, "key", "left")
-        .withColumn("seen", F.when(F.col("key").isNull(), F.col("n_seen")).when(other, F.col("n")).otherwise(0))
-        .withColumn("part", F.when(F.col("key").isNull(), F.col("s")).otherwise(F.col("n") * F.when(other, F.log(F.greatest(F.col("c") - F.col("n"), F.lit(1)).cast("double")) - F.col("log_c")).otherwise(F.col("back"))))
+            x, d = coder(b.column(1).cast(pa.binary()).to_pylist())
+            same = d[1:] == d[:-1]
+            is_rare = x >= RARE
+            known = np.bincount(d[~is_rare], weights=log_c[x[~is_rare]] - log_n + log_alpha, minlength=len(who)).astype(np.float64)  # all words back off
+            known -= np.where(np.bincount(d, minlength=len(who)) > 0, log_alpha, 0)  # but for the first
+            r, o = pair_keys(x[:-1][same], x[1:][same])
+            k, r, o, n = _counted(d[1:][same], r, o)
+            at = np.minimum(np.searchsorted(hot_r, r), max(len(hot_r) - 1, 0))
+            here = (o == PACKED) & (hot_r[at] == r) if len(hot_r) else np.zeros(len(r), bool)
+            left = np.zeros(len(r), np.int64)
+            left[here] = hot_c[at[here]] - n[here]
+            won = here & (left > 0)
+            v, w = r[won] >> SHIFT, r[won] & ((1 << SHIFT) - 1)
+            gain = np.log(left[won]) - log_c[v] - (log_alpha + log_c[w] - log_n)
+            known += np.bincount(k[won], weights=n[won] * gain, minlength=len(who))
+            seen = np.bincount(k[won], weights=n[won], minlength=len(who)).astype(np.int64)
+            spread = np.random.default_rng(len(x)).integers(0, RARE, len(who))  # no key of the model, dealt to all partitions
+            yield _record(doc_id=who, r=spread, o=np.full(len(who), HEAD), n=pa.nulls(len(who), pa.int64()), n_tokens=np.bincount(d, minlength=len(who)).astype(np.int64), n_seen=seen, s=known)
+            sd, sw, sn = _counted(d[is_rare], x[is_rare])
+            k, r, o, n = (np.concatenate(z) for z in ((k[~here], sd), (r[~here], sw), (o[~here], np.full(len(sd), SINGLE)), (n[~here], sn)))
+            if len(k):
+                gone = pa.nulls(len(k), pa.int64())
+                yield _record(doc_id=who.take(pa.array(k)), r=r, o=o, n=n, n_tokens=gone, n_seen=gone, s=pa.nulls(len(k), pa.float64()))
+
+    rows = docs.mapInArrow(exploded, f"doc_id {id_type}, r long, o long, n long, n_tokens long, n_seen long, s double")
+    ids = spark.createDataFrame([(i, float(v)) for i, v in enumerate(log_c)], "code long, log_c double")  # `common` rows
+    place = F.broadcast(spark.createDataFrame([(r.code,) for r in top], "code long"))
+    rarer = words.join(place, "code", "left_anti").select("code", F.log(F.col("c").cast("double")).alias("log_c"))
+    mask = (1 << SHIFT) - 1
+    v = F.when(F.col("o") == PACKED, F.shiftright("r", SHIFT)).when(F.col("o").bitwiseAND(1) == 1, F.col("r")).otherwise(F.shiftright("o", 1))
+    w = F.when(F.col("o") == PACKED, F.col("r").bitwiseAND(mask)).when(F.col("o").bitwiseAND(1) == 1, F.shiftright("o", 1)).otherwise(F.col("r"))
+    cold = bigrams.filter(~is_hot).withColumn("v", v).withColumn("w", w)
+
+    def counted(df: DataFrame, code: str, name: str) -> DataFrame:
+        """df with the logarithm of the count of a word, common or not."""
+        by_place = df.filter(F.col(code) < RARE).join(F.broadcast(ids.select(F.col("code").alias(code), F.col("log_c").alias(name))), code)
+        by_hash = df.filter(F.col(code) >= RARE).join(rarer.select(F.col("code").alias(code), F.col("log_c").alias(name)), code)
+        return by_place.unionByName(by_hash)
+
+    both = counted(counted(cold, "v", "log_v"), "w", "log_w")
+    model_rows = both.select("r", "o", "c", (F.col("log_v") + F.col("log_w") + (log_alpha - log_n)).alias("base"))
+    singles = rarer.select(F.col("code").alias("r"), F.lit(SINGLE).cast("long").alias("o"), F.lit(None).cast("long").alias("c"), (F.col("log_c") + (log_alpha - log_n)).alias("base"))
+    keyed = rows.join(model_rows.unionByName(singles), ["r", "o"], "left").filter((F.col("o") == HEAD) | F.col("base").isNotNull())
+    won = F.col("c") > F.col("n")
+    part = (
+        F.when(F.col("o") == HEAD, F.col("s"))
+        .when(F.col("o") == SINGLE, F.col("n") * F.col("base"))
+        .when(won, F.col("n") * (F.log((F.col("c") - F.col("n")).cast("double")) - F.col("base")))
+        .otherwise(0.0)
     )
-    out = joined.groupBy("doc_id").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.sum("seen").alias("n_seen"), F.sum("part").alias("log_score"))
+    parts = keyed.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.when(F.col("o") == HEAD, F.col("n_seen")).when(won, F.col("n")).otherwise(0).alias("n_seen"), part.alias("s"))
+    out = parts.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_seen").alias("n_seen"), F.sum("s").alias("log_score"))
     return out.withColumn("mean_log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).otherwise(0.0))

@@ -69,11 +69,8 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
 OP1_SQL = rf"""
-WITH w AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS pos
+WITH t AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS pos
            FROM (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS l FROM documents)),
-wc AS (SELECT word, count(*) AS c FROM w GROUP BY word),
-least AS (SELECT min(c) AS c FROM (SELECT c, sum(count(*)) OVER (ORDER BY c DESC) AS upto FROM wc GROUP BY c) WHERE upto <= 65536),
-t AS (SELECT doc_id, pos, CASE WHEN c >= (SELECT c FROM least) THEN word ELSE '' END AS word FROM w JOIN wc USING (word)),
 u AS (SELECT word, count(*) AS c FROM t GROUP BY word),
 total AS (SELECT count(*) AS n FROM t),
 b AS (SELECT doc_id, pos, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS v, word AS w FROM t),

@@ -110,7 +110,8 @@ def segments(toxic: list[str], ordinary: list[str], share: float = 0.01, contras
 
 
 def _ordinary_dictionary(texts: list[str], size: int = 8192) -> bytes:
-    samples = [" ".join(t.lower().split()).encode()[i : i + 2000] for t in texts for i in range(0, min(len(t), 8000), 2000)]
+    flat = [" ".join(t.lower().split()).encode() for t in texts]
+    samples = [t[i : i + 2000] for t in flat for i in range(0, len(t), 2000)]
     try:
         trained = zstandard.train_dictionary(2 * size, [s for s in samples if len(s) > 8]).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text is its own dictionary
