@@ -253,3 +253,27 @@ def test_every_operator_takes_an_empty_table(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     for df in (lm_scoring.score_documents(empty), token_counts.count_tokens(empty, RANKS, public_tokenizers.PATTERN), simhash.near_duplicates(empty), toxicity.score_documents(empty, labels), langid.identify_documents(empty), bpe.encode_documents(empty, RANKS, public_tokenizers.PATTERN), avi.inspect_documents(empty)):
         assert df.collect() == []
+
+
+def test_bounded_samples_keep_every_class(spark):
+    """Rows lie in files by class, the first text alone is over the bound, and only later ones would fit."""
+    letters = ["abc ", "def ", "ghi "]
+    rows = [(0, letters[0] * 3000, "l0", 0)]
+    rows += [(i, f"{letters[i // 200]}{i} " * 5, f"l{i // 200}", int(i >= 400)) for i in range(1, 600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").coalesce(1)
+    model = langid.fit(docs, max_bytes=6000)
+    assert model.langs == ("l0", "l1", "l2")
+    assert [x for x, _ in langid.predict(model, [x * 9 for x in letters])] == ["l0", "l1", "l2"]
+    toxic = toxicity.fit(docs, docs.select("doc_id", "toxic"), max_bytes=6000)
+    assert toxic is not None and toxic == toxicity.fit(docs.orderBy(F.desc("doc_id")), docs.select("doc_id", "toxic"), max_bytes=6000)
+    assert langid.fit(docs, max_bytes=3).langs == ("l0", "l1", "l2")  # no row fits: the shortest of each
+    nameless = docs.filter("doc_id > 0").withColumn("doc_id", F.lit(None).cast("long"))
+    assert langid.fit(nameless, per_lang=1).langs == ("l0", "l1", "l2")
+
+
+def test_even_share():
+    from tidewater.llm.common import even_share
+
+    assert even_share([5, 5], 10) is None
+    assert even_share([2, 100, 100], 20) == 9
+    assert even_share([30, 30, 30], 30) == 10

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Lower-cases A-Z only, on UTF-8 bytes; bytes.split() then cuts at \x20 and \x09-\x0D exactly.
@@ -58,11 +59,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def taken_bytes(rows, max_bytes: int, size):
-    """Rows of an iterator until their sizes pass max_bytes."""
-    total = 0
-    for r in rows:
-        total += size(r)
-        if total > max_bytes:
-            return
-        yield r
+def even_share(sizes: list[int], most: int) -> int | None:
+    """What each class may take so that all take `most` together, small ones leaving theirs; None if everything fits."""
+    if sum(sizes) <= most:
+        return None
+    for i, s in enumerate(sorted(sizes)):
+        share = most // (len(sizes) - i)
+        if s > share:
+            return share
+        most -= s
+
+
+def fitting(rows: pd.DataFrame, share: int) -> pd.DataFrame:
+    """The keys of one class's rows in their order, without those that don't fit; the shortest if none does."""
+    rows = rows.sort_values(["_h", "_t", "_size", "_key"])
+    left, keys = share, []
+    for k, s in zip(rows["_key"].tolist(), rows["_size"].tolist(), strict=True):
+        if s <= left:
+            left -= s
+            keys.append(k)
+    return pd.DataFrame({"_key": keys or rows.nsmallest(1, "_size")["_key"].tolist()}, dtype="int64")
+
+
+def taken_bytes(rows: DataFrame, class_col: str, max_bytes: int) -> list[Row]:
+    """Rows (class_col, _text, _h) with max_bytes of text; where they hold more, an even share of it for each class.
+
+    A class takes its rows in the order of _h and skips only what does not fit its share; none stays empty.
+    """
+    stash = Stash(rows.sparkSession)
+    kept = stash.put(rows.withColumns({"_size": F.length("_text"), "_t": F.xxhash64("_text"), "_key": F.monotonically_increasing_id()}))
+    share = even_share([r.n for r in kept.groupBy(class_col).agg(F.sum("_size").alias("n")).collect()], max_bytes)  # a row a class
+    taken = kept
+    if share is not None:
+        keys = kept.select(class_col, "_h", "_t", "_size", "_key").groupBy(class_col).applyInPandas(lambda r: fitting(r, share), "_key long")
+        taken = kept.join(keys, "_key", "left_semi")
+    out = list(taken.select(rows.columns).toLocalIterator())
+    stash.drop(kept)
+    return out

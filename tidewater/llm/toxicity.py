@@ -12,7 +12,7 @@ gain, the sum of its gains and its number of windows: the calibrated thresholds.
 predicted toxic.
 
 Fitting takes a bounded sample of labelled rows: at most ``max_toxic`` and ``max_ordinary`` rows, in the order of a hash
-of their ids, and at most ``max_bytes`` of text. Scoring takes every window of every text. Null and empty texts have no
+of their ids, and ``max_bytes`` of text, which both kinds share evenly where it binds. Scoring takes every window of every text. Null and empty texts have no
 window and get the score of no evidence. Without labelled rows of both kinds every score is 0.
 """
 
@@ -145,8 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = F.broadcast(picked[0].union(picked[1]).distinct())  # max_toxic + max_ordinary rows at most
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).filter("_text is not null").join(sample, "_id").select("_y", "_text", F.xxhash64("_id").alias("_h"))
     texts: tuple[list[str], list[str]] = ([], [])
-    got = list(taken_bytes(rows.toLocalIterator(), max_bytes, lambda r: len(r._text)))
-    for r in sorted(got, key=lambda r: (r._h, r._text)):
+    for r in sorted(taken_bytes(rows, "_y", max_bytes), key=lambda r: (r._h, r._text)):
         texts[r._y].append(r._text)
     return train(texts[1], texts[0])
 
