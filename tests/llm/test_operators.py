@@ -277,3 +277,13 @@ def test_even_share():
     assert even_share([5, 5], 10) is None
     assert even_share([2, 100, 100], 20) == 9
     assert even_share([30, 30, 30], 30) == 10
+
+
+def test_bpe_of_many_wide_pretokens():
+    """Over 500 MB of rounds if all of them were merged at once."""
+    with open(RANKS, "rb") as f:
+        codec = bpe.Codec(f.read())
+    coder, rng = library(RANKS), np.random.default_rng(4)
+    many = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 390)) for _ in range(1500)]
+    codec.learn(many)
+    assert all(codec.known[w][0] == ",".join(map(str, coder.encode_ordinary(w))) for w in many)

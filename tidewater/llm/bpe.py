@@ -6,7 +6,8 @@ pair of the word can merge; decoding is an ordered aggregation of the tokens' by
 bounded number of distinct pre-tokens), so a pre-token is merged once and not once for each occurrence.
 
 The merge table holds every split of a vocabulary entry into two entries; a pre-token that is itself an entry starts as
-that one token, as the tiktoken library does. Pre-tokens of over ``LONG`` bytes take one recursion step per merge over
+that one token, as the tiktoken library does. The recursion keeps the rows of every round, up to half the square of a pre-token's bytes, so
+a batch is bounded by the sum of these squares. Pre-tokens of over ``LONG`` bytes take one recursion step per merge over
 all their rows, so they are merged by a heap in the same order instead (exact, n log n).
 
 A null text counts as empty: no ids, and the hash of the empty string.
@@ -26,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG, WORDS_AT_ONCE, CACHED = 400, 20_000, 500_000
+LONG, SQUARES_AT_ONCE, CACHED = 400, 4_000_000, 500_000
 
 MERGE = """
 WITH RECURSIVE step(word, pos, after, tok, nxt, round) AS (
@@ -69,8 +70,17 @@ class Codec:
         """Encode words; if that is too much to keep, only what is in use stays."""
         if len(self.known) + len(words) > CACHED:
             self.known = {w: x for w, x in self.known.items() if w in in_use}
-        for i in range(0, len(words), WORDS_AT_ONCE):
-            self._merge(words[i : i + WORDS_AT_ONCE])
+        held, squares = [], 0
+        for w in words:
+            n = len(w.encode())
+            n = n * n if n <= LONG else 1  # longer ones don't enter the recursion
+            if held and squares + n > SQUARES_AT_ONCE:
+                self._merge(held)
+                held, squares = [], 0
+            held.append(w)
+            squares += n
+        if held:
+            self._merge(held)
 
     def _merge(self, words: list[str]) -> None:
         ids: list[np.ndarray] = []
