@@ -18,6 +18,11 @@ def _with(df: DataFrame, column) -> DataFrame:
     return df.withColumn("_tw_added", column)
 
 
+def _keyed(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df and a column `_tw_key`, a number for each row, written once so that no retry deals it anew."""
+    return Stash(spark).put(df.withColumn("_tw_key", F.monotonically_increasing_id()))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose compression-distance score is 0.3 or more go."""
     score = toxicity.scorer(spark, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -31,22 +36,22 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str, lea
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of fingerprints within 2 bits, the document with the smallest id stays.
+    """Of each component of fingerprints within 2 bits, one row stays: that of the smallest id, one without id last.
 
-    A document without id is known by a hash of its text; of rows with one id, one stays.
+    Rows that share an id are rows of their own; in one component, a hash of the whole row decides between them.
     """
-    stash = Stash(spark)
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1) - F.abs(F.xxhash64("text") / 4).cast("long"))
-    keyed = _with(docs, own)
-    classes = simhash.near_duplicates(keyed, id_col="_tw_added")
-    stay = stash.put(classes.groupBy("component_id").agg(F.min("doc_id").alias("_tw_added")).select("_tw_added"))
-    return keyed.join(stay, "_tw_added", "left_semi").dropDuplicates(["_tw_added"]).select(docs.columns)
+    keyed = _keyed(spark, docs)
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("hash"), F.col("_tw_key").alias("key"))
+    classes = simhash.near_duplicates(_with(keyed, order), id_col="_tw_added")
+    stay = Stash(spark).put(classes.filter(F.col("doc_id.key") == F.col("component_id.key")).select(F.col("doc_id.key").alias("_tw_key")))
+    return keyed.join(stay, "_tw_key", "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    copies = mixing.mix(docs).select(F.col("doc_id").alias("_tw_id"), F.col("copies").alias("_tw_copies")).filter("_tw_copies > 0").distinct()
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_tw_id")))
+    keyed = _keyed(spark, docs)
+    copies = mixing.mix(keyed, carry=("_tw_key",)).select("_tw_key", F.col("copies").alias("_tw_copies")).filter("_tw_copies > 0")
+    joined = keyed.join(copies, "_tw_key")
     return joined.withColumn("_tw_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_tw_copies")))).select(docs.columns)
 
 

@@ -1,12 +1,14 @@
 """The corpus pipeline beside a version in plain Python and SQL, stage by stage."""
 
+from collections import Counter
+
 import corpus_pipeline
 import duckdb
 import pandas as pd
 
 from tests.llm.conftest import SF
-from tests.llm.test_operators import RANKS, brute_classes, library
-from tidewater.llm import langid, queries, toxicity
+from tests.llm.test_operators import RANKS, brute_classes, brute_fingerprint, library
+from tidewater.llm import langid, mixing, queries, toxicity
 
 
 def test_run(spark, documents):
@@ -40,3 +42,26 @@ def test_stages_take_hard_and_empty_tables(spark, hard, empty):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).collect() == []
         stage(spark, hard, SF).collect()
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, hard):
+    a, b = "tides rise and the moon pulls the sea", "harbour pilots read the charts by lamp light"
+    docs = spark.createDataFrame([(2, b), (5, a), (5, b), (None, a), (None, "a third text without an id")], "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted((r.text, r.doc_id) for r in kept) == [("a third text without an id", None), (b, 2), (a, 5)]
+    groups = {}
+    for r in hard.select("doc_id", "text").collect():
+        groups.setdefault(brute_fingerprint(r.text), []).append((r.doc_id is None, r.doc_id or 0))
+    assert all(x == y or (x ^ y).bit_count() > 2 for x in groups for y in groups)
+    kept = corpus_pipeline.drop_near_duplicates(spark, hard, SF).collect()
+    assert sorted((brute_fingerprint(r.text), r.doc_id is None, r.doc_id or 0) for r in kept) == sorted((f, *min(ids)) for f, ids in groups.items())
+
+
+def test_mixing_counts_the_copies_of_each_row(spark):
+    texts = ["one two three", "", "four five", "six", "seven eight nine ten"]
+    docs = spark.createDataFrame([(None, t, s) for s in ("books", "web", None) for t in texts], "doc_id long, text string, source string")
+    got = Counter((r.source, len((r.text or "").split())) for r in corpus_pipeline.mix_sources(spark, docs, SF).collect())
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.source, r.size] += r.copies
+    assert got == +want

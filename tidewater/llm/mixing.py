@@ -44,15 +44,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), total
     return rows.select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("w")), "cap").alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20240229, **shares) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, copies, taken (words, repeats counted)."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20240229, carry: tuple[str, ...] = (), **shares) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, copies, taken (words, repeats counted), carry."""
     stash = Stash(docs.sparkSession)
-    rows = stash.put(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
-    return mix_sizes(rows, stash, seed, **shares)
+    rows = stash.put(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *carry))
+    return mix_sizes(rows, stash, seed, carry, **shares)
 
 
-def mix_sizes(rows: DataFrame, stash: Stash, seed: int = 20240229, **shares) -> DataFrame:
-    """As mix(), for rows (doc_id, source, size) that are there already."""
+def mix_sizes(rows: DataFrame, stash: Stash, seed: int = 20240229, carry: tuple[str, ...] = (), **shares) -> DataFrame:
+    """As mix(), for rows (doc_id, source, size, carry) that are there already."""
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), **shares)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.withColumn("whole", F.floor(ratio).cast("long")).withColumn("p", ratio - F.floor(ratio)).withColumn("words", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -75,4 +75,4 @@ def mix_sizes(rows: DataFrame, stash: Stash, seed: int = 20240229, **shares) ->
     closing = left.groupBy("source").agg(F.min_by("doc_id", F.struct(F.abs(F.col("size") - F.col("gap")), F.col("rank"), F.col("doc_id"))).alias("closing_id")).select(F.col("source").alias("s"), "closing_id")
     out = picked.join(closing, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     copies = F.when(F.col("size") > 0, F.col("whole") + (F.col("picked") | F.coalesce(F.col("doc_id") == F.col("closing_id"), F.lit(False))).cast("long")).otherwise(0)
-    return out.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carry)
