@@ -157,7 +157,7 @@ def test_top_k(spark):
     v[200:230] = v[0]
     rows = [(i // 2 if i > 390 else i, v[i].tolist(), i) for i in range(400)] + [(900, None, 0), (901, [], 0), (902, [0.1] * 5 + [None], 0), (950, [float("nan")] * 6, 0), (1000, [float("inf")] * 6, 0), (None, [0.0] * 6, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, row int")
-    got = topk.top_k(df, F.col("vec_id") % 50 == 0, n_pivots=8, cell_rows=30, group_rows=3).collect()
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, n_floor=8, cell_rows=30, group_rows=3).collect()
     ids, ints = np.array([r[0] for r in rows[:400]]), np.floor(256 * v).astype(np.int64)
     want = []
     for q in np.flatnonzero(ids % 50 == 0).tolist():

@@ -1,19 +1,27 @@
 """Exact top-k search by inner product, with dual cover trees.
 
-Vectors are integers, floor(scale * x) of each component. Candidates are dealt to cells by their nearest pivot (pivots:
-a bounded sample), large cells salted, so that a cell holds about ``cell_rows`` vectors; queries are dealt to groups in
-the same way. Each (query group, cell) pair is one row of a join and is searched by a pair of cover trees: a node is a
-centre with a covering radius. For a query node (centre q, radius r) and a candidate node (centre c, radius s),
+Vectors are integers, floor(scale * x) of each component. Candidates lie in cells of about ``cell_rows`` vectors: the
+Voronoi cells of sampled pivots, one for each ``cell_rows`` rows; a cell that is still too large is cut by pivots of its
+own, and only what geometry cannot cut (copies of one vector) is dealt by a hash. Queries lie in groups made likewise.
+
+Every cell and every group is a ball, a centre with a covering radius. For a ball of queries (centre q, radius r) and a
+ball of candidates (centre c, radius s),
 
     x . y  <=  q . c + |q| s + |c| r + r s
 
-for all queries x and candidates y below them. A pair of nodes is dropped if that bound is less than the worst kth score
-of the query node. Those kth scores start from an exact search of the pivots themselves, so most pairs fall at once. At
-the leaves the inner products are exact integers; each pair yields k rows a query at most, and the best k of all are
-kept, ties to the smaller id.
+for all queries x and candidates y in them. The search has two rounds, and only balls meet before a vector is sent:
+
+1. each group goes to the cell of its highest bound, which gives each query a kth best score (before that, its kth best
+   among the pivots);
+2. it then goes to every other cell whose bound reaches the least kth score of its queries.
+
+Inside a pair, cover trees of either side go on in the same way: a pair of nodes is dropped if its bound is below the
+worst kth score of the query node. A worker keeps the trees of the last cell and group it met. A node with no structure to prune by (its cover would need
+over ``FAN`` children, as in many dimensions) is a leaf, and a pair of leaves is one matrix product, in exact integers.
 
 Vectors that are null, empty, hold null or non-finite components, or differ in width from the table's most common width
-take no part, and neither do null ids. A row is never its own candidate; other rows with its id or vector are.
+take no part, and neither do null ids. A row is never its own candidate; other rows with its id or vector are. Ties go to
+the smaller id. Other columns of the table, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,45 +30,49 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Stash
 
-LEAF = 24
+LEAF, FAN, LOWEST = 64, 16, -(2**62)
+BALL = T.StructType().add("centre", T.ArrayType(T.DoubleType())).add("norm", "double").add("radius", "double")
+FOUND = "q_row long, query_id long, vec_id long, row long, score long"
 
 
 class Node:
     __slots__ = ("rows", "centre", "norm", "radius", "children")
 
-    def __init__(self, rows, centre, radius, children):
-        self.rows, self.centre, self.radius, self.children = rows, centre, radius, children
+    def __init__(self, rows, centre, radius):
+        self.rows, self.centre, self.radius, self.children = rows, centre, radius, []
         self.norm = float(np.sqrt(centre @ centre))
 
 
-def cover_tree(x: np.ndarray, rows: np.ndarray | None = None, base: float = 1.6, centre: int | None = None) -> Node:
-    """Points x[rows] below one node. Children cover the node's points with radius / base; each child's centre is one of
-    its points, and the first child keeps its parent's centre."""
-    rows = np.arange(len(x)) if rows is None else rows
-    centre = int(rows[0]) if centre is None else centre
-    stack_root = [None]
-    work = [(rows, centre, stack_root, 0)]
+def _cover(x: np.ndarray, rows: np.ndarray, reach: float) -> list[tuple[int, np.ndarray]]:
+    """Centres among the rows, and the rows within `reach` of each and of none before it; none if over FAN are needed."""
+    out, left = [], rows
+    while len(left):
+        if len(out) == FAN:
+            return []
+        d = np.sqrt(np.square(x[left] - x[left[0]]).sum(axis=1))
+        near = d <= reach
+        near[0] = True
+        out.append((int(left[0]), left[near]))
+        left = left[~near]
+    return out
+
+
+def cover_tree(x: np.ndarray, base: float = 2.0) -> Node:
+    """All points below one node. Children cover their parent's points with radius / base, each around one of its points."""
+    root: list[Node] = []
+    work = [(np.arange(len(x)), 0, root)]
     while work:
-        rows, centre, into, slot = work.pop()
-        c = x[centre]
-        d = np.sqrt(np.maximum(((x[rows] - c) ** 2).sum(axis=1), 0))
-        node = Node(rows, c, float(d.max()) * (1 + 1e-12), [])
-        into[slot] = node
-        if len(rows) <= LEAF or node.radius == 0:
-            continue
-        reach, left, first = node.radius / base, np.ones(len(rows), bool), centre
-        while left.any():
-            near = left & ((d if first == centre else np.sqrt(((x[rows] - x[first]) ** 2).sum(axis=1))) <= reach)
-            near |= left & (rows == first)
-            node.children.append(None)
-            work.append((rows[near], first, node.children, len(node.children) - 1))
-            left &= ~near
-            if left.any():
-                first = int(rows[np.argmax(left)])
-    return stack_root[0]
+        rows, centre, siblings = work.pop()
+        radius = float(np.sqrt(np.square(x[rows] - x[centre]).sum(axis=1).max(initial=0))) * (1 + 1e-12)
+        node = Node(rows, x[centre], radius)
+        siblings.append(node)
+        if len(rows) > LEAF and radius > 0:
+            work += [(own, c, node.children) for c, own in _cover(x, rows, radius / base)]
+    return root[0]
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -69,39 +81,58 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.rint(q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64) if most < 2**52 else q @ x.T
 
 
-def search(q: np.ndarray, q_ids: np.ndarray, q_rows: np.ndarray, floor: np.ndarray, x: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """The best k candidates of each query among x that reach the query's floor: (query position, candidate position, score)."""
-    qf, xf = q.astype(np.float64), x.astype(np.float64)
-    qt, xt = cover_tree(qf), cover_tree(xf)
-    worst = floor.astype(np.float64).copy()
-    best: list[list[tuple[int, int, int]]] = [[] for _ in range(len(q))]  # (-score, id, position)
+class Side:
+    """The vectors of one cell or group, with their tree."""
+
+    def __init__(self, packed: pa.StructScalar | pa.ListScalar):
+        s = packed.values
+        self.v = _matrix(s.field("v"))
+        self.ids, self.rows = np.asarray(s.field("id")), np.asarray(s.field("row"))
+        self.floor = np.asarray(s.field("floor")) if "floor" in [f.name for f in s.type] else None
+        self.tree = cover_tree(self.v.astype(np.float64))
+
+
+def search(q: Side, x: Side, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k candidates of each query that reach its floor: positions of queries and of candidates, scores."""
+    worst = q.floor.copy()
+    best = (np.zeros(0, np.int64),) * 3
+
+    def merge(a: Node, b: Node) -> None:
+        nonlocal best
+        score = products(q.v[a.rows], x.v[b.rows])
+        score[q.rows[a.rows][:, None] == x.rows[b.rows][None, :]] = LOWEST
+        least = worst[a.rows]
+        if len(b.rows) > k:
+            least = np.maximum(least, np.partition(score, len(b.rows) - k, axis=1)[:, -k])
+        i, j = np.nonzero((score >= least[:, None]) & (score > LOWEST))
+        if not len(i):
+            return
+        qi, xi, s = (np.concatenate(z) for z in zip(best, (a.rows[i], b.rows[j], score[i, j]), strict=True))
+        order = np.lexsort((x.rows[xi], x.ids[xi], -s, qi))
+        qi, xi, s = qi[order], xi[order], s[order]
+        begins = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]])
+        place = np.arange(len(qi)) - np.repeat(begins, np.diff(np.r_[begins, len(qi)]))
+        last = place == k - 1
+        worst[qi[last]] = np.maximum(worst[qi[last]], s[last])
+        keep = place < k
+        best = qi[keep], xi[keep], s[keep]
 
     def visit(a: Node, b: Node) -> None:
         dot = float(a.centre @ b.centre)
         most = dot + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius
-        if most * (1 + 1e-9 * np.sign(most)) + 1e-6 < worst[a.rows].min():
+        if most + 1e-9 * abs(most) + 1e-6 < worst[a.rows].min():
             return
         if not a.children and not b.children:
-            score = products(q[a.rows], x[b.rows])
-            for i, qi in enumerate(a.rows.tolist()):
-                s = score[i]
-                hit = np.flatnonzero((s >= worst[qi]) & (rows[b.rows] != q_rows[qi]))
-                if len(hit):
-                    own = best[qi] + [(-int(s[h]), int(ids[b.rows[h]]), int(b.rows[h])) for h in hit]
-                    own.sort()
-                    best[qi] = own[:k]
-                    if len(own) >= k:
-                        worst[qi] = max(worst[qi], -own[k - 1][0])
-            return
-        if b.children and (not a.children or b.radius >= a.radius):
+            merge(a, b)
+        elif b.children and (not a.children or b.radius >= a.radius):
             for child in sorted(b.children, key=lambda c: -float(a.centre @ c.centre) - a.norm * c.radius):
                 visit(a, child)
         else:
             for child in a.children:
                 visit(child, b)
 
-    visit(qt, xt)
-    return [(i, p, -s) for i, own in enumerate(best) for s, _, p in own]
+    visit(q.tree, x.tree)
+    return best
 
 
 def integers(column: Column, scale: int = 256) -> Column:
@@ -115,29 +146,66 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.int64)
 
 
-def _dealt(vectors: DataFrame, pivots: np.ndarray, size: int, stash: Stash, name: str) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """vectors with a cell number: the nearest pivot, and a hash of the row within cells of over `size` rows."""
-    held = vectors.sparkSession.sparkContext.broadcast(pivots.astype(np.float64))
+def _nearest(m: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return (np.square(p).sum(axis=1) - 2 * (m.astype(np.float64) @ p.T)).argmin(axis=1)
+
 
-    @F.arrow_udf("int")
+def dealt(vectors: DataFrame, size: int, name: str, stash: Stash, most_pivots: int = 256, fan: int = 16) -> DataFrame:
+    """vectors (row, v, ...) with a cell number in the column `name`; no cell holds much over `size` rows.
+
+    First the nearest of at most most_pivots sampled pivots; then, in cells of over 2 * size rows, the nearest of up to
+    `fan` rows of the cell (most_pivots * fan vectors are broadcast); then, in parts that are still larger, a hash of the
+    row.
+    """
+    spark, n = vectors.sparkSession, vectors.count()
+    want = min(most_pivots, -(-n // size))
+    if want <= 1 and n <= 2 * size:
+        return vectors.withColumn(name, F.lit(0).cast("long"))
+    order = [F.xxhash64("row", F.lit(3)), F.col("row")]
+    pivots = np.array([r.v for r in vectors.select("v", "row").orderBy(*order).limit(max(want, 1)).collect()], dtype=np.float64)  # most_pivots rows
+    held = spark.sparkContext.broadcast(pivots)
+
+    @F.arrow_udf(T.IntegerType())
     def nearest(v: pa.Array) -> pa.Array:
-        m, p = _matrix(v).astype(np.float64), held.value
-        return pa.array((np.square(p).sum(axis=1) - 2 * (m @ p.T)).argmin(axis=1).astype(np.int32) if len(m) else [], pa.int32())
-
-    near = stash.put(vectors.withColumn("pivot", nearest("v")))
-    counts = {r.pivot: r.n for r in near.groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # one row per pivot
-    parts, begin, at = {}, {}, 0
-    for p, n in sorted(counts.items()):
-        parts[p], begin[p] = -(-n // size), at
-        at += parts[p]
-    if not parts:
-        return near.withColumn(name, F.lit(0)), []
-    plan = vectors.sparkSession.createDataFrame([(p, parts[p], begin[p]) for p in parts], "pivot int, parts int, begin int")
-    dealt = near.join(F.broadcast(plan), "pivot").withColumn(name, (F.col("begin") + F.pmod(F.xxhash64("row", F.lit(5)), F.col("parts"))).cast("int")).drop("pivot", "parts", "begin")
-    return dealt, [(c, c) for c in range(at)]
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, n_pivots: int = 64, cell_rows: int = 2048, group_rows: int = 512) -> DataFrame:
+        return pa.array(_nearest(_matrix(v), held.value).astype(np.int32) if len(v) else [], pa.int32())
+
+    near = stash.put(vectors.withColumn("p1", nearest("v")))
+    large = near.groupBy("p1").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * size)  # most_pivots rows
+    unit = F.pmod(F.xxhash64("row", F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
+    some = near.join(F.broadcast(large), "p1").filter(unit < F.lit(2.0 * fan) / F.col("n"))  # some 2 * fan rows a cell
+    inner = some.groupBy("p1").agg(F.slice(F.array_sort(F.collect_list(F.struct(unit.alias("u"), "row", "v"))), 1, fan)["v"].alias("pivots")).collect()  # most_pivots * fan vectors at most
+    own = spark.sparkContext.broadcast({r.p1: np.array(r.pivots, dtype=np.float64) for r in inner})
+
+    @F.arrow_udf(T.IntegerType())
+    def nearest_inside(v: pa.Array, p1: pa.Array) -> pa.Array:
+        m, cell = _matrix(v), np.asarray(p1)
+        out = np.zeros(len(cell), np.int32)
+        for c in np.unique(cell).tolist():
+            if c in own.value:
+                out[cell == c] = _nearest(m[cell == c], own.value[c])
+        return pa.array(out)
+
+    parted = stash.put(near.withColumn("p2", nearest_inside("v", "p1")))
+    sizes = parted.groupBy("p1", "p2").agg(F.count("*").alias("n"))
+    parts = sizes.select("p1", "p2", F.greatest(F.ceil(F.col("n") / (2 * size)), F.lit(1)).alias("parts"))  # most_pivots * fan rows
+    salt = F.pmod(F.xxhash64("row", F.lit(5)), F.col("parts"))
+    cell = (F.col("p1").cast("long") * fan + F.col("p2")) * F.lit(1 << 32) + salt
+    out = parted.join(F.broadcast(parts), ["p1", "p2"]).withColumn(name, cell.cast("long")).drop("p1", "p2", "parts")
+    return out
+
+
+@F.arrow_udf(BALL)
+def ball(packed: pa.Array) -> pa.Array:
+    """Mean and covering radius of each packed row's vectors."""
+    out = []
+    for one in packed:
+        v = _matrix(one.values.field("v")).astype(np.float64)
+        c = v.mean(axis=0)
+        out.append({"centre": c.tolist(), "norm": float(np.sqrt(c @ c)), "radius": float(np.sqrt(np.square(v - c).sum(axis=1).max())) * (1 + 1e-9)})
+    return pa.array(out, pa.struct([("centre", pa.list_(pa.float64())), ("norm", pa.float64()), ("radius", pa.float64())]))
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, cell_rows: int = 2048, group_rows: int = 512, n_floor: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best candidates, fewer if there are fewer."""
     spark = vectors.sparkSession
     stash = Stash(spark)
@@ -148,41 +216,52 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     if not widths:
         return empty
     usable = all_rows.filter(F.size("v") == widths[0].w)
-    sample = usable.orderBy(F.xxhash64("row"), "row").limit(n_pivots).collect()  # n_pivots rows
-    pivots, p_ids, p_rows = np.array([r.v for r in sample], dtype=np.int64), np.array([r.id for r in sample]), np.array([r.row for r in sample])
-    held = spark.sparkContext.broadcast((pivots, p_rows))
-    data, cells = _dealt(usable.select("id", "row", "v"), pivots, cell_rows, stash, "cell")
+    sample = usable.orderBy(F.xxhash64("row"), "row").limit(n_floor).collect()  # n_floor rows
+    held = spark.sparkContext.broadcast((np.array([r.v for r in sample], dtype=np.int64), np.array([r.row for r in sample])))
 
     @F.arrow_udf("bigint")
     def floors(v: pa.Array, row: pa.Array) -> pa.Array:
-        """The kth best score among the pivots (each query's own row aside): no answer lies below it."""
+        """The kth best score in the sample (each query's own row aside): no answer lies below it."""
         p, rows = held.value
-        if len(p) <= k:
-            return pa.array([-(2**62)] * len(v), pa.int64())
-        s = products(_matrix(v), p)
-        s = np.where(np.asarray(row)[:, None] == rows[None, :], np.iinfo(np.int64).min, s)
-        return pa.array(np.sort(s, axis=1)[:, -k], pa.int64())
-
-    asked, groups = _dealt(usable.filter("asks").select("id", "row", "v", floors("v", "row").alias("floor")), pivots, group_rows, stash, "grp")
-    if not groups:
-        return empty
-    # A group of queries is one row of group_rows vectors at most; it goes to every cell, as does a cell's row to none.
-    packed_q = asked.groupBy("grp").agg(F.collect_list(F.struct("id", "row", "floor", "v")).alias("qs"))
-    packed_x = data.groupBy("cell").agg(F.collect_list(F.struct("id", "row", "v")).alias("xs"))
-    sent = packed_q.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(len(cells) - 1))))
-
-    def pairs(batches):
-        for b in batches:
-            for qs, xs in zip(b.column("qs"), b.column("xs"), strict=True):
-                qv, xv = qs.values, xs.values
-                q, x = _matrix(qv.field("v")), _matrix(xv.field("v"))
-                q_ids, ids = np.asarray(qv.field("id")), np.asarray(xv.field("id"))
-                q_rows, rows = np.asarray(qv.field("row")), np.asarray(xv.field("row"))
-                got = search(q, q_ids, q_rows, np.asarray(qv.field("floor")), x, ids, rows, k)
-                if got:
-                    i, p, s = (np.array(c, dtype=np.int64) for c in zip(*got, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(q_rows[i]), pa.array(q_ids[i]), pa.array(ids[p]), pa.array(rows[p]), pa.array(s)], ["q_row", "query_id", "vec_id", "row", "score"])
-
-    found = sent.join(packed_x, "cell").select("qs", "xs").mapInArrow(pairs, "q_row long, query_id long, vec_id long, row long, score long")
+        if len(p) <= k or not len(v):
+            return pa.array([LOWEST] * len(v), pa.int64())
+        s = np.where(np.asarray(row)[:, None] == rows[None, :], LOWEST, products(_matrix(v), p))
+        return pa.array(np.partition(s, len(p) - k, axis=1)[:, -k])
+
+    asked = usable.filter("asks").select("id", "row", "v", floors("v", "row").alias("floor"))
+    asked = stash.put(dealt(asked, group_rows, "grp", stash))
+    cells = dealt(usable.select("id", "row", "v"), cell_rows, "cell", stash)
+    cells = stash.put(cells.groupBy("cell").agg(F.collect_list(F.struct("id", "row", "v")).alias("xs")).withColumn("x", ball("xs")))  # a cell is 2 * cell_rows vectors at most, or near it
+
+    def groups(rows: DataFrame) -> DataFrame:
+        return stash.put(rows.groupBy("grp").agg(F.collect_list(F.struct("id", "row", "floor", "v")).alias("qs"), F.min("floor").alias("least")).withColumn("q", ball("qs")))
+
+    first_groups = groups(asked)
+    dot = F.aggregate(F.zip_with("q.centre", "x.centre", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    most = dot + F.col("q.norm") * F.col("x.radius") + F.col("x.norm") * F.col("q.radius") + F.col("q.radius") * F.col("x.radius")
+    # Balls only: one row for group_rows queries or cell_rows candidates.
+    bounds = stash.put(first_groups.select("grp", "q").crossJoin(cells.select("cell", "x")).select("grp", "cell", (most + F.abs(most) * 1e-9 + 1e-6).alias("most")))
+    nearest = stash.put(bounds.groupBy("grp").agg(F.max_by("cell", F.struct("most", "cell")).alias("cell")))
+
+    def met(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+        def find(batches):
+            grp = cell = q = x = None
+            for b in batches:
+                for g, c, qs, xs in zip(*(b.column(n) for n in ("grp", "cell", "qs", "xs")), strict=True):
+                    if (g := g.as_py()) != grp:
+                        grp, q = g, Side(qs)
+                    if (c := c.as_py()) != cell:
+                        cell, x = c, Side(xs)
+                    i, p, s = search(q, x, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in (q.rows[i], q.ids[i], x.ids[p], x.rows[p], s)], ["q_row", "query_id", "vec_id", "row", "score"])
+
+        sent = pairs.join(packed.select("grp", "qs"), "grp").join(cells.select("cell", "xs"), "cell")
+        return sent.select("grp", "cell", "qs", "xs").mapInArrow(find, FOUND)
+
+    begun = stash.put(met(nearest, first_groups))
+    kth = begun.groupBy("q_row").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k).select(F.col("q_row").alias("row"), "kth")
+    second_groups = groups(asked.join(kth, "row", "left").withColumn("floor", F.greatest("floor", F.coalesce("kth", F.lit(LOWEST)))).drop("kth"))
+    open_pairs = bounds.join(nearest, ["grp", "cell"], "left_anti").join(second_groups.select("grp", "least"), "grp").filter(F.col("most") >= F.col("least")).select("grp", "cell")
+    found = begun.unionByName(met(open_pairs, second_groups))
     order = Window.partitionBy("q_row").orderBy(F.col("score").desc(), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
