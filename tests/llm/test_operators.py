@@ -45,7 +45,7 @@ def brute_lm(rows):
     return out
 
 
-@pytest.mark.parametrize("bounds", [{}, {"common": 40, "hot_share": 50}, {"common": 3, "hot_share": 1}])
+@pytest.mark.parametrize("bounds", [{}, {"common": 40, "hot": 50}, {"common": 3, "hot": 1}])
 @pytest.mark.parametrize("which", ["documents", "hard"])
 def test_lm_scores(request, which, bounds):
     docs = request.getfixturevalue(which)

@@ -17,8 +17,10 @@ and the first word of a document scores c(w) / N.
 The code of one of the ``common`` most frequent words is its place among them (their counts are broadcast, a bounded
 table); any other word's code is a 61-bit hash, and its count comes by joins. A pair of two common words has its codes
 packed in r; else r is the code of a rarer word, o that of the other word and its side. So a join key is hot only if
-it is a pair of common words: those that hold at least 1/``hot_share`` of all pairs (``hot_share`` at most) are
-broadcast and summed where the text is read.
+it is a pair of common words. The counts of the most frequent of these, ``hot`` at most, are broadcast, and their part is
+summed where the text is read; all others are joined. Either way gives the same score.
+
+Texts are read in chunks of bounded bytes, and what a worker holds of words and pairs is bounded too.
 
 Nulls and texts without words score 0 with no tokens. Rows that share a doc_id (null included) are scored one by one and
 summed.
@@ -30,6 +32,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,18 +41,26 @@ from .common import ASCII_LOWER, Stash
 
 SHIFT = 17
 RARE = 1 << 61
-PACKED, SINGLE, HEAD = -1, -2, -3  # what o says of r: two common words, one word, nothing (a document's own row)
+PACKED, SINGLE = -1, -2  # what o says of r: two common words, one word
+TOKENS, SEEN, SCORE = -3, -4, -5  # a document's own rows, which no row of the model meets: n is a sum known already
 ALPHA = 0.4
+CHUNK, HELD, KEEP = 2_000_000, 2_000_000, 200_000  # bytes of text, pairs and words that a worker holds at once
 
 
 def hash_code(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) >> 3 | RARE
 
 
-def _chunks(batches, rows: int = 1000):
+def _chunks(batches, text: int):
+    """Slices of the batches with about CHUNK bytes of text each, or one row."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        b = b.set_column(text, "text", b.column(text).cast(pa.large_binary()))
+        ends = np.cumsum(pc.binary_length(b.column(text)).fill_null(0).to_numpy(zero_copy_only=False) + 64)
+        at = 0
+        while at < b.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, side="right")))
+            yield b.slice(at, stop - at)
+            at = stop
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -72,10 +83,10 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for i in range(0, len(codes), 100_000):
                 yield _record(code=codes[i : i + 100_000], c=ns[i : i + 100_000])
 
-        for b in _chunks(batches):
-            for t in b.column(0).cast(pa.binary()).to_pylist():
+        for b in _chunks(batches, 0):
+            for t in b.column(0).to_pylist():
                 seen.update(_words(t))
-                if len(seen) > 400_000:
+                if len(seen) > 2 * KEEP:
                     yield from flush()
         if seen:
             yield from flush()
@@ -86,7 +97,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 class Coder:
     """Words to codes; keeps a bounded number of the codes it has made."""
 
-    def __init__(self, common: dict[int, int], keep: int = 500_000):
+    def __init__(self, common: dict[int, int], keep: int = KEEP):
         self.common, self.keep, self.known = common, keep, {}
 
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
@@ -116,14 +127,37 @@ def _counted(*keys: np.ndarray) -> tuple[np.ndarray, ...]:
     """The distinct rows of the key columns, and the number of each."""
     if not len(keys[0]):
         return (*keys, np.zeros(0, np.int64))
-    order = np.lexsort(keys[::-1])
-    keys = tuple(k[order] for k in keys)
-    new = np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]
-    at = np.flatnonzero(new)
-    return (*(k[at] for k in keys), np.diff(np.r_[at, len(new)]).astype(np.int64))
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, common: int = 65_536, hot_share: int = 131_072) -> DataFrame:
+    mixed = np.zeros(len(keys[0]), np.uint64)
+    for k in keys:
+        mixed = (mixed ^ k.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+    order = np.argsort(mixed)
+    changed = lambda: np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+    new = changed()
+    if (new & (mixed[order[1:]] == mixed[order[:-1]])).any():  # two rows mix to one number: sort by the keys themselves
+        order = np.lexsort(keys[::-1])
+        new = changed()
+    at = np.flatnonzero(np.r_[True, new])
+    return (*(k[order[at]] for k in keys), np.diff(np.r_[at, len(order)]).astype(np.int64))
+
+
+def hot_level(pairs: DataFrame, most: int) -> int | None:
+    """The least level of counts that at most `most` pairs reach; a level is an eighth of a power of two."""
+    sizes = sorted(((r.level, r.n) for r in pairs.groupBy(level(F.col("c")).alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)  # 504 levels
+    found, total = None, 0
+    for at, n in sizes:
+        total += n
+        if total > most:
+            break
+        found = at
+    return found
+
+
+def level(c: F.Column) -> F.Column:
+    return F.floor(F.log2(c.cast("double")) * 8)
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, common: int = 65_536, hot: int = 524_288) -> DataFrame:
     """One row per doc_id: n_tokens, n_seen (bigrams that other documents hold too), log_score, mean_log_score."""
     spark = docs.sparkSession
     stash = Stash(spark)
@@ -144,77 +178,78 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for i in range(0, len(r), 200_000):
                 yield _record(r=r[i : i + 200_000], o=o[i : i + 200_000], c=c[i : i + 200_000])
 
-        for b in _chunks(batches):
-            x, d = coder(b.column(0).cast(pa.binary()).to_pylist())
+        for b in _chunks(batches, 0):
+            x, d = coder(b.column(0).to_pylist())
             same = d[1:] == d[:-1]
             held.append(pair_keys(x[:-1][same], x[1:][same]))
             size += len(held[-1][0])
-            if size > 4_000_000:
+            if size > HELD:
                 yield from flush()
                 held, size = [], 0
         if size:
             yield from flush()
 
     bigrams = stash.put(docs.select("text").mapInArrow(pairs, "r long, o long, c long").groupBy("r", "o").agg(F.sum("c").alias("c")).filter("c > 1"))
-    is_hot = (F.col("o") == PACKED) & (F.col("c") * hot_share >= total)
-    hot = sorted((r.r, r.c) for r in bigrams.filter(is_hot).select("r", "c").collect())  # hot_share rows at most
-    model = spark.sparkContext.broadcast((np.array([r for r, _ in hot], np.int64), np.array([c for _, c in hot], np.int64), log_c))
+    packed = bigrams.filter(F.col("o") == PACKED)
+    least = hot_level(packed, hot)
+    is_hot = F.lit(False) if least is None else (F.col("o") == PACKED) & (level(F.col("c")) >= least)
+    top_pairs = bigrams.filter(is_hot).select("r", "c").toPandas().sort_values("r")  # `hot` rows at most
+    model = spark.sparkContext.broadcast((top_pairs["r"].to_numpy(np.int64), top_pairs["c"].to_numpy(np.int64), log_c))
 
     def exploded(batches):
-        """Rows (doc_id, r, o, n): the n-grams to join; each document's HEAD row has what is known here already."""
+        """Rows (doc_id, r, o, n): the n-grams to join, and what is known here already."""
         coder, (hot_r, hot_c, log_c) = Coder(codes.value), model.value
-        for b in _chunks(batches):
+        for b in _chunks(batches, 1):
             who = b.column(0)
-            x, d = coder(b.column(1).cast(pa.binary()).to_pylist())
+            x, d = coder(b.column(1).to_pylist())
             same = d[1:] == d[:-1]
             is_rare = x >= RARE
-            known = np.bincount(d[~is_rare], weights=log_c[x[~is_rare]] - log_n + log_alpha, minlength=len(who)).astype(np.float64)  # all words back off
-            known -= np.where(np.bincount(d, minlength=len(who)) > 0, log_alpha, 0)  # but for the first
+            words_in = np.bincount(d, minlength=len(who))
+            known = np.bincount(d[~is_rare], weights=log_c[x[~is_rare]], minlength=len(who)) + words_in * (log_alpha - log_n)  # all words back off
+            known -= np.bincount(d[is_rare], minlength=len(who)) * (log_alpha - log_n)  # but for those to join
+            known -= np.where(words_in > 0, log_alpha, 0)  # and the first
             r, o = pair_keys(x[:-1][same], x[1:][same])
             k, r, o, n = _counted(d[1:][same], r, o)
-            at = np.minimum(np.searchsorted(hot_r, r), max(len(hot_r) - 1, 0))
-            here = (o == PACKED) & (hot_r[at] == r) if len(hot_r) else np.zeros(len(r), bool)
-            left = np.zeros(len(r), np.int64)
-            left[here] = hot_c[at[here]] - n[here]
-            won = here & (left > 0)
-            v, w = r[won] >> SHIFT, r[won] & ((1 << SHIFT) - 1)
-            gain = np.log(left[won]) - log_c[v] - (log_alpha + log_c[w] - log_n)
-            known += np.bincount(k[won], weights=n[won] * gain, minlength=len(who))
-            seen = np.bincount(k[won], weights=n[won], minlength=len(who)).astype(np.int64)
-            spread = np.random.default_rng(len(x)).integers(0, RARE, len(who))  # no key of the model, dealt to all partitions
-            yield _record(doc_id=who, r=spread, o=np.full(len(who), HEAD), n=pa.nulls(len(who), pa.int64()), n_tokens=np.bincount(d, minlength=len(who)).astype(np.int64), n_seen=seen, s=known)
+            here = np.zeros(len(r), bool)
+            if len(hot_r):
+                at = np.minimum(np.searchsorted(hot_r, r), len(hot_r) - 1)
+                here = (o == PACKED) & (hot_r[at] == r)
+            left = hot_c[at[here]] - n[here] if len(hot_r) else np.zeros(0, np.int64)
+            won = left > 0
+            kh, rh, nh, left = k[here][won], r[here][won], n[here][won], left[won]
+            gain = np.log(left) - log_c[rh >> SHIFT] - (log_alpha + log_c[rh & ((1 << SHIFT) - 1)] - log_n)
+            known += np.bincount(kh, weights=nh * gain, minlength=len(who))
+            seen = np.bincount(kh, weights=nh, minlength=len(who))
             sd, sw, sn = _counted(d[is_rare], x[is_rare])
-            k, r, o, n = (np.concatenate(z) for z in ((k[~here], sd), (r[~here], sw), (o[~here], np.full(len(sd), SINGLE)), (n[~here], sn)))
-            if len(k):
-                gone = pa.nulls(len(k), pa.int64())
-                yield _record(doc_id=who.take(pa.array(k)), r=r, o=o, n=n, n_tokens=gone, n_seen=gone, s=pa.nulls(len(k), pa.float64()))
-
-    rows = docs.mapInArrow(exploded, f"doc_id {id_type}, r long, o long, n long, n_tokens long, n_seen long, s double")
-    ids = spark.createDataFrame([(i, float(v)) for i, v in enumerate(log_c)], "code long, log_c double")  # `common` rows
+            own = np.arange(len(who))
+            spread = np.random.default_rng(len(x)).integers(0, RARE, len(who))  # dealt to all partitions
+            parts = [(k[~here], r[~here], o[~here], n[~here]), (sd, sw, np.full(len(sd), SINGLE), sn)]
+            parts += [(own[v != 0], spread[v != 0], np.full(np.count_nonzero(v), what), v[v != 0]) for what, v in ((SEEN, seen), (SCORE, known))]
+            parts += [(own, spread, np.full(len(own), TOKENS), words_in)]
+            k, r, o, n = (np.concatenate(z) for z in zip(*parts, strict=True))
+            yield _record(doc_id=who.take(pa.array(k)), r=r, o=o, n=n.astype(np.float64))
+
+    rows = docs.mapInArrow(exploded, f"doc_id {id_type}, r long, o long, n double")
+    ids = F.broadcast(spark.createDataFrame([(i, float(v)) for i, v in enumerate(log_c)], "code long, log_c double"))  # `common` rows
     place = F.broadcast(spark.createDataFrame([(r.code,) for r in top], "code long"))
     rarer = words.join(place, "code", "left_anti").select("code", F.log(F.col("c").cast("double")).alias("log_c"))
-    mask = (1 << SHIFT) - 1
-    v = F.when(F.col("o") == PACKED, F.shiftright("r", SHIFT)).when(F.col("o").bitwiseAND(1) == 1, F.col("r")).otherwise(F.shiftright("o", 1))
-    w = F.when(F.col("o") == PACKED, F.col("r").bitwiseAND(mask)).when(F.col("o").bitwiseAND(1) == 1, F.shiftright("o", 1)).otherwise(F.col("r"))
-    cold = bigrams.filter(~is_hot).withColumn("v", v).withColumn("w", w)
-
-    def counted(df: DataFrame, code: str, name: str) -> DataFrame:
-        """df with the logarithm of the count of a word, common or not."""
-        by_place = df.filter(F.col(code) < RARE).join(F.broadcast(ids.select(F.col("code").alias(code), F.col("log_c").alias(name))), code)
-        by_hash = df.filter(F.col(code) >= RARE).join(rarer.select(F.col("code").alias(code), F.col("log_c").alias(name)), code)
-        return by_place.unionByName(by_hash)
-
-    both = counted(counted(cold, "v", "log_v"), "w", "log_w")
-    model_rows = both.select("r", "o", "c", (F.col("log_v") + F.col("log_w") + (log_alpha - log_n)).alias("base"))
+
+    def counted(df: DataFrame, code: F.Column, name: str, by: DataFrame) -> DataFrame:
+        """df with the logarithm of a word's count from one of the two tables."""
+        return df.join(by.select(F.col("code").alias("_code"), F.col("log_c").alias(name)), code == F.col("_code")).drop("_code")
+
+    cold = bigrams.filter(~is_hot)
+    both_common = cold.filter(F.col("o") == PACKED)
+    both_common = counted(counted(both_common, F.shiftright("r", SHIFT), "log_v", ids), F.col("r").bitwiseAND((1 << SHIFT) - 1), "log_w", ids)
+    other = cold.filter(F.col("o") != PACKED).withColumn("x", F.shiftright("o", 1))
+    other = counted(other.filter(F.col("x") < RARE), F.col("x"), "log_v", ids).unionByName(counted(other.filter(F.col("x") >= RARE), F.col("x"), "log_v", rarer))
+    pair_rows = both_common.unionByName(counted(other, F.col("r"), "log_w", rarer).drop("x"))
+    base = F.col("log_v") + F.col("log_w") + (log_alpha - log_n)
     singles = rarer.select(F.col("code").alias("r"), F.lit(SINGLE).cast("long").alias("o"), F.lit(None).cast("long").alias("c"), (F.col("log_c") + (log_alpha - log_n)).alias("base"))
-    keyed = rows.join(model_rows.unionByName(singles), ["r", "o"], "left").filter((F.col("o") == HEAD) | F.col("base").isNotNull())
+    model_rows = pair_rows.select("r", "o", "c", base.alias("base")).unionByName(singles)
+    keyed = rows.join(model_rows, ["r", "o"], "left").filter((F.col("o") <= TOKENS) | F.col("base").isNotNull())
     won = F.col("c") > F.col("n")
-    part = (
-        F.when(F.col("o") == HEAD, F.col("s"))
-        .when(F.col("o") == SINGLE, F.col("n") * F.col("base"))
-        .when(won, F.col("n") * (F.log((F.col("c") - F.col("n")).cast("double")) - F.col("base")))
-        .otherwise(0.0)
-    )
-    parts = keyed.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.when(F.col("o") == HEAD, F.col("n_seen")).when(won, F.col("n")).otherwise(0).alias("n_seen"), part.alias("s"))
-    out = parts.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_seen").alias("n_seen"), F.sum("s").alias("log_score"))
+    part = F.when(F.col("o") == SCORE, F.col("n")).when(F.col("o") == SINGLE, F.col("n") * F.col("base")).when(won, F.col("n") * (F.log(F.col("c") - F.col("n")) - F.col("base"))).otherwise(0.0)
+    parts = keyed.select("doc_id", F.when(F.col("o") == TOKENS, F.col("n")).otherwise(0.0).alias("t"), F.when((F.col("o") == SEEN) | won, F.col("n")).otherwise(0.0).alias("k"), part.alias("s"))
+    out = parts.groupBy("doc_id").agg(F.sum("t").cast("long").alias("n_tokens"), F.sum("k").cast("long").alias("n_seen"), F.sum("s").alias("log_score"))
     return out.withColumn("mean_log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).otherwise(0.0))
