@@ -137,18 +137,21 @@ def frequent_pairs(docs: DataFrame, most: int, share: float) -> tuple[np.ndarray
 
     unit = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     found = docs.filter(unit < share).select("text").mapInArrow(pairs, "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c")).filter("c > 1")
-    found = Stash(docs.sparkSession).put(found)
+    found = most_frequent(Stash(docs.sparkSession).put(found), most).select("v", "w").toPandas()  # `most` rows at most
+    return found["v"].to_numpy(np.int64), found["w"].to_numpy(np.int64)
+
+
+def most_frequent(df: DataFrame, most: int) -> DataFrame:
+    """The rows of the largest counts c, `most` at most: all down to a level, an eighth of a power of two. No sort, and only
+    the levels' sizes go to the driver."""
     level = F.floor(F.log2(F.col("c").cast("double")) * 8)
     least, total = None, 0
-    for r in sorted(found.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.level):  # 504 levels at most
+    for r in sorted(df.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.level):  # 504 levels at most
         total += r.n
         if total > most:
             break
         least = r.level
-    if least is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    top = found.filter(level >= least).select("v", "w").toPandas()  # `most` rows at most
-    return top["v"].to_numpy(np.int64), top["w"].to_numpy(np.int64)
+    return df.filter(F.lit(False) if least is None else level >= least)
 
 
 def counts(docs: DataFrame, v: np.ndarray, w: np.ndarray) -> DataFrame:
@@ -196,7 +199,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counted = stash.put(counts(docs, hot_v, hot_w))
     words = counted.filter(~F.col("pair"))
     total = words.agg(F.sum("c")).first()[0] or 0
-    top = words.orderBy(F.col("c").desc(), "code").limit(common).collect()  # `common` rows
+    top = sorted(most_frequent(words, common).collect(), key=lambda r: (-r.c, r.code))  # `common` rows at most
     log_c = np.log(np.array([r.c for r in top], dtype=np.float64))
     codes = {r.code: i for i, r in enumerate(top)}
     seen_pairs = counted.filter("pair").select("code", "c").toPandas()  # `hot` rows at most

@@ -150,6 +150,12 @@ def _nearest(m: np.ndarray, p: np.ndarray) -> np.ndarray:
     return (np.square(p).sum(axis=1) - 2 * (m.astype(np.float64) @ p.T)).argmin(axis=1)
 
 
+def sampled(vectors: DataFrame, k: int, n: int) -> list:
+    """k of the n rows, by a hash; all, if there are fewer."""
+    unit = F.pmod(F.xxhash64("row", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    return vectors.select("row", "v").filter(unit < 8.0 * k / max(n, 1)).orderBy(unit, "row").limit(k).collect()
+
+
 def dealt(vectors: DataFrame, size: int, name: str, stash: Stash, most_pivots: int = 256, fan: int = 16) -> DataFrame:
     """vectors (row, v, ...) with a cell number in the column `name`; no cell holds much over `size` rows.
 
@@ -161,8 +167,7 @@ def dealt(vectors: DataFrame, size: int, name: str, stash: Stash, most_pivots: i
     want = min(most_pivots, -(-n // size))
     if want <= 1 and n <= 2 * size:
         return vectors.withColumn(name, F.lit(0).cast("long"))
-    order = [F.xxhash64("row", F.lit(3)), F.col("row")]
-    pivots = np.array([r.v for r in vectors.select("v", "row").orderBy(*order).limit(max(want, 1)).collect()], dtype=np.float64)  # most_pivots rows
+    pivots = np.array([r.v for r in sampled(vectors, max(want, 1), n)], dtype=np.float64)  # most_pivots rows
     held = spark.sparkContext.broadcast(pivots)
 
     @F.arrow_udf(T.IntegerType())
@@ -216,7 +221,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     if not widths:
         return empty
     usable = all_rows.filter(F.size("v") == widths[0].w)
-    sample = usable.orderBy(F.xxhash64("row"), "row").limit(n_floor).collect()  # n_floor rows
+    sample = sampled(usable, n_floor, widths[0].n)  # n_floor rows
     held = spark.sparkContext.broadcast((np.array([r.v for r in sample], dtype=np.int64), np.array([r.row for r in sample])))
 
     @F.arrow_udf("bigint")
