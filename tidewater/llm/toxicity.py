@@ -1,11 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained. The ordinary one comes from zstandard's dictionary trainer over ordinary
-documents. The toxic one is that same text, preceded by segments trained on toxic documents: runs of characters that
-stand in far more distinct contexts of toxic text than of ordinary text (contexts, not documents, so that copies of one
-document don't count twice). Each window of eight words is compressed with either dictionary; what the toxic dictionary
-saves is the window's gain. Zeros hold the segments' place in the ordinary dictionary, so a window without toxic
-segments has the same matches at the same distances in both, and a gain of about zero.
+Two dictionaries come from zstandard's trainer. The ordinary one is trained on ordinary documents. The toxic one is trained
+on the toxic documents' typical text: runs of characters that stand in far more distinct contexts of toxic text than of
+ordinary text (contexts, not documents, so that copies of one document don't count twice), each as often as documents
+hold it. A window of eight words is compressed with the ordinary dictionary, and with the toxic one before the ordinary
+one; what the toxic dictionary saves is the window's gain. Zeros hold its place in the first case, so that a window
+without toxic text has the same matches at the same distances in both, and a gain of about zero: two dictionaries of
+ordinary vocabulary, trained apart, differ by more than one toxic word saves.
 
 A document's score is a logistic function, fitted on training rows that the dictionaries didn't see, of its largest
 gain, the sum of its gains and its number of windows: the calibrated thresholds. Scores lie in 0..1; 0.3 and more is
@@ -88,13 +89,14 @@ def _contexts(texts: list[str]) -> tuple[Counter, int]:
     return n, len(seen)
 
 
-def segments(toxic: list[str], ordinary: list[str], share: float = 0.01, contrast: float = 3.0) -> list[str]:
-    """Runs of characters typical of toxic text, rarest first."""
+def typical_runs(toxic: list[str], ordinary: list[str], share: float = 0.01, contrast: float = 3.0) -> Counter:
+    """Runs of characters typical of toxic text, and how many toxic documents hold each (in three at least)."""
     (n1, all1), (n0, all0) = _contexts(toxic), _contexts(ordinary)
     least = max(4, share * len(toxic))
     hot = {g: v for g, v in n1.items() if v >= least and log((v + 0.5) / all1) - log((n0[g] + 0.5) / all0) > contrast}
     found: Counter = Counter()
     for t in toxic:
+        runs: set[str] = set()
         for w in set(t.lower().split()):
             w = f" {w} "
             grams = [w[i : i + GRAM] for i in range(len(w) - GRAM + 1)]
@@ -105,8 +107,33 @@ def segments(toxic: list[str], ordinary: list[str], share: float = 0.01, contras
             for i, g in enumerate(grams):
                 if hot.get(g, 0) >= 0.5 * most:
                     kept[i : i + GRAM] = [True] * GRAM
-            found.update("".join(c if k else "\0" for c, k in zip(w, kept, strict=True)).replace("\0", "\n").split("\n"))
-    return [s for s, v in sorted(found.items(), key=lambda x: (x[1], x[0])) if s and v >= 3]
+            runs.update(r for r in "".join(c if k else "\0" for c, k in zip(w, kept, strict=True)).split("\0") if r)
+        found.update(runs)
+    return Counter({r: v for r, v in found.items() if v >= 3})
+
+
+#: Fixed value: the repeat offsets of a fresh zstandard dictionary, which stand right before its content.
+OFFSETS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
+
+
+def _toxic_dictionary(runs: Counter, segment: int = 32, least: int = 512, most: int = 8192) -> bytes:
+    """What zstandard's trainer makes of the runs: its content, without the entropy tables (which only suit whole texts).
+
+    A sample is one run, over and over with a separator, as long as the trainer's segments; so no segment joins parts of
+    two runs to letters that toxic text doesn't hold."""
+    if not runs:
+        return b""
+    size = min(most, max(least, 3 * sum(len(r.encode()) for r in runs)))
+    samples = []
+    for r, v in sorted(runs.items(), key=lambda x: (x[1], x[0])):
+        one = r.encode() + b"\0"
+        samples += [one * (segment // len(one) + 1)] * v
+    samples *= 1 + 12 * size // sum(map(len, samples))  # the trainer wants some ten times the size
+    try:
+        trained = zstandard.train_dictionary(size + 1024, samples, k=segment, d=6, f=20, split_point=1.0, accel=1).as_bytes()
+        return trained[trained.index(OFFSETS) + len(OFFSETS) :][-size:]
+    except (zstandard.ZstdError, ValueError):  # too little to train on: the runs are the dictionary
+        return b"\0".join(r.encode() for r in runs)[-size:]
 
 
 def _ordinary_dictionary(texts: list[str], size: int = 8192) -> bytes:
@@ -125,7 +152,7 @@ def train(toxic: list[str], ordinary: list[str]) -> Model | None:
     rest = [(t, 1) for t in toxic[::3]] + [(t, 0) for t in ordinary[::3]]
     if not a or not b:
         return None
-    base, extra = _ordinary_dictionary(b), "".join(segments(a, b)).encode()
+    base, extra = _ordinary_dictionary(b), _toxic_dictionary(typical_runs(a, b))
     model = Model(extra + base, bytes(len(extra)) + base, (0.0,) * 5)
     scorer = Scorer(model)
     x = np.array([features(*scorer.evidence(t)) for t, _ in rest])
