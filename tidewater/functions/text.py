@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Currency by symbol suffix, and the prefix rule of six-digit local codes.
 SUFFIX_CURRENCY = ((".us", "USD"), (".hk", "HKD"), (".sh", "CNY"), (".sz", "CNY"))
@@ -101,6 +102,28 @@ def market_date(ts: Column, zone: str) -> Column:
     return F.to_date(F.from_utc_timestamp(ts, zone))
 
 
+#: An ISO 8601 date and time with an offset or Z.
+AWARE = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?\s*(Z|[+-]\d{2}(:?\d{2})?)$"
+
+
+def aware_timestamp(text: Column) -> Column:
+    """ISO 8601 text with Z or an offset as a timestamp; null if it has none (a naive time) or can't be read."""
+    return F.when(text.rlike(AWARE), F.replace(text, F.lit(","), F.lit(".")).try_cast("timestamp"))
+
+
+def utc_timestamp(text: Column) -> Column:
+    """ISO 8601 text as a timestamp; one without an offset is taken as UTC, whatever the session's zone."""
+    return F.coalesce(aware_timestamp(text), F.when(~text.rlike(AWARE), F.concat(text, F.lit("Z")).try_cast("timestamp")))
+
+
+def is_aware(df: DataFrame, c: str) -> Column:
+    """A moment and not a naive time: timestamps are, timestamps without zone aren't, texts are if they have an offset."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, T.TimestampType):
+        return F.col(c).isNotNull()
+    return F.coalesce(aware_timestamp(F.col(c)).isNotNull(), F.lit(False)) if isinstance(kind, T.StringType) else F.lit(False)
+
+
 def minutes(hhmm: Column) -> Column:
     p = F.split(hhmm, ":")
     return p[0].cast("int") * 60 + p[1].cast("int")
@@ -131,7 +154,26 @@ def named_dataset(message: Column, words=DATASET_WORDS, default: str = "ASSET_MA
 
 
 def symbol_in(message: Column, default: str) -> Column:
-    """A code with an exchange suffix, else the first word of letters, else six digits (as .SS)."""
-    found = F.filter(F.regexp_extract_all(message, F.lit(r"(?<![A-Za-z0-9_])([A-Za-z0-9.-]{1,16})(?![A-Za-z0-9_])")), lambda c: ~F.lower(c).isin("a", "us", "hk", "ai"))
+    """A code with an exchange suffix, else the first word of letters, else six digits (as .SS). A word ends where letters,
+    digits or _ of any script end."""
+    found = F.filter(F.regexp_extract_all(message, F.lit(r"(?U)\b([A-Za-z0-9.-]{1,16})\b")), lambda c: ~F.lower(c).isin("a", "us", "hk", "ai"))
     pick = lambda test: F.get(F.filter(found, test), F.lit(0))
     return F.coalesce(F.upper(pick(lambda c: F.lower(c).rlike(r"\.(ss|sz|hk)"))), F.upper(pick(lambda c: c.rlike("^[A-Za-z]+$"))), F.concat(pick(lambda c: c.rlike(r"^\d{6}$")), F.lit(".SS")), F.lit(default))
+
+
+def redact_nested(df: DataFrame, c: str, secrets: list[str]) -> Column:
+    """redact() on every text in a column of structs, arrays and maps (keys and values), whatever its depth."""
+
+    def walk(x: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType):
+            return redact(x, secrets)
+        if isinstance(kind, T.ArrayType):
+            return F.transform(x, lambda v: walk(v, kind.elementType))
+        if isinstance(kind, T.MapType):
+            pairs = F.transform(F.map_entries(x), lambda e: F.struct(walk(e["key"], kind.keyType).alias("key"), walk(e["value"], kind.valueType).alias("value")))
+            return F.map_from_entries(pairs)
+        if isinstance(kind, T.StructType):
+            return F.when(x.isNotNull(), F.struct(*[walk(x[f.name], f.dataType).alias(f.name) for f in kind]))
+        return x
+
+    return walk(F.col(c), df.schema[c].dataType)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .temporal import latest_by
+from .scale import broadcast_if_small
 
 #: The accepted transformations and bounds of a factor definition.
 TRANSFORMATIONS = ("lag", "simple_return", "log_return", "difference", "ratio", "rolling_mean", "rolling_std", "rank", "winsorize", "zscore", "neutralize", "identity")
@@ -65,21 +65,37 @@ def rolling(x: str, asset: str, at: str, window: int, how: str) -> Column:
     return F.when(F.count(x).over(w) == window, f(x).over(w))
 
 
-def winsorize(x: str, section: list[str], lower: float, upper: float) -> Column:
-    """Clamp to the order statistics at floor(q * (n - 1)) + 1 (one-based) of the section's non-null values."""
-    every = Window.partitionBy(*section)
-    xs = F.sort_array(F.collect_list(x).over(every))
-    n = F.count(x).over(every)
-    at = lambda q: F.get(xs, (F.floor(F.lit(q) * (n - 1))).cast("int"))
-    return F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), at(lower)), at(upper)))
+def winsorize(df: DataFrame, section: list[str], x: str, lower: float, upper: float, out: str) -> DataFrame:
+    """Clamp to the order statistics at floor(q * (n - 1)) + 1 (one-based) of the section's non-null values. Each section's
+    values are gathered once (the assets of a date); see winsorize_large() for sections without a bound."""
+    xs = F.sort_array(F.collect_list(x))
+    at = lambda q: F.get(xs, F.floor(F.lit(q) * (F.count(x) - 1)).cast("int"))
+    return _clamped(df, df.groupBy(*section).agg(at(lower).alias("_lo"), at(upper).alias("_hi")), section, x, out)
+
+
+def _clamped(df: DataFrame, bounds: DataFrame, section: list[str], x: str, out: str) -> DataFrame:
+    b = bounds.select(*[F.col(c).alias(f"_k_{c}") for c in section], "_lo", "_hi")
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in section]
+    value = F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), F.col("_lo")), F.col("_hi")))
+    return df.join(b, same, "left").withColumn(out, value).drop("_lo", "_hi", *[f"_k_{c}" for c in section])
 
 
-def winsorize_large(df: DataFrame, section: list[str], x: str, lower: float, upper: float, out: str) -> DataFrame:
-    """winsorize() for sections too large for one array: order statistics by row number, joined back."""
-    w = Window.partitionBy(*section).orderBy(F.col(x).asc_nulls_last())
-    r = df.filter(F.col(x).isNotNull()).select(*section, F.col(x).alias("_x"), F.row_number().over(w).alias("_r"), F.count(x).over(Window.partitionBy(*section)).alias("_n"))
-    bounds = r.groupBy(*section).agg(F.max(F.when(F.col("_r") == F.floor(F.lit(lower) * (F.col("_n") - 1)) + 1, F.col("_x"))).alias("_lo"), F.max(F.when(F.col("_r") == F.floor(F.lit(upper) * (F.col("_n") - 1)) + 1, F.col("_x"))).alias("_hi"))
-    return df.join(bounds, section, "left").withColumn(out, F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), F.col("_lo")), F.col("_hi")))).drop("_lo", "_hi")
+def winsorize_large(df: DataFrame, section: list[str], x: str, lower: float, upper: float, out: str, ranges: int = 64) -> DataFrame:
+    """winsorize() for sections of any size. Approximate quantiles cut a section into ranges of values; counts tell in which
+    range an order statistic lies, and only the distinct values of that range are put in order."""
+    some = df.filter(F.col(x).isNotNull()).select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_s{i}") for i, c in enumerate(section)], *[F.col(c).isNull().alias(f"_z{i}") for i, c in enumerate(section)], F.col(x).alias("_x"))
+    keys = [f"_s{i}" for i in range(len(section))] + [f"_z{i}" for i in range(len(section))]
+    counts = some.groupBy(*keys, "_x").agg(F.count("*").alias("_n"))
+    cuts = some.groupBy(*keys).agg(F.count("*").alias("_all"), F.percentile_approx("_x", [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"))
+    dealt = counts.join(cuts, keys).withColumn("_b", F.aggregate("_cuts", F.lit(0), lambda acc, c: acc + (c < F.col("_x")).cast("int"))).drop("_cuts")
+    sizes = dealt.groupBy(*keys, "_all", "_b").agg(F.sum("_n").alias("_size"))
+    upto = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    places = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.floor(F.lit(q) * (F.col("_all") - 1)) + 1).alias("r")) for i, q in enumerate((lower, upper))]))
+    hit = sizes.withColumn("_upto", upto).withColumn("_p", places).filter((F.col("_p.r") <= F.col("_upto")) & (F.col("_p.r") > F.col("_upto") - F.col("_size"))).select(*keys, "_b", F.col("_p.i").alias("_i"), (F.col("_p.r") - F.col("_upto") + F.col("_size")).alias("_rank"))
+    inside = dealt.join(hit, [*keys, "_b"]).withColumn("_cum", F.sum("_n").over(Window.partitionBy(*keys, "_i").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)))
+    found = inside.filter(F.col("_cum") >= F.col("_rank")).groupBy(*keys).agg(F.min(F.when(F.col("_i") == 0, F.col("_x"))).alias("_lo"), F.min(F.when(F.col("_i") == 1, F.col("_x"))).alias("_hi"))
+    tagged = df.withColumns({f"_s{i}": F.coalesce(F.col(c).cast("string"), F.lit("")) for i, c in enumerate(section)} | {f"_z{i}": F.col(c).isNull() for i, c in enumerate(section)})
+    return _clamped(tagged, found, keys, x, out).drop(*keys)
 
 
 def zscore(x: str, section: list[str]) -> Column:
@@ -113,13 +129,35 @@ def neutralize_many(df: DataFrame, section: list[str], asset: str, y: str, xs: l
     return ok.groupBy(*section).applyInPandas(solve, schema)
 
 
-def point_in_time(inputs: DataFrame, decisions: DataFrame, asset: str, fields: list[str]) -> DataFrame:
+def point_in_time(inputs: DataFrame, decisions: DataFrame, asset: str, fields: list[str], depth: int = 8) -> DataFrame:
     """Per decision, asset and field the latest observation on or before the factor date that was available at the
-    decision; MISSING where there is none. decisions: decision_id, factor_date, decision_at (a small table)."""
-    visible = inputs.join(F.broadcast(decisions), (F.col("available_at") <= F.col("decision_at")) & (F.col("observation_date") <= F.col("factor_date")))
-    best = latest_by(visible.select("decision_id", asset, "field_name", "value", "observation_date", "available_at", "input_version_id"), ["decision_id", asset, "field_name"], ["observation_date", "available_at", "input_version_id"])
-    wanted = inputs.select(asset).distinct().crossJoin(F.broadcast(decisions.select("decision_id"))).withColumn("field_name", F.explode(F.array(*map(F.lit, fields))))
-    return wanted.join(best, ["decision_id", asset, "field_name"], "left").withColumn("status", F.when(F.col("value").isNull(), "MISSING").otherwise("OK"))
+    decision; MISSING where there is none. decisions: decision_id, factor_date, decision_at.
+
+    One window per asset and field over the union of inputs and decisions, by observation date: a decision looks at the
+    `depth` inputs before it, latest first, and takes the first one that was available. Where none of them was and there
+    are more, all inputs of that asset and field are compared.
+    """
+    keys = [asset, "field_name"]
+    used = inputs.filter(F.col("field_name").isin(fields))
+    d = broadcast_if_small(decisions.select("decision_id", "factor_date", "decision_at"))
+    wanted = inputs.select(asset).distinct().crossJoin(d).withColumn("field_name", F.explode(F.array(*map(F.lit, fields))))  # the result's rows
+    kind = used.select(F.struct("observation_date", "available_at", "input_version_id", "value").alias("i")).schema["i"].dataType
+    i = used.select(*keys, F.col("observation_date").alias("_t"), F.lit(0).alias("_side"), F.struct("observation_date", "available_at", "input_version_id", "value").alias("_i"), F.lit(None).cast(wanted.schema["decision_id"].dataType).alias("decision_id"), F.lit(None).cast("date").alias("factor_date"), F.lit(None).cast(wanted.schema["decision_at"].dataType).alias("decision_at"))
+    p = wanted.select(*keys, F.col("factor_date").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_i"), "decision_id", "factor_date", "decision_at")
+    w = Window.partitionBy(*keys).orderBy("_t", "_side", "_i")
+    both = i.unionByName(p).withColumn("_place", F.sum(1 - F.col("_side")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # Inputs in their order, each with those just before it; a decision takes those of the last input before it.
+    near = F.collect_list("_i").over(Window.partitionBy(*keys, "_side").orderBy("_place").rowsBetween(-(depth - 1), 0))
+    both = both.withColumn("_near", F.when(F.col("_side") == 0, near))
+    seen = both.withColumn("_near", F.last("_near", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_side = 1")
+    first = F.try_element_at(F.filter("_near", lambda x: x["available_at"] <= F.col("decision_at")), F.lit(-1))
+    seen = seen.withColumn("_best", first)
+    unclear = F.col("_best").isNull() & (F.col("_place") > depth)
+    done = seen.filter(~unclear).select("decision_id", *keys, "_best")
+    rest = seen.filter(unclear).select("decision_id", *keys, "factor_date", "decision_at")
+    visible = rest.join(used, keys, "left").withColumn("_i", F.when((F.col("available_at") <= F.col("decision_at")) & (F.col("observation_date") <= F.col("factor_date")), F.struct("observation_date", "available_at", "input_version_id", "value")))
+    all_rows = done.unionByName(visible.groupBy("decision_id", *keys).agg(F.max("_i").alias("_best")))
+    return all_rows.select("decision_id", *keys, "_best.*").withColumn("status", F.when(F.col("value").isNull(), "MISSING").otherwise("OK"))
 
 
 def adjust_prices(prices: DataFrame, factors: DataFrame, asset: str, at: str, price: str, mode: str) -> DataFrame:

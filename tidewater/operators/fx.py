@@ -16,6 +16,16 @@ def with_inverses(rates: DataFrame) -> DataFrame:
     return rates.withColumn("direct_version_id", F.lit(None).cast("string")).unionByName(inverse)
 
 
+def inverse_check(direct: DataFrame, supplied: DataFrame, tolerance: float = 1e-10) -> DataFrame:
+    """Each direct rate with the inverse that was supplied for it (direct_version_id): ok if the product is 1 within the
+    tolerance and the pair and date are its own, else mismatch; missing without one."""
+    i = supplied.select(F.col("direct_version_id").alias("version_id"), F.col("rate").alias("_inverse"), F.col("source_currency").alias("_s"), F.col("target_currency").alias("_t"), F.col("rate_date").alias("_d"))
+    j = direct.join(i, "version_id", "left")
+    same = (F.col("_s") == F.col("target_currency")) & (F.col("_t") == F.col("source_currency")) & (F.col("_d") == F.col("rate_date"))
+    good = F.coalesce(same & (F.abs(F.col("rate") * F.col("_inverse") - 1) <= tolerance), F.lit(False))
+    return j.withColumn("status", F.when(F.col("_inverse").isNull(), "missing").when(good, "ok").otherwise("mismatch")).drop("_inverse", "_s", "_t", "_d")
+
+
 def convert(values: DataFrame, rates: DataFrame, policy: str = "FALLBACK") -> DataFrame:
     """values: source_currency, target_currency, at (date), amount. EXACT_DATE takes that day's rate only, FALLBACK the
     latest of that day and the four before it. Equal currencies convert at 1; a non-positive amount is invalid."""

@@ -22,8 +22,8 @@ DATASETS = {
     "VALUATION_CALENDAR": ("version_id", "market", "timezone"),
     "CORPORATE_ACTION": ("version_id", "canonical_asset_id", "event_id", "action_type", "provider", "provenance_id"),
 }
-#: A filter on the first name also matches these fields.
-ALIASES = {"trading_currency": ("pricing_currency", "currency"), "pricing_currency": ("trading_currency", "currency"), "currency": ("trading_currency", "pricing_currency"), "market": ("asset_type",)}
+#: A filter on the first name also matches these fields.
+ALIASES = {"trading_currency": ("currency",), "pricing_currency": ("currency",), "market": ("asset_type",)}
 COMPARISONS = {"=": Column.__eq__, "==": Column.__eq__, "!=": Column.__ne__, "<>": Column.__ne__, ">": Column.__gt__, ">=": Column.__ge__, "<": Column.__lt__, "<=": Column.__le__}
 
 
@@ -119,10 +119,11 @@ def search(df: DataFrame, text: str, columns: list[str], limit: int) -> DataFram
     return df.filter(reduce(or_, [F.lower(F.col(c)).contains(q) for c in columns])).orderBy(*columns).limit(max(1, min(50, limit)))
 
 
-def select(df: DataFrame, columns: list[str], conditions: list[tuple[str, str, object]], limit: int) -> DataFrame:
-    """A single-table projection with comparison predicates; 1..10001 rows."""
-    if not 1 <= limit <= MAX_LIMIT + 1:
+def select(df: DataFrame, columns: list[str], conditions: list[tuple[str, str, object]], limit: int | None) -> DataFrame:
+    """A single-table projection with comparison predicates; a limit is 1..10001 rows, None asks for all."""
+    if limit is not None and not 1 <= limit <= MAX_LIMIT + 1:
         raise QueryError([("limit.range", "limit")])
     if missing := [c for c in [*columns, *(c for c, _, _ in conditions)] if c not in df.columns]:
         raise QueryError([("column.unknown", c) for c in missing])
-    return df.filter(predicate(conditions)).select(*columns).limit(limit)
+    out = df.filter(predicate(conditions)).select(*columns)
+    return out if limit is None else out.limit(limit)

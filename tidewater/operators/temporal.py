@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scale import broadcast_if_small
+
 
 def contains(start: Column, end: Column, at: Column) -> Column:
     return (start <= at) & (end.isNull() | (at <= end))
@@ -76,26 +78,57 @@ def number_days(days: DataFrame, day: str = "day") -> DataFrame:
     return days.select(day, F.row_number().over(Window.orderBy(day)).alias("idx"))
 
 
+def open_index(calendar: DataFrame) -> DataFrame:
+    """Every calendar day from the first open one to the last, with the number of the first open day at or after it."""
+    ends = calendar.agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    every = ends.filter("a is not null").select(F.explode(F.sequence("a", "b")).alias("_day"))
+    ahead = Window.orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, 0)  # a calendar: 366 days a year
+    return every.join(calendar.select(F.col("day").alias("_open"), "idx"), F.col("_day") == F.col("_open"), "left").select("_day", F.min("idx").over(ahead).alias("_idx"), F.col("_open").isNotNull().alias("_is_open"))
+
+
 def nth_open_day(probes: DataFrame, calendar: DataFrame, at: str, n: Column | int, out: str) -> DataFrame:
-    """The n-th open day after the day `at` (n = 0: the first open day at or after it)."""
+    """The n-th open day after the day `at` (n = 0: the first open day at or after it). calendar: day, idx (number_days())."""
     offset = n if isinstance(n, Column) else F.lit(n)
-    spans = calendar.select(F.col("day").alias("_day"), F.col("idx").alias("_idx"), F.lag("day").over(Window.orderBy("day")).alias("_before"))
-    base = probes.join(F.broadcast(spans), (F.col(at) <= F.col("_day")) & (F.col("_before").isNull() | (F.col(at) > F.col("_before"))), "left")  # a calendar: 366 days a year
-    first = F.when(F.col("_day") == F.col(at), F.col("_idx") + offset).when(offset == 0, F.col("_idx")).otherwise(F.col("_idx") + offset - 1)
+    first = calendar.agg(F.min("day").alias("_first"))
+    clamped = probes.crossJoin(F.broadcast(first)).withColumn("_at", F.greatest(F.col(at), F.col("_first")))  # one row
+    base = clamped.join(broadcast_if_small(open_index(calendar)), F.col("_at") == F.col("_day"), "left")
+    early = F.col(at) < F.col("_first")
+    want = F.when(F.col("_is_open") & ~early, F.col("_idx") + offset).when(offset == 0, F.col("_idx")).otherwise(F.col("_idx") + offset - 1)
     target = calendar.select(F.col("idx").alias("_target"), F.col("day").alias(out))
-    return base.withColumn("_want", first).join(F.broadcast(target), F.col("_want") == F.col("_target"), "left").drop("_day", "_idx", "_before", "_want", "_target")
+    got = base.withColumn("_want", F.when(F.col(at).isNotNull(), want)).join(broadcast_if_small(target), F.col("_want") == F.col("_target"), "left")
+    return got.drop("_day", "_idx", "_is_open", "_first", "_at", "_want", "_target")
+
+
+def next_permitted_date(probes: DataFrame, days: DataFrame, keys: list[str], at: str, permitted: str, out: str) -> DataFrame:
+    """The first open day at or after `at` with a session of a permitted kind (an array column); null if there is none.
+
+    days: keys, day, kind, sessions array<struct<kind>> (and more). One row for each day and kind of session meets one row
+    for each probe and permitted kind in a window; the earliest day of a probe's kinds wins.
+    """
+    open_days = days.filter(F.col("kind").isin("full", "half")).select(*keys, "day", F.explode(F.array_distinct(F.transform("sessions", lambda s: s["kind"]))).alias("_kind")).distinct()
+    numbered = probes.withColumn("_probe", F.struct(*probes.columns))
+    asked = numbered.select(*keys, F.date_sub(F.col(at), 1).alias("_at"), F.explode(F.array_distinct(F.coalesce(permitted, F.array().cast("array<string>")))).alias("_kind"), "_probe").distinct()
+    got = next_event(asked, open_days, [*keys, "_kind"], "_at", "day", "_next").groupBy("_probe").agg(F.min("_next").alias(out))
+    return numbered.join(got, numbered["_probe"].eqNullSafe(got["_probe"]), "left").select(*[numbered[c] for c in probes.columns], out)
+
+
+def sell_available(trades: DataFrame, calendar: DataFrame, at: str, rule: str, out: str) -> DataFrame:
+    """When what is bought may be sold: on the trade's own date, or on the next open day after it, by the profile's rule."""
+    later = nth_open_day(trades, calendar, at, 1, out)
+    return later.withColumn(out, F.when(F.col(rule) == "SAME_MARKET_DATE", F.col(at)).otherwise(F.col(out)))
 
 
 def next_event(probes: DataFrame, events: DataFrame, keys: list[str], probe_at: str, event_at: str, out: str) -> DataFrame:
-    """The first event strictly after each probe, per key; one window over the union of both."""
+    """The first event strictly after each probe, per key; one window over the union of both, from the latest backwards."""
     p = probes.select(*keys, F.col(probe_at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(events.schema[event_at].dataType).alias("_e"), F.struct(*probes.columns).alias("_p"))
     e = events.select(*keys, F.col(event_at).alias("_t"), F.lit(0).alias("_side"), F.col(event_at).alias("_e"), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"))
-    w = Window.partitionBy(*keys).orderBy(F.col("_t"), F.col("_side")).rowsBetween(1, Window.unboundedFollowing)
-    return p.unionByName(e).withColumn(out, F.first("_e", ignorenulls=True).over(w)).filter("_side = 1").select("_p.*", out)
+    w = Window.partitionBy(*keys).orderBy(F.col("_t").desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return p.unionByName(e).withColumn(out, F.last("_e", ignorenulls=True).over(w)).filter("_side = 1").select("_p.*", out)
 
 
 def islands(df: DataFrame, keys: list[str], value: str, step: int | None = None) -> DataFrame:
-    """Maximal runs of consecutive days (or, with step, of integers) per key: range_start, range_end, n_points."""
+    """Maximal runs of consecutive days (or, with step, of integers) per key: range_start, range_end, n_points. Without keys:
+    of a dimension of days."""
     w = Window.partitionBy(*keys).orderBy(value)
     run = F.col(value) - F.row_number().over(w) if step else F.date_sub(F.col(value), F.row_number().over(w))
     return df.select(*keys, value).distinct().withColumn("_run", run).groupBy(*keys, "_run").agg(F.min(value).alias("range_start"), F.max(value).alias("range_end"), F.count("*").alias("n_points")).drop("_run")
@@ -107,11 +140,35 @@ def missing_ranges(expected: DataFrame, stored: DataFrame, keys: list[str], day:
 
 
 def source_gaps(spans: DataFrame, days: DataFrame, keys: list[str], day: str) -> DataFrame:
-    """Requested days on which no interval holds though one starts earlier and one ends later; ranges of such days."""
+    """Requested days on which no interval holds though one starts earlier and one ends later; ranges of such days.
+
+    A gap lies between the latest end so far and the next start. Gaps meet the runs of requested days (a small dimension)
+    by the months that both touch; no key is spread over all days.
+    """
+    w = Window.partitionBy(*keys).orderBy("effective_from")
     far = F.lit("9999-12-31").cast("date")
-    probe = spans.groupBy(*keys).agg(F.min("effective_from").alias("_first"), F.max(F.coalesce("effective_to", far)).alias("_last")).crossJoin(F.broadcast(days)).filter((F.col("_first") < F.col(day)) & (F.col(day) < F.col("_last"))).select(*keys, day)
-    hit = interval_join(probe, spans, keys, day).select(*keys, day).distinct()
-    return islands(probe.join(hit, [*keys, day], "left_anti"), keys, day)
+    before = F.max(F.coalesce("effective_to", far)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    gaps = spans.select(*keys, "effective_from", "effective_to").withColumn("_before", before).filter(F.col("_before") < F.date_sub("effective_from", 1)).select(*keys, F.date_add("_before", 1).alias("_a"), F.date_sub("effective_from", 1).alias("_b"))
+    runs = islands(days.select(day), [], day).select(F.col("range_start").alias("_s"), F.col("range_end").alias("_e"))
+    ends = runs.agg(F.min("_s").alias("_lo"), F.max("_e").alias("_hi"))
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    dealt = lambda df, a, b: df.withColumn("_bin", F.explode(F.sequence(month(a), month(b))))
+    inside = gaps.crossJoin(F.broadcast(ends)).withColumn("_a", F.greatest("_a", "_lo")).withColumn("_b", F.least("_b", "_hi")).filter("_a <= _b").drop("_lo", "_hi")  # one row
+    met = dealt(inside, F.col("_a"), F.col("_b")).join(broadcast_if_small(dealt(runs, F.col("_s"), F.col("_e"))), "_bin")
+    start, end = F.greatest("_a", "_s"), F.least("_b", "_e")
+    met = met.filter((start <= end) & (F.col("_bin") == month(start)))
+    return met.select(*keys, start.alias("range_start"), end.alias("range_end"), (F.date_diff(end, start) + 1).cast("long").alias("n_points"))
+
+
+def path_conflicts(paths: DataFrame, id_col: str, path: str, separator: str = "/") -> DataFrame:
+    """Pairs of rows of which one's path is the other's (equal-path) or lies below it (ancestor-or-descendant), by an equality
+    join of each path's ancestors with the paths."""
+    parts = F.split(F.regexp_replace(F.col(path), f"{separator}+$", ""), separator)
+    p = paths.select(F.col(id_col).alias("_id"), F.array_join(parts, separator).alias("_path"), F.size(parts).alias("_n"), parts.alias("_parts"))
+    ups = p.select(F.col("_id").alias("_below"), "_n", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("_n")), lambda i: F.array_join(F.slice("_parts", 1, i), separator))).alias("_depth", "_path"))
+    j = ups.join(p.select(F.col("_id").alias("_above"), "_path"), "_path").withColumn("_equal", F.col("_depth") + 1 == F.col("_n"))
+    j = j.filter(F.when(F.col("_equal"), F.col("_above") < F.col("_below")).otherwise(F.col("_above") != F.col("_below")))
+    return j.select(F.col("_above").alias("left_id"), F.col("_below").alias("right_id"), F.when(F.col("_equal"), "equal-path").otherwise("ancestor-or-descendant").alias("conflict"))
 
 
 def conflicts(spans: DataFrame, key: str, id_col: str, start: str = "effective_from", end: str = "effective_to") -> DataFrame:

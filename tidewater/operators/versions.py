@@ -16,18 +16,74 @@ def content_id(*columns: str) -> Column:
 def chain(df: DataFrame, keys: list[str], order: list[str], content: str) -> DataFrame:
     """Rows in arrival order to revisions: equal content of neighbours is one version; position and predecessor."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    changed = df.withColumn("_before", F.lag(content).over(w)).filter(F.col("_before").isNull() | (F.col("_before") != F.col(content))).drop("_before")
-    v = Window.partitionBy(*keys).orderBy(*order)
-    return changed.withColumn("revision_position", F.row_number().over(v)).withColumn("predecessor_content", F.lag(content).over(v))
+    same = F.lag(F.struct(content)).over(w)
+    changed = df.withColumn("_same", F.coalesce(same[content].eqNullSafe(F.col(content)) & same.isNotNull(), F.lit(False))).filter(~F.col("_same")).drop("_same")
+    return changed.withColumn("revision_position", F.row_number().over(w)).withColumn("predecessor_content", F.lag(content).over(w))
 
 
 def publish(store: DataFrame, incoming: DataFrame, keys: list[str], content: str) -> DataFrame:
-    """The rows to append: incoming rows (one per key) whose content differs from the key's current version."""
+    """The rows to append: incoming rows (one per key) whose content differs from the key's current version. Null is a
+    content like any other."""
     now = latest_by(store.select(*keys, content, "revision_position"), keys, ["revision_position"]).select(*keys, F.col(content).alias("_now"), F.col("revision_position").alias("_at"))
-    fresh = incoming.join(now, keys, "left").filter(F.col("_now").isNull() | (F.col("_now") != F.col(content)))
+    fresh = incoming.join(now, keys, "left").filter(F.col("_at").isNull() | ~F.col("_now").eqNullSafe(F.col(content)))
     return fresh.withColumn("revision_position", F.coalesce(F.col("_at"), F.lit(0)) + 1).withColumn("predecessor_content", F.col("_now")).drop("_now", "_at")
 
 
+def with_ids(chained: DataFrame, dataset: str, keys: list[str], order: list[str], content_id_col: str, logical: str) -> DataFrame:
+    """revision_id, version_id and predecessor_id of a chain(): each revision's id hashes its predecessor's version id, the
+    dataset, the logical key and the content id. The ids of a chain follow from one another, so a key's revisions (not
+    the table) are folded in order."""
+    sha = lambda *parts: F.sha2(F.concat_ws("\u001f", *parts), 256)
+    step = lambda acc, x: F.concat(acc, F.array(_identified(acc, x, dataset, sha)))
+    none = F.array().cast("array<struct<revision_position: int, predecessor_id: string, revision_id: string, version_id: string>>")
+    per = chained.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("revision_position", F.col(content_id_col).alias("cid"), F.col(logical).alias("key")))).alias("_c"))
+    ids = per.select(*keys, F.explode(F.aggregate("_c", none, step)).alias("_i")).select(*keys, "_i.*")
+    return chained.join(ids, [*keys, "revision_position"])
+
+
+def _identified(acc, x, dataset, sha):
+    before = F.try_element_at(acc, F.lit(-1))["version_id"]
+    revision = sha(F.coalesce(before, F.lit("")), F.lit(dataset), x["key"], x["cid"])
+    return F.struct(x["revision_position"].alias("revision_position"), before.alias("predecessor_id"), revision.alias("revision_id"), sha(revision, x["cid"]).alias("version_id"))
+
+
+#: The fields of each dataset's content, and their kinds, in order.
+CONTENT = {
+    "DAILY_BAR": (("canonical_asset_id", "text"), ("trading_date", "date"), ("open", "decimal"), ("high", "decimal"), ("low", "decimal"), ("close", "decimal"), ("volume", "decimal"), ("turnover", "decimal"), ("trading_currency", "text"), ("provider_available_at", "timestamp"), ("retrieved_at", "timestamp"), ("provider", "text"), ("provider_code", "text"), ("provenance_id", "text")),
+    "FUND_NAV": (("canonical_asset_id", "text"), ("valuation_date", "date"), ("unit_nav", "decimal"), ("cumulative_nav", "decimal"), ("pricing_currency", "text"), ("provider_available_at", "timestamp"), ("retrieved_at", "timestamp"), ("provider", "text"), ("provider_code", "text"), ("provenance_id", "text")),
+    "FUNDAMENTAL_FACT": (("canonical_asset_id", "text"), ("metric_name", "text"), ("value", "decimal"), ("unit", "text"), ("currency", "text"), ("reporting_period_start", "date"), ("reporting_period_end", "date"), ("announcement_at", "timestamp"), ("provider_available_at", "timestamp"), ("provider", "text"), ("revision_version", "text"), ("provenance_id", "text")),
+}
+#: What names one observation of a dataset, and its date.
+LOGICAL = {"DAILY_BAR": (("canonical_asset_id", "trading_date"), "trading_date"), "FUND_NAV": (("canonical_asset_id", "valuation_date"), "valuation_date"), "FUNDAMENTAL_FACT": (("canonical_asset_id", "metric_name", "reporting_period_start", "reporting_period_end"), "reporting_period_end")}
+
+
+def logical_key(dataset: str) -> Column:
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in LOGICAL[dataset][0]])
+
+
+def logical_date(dataset: str) -> Column:
+    return F.col(LOGICAL[dataset][1])
+
+
+def canonical_json(dataset: str) -> Column:
+    """A row's content as one text: an array of {field, type, value}, decimals and dates as text, timestamps in UTC."""
+    as_text = {"text": lambda c: F.col(c), "decimal": lambda c: F.col(c).cast("string"), "date": lambda c: F.date_format(c, "yyyy-MM-dd"), "timestamp": _iso_utc}
+    rows = [F.struct(F.lit(c).alias("field"), F.lit(kind).alias("type"), as_text[kind](c).cast("string").alias("value")) for c, kind in CONTENT[dataset]]
+    return F.to_json(F.array(*rows), {"ignoreNullFields": "false"})
+
+
+def _iso_utc(c: str) -> Column:
+    """2024-01-01T12:00:00+00:00, with microseconds where there are any."""
+    t = F.to_utc_timestamp(c, F.current_timezone())
+    whole = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(t, "SSSSSS")
+    return F.concat(whole, F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)), F.lit("+00:00"))
+
+
+def canonical_content_id(dataset: str) -> Column:
+    return F.sha2(canonical_json(dataset), 256)
+
+
 def current(df: DataFrame, keys: list[str]) -> DataFrame:
     return latest_by(df, keys, ["revision_position"])
 
@@ -54,5 +110,5 @@ def changes(df: DataFrame, key: str, order: str, attributes: list[str]) -> DataF
     """SCD-2: a version wherever an attribute changes; each ends the day before the next begins."""
     w = Window.partitionBy(key).orderBy(order)
     state = F.struct(*attributes)
-    v = df.withColumn("_b", F.lag(state).over(w)).filter(F.col("_b").isNull() | (F.col("_b") != state)).drop("_b")
+    v = df.withColumn("_b", F.lag(state).over(w)).filter(~F.col("_b").eqNullSafe(state)).drop("_b")
     return v.withColumn("effective_from", F.col(order)).withColumn("effective_to", F.date_sub(F.lead(order).over(Window.partitionBy(key).orderBy(order)), 1))

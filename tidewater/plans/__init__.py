@@ -1,6 +1,6 @@
 """Ready-made queries: each applies operators to the driver's tables."""
 
-from . import catalog, evaluation, history, risk, trading  # noqa: F401
+from . import catalog, evaluation, history, risk, trading, validation  # noqa: F401
 from .registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL", "query"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import query as Q
-from ..operators import quality, versions
+from ..operators import quality, scale, versions
 from ..tables import bars, load, observations, with_views
 from .registry import query
 
@@ -45,12 +45,12 @@ def predicate_matrix(spark, sf_dir):
 
 @query("""SELECT p_partkey, p_name, p_brand FROM part WHERE p_size >= 30 AND p_brand = 'Brand#12' ORDER BY p_partkey""")
 def engine_select(spark, sf_dir):
-    return Q.select(load(spark, sf_dir, "part"), ["p_partkey", "p_name", "p_brand"], [("p_size", ">=", 30), ("p_brand", "=", "Brand#12")], 10_001)
+    return Q.select(load(spark, sf_dir, "part"), ["p_partkey", "p_name", "p_brand"], [("p_size", ">=", 30), ("p_brand", "=", "Brand#12")], None)
 
 
-@query("""SELECT p_name, p_brand FROM part WHERE contains(lower(p_name), 'e1') OR contains(lower(p_brand), 'e1') ORDER BY p_name, p_brand LIMIT 50""")
+@query("""SELECT p_name, p_brand FROM part WHERE contains(lower(p_name), '#1') OR contains(lower(p_brand), '#1') ORDER BY p_name, p_brand LIMIT 50""")
 def substring_catalog(spark, sf_dir):
-    return Q.search(load(spark, sf_dir, "part"), " E1 ", ["p_name", "p_brand"], 500).select("p_name", "p_brand")
+    return Q.search(load(spark, sf_dir, "part"), " #1 ", ["p_name", "p_brand"], 500).select("p_name", "p_brand")
 
 
 @query("""SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
@@ -78,10 +78,17 @@ def redaction(spark, sf_dir):
     return load(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.md5(T.redact(F.col("text"), ["the", "from", "token", ""])).alias("digest"))
 
 
-@query("""SELECT page_id, regexp_matches(url, '^https://[^/?#@]*:443(/[^?#]*)?$') AND contains(url, '/a') AND split_part(url, '/', 3) = 'example.com:443' AS allowed, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS authority FROM pages""")
+_URL = "'https://' || CASE page_id % 3 WHEN 0 THEN 'Example.com:443' WHEN 1 THEN 'example.com' ELSE 'user@example.com:443' END || CASE page_id % 5 WHEN 0 THEN '/api/../a' WHEN 1 THEN '/a/./b' WHEN 2 THEN '/b/%2e%2e/a' WHEN 3 THEN '/a/../../x' ELSE '/b' END || CASE page_id % 7 WHEN 0 THEN '?q=1' ELSE '' END"
+
+
+@query(f"""WITH u AS (SELECT page_id, {_URL} AS url, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS authority FROM pages) SELECT page_id, url, page_id % 3 = 0 AND page_id % 5 < 3 AND page_id % 7 <> 0 AS allowed, authority FROM u""")
 def url_scope(spark, sf_dir):
-    p = load(spark, sf_dir, "pages")
-    return p.select("page_id", T.url_allowed(F.col("url"), "https://example.com:443", "/a").alias("allowed"), F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]+)", 1)).alias("authority"))
+    p, k = load(spark, sf_dir, "pages"), F.col("page_id")
+    host = F.when(k % 3 == 0, "Example.com:443").when(k % 3 == 1, "example.com").otherwise("user@example.com:443")
+    path = F.when(k % 5 == 0, "/api/../a").when(k % 5 == 1, "/a/./b").when(k % 5 == 2, "/b/%2e%2e/a").when(k % 5 == 3, "/a/../../x").otherwise("/b")
+    url = F.concat(F.lit("https://"), host, path, F.when(k % 7 == 0, "?q=1").otherwise(""))
+    u = p.select("page_id", url.alias("made"), F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]+)", 1)).alias("authority"))
+    return u.select("page_id", F.col("made").alias("url"), T.url_allowed(F.col("made"), "https://example.com:443", "/a").alias("allowed"), "authority")
 
 
 @query("""SELECT c_custkey, upper(substr(sha256('us|equity|' || lower(trim(c_mktsegment)) || '|' || lower(trim(c_name))), 1, 20)) AS canonical_id FROM customer""")
@@ -94,12 +101,11 @@ def content_hash(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", versions.content_id("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").alias("content_id"))
 
 
-@query("""SELECT o_orderstatus, count(*) AS row_count, sha256(string_agg(h, ',' ORDER BY h)) AS checksum FROM (SELECT o_orderstatus, substr(sha256(o_orderkey::VARCHAR), 1, 2) AS h FROM (SELECT DISTINCT o_orderstatus, o_orderkey FROM orders)) GROUP BY 1""")
+@query("""WITH h AS (SELECT o_orderstatus, sha256(o_orderkey::VARCHAR) AS h FROM orders), b AS (SELECT o_orderstatus, substr(h, 1, 3) AS b, count(*) AS n, sha256(string_agg(h, ',' ORDER BY h)) AS d FROM h GROUP BY 1, 2)
+SELECT o_orderstatus, sum(n)::BIGINT AS row_count, sha256(string_agg(d, ',' ORDER BY b)) AS checksum FROM b GROUP BY 1""")
 def content_hash_manifest(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey").distinct()
-    short = o.select("o_orderstatus", F.substring(F.sha2(F.col("o_orderkey").cast("string"), 256), 1, 2).alias("h")).groupBy("o_orderstatus", "h").agg(F.count("*").alias("n"))  # 256 prefixes
-    joined = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("h", "n"))), lambda x: F.array_repeat(x["h"], x["n"].cast("int")))), ",")
-    return short.groupBy("o_orderstatus").agg(F.sum("n").alias("row_count"), F.sha2(joined, 256).alias("checksum"))
+    o = load(spark, sf_dir, "orders").select("o_orderstatus", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("h"))
+    return scale.bucketed_digest(o, ["o_orderstatus"], "h", "checksum")
 
 
 @query("""SELECT l_linestatus, count(*) FILTER (bad_low) AS n_low, count(*) FILTER (bad_high) AS n_high, count(*) FILTER (bad_low OR bad_high) AS n_any, count(*) AS n
@@ -150,10 +156,15 @@ def lot_tick_floor(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", "l_partkey", lots(F.col("l_quantity"), F.lit(5)).cast("long").alias("lots"), (tick_floor(F.col("l_extendedprice") / F.col("l_quantity"), F.lit("0.05")) * 100).cast("long").alias("ticks_cents"))
 
 
-@query("""SELECT p_partkey, upper(trim(substr(p_name, 1, 3))) AS code, regexp_matches(upper(trim(substr(p_name, 1, 3))), '^[A-Z]{3}$') AS valid, regexp_matches(p_type, '^(price|revenue|profit|cash|cost|expense)($|[. ])') AS money FROM part""")
+_METRIC = "CASE p_size % 6 WHEN 0 THEN 'price' WHEN 1 THEN 'cash.free' WHEN 2 THEN 'cost of sales' WHEN 3 THEN 'priced' WHEN 4 THEN 'net revenue' ELSE p_type END"
+
+
+@query(f"""SELECT p_partkey, upper(trim(substr(p_name, 1, 3 + (p_partkey % 3)::INTEGER))) AS code, regexp_full_match(upper(trim(substr(p_name, 1, 3 + (p_partkey % 3)::INTEGER))), '[A-Z]{{3}}') AS valid, {_METRIC} AS metric, p_size % 6 < 3 AS money FROM part""")
 def code_rules(spark, sf_dir):
-    code = F.substring("p_name", 1, 3)
-    return load(spark, sf_dir, "part").select("p_partkey", F.upper(F.trim(code)).alias("code"), T.currency_code(code).isNotNull().alias("valid"), T.money_metric(F.col("p_type")).alias("money"))
+    code = F.substring("p_name", F.lit(1), (3 + F.col("p_partkey") % 3).cast("int"))
+    size = F.col("p_size") % 6
+    metric = F.when(size == 0, "price").when(size == 1, "cash.free").when(size == 2, "cost of sales").when(size == 3, "priced").when(size == 4, "net revenue").otherwise(F.col("p_type"))
+    return load(spark, sf_dir, "part").select("p_partkey", F.upper(F.trim(code)).alias("code"), T.currency_code(code).isNotNull().alias("valid"), metric.alias("metric"), T.money_metric(metric).alias("money"))
 
 
 @query("""SELECT p_partkey, CASE WHEN CAST(p_retailprice AS DECIMAL(28,8)) > 0 THEN CAST(CAST(p_retailprice AS DECIMAL(28,2)) AS VARCHAR) END AS price FROM part""")
@@ -161,7 +172,17 @@ def decimal_parse(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", T.positive_decimal(F.col("p_retailprice").cast("string")).cast("decimal(28,2)").cast("string").alias("price"))
 
 
-@query(with_views("observations") + """ SELECT user_seg, metric, string_agg(asset_id::VARCHAR, ',' ORDER BY asset_id) AS assets FROM (SELECT DISTINCT asset_id % 7 AS user_seg, metric, asset_id FROM observations) GROUP BY 1, 2""")
+@query("""SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS metrics FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1""")
 def distinct_sorted_set(spark, sf_dir):
-    o = observations(spark, sf_dir).select((F.col("asset_id") % 7).alias("user_seg"), "metric", "asset_id").distinct()
-    return o.groupBy("user_seg", "metric").agg(F.array_join(F.array_sort(F.collect_set("asset_id")), ",").alias("assets"))
+    e = load(spark, sf_dir, "events").select("user_id", "event_type").distinct()
+    return e.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("metrics"))
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F'), c AS (SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F' AND (o_custkey % 2 = 0 OR o_orderpriority <> '5-LOW') UNION ALL SELECT o_custkey, o_orderpriority FROM orders WHERE o_custkey % 5 = 0),
+a AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS s FROM r GROUP BY 1), b AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS s FROM c GROUP BY 1)
+SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, coalesce(len(a.s), 0) AS n_rejected, coalesce(len(b.s), 0) AS n_confirmed, a.s IS NOT DISTINCT FROM b.s AS confirmed FROM a FULL JOIN b ON a.o_custkey = b.o_custkey""")
+def rejected_confirmation(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    r = o.filter("o_orderstatus = 'F'")
+    c = r.filter((F.col("o_custkey") % 2 == 0) | (F.col("o_orderpriority") != "5-LOW")).unionByName(o.filter("o_custkey % 5 = 0"))
+    return quality.confirmed(r, c, "o_custkey", "o_orderpriority")

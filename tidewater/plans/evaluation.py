@@ -119,12 +119,62 @@ def coverage_ratio(spark, sf_dir):
     return E.coverage(panel(spark, sf_dir), "factor", "ret").withColumn("coverage", F.round("coverage", 8))
 
 
+_RHO = """i AS (SELECT bar_date, row_number() OVER (ORDER BY bar_date) AS i FROM (SELECT DISTINCT bar_date FROM panel)), x AS (SELECT i, bar_date, asset_id, factor FROM panel JOIN i USING (bar_date) WHERE factor IS NOT NULL),
+sh AS (SELECT a.bar_date, a.asset_id, a.factor AS x, b.factor AS y FROM x a JOIN x b ON b.i + 1 = a.i AND a.asset_id = b.asset_id), sr AS (SELECT bar_date, """ + _RANK.format(s="bar_date", x="x") + " AS x, " + _RANK.format(s="bar_date", x="y") + f""" AS y FROM sh),
+rho AS (SELECT bar_date, {_CORR.format(x='x', y='y')} AS rho FROM sr GROUP BY 1)"""
+_TURN = """wi AS (SELECT asset_id, i, weight AS w FROM panel JOIN i USING (bar_date)),
+tu AS (SELECT coalesce(a.i, b.i + 1) AS i, sum(abs(coalesce(a.w, 0) - coalesce(b.w, 0))) / 2 AS t FROM wi a FULL JOIN wi b ON a.asset_id = b.asset_id AND a.i = b.i + 1 GROUP BY 1), tt AS (SELECT bar_date, t FROM tu JOIN i USING (i) WHERE i > 1)"""
+_EVAL = _QR + f""", pe AS (SELECT bar_date, {_CORR.format(x='factor', y='ret')} AS pearson FROM panel WHERE factor IS NOT NULL AND ret IS NOT NULL GROUP BY 1),
+rk AS (SELECT *, {_RANK.format(s='bar_date', x='factor')} AS rf, {_RANK.format(s='bar_date', x='ret')} AS rr FROM panel WHERE factor IS NOT NULL AND ret IS NOT NULL), sp AS (SELECT bar_date, {_CORR.format(x='rf', y='rr')} AS spearman FROM rk GROUP BY 1),
+qs AS (SELECT bar_date, max(v) - min(v) AS range_spread, arg_max(v, quantile) - arg_min(v, quantile) AS top_bottom_spread FROM qr WHERE v IS NOT NULL GROUP BY 1), {_RHO}, {_TURN},
+n AS (SELECT bar_date, count(*) AS asset_count, count(*) FILTER (factor IS NOT NULL AND ret IS NOT NULL) AS aligned_count FROM panel GROUP BY 1)"""
+
+
+def _evaluation(spark, sf_dir):
+    return E.evaluate(panel(spark, sf_dir), "bar_date", "asset_id", "factor", "ret", "weight", 5)
+
+
+@query(_EVAL + " SELECT bar_date, asset_count, aligned_count, asset_count - aligned_count AS missing_count, round(pearson, 8) AS pearson, round(spearman, 8) AS spearman, round(range_spread, 8) AS range_spread, round(top_bottom_spread, 8) AS top_bottom_spread, round(rho, 8) AS rank_autocorrelation, round(t, 6) AS turnover FROM n LEFT JOIN pe USING (bar_date) LEFT JOIN sp USING (bar_date) LEFT JOIN qs USING (bar_date) LEFT JOIN rho USING (bar_date) LEFT JOIN tt USING (bar_date)")
+def factor_evaluation(spark, sf_dir):
+    points, _ = _evaluation(spark, sf_dir)
+    r = lambda c, n=8: F.round(c, n).alias(c)
+    return points.select("bar_date", "asset_count", "aligned_count", "missing_count", r("pearson"), r("spearman"), r("range_spread"), r("top_bottom_spread"), r("rank_autocorrelation"), r("turnover", 6))
+
+
+@query(_EVAL + " SELECT count(*) AS n_sections, sum(aligned_count)::BIGINT AS aligned_count, sum(asset_count - aligned_count)::BIGINT AS missing_count, round(sum(aligned_count) / sum(asset_count), 8) AS coverage_ratio, round(avg(pearson), 8) AS coefficient_mean, round(stddev_samp(pearson), 8) AS coefficient_sample_std, 'OK' AS status FROM n LEFT JOIN pe USING (bar_date)")
+def factor_evaluation_summary(spark, sf_dir):
+    _, s = _evaluation(spark, sf_dir)
+    return s.select("n_sections", "aligned_count", "missing_count", *[F.round(c, 8).alias(c) for c in ("coverage_ratio", "coefficient_mean", "coefficient_sample_std")], "status")
+
+
+@query(_P + f", one AS (SELECT * FROM panel WHERE bar_date = DATE '1997-03-01' AND factor IS NOT NULL AND ret IS NOT NULL) SELECT bar_date, count(*) AS n_pairs, round({_CORR.format(x='factor', y='ret')}, 8) AS ic FROM one GROUP BY 1")
+def coefficient_at_date(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    two = p.withColumn("sample", F.lit(1)).unionByName(p.withColumn("sample", F.lit(2)).withColumn("ret", -F.col("ret")))
+    return E.coefficient_at(two, "sample", "bar_date", F.lit("1997-03-01").cast("date"), "factor", "ret").withColumn("ic", F.round("ic", 8))
+
+
+@query(_P + " SELECT bar_date, count(ret) AS aligned_count, count(*) - count(ret) AS missing_count, round(sum(weight * ret) FILTER (weight > 10) / sum(weight) FILTER (weight > 10 AND ret IS NOT NULL), 8) AS weighted_return, CASE WHEN count(*) FILTER (weight > 10 AND ret IS NOT NULL) > 0 THEN 'OK' ELSE 'UNDEFINED' END AS status FROM panel GROUP BY 1")
+def weighted_forward_return(spark, sf_dir):
+    p = panel(spark, sf_dir).withColumn("weight", F.when(F.col("weight") > 10, F.col("weight")).otherwise(0.0))
+    return E.weighted_forward_return(p, _S, "ret", "weight").withColumn("weighted_return", F.round("weighted_return", 8))
+
+
+@query(_P + f""", e AS (SELECT min(bar_date) AS a, max(bar_date) AS b FROM panel), c AS (SELECT asset_id, sum(weight / 1000.0::DOUBLE) AS w FROM panel GROUP BY 1), l AS (SELECT asset_id, factor AS x FROM panel, e WHERE bar_date = b),
+p AS (SELECT asset_id, coalesce(x, 0) AS x, coalesce(x, 0) * w AS y FROM c LEFT JOIN l USING (asset_id)), o AS (SELECT count(*) AS n_assets, {_CORR.format(x='x', y='y')} AS ic FROM p)
+SELECT n_assets, round(pow(abs(1 + ic * 0.0001::DOUBLE), b - a) - 1, 8) AS annualised_ic FROM o, e""")
+def decayed_annualised_ic(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    d = E.decayed_annualised_ic(p, p.select("bar_date", "asset_id", (F.col("weight") / 1000.0).alias("weight")), 0.0001, "bar_date")
+    return d.select("n_assets", F.round("annualised_ic", 8).alias("annualised_ic"))
+
+
 _WIN = _P + """, b AS (SELECT bar_date, list_sort(list(factor)) AS xs, count(factor) AS n FROM panel WHERE factor IS NOT NULL GROUP BY 1)"""
 
 
 @query(_WIN + " SELECT asset_id, bar_date, round(least(greatest(factor, xs[floor(0.1 * (n - 1))::INTEGER + 1]), xs[floor(0.9 * (n - 1))::INTEGER + 1]), 8) AS winsorized FROM panel JOIN b USING (bar_date)")
 def winsorize(spark, sf_dir):
-    return panel(spark, sf_dir).select("asset_id", "bar_date", F.round(X.winsorize("factor", _S, 0.1, 0.9), 8).alias("winsorized"))
+    return X.winsorize(panel(spark, sf_dir), _S, "factor", 0.1, 0.9, "w").select("asset_id", "bar_date", F.round("w", 8).alias("winsorized"))
 
 
 @query(with_views("observations") + """, b AS (SELECT metric, list_sort(list(value)) AS xs, count(value) AS n FROM observations GROUP BY 1)
@@ -159,10 +209,13 @@ def neutralize_ols_1d(spark, sf_dir):
     return X.neutralize(panel(spark, sf_dir), _S, "factor", "weight").select("asset_id", "bar_date", F.round("residual", 8).alias("residual"))
 
 
-@query()
+@query(_P + """, ok AS (SELECT * FROM panel WHERE factor IS NOT NULL AND weight IS NOT NULL AND close IS NOT NULL),
+d AS (SELECT asset_id, bar_date, count(*) OVER s AS n, factor - avg(factor) OVER s AS y, weight - avg(weight) OVER s AS a, close - avg(close) OVER s AS b FROM ok WINDOW s AS (PARTITION BY bar_date)),
+m AS (SELECT *, sum(a * a) OVER s AS aa, sum(b * b) OVER s AS bb, sum(a * b) OVER s AS ab, sum(a * y) OVER s AS ay, sum(b * y) OVER s AS byy FROM d WINDOW s AS (PARTITION BY bar_date))
+SELECT asset_id, bar_date, round(CASE WHEN n >= 3 AND aa * bb - ab * ab > 1e-9 * aa * bb THEN y - a * (ay * bb - byy * ab) / (aa * bb - ab * ab) - b * (byy * aa - ay * ab) / (aa * bb - ab * ab) END, 6) AS residual FROM m""")
 def neutralize_ols_multi(spark, sf_dir):
-    """Rows only: least squares on two exposures per section."""
-    return X.neutralize_many(panel(spark, sf_dir), _S, "asset_id", "factor", ["weight", "close"])
+    """Two exposures: the SQL solves the two normal equations of the deviations."""
+    return X.neutralize_many(panel(spark, sf_dir), _S, "asset_id", "factor", ["weight", "close"]).select("asset_id", "bar_date", F.round("residual", 6).alias("residual"))
 
 
 @query(with_views("observations") + """, d AS (SELECT 1 AS decision_id, max(logical_date) - 5 AS factor_date, max(available_at) - INTERVAL 5 DAY AS decision_at FROM observations UNION ALL SELECT 2, max(logical_date) - 12, max(available_at) - INTERVAL 10 DAY FROM observations),

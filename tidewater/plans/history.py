@@ -80,12 +80,13 @@ def pit_exclusion_evidence(spark, sf_dir):
     return seen.select("event_id", ok.alias("included"), F.when(~ok, "decision-time-before-provider-available-at").alias("reason"))
 
 
-_CHAIN = with_views("observations") + """, c AS (SELECT asset_id, metric, event_id, available_at, floor(value / 25)::BIGINT AS content, lag(floor(value / 25)::BIGINT) OVER (PARTITION BY asset_id, metric ORDER BY available_at, event_id) AS b FROM observations),
-ch AS (SELECT asset_id, metric, event_id, available_at, content, row_number() OVER (PARTITION BY asset_id, metric ORDER BY available_at, event_id) AS revision_position, lag(content) OVER (PARTITION BY asset_id, metric ORDER BY available_at, event_id) AS predecessor_content FROM c WHERE b IS NULL OR b <> content)"""
+_CHAIN = with_views("observations") + """, o AS (SELECT asset_id, metric, event_id, available_at, CASE WHEN value >= 10 THEN floor(value / 25)::BIGINT END AS content FROM observations),
+c AS (SELECT *, lag(content) OVER w AS b, row_number() OVER w AS r FROM o WINDOW w AS (PARTITION BY asset_id, metric ORDER BY available_at, event_id)),
+ch AS (SELECT asset_id, metric, event_id, available_at, content, row_number() OVER (PARTITION BY asset_id, metric ORDER BY available_at, event_id) AS revision_position, lag(content) OVER (PARTITION BY asset_id, metric ORDER BY available_at, event_id) AS predecessor_content FROM c WHERE r = 1 OR b IS DISTINCT FROM content)"""
 
 
 def _chain(spark, sf_dir):
-    o = observations(spark, sf_dir).select("asset_id", "metric", "event_id", "available_at", F.floor(F.col("value") / 25).alias("content"))
+    o = observations(spark, sf_dir).select("asset_id", "metric", "event_id", "available_at", F.when(F.col("value") >= 10, F.floor(F.col("value") / 25)).alias("content"))
     return versions.chain(o, ["asset_id", "metric"], ["available_at", "event_id"], "content")
 
 
@@ -104,25 +105,25 @@ def revision_history(spark, sf_dir):
     return versions.history(_chain(spark, sf_dir), {"asset_id": 7, "metric": "click"}).select("event_id", "revision_position", "content")
 
 
-@query(_CHAIN + """, cur AS (SELECT asset_id, metric, arg_max(content, revision_position) AS now, max(revision_position) AS "at" FROM ch GROUP BY 1, 2),
-inc AS (SELECT DISTINCT asset_id % 200 AS asset_id, 'click' AS metric, asset_id % 4 AS content FROM observations WHERE asset_id < 200 UNION ALL SELECT 100000, 'click', 1)
-SELECT inc.asset_id, inc.metric, inc.content::BIGINT AS content, (coalesce("at", 0) + 1)::INTEGER AS revision_position, now AS predecessor_content FROM inc LEFT JOIN cur USING (asset_id, metric) WHERE now IS NULL OR now <> inc.content""")
+@query(_CHAIN + """, cur AS (SELECT asset_id, metric, arg_max(row(content), revision_position)[1] AS now, max(revision_position) AS "at" FROM ch GROUP BY 1, 2),
+inc AS (SELECT DISTINCT asset_id, 'click' AS metric, asset_id % 4 AS content FROM observations UNION ALL SELECT -1, 'click', 1)
+SELECT inc.asset_id, inc.metric, inc.content::BIGINT AS content, (coalesce("at", 0) + 1)::INTEGER AS revision_position, now AS predecessor_content FROM inc LEFT JOIN cur USING (asset_id, metric) WHERE "at" IS NULL OR now IS DISTINCT FROM inc.content""")
 def publish_successors(spark, sf_dir):
-    inc = observations(spark, sf_dir).filter("asset_id < 200").select((F.col("asset_id") % 200).alias("asset_id"), F.lit("click").alias("metric"), (F.col("asset_id") % 4).alias("content")).distinct()
-    new = spark.range(100000, 100001).select(F.col("id").alias("asset_id"), F.lit("click").alias("metric"), F.lit(1).cast("long").alias("content"))
+    inc = observations(spark, sf_dir).select("asset_id", F.lit("click").alias("metric"), (F.col("asset_id") % 4).alias("content")).distinct()
+    new = spark.range(-1, 0).select(F.col("id").alias("asset_id"), F.lit("click").alias("metric"), F.lit(1).cast("long").alias("content"))
     return versions.publish(_chain(spark, sf_dir), inc.union(new), ["asset_id", "metric"], "content").select("asset_id", "metric", "content", F.col("revision_position").cast("int").alias("revision_position"), "predecessor_content")
 
 
-@query("""WITH m AS (SELECT min(CAST(o_orderdate AS DATE)) AS a FROM orders), s AS (SELECT DISTINCT c_custkey % 10 AS grp, CAST(o_orderdate AS DATE) AS day FROM orders JOIN customer ON c_custkey = o_custkey),
-e AS (SELECT grp, (a + i::INTEGER) AS day FROM m, (SELECT unnest(range(10)) AS grp), (SELECT unnest(range(400)) AS i)),
+@query("""WITH m AS (SELECT min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders), s AS (SELECT DISTINCT c_custkey % 10 AS grp, CAST(o_orderdate AS DATE) AS day FROM orders JOIN customer ON c_custkey = o_custkey),
+e AS (SELECT grp, (a + i::INTEGER) AS day FROM (SELECT a, unnest(range(b - a + 1)) AS i FROM m), (SELECT unnest(range(10)) AS grp)),
 x AS (SELECT grp, day, day - (row_number() OVER (PARTITION BY grp ORDER BY day))::INTEGER AS run FROM e ANTI JOIN s USING (grp, day))
 SELECT grp::BIGINT AS grp, min(day) AS range_start, max(day) AS range_end, count(*) AS n_points FROM x GROUP BY grp, run""")
 def missing_segments(spark, sf_dir):
     o, c = load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer")
     day = F.col("o_orderdate").cast("date")
     stored = o.join(c, o.o_custkey == c.c_custkey).select((F.col("c_custkey") % 10).alias("grp"), day.alias("day")).distinct()
-    first = o.agg(F.min(day).alias("a"))
-    expected = first.select("a", F.explode(F.sequence(F.lit(0), F.lit(399))).alias("i")).select(F.date_add("a", F.col("i")).alias("day"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("grp"))
+    ends = o.agg(F.min(day).alias("a"), F.max(day).alias("b"))
+    expected = ends.select(F.explode(F.sequence("a", "b")).alias("day")).select("day", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("grp"))
     return temporal.missing_ranges(expected, stored, ["grp"], "day")
 
 
@@ -134,10 +135,10 @@ def month_islands(spark, sf_dir):
     return temporal.islands(q, ["o_custkey"], "m", step=1)
 
 
-@query(with_views("memberships") + """, n AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY effective_from) AS id FROM (SELECT asset_id, effective_from - 100 AS effective_from, effective_to FROM memberships WHERE asset_id % 5 = 0))
+@query(with_views("memberships") + """, n AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY effective_from) AS id FROM (SELECT asset_id, effective_from - 100 AS effective_from, effective_to FROM memberships))
 SELECT a.asset_id, a.id::INTEGER AS left_id, b.id::INTEGER AS right_id FROM n a JOIN n b ON a.asset_id = b.asset_id AND a.id < b.id WHERE greatest(a.effective_from, b.effective_from) <= least(coalesce(a.effective_to, DATE '9999-12-31'), coalesce(b.effective_to, DATE '9999-12-31'))""")
 def overlap_conflicts(spark, sf_dir):
-    m = memberships(spark, sf_dir).filter("asset_id % 5 = 0").withColumn("effective_from", F.date_sub("effective_from", 100))
+    m = memberships(spark, sf_dir).withColumn("effective_from", F.date_sub("effective_from", 100))
     m = m.withColumn("id", F.row_number().over(Window.partitionBy("asset_id").orderBy("effective_from")))
     return temporal.conflicts(m, "asset_id", "id")
 
@@ -263,3 +264,46 @@ def binned_interval_counts(spark, sf_dir):
     s = s.withColumn("effective_to", F.when(F.col("s_suppkey") % 5 > 0, F.date_add("effective_from", 90)))
     d = load(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("at")).distinct()
     return temporal.binned_interval_join(d, s, "at").groupBy("at").agg(F.count("*").alias("n_active"))
+
+
+def _exchange_days(spark, sf_dir):
+    """Order days as calendar days: Saturdays have an extra session, Sundays are closed, Fridays have both kinds."""
+    d = load(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    dow = F.dayofweek("day")
+    kinds = F.when(dow == 7, F.array(F.lit("non_regular"))).when(dow == 6, F.array(F.lit("regular"), F.lit("non_regular"))).otherwise(F.array(F.lit("regular")))
+    return d.select(F.lit("X").alias("exchange"), "day", F.when(dow == 1, "closed").otherwise("full").alias("kind"), F.transform(kinds, lambda k: F.struct(k.alias("kind"))).alias("sessions"))
+
+
+@query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), t AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS trade_date, (l_linenumber % 3)::INTEGER AS k FROM lineitem)
+SELECT trade_date, k, (SELECT min(day) FROM d WHERE day >= trade_date AND CASE k WHEN 0 THEN dayofweek(day) BETWEEN 1 AND 5 WHEN 1 THEN dayofweek(day) IN (5, 6) ELSE dayofweek(day) BETWEEN 1 AND 6 END) AS session_date FROM t""")
+def next_permitted_session(spark, sf_dir):
+    k = F.col("k")
+    t = load(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("trade_date"), (F.col("l_linenumber") % 3).cast("int").alias("k")).distinct()
+    permitted = F.when(k == 0, F.array(F.lit("regular"))).when(k == 1, F.array(F.lit("non_regular"))).otherwise(F.array(F.lit("regular"), F.lit("non_regular")))
+    got = temporal.next_permitted_date(t.withColumn("exchange", F.lit("X")).withColumn("permitted", permitted), _exchange_days(spark, sf_dir), ["exchange"], "trade_date", "permitted", "session_date")
+    return got.select("trade_date", "k", "session_date")
+
+
+@query(with_views("open_days") + """, t AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS trade_date, CASE WHEN l_linenumber % 2 = 0 THEN 'SAME_MARKET_DATE' ELSE 'NEXT_OPEN_MARKET_DATE' END AS rule FROM lineitem)
+SELECT trade_date, rule, CASE rule WHEN 'SAME_MARKET_DATE' THEN trade_date ELSE (SELECT min(day) FROM open_days WHERE day > trade_date) END AS sell_available FROM t""")
+def sell_available_date(spark, sf_dir):
+    t = load(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("trade_date"), F.when(F.col("l_linenumber") % 2 == 0, "SAME_MARKET_DATE").otherwise("NEXT_OPEN_MARKET_DATE").alias("rule")).distinct()
+    return temporal.sell_available(t, open_days(spark, sf_dir), "trade_date", "rule", "sell_available")
+
+
+@query(with_views("fx_rates") + """, s AS (SELECT version_id, source_currency, rate_date, rate, CASE WHEN month(rate_date) % 3 = 0 THEN 1 / rate * 1.01::DOUBLE WHEN month(rate_date) % 3 = 1 THEN 1 / rate END AS inverse FROM fx_rates)
+SELECT version_id, CASE WHEN inverse IS NULL THEN 'missing' WHEN abs(rate * inverse - 1) <= 1e-10 THEN 'ok' ELSE 'mismatch' END AS status FROM s""")
+def supplied_inverse_check(spark, sf_dir):
+    r = fx_rates(spark, sf_dir)
+    m = F.month("rate_date") % 3
+    given = fx.with_inverses(r).filter("direct_version_id is not null").filter(m < 2).withColumn("rate", F.when(m == 0, F.col("rate") * 1.01).otherwise(F.col("rate")))
+    return fx.inverse_check(r, given).select("version_id", "status")
+
+
+@query("""WITH w AS (SELECT page_id, '/w/' || (page_id // 4)::VARCHAR || CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '/a' WHEN 2 THEN '/a/b/' ELSE '' END AS p FROM pages), c AS (SELECT page_id, rtrim(p, '/') AS p FROM w)
+SELECT a.page_id AS left_id, b.page_id AS right_id, CASE WHEN a.p = b.p THEN 'equal-path' ELSE 'ancestor-or-descendant' END AS conflict FROM c a JOIN c b ON (a.p = b.p AND a.page_id < b.page_id) OR starts_with(b.p, a.p || '/')""")
+def path_conflicts(spark, sf_dir):
+    k = F.col("page_id")
+    end = F.when(k % 4 == 1, "/a").when(k % 4 == 2, "/a/b/").otherwise("")
+    w = load(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/w/"), F.floor(k / 4).cast("string"), end).alias("path"))
+    return temporal.path_conflicts(w, "page_id", "path")

@@ -56,6 +56,12 @@ def covariance_contributions(spark, sf_dir):
     return c.select("i", F.round("w", 8).alias("w"), F.round("marginal", 10).alias("marginal"), F.round("component", 10).alias("component"), F.round("component_vol", 8).alias("component_vol"), F.round("variance", 10).alias("variance"))
 
 
+@query(_COV + " SELECT 1 AS matrix_id, count(DISTINCT i)::INTEGER AS n_assets, true AS symmetric FROM cov")
+def covariance_symmetry(spark, sf_dir):
+    cov, _ = _cov(spark, sf_dir)
+    return R.symmetry(cov.withColumn("matrix_id", F.lit(1)), "matrix_id").select("matrix_id", "n_assets", "symmetric")
+
+
 @query()
 def psd_check(spark, sf_dir):
     """Rows only: symmetry and the smallest eigenvalue of the asset covariance matrix."""
@@ -112,16 +118,15 @@ def period_attribution(spark, sf_dir):
     return p.select("y", F.round("asset_effect", 10).alias("asset_effect"), "cash_effect", "cost_drag", F.round("residual", 10).alias("residual"))
 
 
-@query(with_views("bars", "fx_rates") + """, b AS (SELECT asset_id, bar_date, close, lag(close) OVER (PARTITION BY asset_id ORDER BY bar_date) AS pc FROM bars), f AS (SELECT rate_date, rate, lag(rate) OVER (ORDER BY rate_date) AS pr FROM fx_rates WHERE source_currency = (SELECT min(source_currency) FROM fx_rates))
-SELECT asset_id, bar_date, round(close / pc - 1, 8) AS local_return, round(rate / pr - 1, 8) AS fx_return, round((close / pc) * (rate / pr) - 1, 8) AS total_return, round((close / pc - 1) * (rate / pr - 1), 8) AS cross_effect FROM b JOIN f ON bar_date = rate_date""")
+@query(with_views("bars", "fx_rates") + """, b AS (SELECT asset_id, bar_date, close, lag(close) OVER (PARTITION BY asset_id ORDER BY bar_date) AS pc FROM bars), f AS (SELECT source_currency, rate_date, rate, lag(rate) OVER (PARTITION BY source_currency ORDER BY rate_date) AS pr FROM fx_rates)
+SELECT asset_id, bar_date, source_currency, round(close / pc - 1, 8) AS local_return, round(rate / pr - 1, 8) AS fx_return, round((close / pc) * (rate / pr) - 1, 8) AS total_return, round((close / pc - 1) * (rate / pr - 1), 8) AS cross_effect FROM b JOIN f ON bar_date = rate_date""")
 def local_fx_effect(spark, sf_dir):
     from ..tables import fx_rates
 
     b = bars(spark, sf_dir).select("asset_id", "bar_date", F.col("close").alias("end_value"), F.lag("close").over(Window.partitionBy("asset_id").orderBy("bar_date")).alias("start_value"))
-    r = fx_rates(spark, sf_dir)
-    one = r.join(F.broadcast(r.agg(F.min("source_currency").alias("source_currency"))), "source_currency").select(F.col("rate_date").alias("bar_date"), F.col("rate").alias("end_rate"), F.lag("rate").over(Window.orderBy("rate_date")).alias("start_rate"))
-    e = A.local_fx_effect(b.join(one, "bar_date"))
-    return e.select("asset_id", "bar_date", *[F.round(c, 8).alias(c) for c in ("local_return", "fx_return", "total_return", "cross_effect")])
+    r = fx_rates(spark, sf_dir).select("source_currency", F.col("rate_date").alias("bar_date"), F.col("rate").alias("end_rate"), F.lag("rate").over(Window.partitionBy("source_currency").orderBy("rate_date")).alias("start_rate"))
+    e = A.local_fx_effect(b.join(r, "bar_date"))
+    return e.select("asset_id", "bar_date", "source_currency", *[F.round(c, 8).alias(c) for c in ("local_return", "fx_return", "total_return", "cross_effect")])
 
 
 _LINK = with_views("nav") + """, r AS (SELECT nav_date, value / lag(value) OVER (ORDER BY nav_date) - 1 AS r FROM nav), x AS (SELECT nav_date, greatest(least(r, 0.2), -0.2) AS r FROM r WHERE r IS NOT NULL),

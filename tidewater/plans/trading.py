@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import governance, scale, versions
 from ..operators import trading as B
-from ..operators import versions
 from ..functions.text import close_enough
 from ..tables import load, nav, trades, with_views
 from .registry import query
@@ -76,12 +76,14 @@ def cash_settlement_sweep(spark, sf_dir):
     return B.cash_settlement(f, "l_suppkey", "settles", "amount").select("l_suppkey", "settles", F.col("due").cast("double").alias("due"), F.col("settled_cash").cast("double").alias("settled_cash"))
 
 
-@query("""WITH w AS (SELECT o_custkey, o_orderkey, CAST(o_totalprice AS DECIMAL(18,2))::DOUBLE AS v FROM orders), s AS (SELECT o_custkey, count(*) AS n FROM w GROUP BY 1) SELECT o_custkey, CASE WHEN n > 1 AND o_custkey % 9 = 0 THEN 'sum' ELSE 'ok' END AS status FROM s""")
+@query("""WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT o_custkey, CASE WHEN n > 1 AND o_custkey % 9 = 1 THEN 'duplicate-asset' WHEN n > 1 AND o_custkey % 9 = 2 THEN 'negative-weight' WHEN n > 1 AND o_custkey % 9 = 0 THEN 'sum' ELSE 'ok' END AS status FROM s""")
 def target_weight_check(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    n = F.count("*").over(Window.partitionBy("o_custkey"))
-    w = o.withColumn("n", n).withColumn("weight", F.when((F.col("o_custkey") % 9 == 0) & (F.col("n") > 1), 0.9 / F.col("n")).otherwise(1.0 / F.col("n")))
-    return B.weight_check(w, "o_custkey", "o_orderkey", "weight")
+    o, k = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), F.col("o_custkey") % 9
+    every = Window.partitionBy("o_custkey")
+    w = o.withColumn("n", F.count("*").over(every)).withColumn("first", F.min("o_orderkey").over(every)).withColumn("is_first", F.col("first") == F.col("o_orderkey"))
+    several = F.col("n") > 1
+    weight = F.when(several & (k == 0), 0.9 / F.col("n")).when(several & (k == 2), F.when(F.col("is_first"), -0.5).otherwise(1.5 / (F.col("n") - 1))).otherwise(1.0 / F.col("n"))
+    return B.weight_check(w.withColumn("asset", F.when(several & (k == 1), F.col("first")).otherwise(F.col("o_orderkey"))).withColumn("weight", weight), "o_custkey", "asset", "weight")
 
 
 @query("""WITH a AS (SELECT p_partkey, p_size AS quantity, DATE '1996-01-01' + (p_partkey % 700)::INTEGER AS held_from FROM part), ev AS (SELECT DISTINCT l_partkey, date_trunc('year', l_shipdate)::DATE AS effective_date FROM lineitem WHERE l_quantity >= 49),
@@ -98,10 +100,10 @@ def duplicate_decisions(spark, sf_dir):
     return load(spark, sf_dir, "orders").groupBy("o_custkey", F.col("o_orderdate").cast("date").alias("decision_date")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@query("""SELECT row_number() OVER (ORDER BY o_orderdate, o_custkey, o_orderkey) AS seq, o_orderkey FROM orders ORDER BY o_orderdate, o_custkey, o_orderkey LIMIT 500""")
+@query("""SELECT row_number() OVER (ORDER BY o_orderdate, o_custkey, o_orderkey) AS seq, o_orderkey FROM orders""")
 def event_total_order(spark, sf_dir):
-    first = load(spark, sf_dir, "orders").orderBy("o_orderdate", "o_custkey", "o_orderkey").limit(500)
-    return first.select(F.row_number().over(Window.orderBy("o_orderdate", "o_custkey", "o_orderkey")).cast("long").alias("seq"), "o_orderkey")
+    o = load(spark, sf_dir, "orders").select("o_orderdate", "o_custkey", "o_orderkey")
+    return scale.total_order(o, F.col("o_orderdate").cast("date"), ["o_orderdate", "o_custkey", "o_orderkey"], "seq").select("seq", "o_orderkey")
 
 
 @query(with_views("nav") + """, a AS (SELECT nav_date, value, round(value, -3) AS other FROM nav) SELECT nav_date, abs(value - other) <= 1e-3 * greatest(1, abs(value), abs(other)) AS same, value < other AS rose FROM a""")
@@ -111,24 +113,72 @@ def run_comparison(spark, sf_dir):
     return a.join(b, "nav_date", "full").select("nav_date", close_enough(F.col("value"), F.col("other"), 1e-3).alias("same"), (F.col("value") < F.col("other")).alias("rose"))
 
 
-@query("""SELECT o_custkey AS run_id, sha256(string_agg(sha256(o_orderkey::VARCHAR), ',' ORDER BY o_orderkey) || '|42') AS manifest_id, count(*) AS n_artifacts FROM orders GROUP BY 1""")
+_MANIFEST = """WITH a AS (SELECT o_custkey AS run_id, sha256(o_custkey::VARCHAR || ':' || o_orderkey::VARCHAR || '|' || sha256({content})) AS h FROM orders),
+b AS (SELECT run_id, substr(h, 1, 3) AS b, sha256(string_agg(h, ',' ORDER BY h)) AS d, count(*) AS n FROM a GROUP BY 1, 2),
+m AS (SELECT run_id, sum(n)::BIGINT AS n_artifacts, sha256(sha256(string_agg(d, ',' ORDER BY b)) || '|42') AS manifest_id FROM b GROUP BY 1)"""
+
+
+def _manifest(spark, sf_dir, content):
+    return governance.experiment_manifest(load(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", content, 42).withColumnRenamed("o_custkey", "run_id")
+
+
+@query(_MANIFEST.format(content="o_orderstatus") + " SELECT run_id, n_artifacts, manifest_id FROM m")
 def experiment_manifest(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("run_id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("k"))
-    parts = F.array_join(F.transform("k", lambda x: F.sha2(x.cast("string"), 256)), ",")
-    return o.select("run_id", F.sha2(F.concat(parts, F.lit("|42")), 256).alias("manifest_id"), F.size("k").cast("long").alias("n_artifacts"))
+    return _manifest(spark, sf_dir, F.col("o_orderstatus"))
+
+
+_CHANGED = "CASE WHEN o_custkey % 5 = 0 THEN o_orderpriority ELSE o_orderstatus END"
+
+
+@query(_MANIFEST.format(content="o_orderstatus") + ", " + _MANIFEST.format(content=_CHANGED).replace("WITH a AS", "a2 AS").replace("FROM a GROUP", "FROM a2 GROUP").replace("b AS (SELECT run_id, sub", "b2 AS (SELECT run_id, sub").replace("FROM b GROUP", "FROM b2 GROUP").replace("m AS (SELECT run_id, sum", "m2 AS (SELECT run_id, sum") + " SELECT m.run_id, CASE WHEN m.manifest_id = m2.manifest_id THEN 'same' ELSE 'mismatch' END AS status FROM m JOIN m2 USING (run_id)")
+def replay_check(spark, sf_dir):
+    changed = F.when(F.col("o_custkey") % 5 == 0, F.col("o_orderpriority")).otherwise(F.col("o_orderstatus"))
+    return governance.replay_check(_manifest(spark, sf_dir, F.col("o_orderstatus")), _manifest(spark, sf_dir, changed), "run_id").select("run_id", "status")
+
+
+@query("""WITH r AS (SELECT o_orderkey, CASE o_custkey % 4 WHEN 0 THEN 'p0' WHEN 1 THEN 'p1' WHEN 2 THEN 'p2' ELSE 'none' END AS provider, CASE WHEN o_orderkey % 3 = 0 THEN 'bars' WHEN o_orderkey % 3 = 1 THEN 'navs' ELSE 'facts' END AS category, CASE o_orderkey % 5 WHEN 0 THEN 'export' WHEN 1 THEN 'retain' ELSE 'use' END AS action, o_orderdate FROM orders)
+SELECT o_orderkey, CASE WHEN provider = 'none' THEN 'compliance/profile-missing' WHEN provider = 'p1' AND o_orderdate > TIMESTAMP '1998-01-01' THEN 'compliance/profile-inactive' WHEN category = 'facts' AND provider <> 'p2' THEN 'compliance/category-unsupported'
+WHEN action = 'retain' AND category = 'navs' THEN 'compliance/retention-prohibited' WHEN action = 'export' AND (category <> 'bars' OR provider = 'p1') THEN 'compliance/export-prohibited' ELSE 'allowed' END AS outcome FROM r""")
+def compliance_gate(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    r = load(spark, sf_dir, "orders").select("o_orderkey", F.when(c % 4 == 0, "p0").when(c % 4 == 1, "p1").when(c % 4 == 2, "p2").otherwise("none").alias("provider"), F.when(k % 3 == 0, "bars").when(k % 3 == 1, "navs").otherwise("facts").alias("category"), F.when(k % 5 == 0, "export").when(k % 5 == 1, "retain").otherwise("use").alias("action"), F.col("o_orderdate").cast("timestamp").alias("request_at"))
+    profiles = spark.sql("""SELECT * FROM VALUES
+      ('p0', 'old', 1, TIMESTAMP'1990-01-01', TIMESTAMP'1991-01-01', array('bars'), map('bars', false), map('bars', false)),
+      ('p0', 'v0', 2, TIMESTAMP'1990-01-01', NULL, array('bars', 'navs'), map('bars', true, 'navs', false), map('bars', true)),
+      ('p1', 'v1', 1, TIMESTAMP'1990-01-01', TIMESTAMP'1998-01-01', array('bars', 'navs'), map('bars', true), map('navs', false)),
+      ('p2', 'v2', 1, TIMESTAMP'1990-01-01', NULL, array('bars', 'navs', 'facts'), map('bars', true, 'facts', true), map('bars', true))
+      AS t(provider, version_id, position, effective_from, effective_to, categories, retention, export)""")
+    return governance.compliance_gate(r, profiles).select("o_orderkey", "outcome")
+
+
+@query("""SELECT p_partkey, list_sort(list_filter([CASE WHEN p_partkey % 11 = 0 THEN 'provider_name' END, CASE WHEN p_partkey % 13 <> 0 AND p_size > 45 THEN 'provenance' END, CASE WHEN p_partkey % 13 <> 0 AND p_size < 5 THEN 'request_limits' END], lambda x: x IS NOT NULL)) AS codes,
+CASE WHEN p_partkey % 13 = 0 THEN 'unsupported-contract-version:0' END AS incompatible_reason, p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 AND p_size BETWEEN 5 AND 45 AND p_partkey % 2 = 0 AS may_enable FROM part""")
+def provider_capabilities(spark, sf_dir):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    a = load(spark, sf_dir, "part").select("p_partkey", k.cast("string").alias("adapter_id"), F.when(k % 11 == 0, " ").otherwise("some").alias("provider_name"), F.when(k % 13 == 0, "0").otherwise("1").alias("contract_version"), F.lit("supported").alias("normalized_response"), F.when(size > 45, "perhaps").otherwise("unknown").alias("provenance"), F.lit("unsupported").alias("categorized_errors"), F.when(size < 5, 0).when(size > 20, 1000).alias("max_requests_per_period"), F.when(size < 5, 60).when(size > 20, 60).alias("measurement_period_seconds"))
+    shown = a.filter(k % 2 == 0).select("adapter_id")
+    return governance.adapter_status(a, shown, "1").select("p_partkey", "codes", "incompatible_reason", "may_enable")
+
+
+@query("""SELECT o_orderkey, list_sort(list_filter([CASE WHEN o_orderkey % 7 = 0 THEN 'version.missing' END, CASE WHEN o_orderstatus = 'P' THEN 'snapshot.unavailable' END, CASE WHEN o_orderkey % 10 = 0 THEN 'date_range.invalid' END, CASE WHEN o_custkey % 3 = 0 THEN 'base_currency.invalid' END], lambda x: x IS NOT NULL)) AS codes FROM orders""")
+def run_request_validation(spark, sf_dir):
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    names = {c: F.lit("v1") for c in governance.RUN_IDENTIFIERS} | {"snapshot_id": F.col("o_orderstatus"), "strategy_version": F.when(k % 7 == 0, " ").otherwise("s")}
+    r = load(spark, sf_dir, "orders").select("o_orderkey", *[c.alias(n) for n, c in names.items()], F.when(k % 10 == 0, F.date_add(day, 1)).otherwise(day).alias("start_date"), day.alias("end_date"), F.when(F.col("o_custkey") % 3 == 0, "EURO").otherwise("EUR").alias("base_currency"))
+    return r.select("o_orderkey", governance.run_request_codes(["F", "O"]).alias("codes"))
 
 
 @query()
 def table_manifest(spark, sf_dir):
-    """Rows only: order-insensitive content of the orders table."""
+    """Rows only (the hash is Spark's own): order-insensitive content of the orders table."""
     return versions.manifest(load(spark, sf_dir, "orders"))
 
 
 @query()
 def infeasible_subset(spark, sf_dir):
-    """Rows only: minimal infeasible constraint subsets over part sizes, few constraints a group."""
-    p = load(spark, sf_dir, "part").filter("p_partkey <= 60")
-    g = (F.col("p_partkey") % 12).alias("grp")
-    rows = p.select(g, F.concat(F.lit("c"), F.lpad(F.col("p_partkey").cast("string"), 3, "0")).alias("constraint_id"), F.create_map(F.lit("x"), F.lit(1.0), F.when(F.col("p_size") % 2 == 0, "y").otherwise("z"), F.lit(1.0)).alias("coefficients"), F.when(F.col("p_size") > 25, F.col("p_size") / 10.0).alias("lower"), F.when(F.col("p_size") <= 25, F.col("p_size") / 10.0).alias("upper"))
+    """Rows only: minimal infeasible constraint subsets over part sizes, five parts a group."""
+    p = load(spark, sf_dir, "part")
+    g = F.floor(F.col("p_partkey") / 5).alias("grp")
+    rows = p.select(g, F.concat(F.lit("c"), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("constraint_id"), F.create_map(F.lit("x"), F.lit(1.0), F.when(F.col("p_size") % 2 == 0, "y").otherwise("z"), F.lit(1.0)).alias("coefficients"), F.when(F.col("p_size") > 25, F.col("p_size") / 10.0).alias("lower"), F.when(F.col("p_size") <= 25, F.col("p_size") / 10.0).alias("upper"))
     nonneg = p.select(g).distinct().select("grp", F.explode(F.array(*[F.struct(F.lit(f"n{v}").alias("c"), F.lit(v).alias("v")) for v in "xyz"])).alias("s")).select("grp", F.col("s.c").alias("constraint_id"), F.create_map("s.v", F.lit(1.0)).alias("coefficients"), F.lit(0.0).alias("lower"), F.lit(1.2).alias("upper"))
     return B.infeasible_subsets(rows.unionByName(nonneg), "grp")

@@ -19,13 +19,48 @@ XBRL = "struct<cik: bigint, entityName: string, currencyCode: string, units: str
 FRED = "struct<observations: array<struct<date: string, value: string>>>"
 HKEX = "struct<result: array<struct<id: string, title: string>>>"
 
-#: Where the rows lie in each REST payload, and the names of date, open, high, low, close, volume.
+BAR = ("open", "high", "low", "close", "volume")
+
+#: Where the rows lie in each REST payload, and the names of date, open, high, low, close, volume; where a
+#: value has several names, the first one that is there counts.
+ADJUSTED = (("open", "adjOpen"), ("high", "adjHigh"), ("low", "adjLow"), ("close", "adjClose"), ("volume", "adjVolume", "v"))
 REST = {
-    "financial-modeling-prep": ("historical", ("date", "open", "high", "low", "close", "volume"), "USD"),
-    "tiingo": (None, ("date", "open", "high", "low", "close", "volume"), "USD"),
-    "iex-cloud": (None, ("date", "open", "high", "low", "close", "volume"), "USD"),
-    "twelve-data": ("values", ("datetime", "open", "high", "low", "close", "volume"), "USD"),
-    "polygon-io": ("results", ("t", "o", "h", "l", "c", "v"), "USD"),
+    "financial-modeling-prep": ("historical", ("date",), ADJUSTED, "USD"),
+    "tiingo": (None, ("date",), ADJUSTED, "USD"),
+    "iex-cloud": (None, ("date",), ADJUSTED, "USD"),
+    "twelve-data": ("values", ("datetime",), ADJUSTED, "USD"),
+    "polygon-io": ("results", ("t",), (("o",), ("h",), ("l",), ("c",), ("v",)), "USD"),
+}
+#: Declared sources: provider, category, scope, frequency, whether a key is needed, documentation.
+DECLARED = {
+    "akshare": ("akshare", "market", "GLOBAL", "daily", False, "https://github.com/akfamily/akshare"),
+    "stooq": ("stooq", "market", "GLOBAL", "daily", False, "https://stooq.com/q/d/"),
+    "yahoo-finance": ("yfinance", "market", "GLOBAL", "daily", False, "https://pypi.org/project/yfinance/"),
+    "sina-finance": ("sina-finance", "market", "A_SHARE", "daily", False, "https://finance.sina.com.cn"),
+    "baostock": ("baostock", "market", "A_SHARE", "daily", False, "https://baostock.com"),
+    "tushare": ("tushare", "market", "A_SHARE", "daily", True, "https://tushare.pro"),
+    "alpha-vantage": ("alphavantage", "market", "UNITED_STATES", "daily", True, "https://www.alphavantage.co/documentation/"),
+    "financial-modeling-prep": ("financialmodelingprep", "fundamental", "UNITED_STATES", "event", True, "https://site.financialmodelingprep.com/developer/docs"),
+    "finnhub": ("finnhub", "fundamental", "GLOBAL", "event", True, "https://docs.official-finnhub.com"),
+    "tiingo": ("tiingo", "market", "UNITED_STATES", "daily", True, "https://www.tiingo.com/about/pricing"),
+    "polygon-io": ("polygon", "market", "UNITED_STATES", "daily", True, "https://polygon.io/docs"),
+    "sec-edgar": ("sec-edgar", "fundamental", "UNITED_STATES", "event", False, "https://www.sec.gov/edgar"),
+    "hkex-news": ("hkex", "corporate_action", "HONG_KONG", "event", False, "https://www.hkexnews.hk"),
+    "fred": ("fred", "macro", "GLOBAL", "monthly", True, "https://fred.stlouisfed.org"),
+    "ecb": ("ecb", "macro", "GLOBAL", "daily", False, "https://www.ecb.europa.eu/stats"),
+    "exchange-calendars": ("exchange_calendars", "calendar", "GLOBAL", "reference", False, "https://github.com/gerrymanoim/exchange_calendars"),
+    "pandas-market-calendars": ("pandas_market_calendars", "calendar", "GLOBAL", "reference", False, "https://github.com/rsheftel/pandas_market_calendars"),
+    "iex-cloud": ("iexcloud", "market", "UNITED_STATES", "daily", True, "https://iexcloud.io"),
+    "twelve-data": ("twelvedata", "market", "GLOBAL", "daily", True, "https://twelvedata.com/docs"),
+    "nasdaq-data-link": ("nasdaq-data-link", "market", "GLOBAL", "daily", True, "https://docs.data.nasdaq.com"),
+}
+#: What a request to a source of each category must say.
+REQUEST_FIELDS = {
+    "market": ("market", "exchange", "symbol", "trading_date"),
+    "macro": ("canonical_asset_id", "metric_code"),
+    "fundamental": ("canonical_asset_id", "metric_code"),
+    "corporate_action": ("canonical_asset_id",),
+    "calendar": ("market", "start_date", "end_date"),
 }
 
 
@@ -74,12 +109,22 @@ def sina_kline(df: DataFrame, on: Column) -> DataFrame:
 
 def rest_bars(df: DataFrame, source: str) -> DataFrame:
     """Bars of a REST payload whose rows are objects in an array (see REST)."""
-    at, names, currency = REST[source]
+    at, (on,), names, currency = REST[source]
     rows = "array<map<string,string>>"
     body = F.from_json("payload", rows if at is None else f"struct<`{at}`: {rows}>")
     r = df.select(F.col("request").alias("provider_code"), F.explode(body if at is None else body[at]).alias("m"))
-    day = F.when(F.col("m")[names[0]].rlike("^[0-9]{10,}$"), F.to_date(F.timestamp_millis(F.col("m")[names[0]].try_cast("bigint")))).otherwise(F.coalesce(F.col("m")[names[0]].substr(1, 10).try_cast("date"), F.try_to_date(F.col("m")[names[0]], "yyyyMMdd")))
-    return _bar(r.select("provider_code", day.alias("trading_date"), *[F.col("m")[n].alias(k) for n, k in zip(names[1:], ("open", "high", "low", "close", "volume"), strict=True)], F.lit(currency).alias("trading_currency")), source)
+    when, m = F.col("m")[on], F.col("m")
+    day = F.when(when.rlike("^[0-9]{10,}$"), F.to_date(F.timestamp_millis(when.try_cast("bigint")))).otherwise(F.coalesce(when.substr(1, 10).try_cast("date"), F.try_to_date(when, "yyyyMMdd")))
+    values = [F.coalesce(*[m[n] for n in some]).alias(k) for some, k in zip(names, BAR, strict=True)]
+    return _bar(r.select("provider_code", day.alias("trading_date"), *values, F.lit(currency).alias("trading_currency")), source)
+
+
+def nasdaq_table(df: DataFrame) -> DataFrame:
+    """The records of a data table, arrays of date (where the first value is one), open, high, low, close, volume."""
+    r = df.select(F.col("request").alias("provider_code"), F.explode(F.from_json("payload", "struct<datatable: struct<data: array<array<string>>>>")["datatable"]["data"]).alias("a"))
+    day = F.get("a", F.lit(0)).try_cast("date")
+    first = F.when(day.isNull(), 0).otherwise(1)
+    return _bar(r.select("provider_code", day.alias("trading_date"), *[F.get("a", first + i).alias(k) for i, k in enumerate(BAR)], F.lit("USD").alias("trading_currency")), "nasdaq-data-link")
 
 
 def alpha_vantage(df: DataFrame) -> DataFrame:
@@ -131,11 +176,24 @@ def announcement(df: DataFrame) -> DataFrame:
     return df.select(F.col("request").alias("provider_code"), e["id"].alias("announcement_id"), F.coalesce(e["title"], F.lit("announcement")).alias("event_type")).filter("announcement_id is not null")
 
 
-def bounded_history(bars: DataFrame, keys: list[str], start: str, end: str, limit: int) -> DataFrame:
-    """The last `limit` distinct days in a range, oldest first."""
+def bounded_history(bars: DataFrame, keys: list[str], start: str, end: str, limit: int, order: list[str] | None = None) -> DataFrame:
+    """The last `limit` distinct days in a range, oldest first. Of several rows of one day the first in `order` stays (by
+    default in the order of all other columns), whatever the partitions."""
+    rest = order or [c for c in bars.columns if c not in (*keys, "trading_date")]
+    ranged = bars.filter(F.col("trading_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    first = F.row_number().over(Window.partitionBy(*keys, "trading_date").orderBy(*[F.col(c).asc_nulls_last() for c in rest]))
+    days = ranged.withColumn("_f", first).filter("_f = 1").drop("_f")
     w = Window.partitionBy(*keys).orderBy(F.col("trading_date").desc())
-    ranged = bars.filter(F.col("trading_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).dropDuplicates([*keys, "trading_date"])
-    return ranged.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit).drop("_r").orderBy(*keys, "trading_date")
+    return days.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit).drop("_r").orderBy(*keys, "trading_date")
+
+
+def calendar_source(days: DataFrame, provider: str) -> DataFrame:
+    """Calendar versions of landed schedules (code, day): all given days are full days of one session, in UTC."""
+    session = F.array(F.struct(F.lit("00:00").alias("start"), F.lit("23:59").alias("end"), F.lit("regular").alias("kind")))
+    day = F.struct(F.col("day").alias("date"), F.col("code").alias("market"), F.col("code").alias("exchange"), F.lit("full").alias("kind"), session.alias("sessions"))
+    v = days.filter("day is not null").distinct().groupBy(F.col("code").alias("market")).agg(F.min("day").alias("effective_from"), F.max("day").alias("effective_to"), F.array_sort(F.collect_list(day)).alias("days"))  # a calendar: 366 days a year
+    version = provenance_id(F.lit(provider), F.col("market"), F.col("effective_from"), F.col("effective_to"))
+    return v.select(version.alias("version_id"), "market", F.col("market").alias("exchange"), F.lit("UTC").alias("timezone"), "effective_from", "effective_to", "days")
 
 
 def weekday_calendar(spark: SparkSession, start: str, end: str, markets: list[str]) -> DataFrame:
@@ -144,10 +202,27 @@ def weekday_calendar(spark: SparkSession, start: str, end: str, markets: list[st
     return days.withColumn("market", F.explode(F.array(*map(F.lit, markets)))).select("market", "day", F.lit("full").alias("kind"), F.array(F.struct(F.lit("09:30").alias("start"), F.lit("16:00").alias("end"))).alias("sessions"))
 
 
-REGISTRY = {"stooq": stooq_csv, "yfinance": yahoo_chart, "sina-finance": sina_kline, "alpha-vantage": alpha_vantage, "finnhub": finnhub, "ecb": ecb_rates, "tushare": columnar_items, "sec-edgar": xbrl_fact, "fred": last_observation, "hkex": announcement, **{s: rest_bars for s in REST}}
+REGISTRY = {
+    "stooq": stooq_csv,
+    "yahoo-finance": yahoo_chart,
+    "sina-finance": sina_kline,
+    "alpha-vantage": alpha_vantage,
+    "finnhub": finnhub,
+    "ecb": ecb_rates,
+    "tushare": columnar_items,
+    "sec-edgar": xbrl_fact,
+    "fred": last_observation,
+    "hkex-news": announcement,
+    "nasdaq-data-link": nasdaq_table,
+    "akshare": data_frame_source,
+    "baostock": data_frame_source,
+    "exchange-calendars": calendar_source,
+    "pandas-market-calendars": calendar_source,
+    **{s: rest_bars for s in REST},
+}
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
-    """Declared sources and what each yields."""
-    kinds = {"ecb": "fx_rate", "sec-edgar": "fundamental_fact", "fred": "macro_series", "hkex": "corporate_action"}
-    return spark.createDataFrame([(s, kinds.get(s, "daily_bar"), True) for s in sorted(REGISTRY)], "source_id string, category string, executable boolean")
+    """Declared sources, what a request to each must say, and whether there is a reader for its payloads."""
+    rows = [(s, *DECLARED[s], list(REQUEST_FIELDS[DECLARED[s][1]]), s in REGISTRY) for s in sorted(DECLARED)]
+    return spark.createDataFrame(rows, "source_id string, provider string, category string, scope string, frequency string, requires_auth boolean, documentation string, request_fields array<string>, executable boolean")
