@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Lower-cases A-Z only, on UTF-8 bytes; bytes.split() then cuts at \x20 and \x09-\x0D exactly.
@@ -15,21 +19,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a
+    folder of its own; on a cluster that would be no shared one, so the job ends there."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewater-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
 class Stash:
-    """Intermediate tables written to the shared folder: they cut lineage and outlive lost executors."""
+    """Intermediate tables written to the shared folder: they cut lineage and outlive lost executors.
+
+    A result may read them whenever it is asked for, so they stay until the session ends; clear() drops them before."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/tidewater-{uuid.uuid4().hex}", 0
+        STASHES.append(self)
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -41,11 +49,57 @@ class Stash:
 
     def drop(self, df: DataFrame) -> None:
         """Remove a table that nothing will read again."""
+        self._delete(df._stash_path)
+
+    def clear(self) -> None:
+        """Remove all tables of this stash."""
+        self._delete(self.root)
+
+    def _delete(self, at: str) -> None:
         jvm, sc = self.spark._jvm, self.spark.sparkContext._jsc
-        path = jvm.org.apache.hadoop.fs.Path(df._stash_path)
+        path = jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(sc.hadoopConfiguration()).delete(path, True)
 
 
+STASHES: list[Stash] = []
+
+
+@atexit.register
+def clear_stashes() -> None:
+    """Remove what this process has stashed; a session that has ended already leaves its folder to its owner."""
+    while STASHES:
+        stash = STASHES.pop()
+        if stash.spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Py4JError, ConnectionError):  # the JVM may end first
+                stash.clear()
+
+
+def numbered(rows: DataFrame, keys: list[str], out: str, buckets: int, order: tuple[str, ...] = ()) -> DataFrame:
+    """rows (a written table with a unique column `_row`) with 0, 1, ... for the rows of each key, without gaps.
+
+    A key's rows lie in hash buckets that are numbered by themselves; a bucket begins where the sums of those before it end.
+    So no task holds a key, however many rows it has."""
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
+    sums = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    begin = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    begins = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_b"), begin.alias("_begin"))
+    inner = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order, "_row")) - 1
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_bucket") == F.col("_b")]
+    joined = rows.withColumn("_inner", inner).join(begins, same)
+    return joined.withColumn(out, (F.col("_begin") + F.col("_inner")).cast("long")).drop("_bucket", "_b", "_begin", "_inner", *[f"_k_{k}" for k in keys])
+
+
+HOT = 1024
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined to a table with one row for each key, which says in column n how many rows have it. Keys of at least
+    1/HOT of all rows (so HOT keys at most) are broadcast; the others' rows are shuffled."""
+    hot = F.col(n) * HOT >= total
+    few = table.filter(hot)
+    return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(few.select(key)), key, "left_anti").join(table.filter(~hot), key))
+
+
 def fold(id_col: Column) -> Column:
     """crc32 of the id as text, modulo 4 (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % 4

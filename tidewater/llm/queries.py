@@ -98,8 +98,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 OP6_SQL = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORDS}))::BIGINT AS size,
-                  (('0x' || substr(md5('20240229:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+WITH h AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORDS}))::BIGINT AS size, md5(coalesce(text, '')) AS hash FROM documents),
+e AS (SELECT *, concat_ws(':', coalesce(doc_id::VARCHAR, ''), hash, coalesce(source, ''), (row_number() OVER (PARTITION BY doc_id, source, hash) - 1)::VARCHAR) AS key FROM h),
+d AS (SELECT doc_id, source, size, key, (('0x' || substr(md5('20240229:' || key), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM e),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w, 2.0 * source_size AS cap, 1.5 * sum(source_size) OVER () AS goal FROM s),
 f AS (SELECT *, (goal - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
@@ -109,13 +110,13 @@ r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END A
 k AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS p, target - floor(ratio) * source_size AS words FROM r),
 x AS (SELECT d.*, k.source_size, k.target, k.whole, k.p, k.words, greatest(least(k.p, 1 - 1e-12), 1e-12) AS q FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source),
 o AS (SELECT *, ln(u) - ln(1 - u) - ln(q) + ln(1 - q) AS rank FROM x),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM o),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, key ROWS UNBOUNDED PRECEDING) AS upto FROM o),
 st AS (SELECT *, coalesce(min(CASE WHEN upto > words THEN rank END) OVER (PARTITION BY source), 1e300) AS stop FROM c),
 pk AS (SELECT *, p > 0 AND rank < stop AS picked FROM st),
 gp AS (SELECT *, words - sum(CASE WHEN picked THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM pk),
-cl AS (SELECT source, arg_min(doc_id, (abs(size - gap), rank, doc_id)) AS closing_id FROM gp WHERE NOT picked AND size > 0 AND p > 0 AND size < 2 * gap GROUP BY source)
+cl AS (SELECT source, arg_min(key, (abs(size - gap), rank, key)) AS closing_key FROM gp WHERE NOT picked AND size > 0 AND p > 0 AND size < 2 * gap GROUP BY source)
 SELECT gp.doc_id, gp.size, gp.source_size, gp.target,
-       CASE WHEN gp.size > 0 THEN ((gp.whole + (gp.picked OR coalesce(gp.doc_id = cl.closing_id, false))::INTEGER) * gp.size)::BIGINT ELSE 0 END AS taken
+       CASE WHEN gp.size > 0 THEN ((gp.whole + (gp.picked OR coalesce(gp.key = cl.closing_key, false))::INTEGER) * gp.size)::BIGINT ELSE 0 END AS taken
 FROM gp LEFT JOIN cl ON gp.source IS NOT DISTINCT FROM cl.source
 """
 

@@ -8,30 +8,31 @@ Medians are distributed: an item's coordinate and a hash make one 62-bit key, an
 digit (11 bits at a time) from sums of bytes per node and digit, at most nodes x 2048 sums a round. If the item on the
 cut is so large that either side would be uneven, it is put on the left and the cut is sought among the rest.
 
-Only a text whose copies outweigh a whole shard is divided among shards. A null text is a text of its own with size 1.
-Slots number a shard's rows from 0 without gaps: sums over hash buckets give each bucket its first slot.
+Only a text whose copies outweigh a whole shard is divided among shards, row by row. A null text is a text of its own
+with size 1. Slots number a shard's rows from 0 without gaps: sums over hash buckets give each bucket its first slot.
+Null and repeated ids, and repeated rows, are rows like any other. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash
+from .common import Stash, join_counted, numbered
 
-DIGIT, KEY_BITS, UNEVEN = 11, 62, 0.005
+DIGIT, KEY_BITS, UNEVEN, BUCKET_ROWS = 11, 62, 0.005, 20_000
 DIMS = ("d_size", "d_source", "d_lang", "d_id")
 
 
 def _items(docs: DataFrame, shards: int, stash: Stash) -> tuple[DataFrame, DataFrame, int]:
     """The rows with their item, the items with coordinates in 0..1, and all bytes."""
-    rows = stash.put(docs)
+    rows = stash.put(docs.withColumn("_row", F.monotonically_increasing_id()))
     total = rows.agg(F.sum("size")).first()[0] or 0
     bytes_of = rows.groupBy("t1", "t2").agg(F.sum("size").alias("all_bytes"))
     parts = bytes_of.filter(F.col("all_bytes") * shards > max(total, 1)).withColumn("parts", F.ceil(F.col("all_bytes") * shards * 8 / max(total, 1)))  # at most `shards` rows
-    rows = rows.join(F.broadcast(parts.drop("all_bytes")), ["t1", "t2"], "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(1)), "parts")).cast("long")).drop("parts")
+    rows = rows.join(F.broadcast(parts.drop("all_bytes")), ["t1", "t2"], "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_row", F.lit(1)), "parts")).cast("long")).drop("parts")
     rows = rows.withColumn("item", F.when(F.col("part") > 0, F.xxhash64("t1", "t2", "part")).otherwise(F.xxhash64("t1", "t2")))
-    items = rows.groupBy("item").agg(F.sum("size").alias("bytes"), F.log(F.max("size").cast("double")).alias("d_size"), (F.crc32(F.coalesce(F.min("source"), F.lit(""))) / float(1 << 32)).alias("d_source"), (F.crc32(F.coalesce(F.min("lang"), F.lit(""))) / float(1 << 32)).alias("d_lang"), F.coalesce(F.min("doc_id").cast("double"), F.lit(0.0)).alias("d_id"))
+    items = rows.groupBy("item").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.log(F.max("size").cast("double")).alias("d_size"), (F.crc32(F.coalesce(F.min("source"), F.lit(""))) / float(1 << 32)).alias("d_source"), (F.crc32(F.coalesce(F.min("lang"), F.lit(""))) / float(1 << 32)).alias("d_lang"), F.coalesce(F.min("doc_id").cast("double"), F.lit(0.0)).alias("d_id"))
     items = stash.put(items)
     ends = items.agg(*(f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max)))).first()
     for d in DIMS:
@@ -115,17 +116,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
         items = keyed.withColumn("node", F.when(split & ~left, 2 * F.col("node") + 2).otherwise(2 * F.col("node") + 1)).drop("key")
         spans = nxt
     shard = _pick({n: a for n, (a, _) in spans.items()}, 0)
-    placed = rows.join(items.select("item", shard.cast("int").alias("shard")), "item").select("doc_id", "size", "text_crc32", "t1", "shard")
-    return with_slots(placed, stash).select("doc_id", "size", "text_crc32", "shard", "slot")
-
-
-def with_slots(placed: DataFrame, stash: Stash, bucket_rows: int = 20_000) -> DataFrame:
-    """placed (doc_id, t1, shard, ...) with slot: 0, 1, ... in each shard. Hash buckets of about bucket_rows rows are
-    numbered by themselves; buckets begin where the sums of the buckets before them end."""
-    placed = stash.put(placed)
-    buckets = placed.count() // bucket_rows + 1
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "t1", F.lit(11)), F.lit(buckets)))
-    sums = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    begins = sums.withColumn("begin", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
-    inner = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "t1")) - 1
-    return placed.withColumn("inner", inner).join(begins, ["shard", "bucket"]).withColumn("slot", (F.col("begin") + F.col("inner")).cast("long"))
+    placed = join_counted(rows, stash.put(items.select("item", "n", shard.cast("int").alias("shard"))), "item", "n", rows.count())
+    placed = stash.put(placed.select("doc_id", "size", "text_crc32", "shard", "_row"))
+    buckets = placed.count() // BUCKET_ROWS + 1
+    return numbered(placed, ["shard"], "slot", buckets, ("doc_id",)).select("doc_id", "size", "text_crc32", "shard", "slot")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, Stash
+from .common import ASCII_LOWER, Stash, join_counted
 from .graph import components
 
 
@@ -89,5 +89,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     root = components(edges, stash).withColumnRenamed("node", "fp")
     named = classes.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(first, "root").select("fp", "component_id", "class_size")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id", "class_size")
+    by_fp = stash.put(named.join(first, "root").select("fp", "component_id", "class_size"))
+    return join_counted(marked, by_fp, "fp", "class_size", marked.count()).select("doc_id", "fp", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id", "class_size")
