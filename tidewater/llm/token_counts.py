@@ -6,14 +6,19 @@ node is the pre-token's count. The pieces and their scores are those of a public
 -log(r + 2) (Zipf's law, in integer millionths so that sums are exact); fewer pieces win between equal scores. As every
 single byte is a piece, every text can be cut.
 
-A null or empty text has no tokens. A trie that reaches ``max_nodes`` nodes is dropped and begun anew, which bounds
-memory and changes no count.
+A pre-token of over ``LONG`` bytes shares its first LONG bytes in the trie; the forward scores of the rest are kept in a
+window as wide as the longest piece, so a run of letters of any length takes bounded memory. A trie that reaches
+``max_nodes`` nodes is dropped and begun anew, and so are the counts remembered of whole pre-tokens (by their bytes): both
+bound memory and change no count.
+
+A null or empty text has no tokens; rows that repeat are counted each. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+LONG, REMEMBERED = 1024, 16_000_000  # bytes of a pre-token that enter the trie; of pre-tokens whose counts a task keeps
 SCHEMA = "struct<n_pretokens: bigint, n_tokens: bigint, score: bigint>"
 
 
@@ -37,7 +43,7 @@ class PrefixTrie:
     """Pre-tokens to (best score, fewest pieces); nodes are (parent, byte) with one forward value each."""
 
     def __init__(self, scores: dict[bytes, int], max_nodes: int = 1_500_000):
-        self.scores, self.max_nodes, self.longest = scores, max_nodes, max(map(len, scores))
+        self.ends, self.max_nodes, self.longest = piece_ends(scores), max_nodes, max(map(len, scores))
         self.reset()
 
     def reset(self) -> None:
@@ -47,25 +53,43 @@ class PrefixTrie:
     def insert(self, word: bytes) -> tuple[int, int]:
         if len(self.fwd) > self.max_nodes:
             self.reset()
-        child, fwd, scores, longest = self.child, self.fwd, self.scores, self.longest
-        path, node = [0], 0
-        for i, b in enumerate(word, 1):
+        child, fwd = self.child, self.fwd
+        path, node, head = [0], 0, word[:LONG]
+        for i, b in enumerate(head, 1):
             key = node << 8 | b
             nxt = child.get(key)
             if nxt is None:
-                best = None
-                for j in range(max(0, i - longest), i):
-                    s = scores.get(word[j:i])
-                    if s is not None:
-                        f = fwd[path[j]]
-                        cand = (f[0] + s, f[1] - 1)
-                        if best is None or cand > best:
-                            best = cand
                 nxt = child[key] = len(fwd)
-                fwd.append(best)
+                fwd.append(self._best(word, i, lambda j: fwd[path[j]]))
             node = nxt
             path.append(node)
-        return fwd[node]
+        if len(word) == len(head):
+            return fwd[node]
+        window = deque((fwd[n] for n in path[-self.longest :]), maxlen=self.longest)
+        for i in range(LONG + 1, len(word) + 1):
+            first = i - len(window)
+            window.append(self._best(word, i, lambda j, first=first: window[j - first]))
+        return window[-1]
+
+    def _best(self, word: bytes, i: int, before) -> tuple[int, int]:
+        """The best (score, minus pieces) of word[:i], from the scores of shorter prefixes: pieces that end there, shorter
+        ones first, as long as some piece has that end."""
+        ends, best = self.ends, None
+        for j in range(i - 1, -1, -1):
+            s = ends.get(word[j:i], 0)
+            if s == 0:
+                break
+            if s is not None:
+                f = before(j)
+                cand = (f[0] + s, f[1] - 1)
+                if best is None or cand > best:
+                    best = cand
+        return best
+
+
+def piece_ends(scores: dict[bytes, int]) -> dict[bytes, int | None]:
+    """Every end of a piece: its score if it is a piece itself, else None. No score is 0."""
+    return {p[i:]: None for p in scores for i in range(1, len(p))} | scores
 
 
 def counter(spark, ranks_path: str, pattern: str, max_nodes: int = 1_500_000):
@@ -74,21 +98,23 @@ def counter(spark, ranks_path: str, pattern: str, max_nodes: int = 1_500_000):
 
     @F.arrow_udf(SCHEMA)
     def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        trie, cut, memo = PrefixTrie(shared.value, max_nodes), regex.compile(pattern), {}
+        trie, cut, memo, held = PrefixTrie(shared.value, max_nodes), regex.compile(pattern), {}, 0
         for batch in texts:
             n, k, s = [], [], []
             for t in batch:
-                words = cut.findall(t.as_py() or "")
-                tokens = score = 0
-                for w in words:
+                words = tokens = score = 0
+                for m in cut.finditer(t.as_py() or ""):
+                    w = m[0]
                     got = memo.get(w)
                     if got is None:
-                        if len(memo) > 300_000:
-                            memo.clear()
+                        held += len(w) + 60
+                        if held > REMEMBERED:
+                            memo, held = {}, len(w)
                         got = memo[w] = trie.insert(w.encode())
+                    words += 1
                     score += got[0]
                     tokens -= got[1]
-                n.append(len(words))
+                n.append(words)
                 k.append(tokens)
                 s.append(score)
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.int64())], ["n_pretokens", "n_tokens", "score"])
