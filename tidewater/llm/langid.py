@@ -6,7 +6,8 @@ each n-gram picks its column, and columns are summed per text. The score is the
 
 Fitting takes some ``per_lang`` rows of each of at most ``max_langs`` languages, by a hash of the id, and ``max_bytes``
 of text, which the languages share evenly where it binds; none stays without a row. Null texts and texts without a letter are ``und`` with score 0, and so is everything if there
-is nothing to learn from. Ties go to the language that comes first in code-point order.
+is nothing to learn from. Ties go to the language that comes first in code-point order. Null and repeated ids, and repeated rows, are
+rows like any other. Other columns, whatever their names, are not read. A long text is scored in slices.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import held_out, taken_bytes
 
 BUCKETS = 1 << 15
+LONG = 300_000  # characters of a text that is scored in slices
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], dtype=np.uint32)
 SCHEMA = "struct<lang_pred: string, score: double>"
 UNKNOWN = "und"
@@ -37,8 +39,16 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all texts in a row (three per character, BUCKETS where there is none) and where each text begins."""
     framed = [f" {t.lower()} " for t in texts]
     begins = np.concatenate([[0], np.cumsum([len(t) for t in framed])[:-1]]).astype(np.int64)
-    c = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    doc = np.repeat(np.arange(len(framed)), np.diff(np.append(begins, len(c))))
+    c = _points("".join(framed))
+    return _hashed(c, np.repeat(np.arange(len(framed)), np.diff(np.append(begins, len(c))))), begins
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _hashed(c: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The n-grams that begin at each character, within one text."""
     out = np.full((len(c), 3), BUCKETS, dtype=np.int32)
     h = np.zeros(len(c), dtype=np.uint32)
     for n in range(3):
@@ -48,7 +58,15 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h = (h[:m] * np.uint32(31) + c[n:]) * MULTIPLIERS[n]
         h ^= h >> np.uint32(15)
         out[:m, n] = np.where(doc[n:] == doc[:m], h & np.uint32(BUCKETS - 1), BUCKETS)
-    return out, begins
+    return out
+
+
+def sliced(text: str, size: int = 100_000):
+    """The features of one text, slice by slice; an n-gram counts in the slice where it begins."""
+    framed = f" {text.lower()} "
+    for a in range(0, len(framed), size):
+        c = _points(framed[a : a + size + 2])
+        yield _hashed(c, np.zeros(len(c), np.int8))[:size]
 
 
 def train(rows: list[tuple[str, str]], smoothing: float = 0.5) -> Model | None:
@@ -59,7 +77,8 @@ def train(rows: list[tuple[str, str]], smoothing: float = 0.5) -> Model | None:
     for lang, text in rows:
         i = langs.index(lang)
         n[i] += 1
-        counts[i] += np.bincount(ngrams([text])[0].ravel(), minlength=BUCKETS + 1)[:BUCKETS]
+        for grams in sliced(text):
+            counts[i] += np.bincount(grams.ravel(), minlength=BUCKETS + 1)[:BUCKETS]
     p = np.log(counts + smoothing) - np.log((counts + smoothing).sum(axis=1, keepdims=True))
     return Model(langs, np.hstack([p, np.zeros((len(langs), 1))]).astype(np.float32), np.log(n / n.sum()))
 
@@ -69,9 +88,17 @@ def predict(model: Model | None, texts: list[str | None]) -> list[tuple[str, flo
     known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model else []
     if not known:
         return out
-    grams, begins = ngrams([texts[i] for i in known])
-    flat = grams.ravel()
-    sums = np.stack([np.add.reduceat(p[flat], 3 * begins, dtype=np.float64) for p in model.log_p]) + model.prior[:, None]
+    sums = np.zeros((len(model.langs), len(known)))
+    short = [j for j, i in enumerate(known) if len(texts[i]) <= LONG]
+    if short:
+        grams, begins = ngrams([texts[known[j]] for j in short])
+        flat = grams.ravel()
+        sums[:, short] = np.stack([np.add.reduceat(p[flat], 3 * begins, dtype=np.float64) for p in model.log_p])
+    for j, i in enumerate(known):
+        if len(texts[i]) > LONG:
+            for grams in sliced(texts[i]):
+                sums[:, j] += model.log_p[:, grams.ravel()].sum(axis=1, dtype=np.float64)
+    sums += model.prior[:, None]
     best = sums.argmax(axis=0)
     odds = np.exp(sums - sums.max(axis=0)).sum(axis=0)
     for i, b, o in zip(known, best.tolist(), odds.tolist(), strict=True):
@@ -100,7 +127,7 @@ def identifier(spark, model: Model | None):
         for t in texts.to_pylist():  # a long text is one piece of work, short ones go together
             held.append(t)
             size += len(t or "")
-            if size > 300_000:
+            if size > LONG:
                 out += predict(shared.value, held)
                 held, size = [], 0
         out += predict(shared.value, held)
