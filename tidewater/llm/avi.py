@@ -7,6 +7,9 @@ unpacked as whole arrays. The reader takes any Huffman table: tables of another
 
 Shots: the grey histograms of neighbouring frames are compared; a cut lies where their distance exceeds the mean of the
 last eight distances by three standard deviations, and a floor. Each shot is a clip row with its start and end time.
+
+A null or empty text is one frame of spaces. Null and repeated ids, and repeated rows, are rows like any other; columns
+that are not named, whatever they are called, are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import types as T
 WIDTH, HEIGHT, FPS = 16, 12, 25
 FRAME = WIDTH * HEIGHT
 BINS, LOOKBACK, FLOOR = 16, 8, 0.2
+AT_ONCE = 4096  # frames that are packed or unpacked at once
 
 #: Categories 8..0 get codes of 1..9 bits: category and extra bits fill 9 bits together.
 CATEGORIES = list(range(8, -1, -1))
@@ -66,12 +70,14 @@ def predictions_added(d: np.ndarray) -> np.ndarray:
 
 
 def encode_frames(payload: bytes) -> list[bytes]:
-    x = np.frombuffer(payload, dtype=np.uint8).reshape(-1, HEIGHT, WIDTH)
-    words = CODE[predictions_removed(x) + 255].reshape(-1) << 7
-    bits = np.unpackbits(words.astype(">u2").view(np.uint8)).reshape(-1, 16)[:, :9]
-    packed = np.packbits(bits.reshape(len(x), -1), axis=1).tobytes()
-    n = FRAME * 9 // 8
-    return [HEADER + packed[i : i + n].replace(b"\xff", b"\xff\0") + END for i in range(0, len(packed), n)]
+    frames, n = [], FRAME * 9 // 8
+    for at in range(0, len(payload), AT_ONCE * FRAME):
+        x = np.frombuffer(payload[at : at + AT_ONCE * FRAME], dtype=np.uint8).reshape(-1, HEIGHT, WIDTH)
+        words = CODE[predictions_removed(x) + 255].reshape(-1) << 7
+        bits = np.unpackbits(words.astype(">u2").view(np.uint8)).reshape(-1, 16)[:, :9]
+        packed = np.packbits(bits.reshape(len(x), -1), axis=1).tobytes()
+        frames += [HEADER + packed[i : i + n].replace(b"\xff", b"\xff\0") + END for i in range(0, len(packed), n)]
+    return frames
 
 
 def _chunk(name: bytes, data: bytes) -> bytes:
@@ -162,6 +168,15 @@ def _scan_by_bits(data: bytes, n: int, table: dict[tuple[int, int], int]) -> lis
     return out
 
 
+def _unpacked(scans: list[bytes], height: int, width: int) -> np.ndarray:
+    """Frames whose codes and extra bits are 9 bits together."""
+    n = height * width
+    bits = np.unpackbits(np.frombuffer(b"".join(scans), dtype=np.uint8).reshape(len(scans), -1), axis=1)[:, : n * 9].reshape(-1, 9)
+    wide = np.zeros((len(bits), 16), dtype=np.uint8)
+    wide[:, 7:] = bits
+    return predictions_added(DIFF[np.packbits(wide, axis=1).view(">u2").reshape(-1)].reshape(-1, height, width))
+
+
 def decode_frames(media: bytes) -> tuple[np.ndarray, float]:
     """All frames (n x height x width, uint8) and frames a second."""
     index, fps = read_index(media)
@@ -174,12 +189,7 @@ def decode_frames(media: bytes) -> tuple[np.ndarray, float]:
         same = same and media[at : at + begin] == head
         scans.append(media[at + begin : at + size - 2].replace(b"\xff\0", b"\xff"))
     if same and {(b, c) for (b, _), c in table.items()} == {(9 - c, c) for c in CATEGORIES} and len({len(s) for s in scans}) == 1:
-        n = height * width
-        bits = np.unpackbits(np.frombuffer(b"".join(scans), dtype=np.uint8).reshape(len(scans), -1), axis=1)[:, : n * 9].reshape(-1, 9)
-        wide = np.zeros((len(bits), 16), dtype=np.uint8)
-        wide[:, 7:] = bits
-        d = DIFF[np.packbits(wide, axis=1).view(">u2").reshape(-1)]
-        return predictions_added(d.reshape(-1, height, width)), fps
+        return np.concatenate([_unpacked(scans[i : i + AT_ONCE], height, width) for i in range(0, len(scans), AT_ONCE)]), fps
     out = []
     for at, size in index:
         h, w, table, begin = _parse_jpeg(media[at : at + size])
@@ -188,13 +198,18 @@ def decode_frames(media: bytes) -> tuple[np.ndarray, float]:
     return np.concatenate(out), fps
 
 
+def _histograms(frames: np.ndarray) -> np.ndarray:
+    n = len(frames)
+    flat = (np.arange(n)[:, None] * BINS + (frames.reshape(n, -1) >> 4)).ravel()
+    return np.bincount(flat, minlength=n * BINS).reshape(n, BINS)
+
+
 def shots(frames: np.ndarray, fps: float) -> list[tuple[int, int, int, int]]:
     """Clips (first frame, frame after the last, start ms, end ms)."""
     n = len(frames)
     if not n:
         return []
-    flat = (np.arange(n)[:, None] * BINS + (frames.reshape(n, -1) >> 4)).ravel()
-    hist = np.bincount(flat, minlength=n * BINS).reshape(n, BINS)
+    hist = np.concatenate([_histograms(frames[i : i + AT_ONCE]) for i in range(0, n, AT_ONCE)])
     d = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2.0 * frames[0].size)
     cuts = [0]
     if len(d):
