@@ -168,20 +168,35 @@ def test_top_k(spark):
     assert len(topk.top_k(df.limit(3), F.lit(True)).collect()) == 6
 
 
-def test_mixing(documents, hard, empty):
-    for docs in (documents, hard):
-        got = mixing.mix(docs).collect()
-        assert sorted(r.size for r in got) == sorted(len(words(r.text)) for r in docs.select("text").collect())
-        assert all(r.taken <= 2 * r.size for r in got)
+def assert_near_targets(rows):
     taken, target, largest = Counter(), {}, Counter()
-    for r in mixing.mix(documents).collect():
+    for r in rows:
         taken[r.source] += r.taken
         target[r.source] = r.target
         largest[r.source] = max(largest[r.source], r.size)
+        assert r.taken <= 2 * r.size
     assert all(abs(taken[s] - t) <= largest[s] for s, t in target.items())
+
+
+def test_mixing(documents, hard, empty):
+    for docs in (documents, hard):
+        got = mixing.mix(docs).collect()
+        assert sorted(r.size for r in got) == sorted(len(words(r.text)) for r in docs.select("text").collect())
+        assert_near_targets(got)
     assert mixing.mix(empty).collect() == []
 
 
+def test_mixing_draws_rows_without_ids_one_by_one(spark):
+    """Null ids, one id for many texts, and rows that are equal throughout; in any order of the rows."""
+    rows = [(None, f"word{i} two three four five", "ab"[i % 2]) for i in range(40)] + [(7, f"six seven {i}", "c") for i in range(40)] + [(8, "nine ten", "d")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    assert_near_targets(got)
+    plain = lambda rs: sorted((str(r.doc_id), str(r.source), r.size, r.copies) for r in rs)
+    assert plain(got) == plain(mixing.mix(df.orderBy(F.rand(3)).repartition(5)).collect())
+
+
 def test_sharding(documents, hard, empty):
     for docs in (documents, hard):
         got = sharding.assign_shards(docs, 8).collect()
@@ -195,9 +210,61 @@ def test_sharding(documents, hard, empty):
         total[r.shard] += r.size
     largest = max(r.size for r in got)
     assert max(total.values()) - min(total[s] for s in range(8)) <= max(2 * largest, 0.05 * sum(total.values()) / 8)
+    where = defaultdict(set)
+    for r in got:
+        where[r.size, r.text_crc32].add(r.shard)
+    assert max(map(len, where.values())) == 1  # equal texts lie together
     assert sharding.assign_shards(empty, 8).collect() == []
 
 
+def test_sharding_of_copies(spark):
+    """A text with a third of all rows, the rows themselves equal too, is the only one that is divided."""
+    rows = [(1, "the same words over and over " * 4, "a", "en")] * 300 + [(i, f"text {i} " * (1 + i % 40), "abc"[i % 3], "en") for i in range(600)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(7), 8).collect()
+    total, where = Counter(), defaultdict(set)
+    for r in got:
+        total[r.shard] += r.size
+        where[r.text_crc32].add(r.shard)
+    assert len(where.pop(zlib.crc32(rows[0][1].encode()))) > 1
+    assert max(map(len, where.values())) == 1
+    assert max(total.values()) - min(total.values()) <= 0.05 * sum(total.values()) / 8
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_sharding_beside_a_plain_tree(spark, documents):
+    """The same tree in plain Python: sort a node along its widest dimension, cut where the bytes come nearest the goal; an
+    item on the cut that would leave the sides uneven goes to the left."""
+    from tidewater.llm.common import Stash
+
+    text = F.coalesce("text", F.lit(""))
+    slim = documents.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.xxhash64("text", F.lit(7)).alias("t1"), F.xxhash64(F.md5(text)).alias("t2"), "source", "lang")
+    rows, items, _ = sharding._items(slim, 8, Stash(spark))
+    low = F.pmod(F.xxhash64("item", F.lit(3)), F.lit(1 << 31)).alias("low")
+    leaves, todo = {}, [(items.select("*", low).collect(), 0, 8)]
+    while todo:
+        part, a, b = todo.pop()
+        if b - a == 1:
+            leaves |= {r["item"]: a for r in part}
+            continue
+        span = lambda d, part=part: max(r[d] for r in part) - min(r[d] for r in part)
+        wide = max(sharding.DIMS, key=lambda d: (span(d), -sharding.DIMS.index(d)))
+        part.sort(key=lambda r: min(int(r[wide] * 2**31), 2**31 - 1) << 31 | r["low"])
+        m, whole = (b - a) // 2, sum(r["bytes"] for r in part)
+        goal, left, rest = whole * m / (b - a), [], part
+        while True:
+            upto = np.cumsum([0] + [r["bytes"] for r in rest])
+            at = min(int(np.argmax(upto[1:] > goal)) if (upto[1:] > goal).any() else len(rest) - 1, len(rest) - 1)  # the item on the cut
+            here, under, over = rest[at]["bytes"], goal - upto[at], upto[at + 1] - goal
+            if min(under, over) <= sharding.UNEVEN * whole or here > goal or len(left) == 16:
+                break
+            left, rest, goal = [*left, rest[at]], rest[:at] + rest[at + 1 :], goal - here
+        cut = at if under <= over else at + 1
+        todo += [(left + rest[:cut], a, a + m), (rest[cut:], a + m, b)]
+    item_of = {r.doc_id: r["item"] for r in rows.select("doc_id", "item").collect()}
+    assert {r.doc_id: r.shard for r in sharding.assign_shards(documents, 8).collect()} == {d: leaves[i] for d, i in item_of.items()}
+
+
 def test_language_on_held_out_rows(spark, hard):
     at = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "lang").collect()}
@@ -287,3 +354,104 @@ def test_bpe_of_many_wide_pretokens():
     many = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 390)) for _ in range(1500)]
     codec.learn(many)
     assert all(codec.known[w][0] == ",".join(map(str, coder.encode_ordinary(w))) for w in many)
+
+
+def test_token_counts_of_long_pretokens(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    scores = token_counts.piece_scores(token_counts.read_ranks(path))
+    trie, rng = token_counts.PrefixTrie(scores), np.random.default_rng(6)
+    for n in (1, 1023, 1024, 1025, 3000):
+        w = "".join(rng.choice(list("abcdefgh"), n))
+        assert (-trie.insert(w.encode())[1], trie.insert(w.encode())[0]) == brute_tokens(w, scores, regex.compile(r"\w+"))
+    before = len(trie.fwd)
+    trie.insert(b"".join(rng.choice([b"a", b"b", b"c"], 200_000)))
+    assert len(trie.fwd) <= before + token_counts.LONG
+    docs = spark.createDataFrame([(1, "x" * 50_000 + " " + "yz" * 20_000)], "doc_id long, text string")
+    assert token_counts.count_tokens(docs, path, public_tokenizers.PATTERN).first().n_pretokens == 2
+
+
+def test_toxicity_beside_a_plain_version(spark, documents, hard):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(documents, labels)
+    assert model.toxic != model.ordinary and len(model.toxic) == len(model.ordinary)
+    judge = toxicity._compressor
+    for docs in (documents, hard):
+        score = toxicity.scorer(spark, model)
+        for r in docs.select("text", score("text").alias("t")).collect():
+            gains = [len(judge(model.ordinary).compress(w)) - len(judge(model.toxic).compress(w)) for w in toxicity.windows(r.text or "")] if r.text else []
+            gains, n = [g for g in gains if g > 1], len(gains)
+            x = toxicity.features(max(gains, default=0), sum(gains), n)
+            s = 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights))))
+            assert (r.t.windows, r.t.gain, r.t.predicted) == (n, max(gains, default=0), int(r.t.score >= 0.3))
+            assert r.t.score == pytest.approx(s, abs=1e-9)
+            if n > 400:
+                break
+
+
+def plain_language(model, text):
+    """Naive Bayes, one n-gram at a time."""
+    text = f" {text.lower()} "
+    sums = list(model.prior)
+    for i in range(len(text)):
+        h = 0
+        for n, c in enumerate(text[i : i + 3]):
+            h = (h * 31 + ord(c)) * int(langid.MULTIPLIERS[n]) % 2**32
+            h ^= h >> 15
+            for k in range(len(sums)):
+                sums[k] += float(model.log_p[k, h % langid.BUCKETS])
+    best = max(range(len(sums)), key=lambda k: (sums[k], -k))
+    return model.langs[best], 1 / sum(math.exp(s - sums[best]) for s in sums)
+
+
+def test_language_beside_a_plain_version(documents, monkeypatch):
+    model = langid.fit(documents)
+    texts = [r.text for r in documents.limit(20).collect()] + [None, "", "...", "a", "東京 x", "Straße İ"]
+    for slices in (langid.LONG, 50):
+        monkeypatch.setattr(langid, "LONG", slices)
+        for (lang, score), t in zip(langid.predict(model, texts), texts, strict=True):
+            if not t or not any(map(str.isalpha, t)):
+                assert (lang, score) == ("und", 0.0)
+            else:
+                want = plain_language(model, t)
+                assert lang == want[0] and score == pytest.approx(want[1], abs=1e-6)
+    assert np.concatenate(list(langid.sliced("abc " * 1000, 7))).tolist() == langid.ngrams(["abc " * 1000])[0].tolist()
+
+
+def test_avi_features_beside_a_plain_version(hard, documents, monkeypatch):
+    monkeypatch.setattr(avi, "AT_ONCE", 3)
+    for r in hard.select("text", avi.inspect(avi.to_avi("text")).alias("m")).union(documents.limit(20).select("text", avi.inspect(avi.to_avi("text")).alias("m"))).collect():
+        pad = avi.payload_of((r.text or "").encode())
+        hists = [Counter(b >> 4 for b in pad[i : i + 192]) for i in range(0, len(pad), 192)]
+        d = [sum(abs(a[k] - b[k]) for k in range(16)) / 384 for a, b in zip(hists, hists[1:])]
+        cuts = [0]
+        for i, x in enumerate(d):
+            last = d[max(0, i - 8) : i] or [0.0]
+            mean = sum(last) / len(last)
+            dev = math.sqrt(sum((y - mean) ** 2 for y in last) / len(last))
+            if x > max(0.2, mean + 3 * dev) + 1e-12:
+                cuts.append(i + 1)
+        clips = [(a, b, a * 40, b * 40) for a, b in zip(cuts, [*cuts[1:], len(hists)])]
+        timed = ";".join(f"{a}-{b}@{s}-{e}" for a, b, s, e in clips)
+        assert r.m.feature == f"clips={len(clips)} longest={max(e - s for _, _, s, e in clips)}ms digest={zlib.crc32(timed.encode()):08x}"
+        assert (r.m.payload_sha256, r.m.tail_crc32) == (hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-16:]))
+
+
+def test_rows_of_one_key_are_numbered_without_gaps(spark):
+    from tidewater.llm.common import Stash, numbered
+
+    rows = Stash(spark).put(spark.range(500).select(F.when(F.col("id") % 5 > 0, F.lit("hot")).alias("k"), F.col("id").alias("_row")))
+    got = defaultdict(list)
+    for r in numbered(rows, ["k"], "i", 7).collect():
+        got[r.k].append(r.i)
+    assert {k: sorted(v) for k, v in got.items()} == {"hot": list(range(400)), None: list(range(100))}
+
+
+def test_a_cluster_must_name_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tidewater.llm.common import shared_dir
+
+    lost = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(lost)
+    assert shared_dir(spark)
