@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import bpe, langid, mixing, simhash, toxicity
-from tidewater.llm.common import Stash, shared_dir, table
+from tidewater.llm.common import STASHES, Stash, table
 
 
 def _with(df: DataFrame, column) -> DataFrame:
@@ -73,12 +72,18 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = f"{shared_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows, read from its table in the shared folder; what the stages before it wrote there goes."""
+    tables = Stash(spark)
 
     def step(docs: DataFrame, stage) -> DataFrame:
-        name, apply = stage
-        apply(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
-        return spark.read.parquet(f"{at}/{name}")
+        n = len(STASHES)
+        out = tables.put(stage[1](spark, docs, sf_dir))
+        for used in STASHES[n:]:
+            used.clear()
+        del STASHES[n:]
+        if hasattr(docs, "_stash_path"):
+            tables.drop(docs)
+        return out
 
     return reduce(step, STAGES, table(spark, sf_dir, "documents"))
 
