@@ -99,6 +99,20 @@ def nth_open_day(probes: DataFrame, calendar: DataFrame, at: str, n: Column | in
     return got.drop("_day", "_idx", "_is_open", "_first", "_at", "_want", "_target")
 
 
+def within_open_days(df: DataFrame, calendar: DataFrame, earlier: str, later: str, most: int, out: str) -> DataFrame:
+    """Whether at most `most` open days lie in (earlier, later]; null if a day is null. calendar: day, idx."""
+    ends = calendar.agg(F.min("day").alias("_lo"), F.max("day").alias("_hi"))
+    ahead = open_index(calendar)
+    upto = broadcast_if_small(ahead.select("_day", (F.col("_idx") - F.when(F.col("_is_open"), 0).otherwise(1)).alias("_n")))
+    n = df.crossJoin(F.broadcast(ends))  # one row
+    for side, c in (("_x", earlier), ("_y", later)):
+        clamped = F.least(F.greatest(F.col(c), F.col("_lo")), F.col("_hi"))
+        n = n.withColumn("_at", clamped).join(upto.select(F.col("_day").alias("_at"), F.col("_n").alias(side)), "_at", "left").drop("_at")
+        n = n.withColumn(side, F.when(F.col(c) < F.col("_lo"), 0).otherwise(F.col(side)))
+    known = F.col(earlier).isNotNull() & F.col(later).isNotNull()
+    return n.withColumn(out, F.when(known, F.col("_y") - F.col("_x") <= most)).drop("_x", "_y", "_lo", "_hi")
+
+
 def next_permitted_date(probes: DataFrame, days: DataFrame, keys: list[str], at: str, permitted: str, out: str) -> DataFrame:
     """The first open day at or after `at` with a session of a permitted kind (an array column); null if there is none.
 

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scale import total_order
+from .temporal import next_event, resolve_exactly_one
+
 
 def lots(quantity: Column, lot: Column) -> Column:
     """Whole lots towards zero, sign kept."""
@@ -58,8 +61,8 @@ def ledger(requests: DataFrame, key: str, cash: float, rate: float = 0.0, limit:
     requests: key, asset_id, request_id, executed_at, side, lots_wanted, lot, price, halted (boolean), reference_price.
     In order (executed_at, asset, request): no fill if halted, outside the band or selling more than held; a buy is cut
     to the most lots that cash pays for, costs included. Each portfolio's orders are one sorted group, as the fold is
-    sequential in its cash; portfolios of more orders than a task holds can be cut by date and carried on (see
-    streaming.ledger).
+    sequential in its cash; portfolios of more orders than a task holds are cut by date and carried on by the stream
+    of the same name (streaming.jobs.running_ledger).
     """
     schema = f"{key} {requests.schema[key].dataType.simpleString()}, request_id string, filled long, cash_after double, position_after long, outcome string"
 
@@ -160,20 +163,90 @@ def infeasible_subsets(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).applyInPandas(find, f"{key} {rows.schema[key].dataType.simpleString()}, subset string")
 
 
+def affordable(cash: Column, price: Column, lot: Column, rate: float, minimum: float) -> Column:
+    """The most whole lots that cash pays for when costs are max(rate * gross, minimum); 0 if not even one, or no price."""
+    spend = F.least(cash / (1 + rate), cash - minimum)
+    unit = F.when(price > 0, lot * price)
+    return F.coalesce(F.greatest(F.floor(F.try_divide(spend, unit)), F.lit(0)) * lot, F.lit(0).cast("long"))
+
+
+def request_violations(requests: DataFrame, inputs: DataFrame) -> DataFrame:
+    """requests (request_id, asset_id, decision_at, requested_quantity, requested_price) with all their codes: a missing id, a
+    quantity or price out of range, an input (request_id, available_at) that was not available at the decision, more than one
+    decision for the asset on that date."""
+    late = inputs.groupBy("request_id").agg(F.max("available_at").alias("_latest"))
+    others = F.count("*").over(Window.partitionBy("asset_id", F.to_date("decision_at")))
+    j = requests.withColumn("_same", others).join(late, "request_id", "left")
+    checks = {
+        "request_id.missing": F.coalesce(F.trim("request_id") == "", F.lit(True)),
+        "requested_quantity.positive": F.coalesce(F.col("requested_quantity") <= 0, F.lit(True)),
+        "requested_price.negative": F.coalesce(F.col("requested_price") < 0, F.lit(True)),
+        "inputs.look_ahead": F.coalesce(F.col("_latest") > F.col("decision_at"), F.lit(False)),
+        "decision.duplicate": F.col("_same") > 1,
+    }
+    return j.withColumn("codes", F.array_sort(F.array_compact(F.array(*[F.when(bad, F.lit(c)) for c, bad in checks.items()])))).drop("_same", "_latest")
+
+
+#: What a backtest plan must pin.
+PINS = ("experiment_id", "strategy_version_id", "data_snapshot_id", "universe_version_id", "portfolio_definition_version_id", "trading_calendar_version_id", "market_rule_profile_version_id", "fx_policy_version_id", "transaction_cost_model_version_id")
+
+
+def missing_pins() -> Column:
+    """The pins of PINS that are null or blank, sorted."""
+    return F.array_sort(F.array_compact(F.array(*[F.when(F.coalesce(F.trim(c) == "", F.lit(True)), F.lit(c)) for c in PINS])))
+
+
+def schedule(requests: DataFrame, rules: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Requests with the rule in force at their decision and the first regular session strictly after it, in the order of
+    execution, asset and request.
+
+    requests: request_id, asset_id, market, decision_at; rules: market, version_id, effective_from, effective_to; sessions:
+    market, start_at, kind. status: scheduled, or rule-missing, rule-ambiguous, session-missing; seq numbers what is
+    scheduled.
+    """
+    r = requests.withColumn("_on", F.to_date("decision_at"))
+    found = resolve_exactly_one(r, ["request_id"], rules, ["market"], "_on", "version_id").select("request_id", F.col("status").alias("_rule"), F.col("resolved_id").alias("rule_version_id"))
+    starts = sessions.filter("kind = 'regular'").select("market", "start_at")
+    j = next_event(r.join(found, "request_id").drop("_on"), starts, ["market"], "decision_at", "start_at", "execution_at")
+    status = F.when(F.col("_rule") != "resolved", F.concat(F.lit("rule-"), F.col("_rule"))).when(F.col("execution_at").isNull(), "session-missing").otherwise("scheduled")
+    j = j.withColumn("status", status).drop("_rule")
+    ready = total_order(j.filter("status = 'scheduled'"), F.to_date("execution_at"), ["execution_at", "asset_id", "request_id"], "seq")
+    return ready.unionByName(j.filter("status <> 'scheduled'"), allowMissingColumns=True)
+
+
+def cash_distributions(positions: DataFrame, actions: DataFrame, asset: str, withholding: float) -> DataFrame:
+    """The credit of each cash distribution, once for each event and position held before its ex-date. positions: asset,
+    held_from, quantity; actions: event_id, asset, ex_date, payment_date, per_share."""
+    once = actions.groupBy("event_id", asset).agg(F.min(F.struct("ex_date", "payment_date", "per_share")).alias("_a")).select("event_id", asset, "_a.*")
+    due = positions.join(once, asset).filter(F.col("held_from") < F.col("ex_date"))
+    return due.groupBy(asset, "payment_date").agg(F.sum(F.col("quantity") * F.col("per_share") * (1 - withholding)).alias("credit"), F.count("*").alias("n_positions"))
+
+
 def apply_actions(positions: DataFrame, actions: DataFrame, asset: str) -> DataFrame:
-    """Positions after share-changing actions, each event once, on positions held before its effective date.
+    """Positions after share-changing actions, each event once (of rows of one event the first), on positions held before
+    its effective date; what a share cost is divided by what its quantity is multiplied by.
     positions: asset, held_from, quantity; actions: event_id, asset, effective_date, ratio."""
-    once = actions.dropDuplicates(["event_id"])
+    once = actions.groupBy("event_id").agg(F.min(F.struct(asset, "effective_date", "ratio")).alias("_a")).select("event_id", "_a.*")
     j = positions.join(once.select(asset, "effective_date", "ratio"), asset, "left").withColumn("_r", F.when(F.col("effective_date") > F.col("held_from"), F.col("ratio")).otherwise(1.0))
     return j.groupBy(asset, "held_from", "quantity").agg(F.coalesce(F.product("_r"), F.lit(1.0)).alias("ratio"), F.count_if(F.col("_r") != 1).alias("n_events")).withColumn("adjusted_quantity", F.col("quantity") * F.col("ratio"))
 
 
-def optimise(df: DataFrame, key: str, asset: str, score: str, cap: float, max_holdings: int) -> DataFrame:
-    """Long-only weights that maximise sum(score * weight) under a cap per asset and a number of holdings: the best
-    scores (ties to the first asset) fill up to the cap in turn. Infeasible sections get status INFEASIBLE."""
-    w = Window.partitionBy(key).orderBy(F.col(score).desc(), asset)
-    n = F.count("*").over(Window.partitionBy(key))
-    r = df.filter(F.col(score).isNotNull()).withColumn("_r", F.row_number().over(w)).withColumn("_n", F.least(n, F.lit(max_holdings)))
-    raw = F.greatest(F.least(F.lit(cap), F.lit(1.0) - (F.col("_r") - 1) * cap), F.lit(0.0))
-    ok = F.col("_n") * cap >= 1 - 1e-12
-    return r.withColumn("weight", F.when(ok & (F.col("_r") <= max_holdings), raw).when(ok, 0.0)).withColumn("status", F.when(ok, "OPTIMAL").otherwise("INFEASIBLE")).drop("_r", "_n")
+def optimise(df: DataFrame, key: str, asset: str, score: str, cap: float, max_holdings: int, group: str | None = None, group_cap: float = 1.0) -> DataFrame:
+    """Long-only weights that maximise sum(score * weight) under a cap per asset, a number of holdings and, with `group`, a
+    cap per group: the best scores (ties to the first asset) fill up in turn, first to what their group has left, then to
+    what the whole has left. With caps on groups alone this greedy filling is exact; a number of holdings below what it
+    would use keeps the first of them. Sections that cannot be filled get status INFEASIBLE.
+    """
+    section = Window.partitionBy(key)
+    order = [F.col(score).desc(), F.col(asset)]
+    before = lambda w: w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    r = df.filter(F.col(score).isNotNull()).withColumn("_cap", F.lit(float(cap)))
+    if group:
+        used = F.coalesce(F.sum("_cap").over(before(Window.partitionBy(key, group))), F.lit(0.0))
+        r = r.withColumn("_cap", F.greatest(F.least(F.lit(float(cap)), F.lit(float(group_cap)) - used), F.lit(0.0)))
+    r = r.withColumn("_r", F.sum(F.when(F.col("_cap") > 1e-12, 1).otherwise(0)).over(section.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    r = r.withColumn("_cap", F.when((F.col("_r") <= max_holdings) & (F.col("_cap") > 1e-12), F.col("_cap")).otherwise(0.0))
+    left = 1.0 - F.coalesce(F.sum("_cap").over(before(section)), F.lit(0.0))
+    ok = F.sum("_cap").over(section) >= 1 - 1e-12
+    weight = F.greatest(F.least(F.col("_cap"), left), F.lit(0.0))
+    return r.withColumn("weight", F.when(ok, weight)).withColumn("status", F.when(ok, "OPTIMAL").otherwise("INFEASIBLE")).drop("_r", "_cap")

@@ -47,6 +47,17 @@ def history(selected: DataFrame) -> DataFrame:
     return by
 
 
+def members(selected: DataFrame) -> DataFrame:
+    """The union of the members of all dates, with the first and last date of each."""
+    return selected.filter("included").groupBy("asset_id").agg(F.min("selection_date").alias("first_date"), F.max("selection_date").alias("last_date"), F.count("*").alias("n_dates"))
+
+
+def last_exclusions(selected: DataFrame) -> DataFrame:
+    """What the last date leaves out, and why."""
+    last = selected.agg(F.max("selection_date").alias("selection_date"))
+    return selected.filter("not included").join(F.broadcast(last), "selection_date", "left_semi").select("asset_id", "selection_date", "reason")  # one row
+
+
 def survivorship_warnings(memberships: DataFrame, dates: DataFrame) -> DataFrame:
     """Ranges of requested days that fall between two of an asset's intervals."""
     return source_gaps(memberships, dates, ["asset_id"], "selection_date")

@@ -100,6 +100,12 @@ def point_in_time(facts: DataFrame, keys: list[str], decision_at: Column, availa
     return latest_by(facts.filter(visible), keys, [available_at, tie]), facts.filter(~visible).withColumn("reason", F.lit("decision-time-before-provider-available-at"))
 
 
+def align(observations: DataFrame, decision_at: Column, available_at: str) -> DataFrame:
+    """All observations, each included or not at a decision, and why not."""
+    seen = F.coalesce(F.col(available_at) <= decision_at, F.lit(False))
+    return observations.withColumn("included", seen).withColumn("exclusion_reason", F.when(~seen, "provider-available-after-decision"))
+
+
 def manifest(df: DataFrame) -> DataFrame:
     """Order-insensitive content of a table: row count, sum and xor of row hashes."""
     h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])

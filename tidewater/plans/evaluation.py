@@ -255,6 +255,16 @@ def capped_optimum(spark, sf_dir):
     return trading.optimise(panel(spark, sf_dir), "bar_date", "asset_id", "factor", 0.2, 6).select("bar_date", "asset_id", F.round("weight", 8).alias("weight"), "status")
 
 
+@query(_P + """, r AS (SELECT bar_date, asset_id, factor, substr(asset_id, 7, 1) AS g FROM panel WHERE factor IS NOT NULL),
+c AS (SELECT *, greatest(least(0.2::DOUBLE, 0.3::DOUBLE - 0.2::DOUBLE * (row_number() OVER (PARTITION BY bar_date, g ORDER BY factor DESC, asset_id) - 1)), 0) AS cap FROM r),
+n AS (SELECT *, count(*) FILTER (cap > 1e-12) OVER (PARTITION BY bar_date ORDER BY factor DESC, asset_id ROWS UNBOUNDED PRECEDING) AS k FROM c), m AS (SELECT * REPLACE (CASE WHEN k <= 8 AND cap > 1e-12 THEN cap ELSE 0 END AS cap) FROM n),
+w AS (SELECT *, sum(cap) OVER (PARTITION BY bar_date) AS whole, coalesce(sum(cap) OVER (PARTITION BY bar_date ORDER BY factor DESC, asset_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM m)
+SELECT bar_date, asset_id, round(CASE WHEN whole >= 1 - 1e-12 THEN greatest(least(cap, 1 - used), 0) END, 8) AS weight, CASE WHEN whole >= 1 - 1e-12 THEN 'OPTIMAL' ELSE 'INFEASIBLE' END AS status FROM w""")
+def grouped_optimum(spark, sf_dir):
+    p = panel(spark, sf_dir).withColumn("g", F.substring("asset_id", 7, 1))
+    return trading.optimise(p, "bar_date", "asset_id", "factor", 0.2, 8, "g", 0.3).select("bar_date", "asset_id", F.round("weight", 8).alias("weight"), "status")
+
+
 @query(with_views("nav") + " SELECT round(sum(CASE WHEN benchmark > 0 AND value > 0 THEN value * benchmark END) / sum(CASE WHEN benchmark > 0 AND value > 0 THEN value END), 2) AS weighted_mean, max(value) - min(value) AS value_range, count(DISTINCT benchmark) AS n_distinct FROM nav")
 def weighted_mean(spark, sf_dir):
     ok = (F.col("benchmark") > 0) & (F.col("value") > 0)

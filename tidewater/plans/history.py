@@ -240,13 +240,17 @@ def latest_close_valuation(spark, sf_dir):
     return temporal.asof_join(p, b, ["asset_id"], "at", "bar_date", "bar_date", ["close"]).select("asset_id", "at", F.round("close", 6).alias("close"))
 
 
-@query(with_views("bars") + """, p AS (SELECT DISTINCT asset_id, (bar_date + INTERVAL 20 DAY)::DATE AS "at" FROM bars UNION SELECT DISTINCT asset_id, (bar_date + INTERVAL 3 DAY)::DATE FROM bars)
-SELECT p.asset_id, p."at", round(b.close, 6) AS close, CASE WHEN b.close IS NULL THEN 'unavailable' ELSE 'valued' END AS status FROM p LEFT JOIN bars b ON b.asset_id = p.asset_id AND b.bar_date = CAST(date_trunc('month', p."at") AS DATE) AND p."at" - b.bar_date <= 5""")
+@query(with_views("bars", "open_days") + """, p AS (SELECT DISTINCT asset_id, (bar_date + INTERVAL 20 DAY)::DATE AS "at" FROM bars UNION SELECT DISTINCT asset_id, (bar_date + INTERVAL 6 DAY)::DATE FROM bars),
+v AS (SELECT p.asset_id, p."at", (SELECT max(bar_date) FROM bars b WHERE b.asset_id = p.asset_id AND b.bar_date <= p."at") AS source_date FROM p),
+n AS (SELECT v.*, (SELECT count(*) FROM open_days WHERE day > source_date AND day <= v."at") AS k FROM v)
+SELECT n.asset_id, n."at", CASE WHEN k <= 5 THEN round(close, 6) END AS close, CASE WHEN source_date IS NOT NULL AND k <= 5 THEN 'valued' ELSE 'unavailable' END AS status FROM n LEFT JOIN bars b ON b.asset_id = n.asset_id AND b.bar_date = source_date""")
 def bounded_valuation(spark, sf_dir):
+    """The last close of at most five open days before the day."""
     b = bars(spark, sf_dir).select("asset_id", "bar_date", "close")
-    p = b.select("asset_id", F.date_add("bar_date", 20).alias("at")).union(b.select("asset_id", F.date_add("bar_date", 3).alias("at"))).distinct()
-    v = temporal.asof_join(p, b, ["asset_id"], "at", "bar_date", "bar_date", ["close"], within_days=5)
-    return v.select("asset_id", "at", F.round("close", 6).alias("close"), F.when(F.col("close").isNull(), "unavailable").otherwise("valued").alias("status"))
+    p = b.select("asset_id", F.date_add("bar_date", 20).alias("at")).union(b.select("asset_id", F.date_add("bar_date", 6).alias("at"))).distinct()
+    v = temporal.asof_join(p, b, ["asset_id"], "at", "bar_date", "bar_date", ["close", "bar_date"])
+    v = temporal.within_open_days(v, open_days(spark, sf_dir), "bar_date", "at", 5, "near")
+    return v.select("asset_id", "at", F.when(F.col("near"), F.round("close", 6)).alias("close"), F.when(F.col("near"), "valued").otherwise("unavailable").alias("status"))
 
 
 @query("""SELECT event_id, last_click FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_type <> 'click', event_id ROWS UNBOUNDED PRECEDING) AS last_click FROM events) WHERE event_type = 'view'""")
@@ -307,3 +311,28 @@ def path_conflicts(spark, sf_dir):
     end = F.when(k % 4 == 1, "/a").when(k % 4 == 2, "/a/b/").otherwise("")
     w = load(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/w/"), F.floor(k / 4).cast("string"), end).alias("path"))
     return temporal.path_conflicts(w, "page_id", "path")
+
+
+@query(_UNI + " SELECT asset_id, min(selection_date) AS first_date, max(selection_date) AS last_date, count(*) AS n_dates FROM u WHERE reason IS NULL GROUP BY 1")
+def universe_members(spark, sf_dir):
+    return universe.members(_universe(spark, sf_dir))
+
+
+@query(_UNI + " SELECT asset_id, selection_date, reason FROM u WHERE reason IS NOT NULL AND selection_date = DATE '1999-02-01'")
+def universe_last_exclusions(spark, sf_dir):
+    return universe.last_exclusions(_universe(spark, sf_dir))
+
+
+@query(_O + " SELECT event_id, available_at <= t AS included, CASE WHEN available_at > t THEN 'provider-available-after-decision' END AS exclusion_reason FROM observations, cut")
+def observation_alignment(spark, sf_dir):
+    o = observations(spark, sf_dir)
+    return versions.align(o.crossJoin(F.broadcast(_cut(o))), F.col("t"), "available_at").select("event_id", "included", "exclusion_reason")
+
+
+@query(_CHAIN + """, c2 AS (SELECT asset_id, metric, revision_position, sha256(coalesce(content::VARCHAR, '')) AS cid, asset_id::VARCHAR || '|' || metric AS k FROM ch)
+, r AS (WITH RECURSIVE f AS (SELECT asset_id, metric, revision_position, '' AS before, sha256(chr(31) || 'FACT' || chr(31) || k || chr(31) || cid) AS revision_id, cid, k FROM c2 WHERE revision_position = 1
+ UNION ALL SELECT c2.asset_id, c2.metric, c2.revision_position, sha256(f.revision_id || chr(31) || f.cid), sha256(sha256(f.revision_id || chr(31) || f.cid) || chr(31) || 'FACT' || chr(31) || c2.k || chr(31) || c2.cid), c2.cid, c2.k FROM f JOIN c2 ON c2.asset_id = f.asset_id AND c2.metric = f.metric AND c2.revision_position = f.revision_position + 1) SELECT * FROM f)
+SELECT asset_id, metric, revision_position::INTEGER AS revision_position, nullif(before, '') AS predecessor_id, sha256(revision_id || chr(31) || cid) AS version_id FROM r""")
+def revision_ids(spark, sf_dir):
+    c = _chain(spark, sf_dir).withColumn("cid", F.sha2(F.coalesce(F.col("content").cast("string"), F.lit("")), 256)).withColumn("k", F.concat_ws("|", F.col("asset_id").cast("string"), "metric"))
+    return versions.with_ids(c, "FACT", ["asset_id", "metric"], ["revision_position"], "cid", "k").select("asset_id", "metric", "revision_position", "predecessor_id", "version_id")

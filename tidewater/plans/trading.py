@@ -182,3 +182,53 @@ def infeasible_subset(spark, sf_dir):
     rows = p.select(g, F.concat(F.lit("c"), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("constraint_id"), F.create_map(F.lit("x"), F.lit(1.0), F.when(F.col("p_size") % 2 == 0, "y").otherwise("z"), F.lit(1.0)).alias("coefficients"), F.when(F.col("p_size") > 25, F.col("p_size") / 10.0).alias("lower"), F.when(F.col("p_size") <= 25, F.col("p_size") / 10.0).alias("upper"))
     nonneg = p.select(g).distinct().select("grp", F.explode(F.array(*[F.struct(F.lit(f"n{v}").alias("c"), F.lit(v).alias("v")) for v in "xyz"])).alias("s")).select("grp", F.col("s.c").alias("constraint_id"), F.create_map("s.v", F.lit(1.0)).alias("coefficients"), F.lit(0.0).alias("lower"), F.lit(1.2).alias("upper"))
     return B.infeasible_subsets(rows.unionByName(nonneg), "grp")
+
+
+@query("""SELECT o_orderkey, (greatest(floor(least(o_totalprice / (1 + 0.001::DOUBLE), o_totalprice - 30000) / (10 * (1 + o_custkey % 50))), 0) * 10)::BIGINT AS affordable FROM orders""")
+def affordable_quantity(spark, sf_dir):
+    price = (1 + F.col("o_custkey") % 50).cast("double")
+    return load(spark, sf_dir, "orders").select("o_orderkey", B.affordable(F.col("o_totalprice"), price, F.lit(10), 0.001, 30000.0).alias("affordable"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_custkey, o_orderdate, count(*) OVER (PARTITION BY o_custkey, o_orderdate::DATE) AS n FROM orders)
+SELECT o_orderkey, list_sort(list_filter([CASE WHEN o_orderkey % 10 = 0 THEN 'requested_quantity.positive' END, CASE WHEN o_orderkey % 11 = 0 THEN 'requested_price.negative' END, CASE WHEN o_orderkey % 6 = 0 THEN 'inputs.look_ahead' END, CASE WHEN n > 1 THEN 'decision.duplicate' END], lambda x: x IS NOT NULL)) AS codes FROM r""")
+def trade_request_validation(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = load(spark, sf_dir, "orders")
+    r = o.select("o_orderkey", k.cast("string").alias("request_id"), F.col("o_custkey").alias("asset_id"), F.col("o_orderdate").alias("decision_at"), F.when(k % 10 == 0, 0).otherwise(5).alias("requested_quantity"), F.when(k % 11 == 0, -1).otherwise(0).alias("requested_price"))
+    late = F.when(k % 6 == 0, F.col("o_orderdate") + F.expr("interval 1 second")).otherwise(F.col("o_orderdate"))
+    inputs = o.filter(k % 2 == 0).select(k.cast("string").alias("request_id"), late.alias("available_at"))
+    return B.request_violations(r, inputs).select("o_orderkey", "codes")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN ['experiment_id'] WHEN 2 THEN ['data_snapshot_id', 'fx_policy_version_id'] ELSE CAST([] AS VARCHAR[]) END AS missing FROM part""")
+def plan_pins(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    pins = {c: F.lit("v") for c in B.PINS} | {"experiment_id": F.when(k == 1, " ").otherwise("e"), "data_snapshot_id": F.when(k != 2, "s"), "fx_policy_version_id": F.when(k == 2, "").otherwise("f")}
+    return load(spark, sf_dir, "part").select("p_partkey", *[v.alias(c) for c, v in pins.items()]).select("p_partkey", B.missing_pins().alias("missing"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_custkey, CASE o_custkey % 5 WHEN 0 THEN 'M0' WHEN 1 THEN 'M1' ELSE 'M2' END AS market, o_orderdate FROM orders),
+s AS (SELECT CASE s_suppkey % 2 WHEN 0 THEN 'M1' ELSE 'M2' END AS market, TIMESTAMP '1996-01-01 09:30:00' + INTERVAL 1 DAY * (s_suppkey * 13 % 1500) AS start_at FROM supplier WHERE s_suppkey % 7 > 0),
+j AS (SELECT r.*, (SELECT min(start_at) FROM s WHERE s.market = r.market AND s.start_at > r.o_orderdate) AS execution_at, CASE WHEN market = 'M0' THEN 'rule-missing' WHEN market = 'M1' AND o_orderdate::DATE BETWEEN DATE '1998-01-01' AND DATE '1998-06-30' THEN 'rule-ambiguous' END AS bad FROM r),
+t AS (SELECT *, coalesce(bad, CASE WHEN execution_at IS NULL THEN 'session-missing' ELSE 'scheduled' END) AS status FROM j)
+SELECT o_orderkey, status, execution_at::VARCHAR AS execution_at, CASE WHEN status = 'scheduled' THEN row_number() OVER (PARTITION BY status ORDER BY execution_at, o_custkey, o_orderkey::VARCHAR) END AS seq FROM t""")
+def request_schedule(spark, sf_dir):
+    c = F.col("o_custkey") % 5
+    r = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("request_id"), F.col("o_custkey").alias("asset_id"), F.when(c == 0, "M0").when(c == 1, "M1").otherwise("M2").alias("market"), F.col("o_orderdate").alias("decision_at"))
+    rules = spark.sql("SELECT * FROM VALUES ('M1', 'a', DATE'1990-01-01', NULL), ('M1', 'b', DATE'1998-01-01', DATE'1998-06-30'), ('M2', 'c', DATE'1990-01-01', NULL) AS t(market, version_id, effective_from, effective_to)")
+    k = F.col("s_suppkey")
+    start = F.date_add(F.lit("1996-01-01").cast("date"), (k * 13 % 1500).cast("int")).cast("timestamp_ntz") + F.expr("interval 570 minutes")
+    sessions = load(spark, sf_dir, "supplier").select(F.when(k % 2 == 0, "M1").otherwise("M2").alias("market"), start.alias("start_at"), F.when(k % 7 > 0, "regular").otherwise("non_regular").alias("kind"))
+    got = B.schedule(r, rules, sessions)
+    return got.select("o_orderkey", "status", F.date_format("execution_at", "yyyy-MM-dd HH:mm:ss").alias("execution_at"), "seq")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size AS quantity, DATE '1996-01-01' + (p_partkey % 700)::INTEGER AS held_from FROM part), e AS (SELECT DISTINCT l_partkey, date_trunc('quarter', l_shipdate)::DATE AS ex_date FROM lineitem WHERE l_quantity >= 45)
+SELECT p_partkey, ex_date + 10 AS payment_date, round(sum(quantity * 0.25::DOUBLE * 0.9::DOUBLE), 6) AS credit, count(*) AS n_positions FROM p JOIN e ON l_partkey = p_partkey WHERE held_from < ex_date GROUP BY 1, 2""")
+def cash_distribution(spark, sf_dir):
+    p = load(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("quantity"), F.date_add(F.lit("1996-01-01").cast("date"), (F.col("p_partkey") % 700).cast("int")).alias("held_from"))
+    ex = F.trunc(F.col("l_shipdate").cast("date"), "quarter")
+    a = load(spark, sf_dir, "lineitem").filter("l_quantity >= 45").select(F.col("l_partkey").alias("p_partkey"), ex.alias("ex_date"))
+    a = a.select("p_partkey", "ex_date", F.date_add("ex_date", 10).alias("payment_date"), F.concat_ws("-", F.col("p_partkey").cast("string"), F.col("ex_date").cast("string")).alias("event_id"), F.lit(0.25).alias("per_share"))
+    return B.cash_distributions(p, a, "p_partkey", 0.1).select("p_partkey", "payment_date", F.round("credit", 6).alias("credit"), "n_positions")
