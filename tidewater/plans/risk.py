@@ -56,6 +56,16 @@ def covariance_contributions(spark, sf_dir):
     return c.select("i", F.round("w", 8).alias("w"), F.round("marginal", 10).alias("marginal"), F.round("component", 10).alias("component"), F.round("component_vol", 8).alias("component_vol"), F.round("variance", 10).alias("variance"))
 
 
+@query(_COV + """, n AS (SELECT asset_id AS i, count(x) = (SELECT count(DISTINCT bar_date) FROM r WHERE x IS NOT NULL) AS whole FROM r GROUP BY 1), m AS (SELECT cov.i, sum(v * w.w) AS marginal FROM cov JOIN w ON w.i = cov.j JOIN n a ON a.i = cov.i AND a.whole JOIN n b ON b.i = cov.j AND b.whole GROUP BY 1)
+SELECT n.i, round(marginal, 10) AS marginal, round(w.w * marginal, 10) AS component, CASE WHEN whole THEN 'OK' ELSE 'INCOMPLETE' END AS status FROM n JOIN w ON w.i = n.i LEFT JOIN m ON m.i = n.i""")
+def panel_contributions(spark, sf_dir):
+    """Contributions without the matrix; the SQL takes them from the matrix."""
+    b = bars(spark, sf_dir)
+    _, w = _cov(spark, sf_dir)
+    c = R.panel_contributions(b.select("bar_date", "asset_id", (F.col("close") / F.col("open") - 1).alias("x")), w, "bar_date", "asset_id", "x")
+    return c.select("i", F.round("marginal", 10).alias("marginal"), F.round("component", 10).alias("component"), "status")
+
+
 @query(_COV + " SELECT 1 AS matrix_id, count(DISTINCT i)::INTEGER AS n_assets, true AS symmetric FROM cov")
 def covariance_symmetry(spark, sf_dir):
     cov, _ = _cov(spark, sf_dir)
