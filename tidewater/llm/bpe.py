@@ -10,7 +10,8 @@ that one token, as the tiktoken library does. The recursion keeps the rows of ev
 a batch is bounded by the sum of these squares. Pre-tokens of over ``LONG`` bytes take one recursion step per merge over
 all their rows, so they are merged by a heap in the same order instead (exact, n log n).
 
-A null text counts as empty: no ids, and the hash of the empty string.
+A null text counts as empty: no ids, and the hash of the empty string. Null and repeated ids, and repeated rows, are rows
+like any other. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ linear in their number: two fingerprints lie within 2 bits of each other exactly
 of both, so each member is linked to the 65 words around it, and each word (which has 65 members at most) links its
 members as a star. No pair is lost and no group is expanded into pairs.
 
-A null text counts as empty; a text without words has fingerprint zero and is linked like any other.
+A null text counts as empty; a text without words has fingerprint zero and is linked like any other. Null and repeated ids,
+and repeated rows, are rows like any other: each gets a row. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
