@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG, SQUARES_AT_ONCE, CACHED = 400, 4_000_000, 500_000
+LONG, SQUARES_AT_ONCE, CACHED = 400, 2_000_000, 200_000
 
 MERGE = """
 WITH RECURSIVE step(word, pos, after, tok, nxt, round) AS (
@@ -59,7 +59,7 @@ class Codec:
         self.names = {r: b for b, r in ranks.items()}
         self.first = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": "", "preserve_insertion_order": "false"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": "", "preserve_insertion_order": "false"})
         splits = [(ranks[b[:i]], ranks[b[i:]], r) for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
         left, right, rank = (pa.array(x, pa.int32()) for x in zip(*splits, strict=True)) if splits else (pa.array([], pa.int32()),) * 3
         merges = pa.table({"l": left, "r": right, "rank": rank})  # noqa: F841
@@ -150,7 +150,7 @@ def codec(data: bytes) -> Codec:
     return _codecs[key]
 
 
-def _groups(texts: pa.Array, at_once: int = 4_000_000):
+def _groups(texts: pa.Array, at_once: int = 1_500_000):
     held, size = [], 0
     for t in texts:
         held.append(t.as_py() or "")
