@@ -38,10 +38,30 @@ def test_stages_keep_the_columns(spark, documents):
         assert stage(spark, docs, SF).columns == documents.columns
 
 
-def test_stages_take_hard_and_empty_tables(spark, hard, empty):
+def test_stages_take_empty_tables(spark, empty):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).collect() == []
-        stage(spark, hard, SF).collect()
+
+
+def seen(rows):
+    return Counter((r.doc_id, r.text, r.lang, r.source) for r in rows)
+
+
+def test_stages_on_the_hard_table(spark, hard):
+    """What each stage keeps of nulls, empty and long texts and repeated rows, in plain Python."""
+    rows = hard.collect()
+    assert toxicity.fit(hard, spark.read.parquet(f"{SF}/labels.parquet")) is None  # none of its rows is marked toxic: all stay
+    assert seen(corpus_pipeline.drop_toxic(spark, hard, SF).collect()) == seen(rows)
+    said = langid.predict(langid.fit(hard), [r.text for r in rows])
+    known = [r for r, (lang, p) in zip(rows, said, strict=True) if lang != "und" and p >= 0.5]
+    assert seen(corpus_pipeline.drop_unknown_language(spark, hard, SF).collect()) == seen(known)
+    want = Counter()
+    for r in mixing.mix(hard.select("doc_id", "text", "source", "lang"), carry=("text", "lang")).collect():
+        want[r.doc_id, r.text, r.lang, r.source] += r.copies
+    assert seen(corpus_pipeline.mix_sources(spark, hard, SF).collect()) == +want
+    coder = library(RANKS)
+    got = Counter((r.doc_id, r.ids, r.round_trip) for r in corpus_pipeline.encode(spark, hard, SF).collect())
+    assert got == Counter((r.doc_id, ",".join(map(str, coder.encode_ordinary(r.text or ""))), True) for r in rows)
 
 
 def test_rows_that_share_an_id_are_judged_one_by_one(spark, hard):
