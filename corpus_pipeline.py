@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,12 @@ def _with(df: DataFrame, column) -> DataFrame:
 
 
 def _keyed(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df and a column `_tw_key`, a number for each row, written once so that no retry deals it anew."""
-    return Stash(spark).put(df.withColumn("_tw_key", F.monotonically_increasing_id()))
+    """df and a column `_tw_key` of each row's own: its file and its place there, which no retry deals anew. Rows that don't
+    come straight from files are written once, with a number."""
+    try:
+        return df.withColumn("_tw_key", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    except AnalysisException:
+        return Stash(spark).put(df.withColumn("_tw_key", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
