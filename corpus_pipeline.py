@@ -48,14 +48,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("hash"), F.col("_tw_key").alias("key"))
     classes = simhash.near_duplicates(_with(keyed, order), id_col="_tw_added")
     stay = Stash(spark).put(classes.filter(F.col("doc_id.key") == F.col("component_id.key")).select(F.col("doc_id.key").alias("_tw_key")))
-    return keyed.join(stay, "_tw_key", "left_semi").select(docs.columns)
+    return keyed.join(stay.hint("merge"), "_tw_key", "left_semi").select(docs.columns)  # a row for most of docs: no broadcast at any size
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
     keyed = _keyed(spark, docs)
     copies = mixing.mix(keyed, carry=("_tw_key",)).select("_tw_key", F.col("copies").alias("_tw_copies")).filter("_tw_copies > 0")
-    joined = keyed.join(copies, "_tw_key")
+    joined = keyed.join(copies.hint("merge"), "_tw_key")
     return joined.withColumn("_tw_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_tw_copies")))).select(docs.columns)
 
 
