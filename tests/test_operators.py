@@ -41,7 +41,7 @@ def test_chain_keeps_changes_to_null(spark):
 
 def test_revision_ids_follow_from_one_another(spark):
     df = spark.createDataFrame([("A|1", 1, "c1"), ("A|1", 2, "c2"), ("B|1", 1, "c1")], "k string, revision_position int, cid string")
-    got = {(r.k, r.revision_position): r for r in versions.with_ids(df, "DAILY_BAR", ["k"], ["revision_position"], "cid", "k").collect()}
+    got = {(r.k, r.revision_position): r for r in versions.with_ids(df, "DAILY_BAR", ["k"], "cid", "k").collect()}
     sha = lambda *p: hashlib.sha256("\x1f".join(p).encode()).hexdigest()
     before = ""
     for n, c in ((1, "c1"), (2, "c2")):

@@ -29,7 +29,7 @@ def publish(store: DataFrame, incoming: DataFrame, keys: list[str], content: str
     return fresh.withColumn("revision_position", F.coalesce(F.col("_at"), F.lit(0)) + 1).withColumn("predecessor_content", F.col("_now")).drop("_now", "_at")
 
 
-def with_ids(chained: DataFrame, dataset: str, keys: list[str], order: list[str], content_id_col: str, logical: str) -> DataFrame:
+def with_ids(chained: DataFrame, dataset: str, keys: list[str], content_id_col: str, logical: str) -> DataFrame:
     """revision_id, version_id and predecessor_id of a chain(): each revision's id hashes its predecessor's version id, the
     dataset, the logical key and the content id. The ids of a chain follow from one another, so a key's revisions (not
     the table) are folded in order."""

@@ -335,4 +335,4 @@ def observation_alignment(spark, sf_dir):
 SELECT asset_id, metric, revision_position::INTEGER AS revision_position, nullif(before, '') AS predecessor_id, sha256(revision_id || chr(31) || cid) AS version_id FROM r""")
 def revision_ids(spark, sf_dir):
     c = _chain(spark, sf_dir).withColumn("cid", F.sha2(F.coalesce(F.col("content").cast("string"), F.lit("")), 256)).withColumn("k", F.concat_ws("|", F.col("asset_id").cast("string"), "metric"))
-    return versions.with_ids(c, "FACT", ["asset_id", "metric"], ["revision_position"], "cid", "k").select("asset_id", "metric", "revision_position", "predecessor_id", "version_id")
+    return versions.with_ids(c, "FACT", ["asset_id", "metric"], "cid", "k").select("asset_id", "metric", "revision_position", "predecessor_id", "version_id")
