@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG, SQUARES_AT_ONCE, CACHED = 400, 2_000_000, 200_000
+LONG, SQUARES_AT_ONCE, CACHED = 400, 4_000_000, 260_000
 
 MERGE = """
 WITH RECURSIVE step(word, pos, after, tok, nxt, round) AS (
@@ -150,7 +150,7 @@ def codec(data: bytes) -> Codec:
     return _codecs[key]
 
 
-def _groups(texts: pa.Array, at_once: int = 1_500_000):
+def _groups(texts: pa.Array, at_once: int = 2_000_000):
     held, size = [], 0
     for t in texts:
         held.append(t.as_py() or "")
