@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, langid, lm_scoring, mixing, sharding, simhash, token_counts, topk, toxicity
+from . import avi, bpe, langid, lm_scoring, merkle, mixing, sharding, simhash, token_counts, topk, toxicity
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -55,6 +55,10 @@ def op10_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.inspect_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_token_counts, op3_simhash, op4_toxicity, op5_topk, op6_mixing, op7_sharding, op8_langid, op9_bpe, op10_avi, pipeline)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_token_counts, op3_simhash, op4_toxicity, op5_topk, op6_mixing, op7_sharding, op8_langid, op9_bpe, op10_avi, op11_merkle, pipeline)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -120,6 +124,33 @@ SELECT gp.doc_id, gp.size, gp.source_size, gp.target,
 FROM gp LEFT JOIN cl ON gp.source IS NOT DISTINCT FROM cl.source
 """
 
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+
+_CRC32 = """xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
+    lambda c, b: list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[], lambda z, k: CASE WHEN z & 1 = 1 THEN xor(z >> 1, 3988292384) ELSE z >> 1 END, xor(c, b)), 4294967295::BIGINT), 4294967295)"""
+
+OP11_SQL = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, source, lang, n_chars, text, CASE WHEN {_CRC32} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents),
+l AS MATERIALIZED (SELECT doc_id, source, {_LEAF.format("text")} AS leaf, {_LEAF.format("changed")} AS subject,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, {_LEAF.format("text")}) - 1 AS pos FROM t),
+up AS (SELECT source, 0 AS level, list(leaf ORDER BY pos) AS hs FROM l GROUP BY source
+  UNION ALL SELECT source, level + 1, list_transform(range(0, len(hs), 3), lambda i: sha256(array_to_string(list_slice(hs, i + 1, i + 3), ''))) FROM up WHERE len(hs) > 1),
+sub AS MATERIALIZED (SELECT source, hs[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM up WHERE len(hs) = 1),
+tops AS (SELECT 0 AS level, list(subroot ORDER BY pos) AS hs FROM sub
+  UNION ALL SELECT level + 1, list_transform(range(0, len(hs), 3), lambda i: sha256(array_to_string(list_slice(hs, i + 1, i + 3), ''))) FROM tops WHERE len(hs) > 1),
+steps AS (
+  SELECT l.source, l.pos, 0 AS part, level, hs, (l.pos // (3 ** level)::BIGINT)::BIGINT AS i FROM l JOIN up ON l.source IS NOT DISTINCT FROM up.source WHERE len(hs) > 1
+  UNION ALL SELECT l.source, l.pos, 1, level, hs, (sub.pos // (3 ** level)::BIGINT)::BIGINT FROM l JOIN sub ON l.source IS NOT DISTINCT FROM sub.source, tops WHERE len(hs) > 1),
+step AS (SELECT source, pos, part, level, array_to_string(list_slice(hs, 3 * (i // 3) + 1, i), '') || '|' || array_to_string(list_slice(hs, i + 2, 3 * (i // 3) + 3), '') AS s FROM steps),
+path AS (SELECT source, pos, list(s ORDER BY part, level) AS p FROM step GROUP BY source, pos),
+f AS (SELECT l.*, sub.subroot, (SELECT hs[1] FROM tops WHERE len(hs) = 1) AS root, coalesce(p, []) AS p
+      FROM l JOIN sub ON l.source IS NOT DISTINCT FROM sub.source LEFT JOIN path ON path.source IS NOT DISTINCT FROM l.source AND path.pos = l.pos),
+g AS (SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(p, lambda x: replace(x, '|', '')), '')) AS proof_sha256,
+             list_reduce(p, lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2)), subject) AS folded_root FROM f)
+SELECT *, folded_root = root AS verified FROM g
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lm_scoring": OP1_SQL, "op5_topk": OP5_SQL, "op6_mixing": OP6_SQL}
+    return {"op1_lm_scoring": OP1_SQL, "op5_topk": OP5_SQL, "op6_mixing": OP6_SQL, "op11_merkle": OP11_SQL}
