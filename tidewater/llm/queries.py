@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, langid, lm_scoring, merkle, mixing, sharding, simhash, token_counts, topk, toxicity
+from . import avi, bpe, collocations, langid, lm_scoring, merkle, mixing, sharding, simhash, token_counts, topk, toxicity
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -59,6 +59,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_token_counts, op3_simhash, op4_toxicity, op5_topk, op6_mixing, op7_sharding, op8_langid, op9_bpe, op10_avi, op11_merkle, pipeline)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_token_counts, op3_simhash, op4_toxicity, op5_topk, op6_mixing, op7_sharding, op8_langid, op9_bpe, op10_avi, op11_merkle, op12_collocations, pipeline)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -152,5 +156,23 @@ SELECT *, folded_root = root AS verified FROM g
 """
 
 
+OP12_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, list_filter(regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+'), lambda w: w <> '') AS ws FROM documents),
+g AS (SELECT lang, m, array_to_string(list_slice(ws, i, i + m - 1), ' ') AS phrase
+      FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM p, range(1, 6) AS r(m) WHERE len(ws) >= m)),
+f AS (SELECT lang, phrase, m, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM p GROUP BY lang),
+c AS (SELECT lang, phrase, m, a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+k AS (SELECT *, array_to_string(ws[1:k], ' ') AS fst, array_to_string(ws[k + 1:], ' ') AS rst FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT k.lang, k.phrase, k.m, k.a, k.k, x.a AS l, y.a AS r, n.n, ((1000::HUGEINT * k.a * n.n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+      FROM k JOIN f x ON x.lang = k.lang AND x.phrase = fst JOIN f y ON y.lang = k.lang AND y.phrase = rst JOIN n ON n.lang = k.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(ws[j:j + h - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(1, m - h + 2)) AS j FROM c, range(2, 5) AS r(h) WHERE h < m) GROUP BY ALL),
+d AS (SELECT b.* FROM b LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM d)
+SELECT * FROM o WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lm_scoring": OP1_SQL, "op5_topk": OP5_SQL, "op6_mixing": OP6_SQL, "op11_merkle": OP11_SQL}
+    return {"op1_lm_scoring": OP1_SQL, "op5_topk": OP5_SQL, "op6_mixing": OP6_SQL, "op11_merkle": OP11_SQL, "op12_collocations": OP12_SQL}
