@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, collocations, langid, lm_scoring, merkle, mixing, sharding, simhash, token_counts, topk, toxicity
+from . import avi, bpe, collocations, langid, lm_scoring, merkle, mixing, pii, sharding, simhash, token_counts, topk, toxicity
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -63,6 +63,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_documents(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_token_counts, op3_simhash, op4_toxicity, op5_topk, op6_mixing, op7_sharding, op8_langid, op9_bpe, op10_avi, op11_merkle, op12_collocations, pipeline)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_token_counts, op3_simhash, op4_toxicity, op5_topk, op6_mixing, op7_sharding, op8_langid, op9_bpe, op10_avi, op11_merkle, op12_collocations, op13_pii, pipeline)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
