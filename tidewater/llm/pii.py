@@ -8,7 +8,8 @@ With these as soft labels a naive Bayes span classifier over hashed features (sh
 
 The strict spans that pass their kind's check are always kept: for each kind the leftmost matches that don't overlap; those
 that fail the check are dropped without another try. The classifier adds wide spans of probability ``SURE`` or more, if they
-pass the check too and don't overlap a strict span; of wide spans that overlap, all are kept.
+pass the check too, don't overlap a strict span, and if the gazetteer or the words before them speak for them and no labeler
+against; of wide spans that overlap, all are kept.
 
 Places are counted in code points, from 0, ends exclusive. Patterns are possessive and begin where a run begins (or where
 the last match ended), so that time grows with the text and not with its square; sums over the matches of a text go in
@@ -226,9 +227,10 @@ def classifier(spans: DataFrame, labels: DataFrame, smoothing: float = 1.0) -> D
     soft = spans.join(F.broadcast(labels.select("kind", "votes", "p")), ["kind", "votes"]).select("kind", F.explode(F.concat("features", F.array(F.lit(BUCKETS)))).alias("f"), "p")
     sums = soft.groupBy("kind", "f").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"))
     all_ = sums.filter(F.col("f") == BUCKETS).select("kind", F.col("yes").alias("all_yes"), F.col("no").alias("all_no"))
-    odds = F.log((F.col("yes") + smoothing) / (F.col("no") + smoothing))
-    base = F.log((F.col("all_yes") + smoothing) / (F.col("all_no") + smoothing))
-    weights = sums.join(F.broadcast(all_), "kind").select((F.col("kind") * (BUCKETS + 1) + F.col("f")).cast("long").alias("at"), F.when(F.col("f") == BUCKETS, odds).otherwise(odds - base).alias("w"))
+    share = (F.col("all_yes") + smoothing) / (F.col("all_yes") + F.col("all_no") + 2 * smoothing)
+    odds = F.log((F.col("yes") + smoothing * share) / (F.col("no") + smoothing * (1 - share)))
+    base = F.log(share / (1 - share))  # a feature that is rarely seen says little
+    weights = sums.join(F.broadcast(all_), "kind").select((F.col("kind") * (BUCKETS + 1) + F.col("f")).cast("long").alias("at"), F.when(F.col("f") == BUCKETS, base).otherwise(odds - base).alias("w"))
     places = spans.sparkSession.range(len(KINDS) * (BUCKETS + 1)).select(F.col("id").alias("at"))
     dense = places.join(F.broadcast(weights), "at", "left").select("at", F.coalesce("w", F.lit(0.0)).alias("w"))
     return dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "w"))), lambda x: x["w"]).alias("weights"))
@@ -247,7 +249,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     each = found.select(F.explode("spans").alias("s")).select("s.*")
     model = classifier(each, reliabilities(each))
     logit = lambda x: F.aggregate(F.concat(x["features"], F.array(F.lit(BUCKETS))), F.lit(0.0), lambda a, f: a + F.get(F.col("weights"), x["kind"] * (BUCKETS + 1) + f))
-    sure = F.filter("spans", lambda x: x["good"] & (x["strict"] | (1 / (1 + F.exp(-logit(x))) >= SURE)))
+    backed = lambda x: ~F.array_contains(x["votes"], F.lit(-1).cast("tinyint")) & ((F.get(x["votes"], F.lit(2)) == 1) | (F.get(x["votes"], F.lit(3)) == 1))
+    sure = F.filter("spans", lambda x: x["good"] & (x["strict"] | (backed(x) & (1 / (1 + F.exp(-logit(x))) >= SURE))))
     return found.crossJoin(F.broadcast(model)).select("doc_id", F.filter("spans", lambda x: x["good"] & x["strict"]).alias("base"), sure.alias("spans"))  # one row
 
 
