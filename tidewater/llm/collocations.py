@@ -43,16 +43,12 @@ def segments(text: np.ndarray, size: int = SEGMENT) -> Iterator[np.ndarray]:
     """A text's bytes, cut between words."""
     at = 0
     while len(text) - at > size:
-        stop = at + size
-        window = text[at:stop]
-        cuts = np.flatnonzero(KIND[window])
-        while not len(cuts):  # one word, longer than a segment
-            window = text[stop : stop + size]
-            if not len(window):
-                break
-            cuts = np.flatnonzero(KIND[window]) + stop - at
-            stop += len(window)
-        stop = at + int(cuts[-1] if cuts[-1] < size else cuts[0]) + 1 if len(cuts) else len(text)
+        cuts, stop = np.flatnonzero(KIND[text[at : at + size]]), at + size
+        if len(cuts):
+            stop = at + int(cuts[-1]) + 1
+        while not len(cuts) and stop < len(text):  # one word, longer than a segment
+            cuts = np.flatnonzero(KIND[text[stop : stop + size]])
+            stop = stop + int(cuts[0]) + 1 if len(cuts) else min(stop + size, len(text))
         yield text[at:stop]
         at = stop
     yield text[at:]
@@ -167,7 +163,8 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def doubled(rank: np.ndarray, step: int, reach: np.ndarray) -> np.ndarray:
     """Ranks (from 1) of 2 * step words from ranks of step words; 0 follows where fewer words do."""
     then = np.zeros(len(rank), np.int64)
-    then[: len(rank) - step] = np.where(reach[: len(rank) - step], rank[step:], 0)
+    more = max(0, len(rank) - step)
+    then[:more] = np.where(reach[:more], rank[step:], 0)
     return np.unique(rank * (int(rank.max()) + 1) + then, return_inverse=True)[1] + 1
 
 
@@ -176,7 +173,9 @@ def reaches(joined: np.ndarray, most: int) -> list[np.ndarray]:
     on = np.append(joined[1:], False)
     out = [np.ones(len(joined), bool)]
     for d in range(1, most):
-        out.append(out[-1] & np.append(on[d - 1 :], np.zeros(d - 1, bool)))
+        then = np.zeros(len(joined), bool)
+        then[: max(0, len(on) - d + 1)] = on[d - 1 :]
+        out.append(out[-1] & then)
     return out
 
 
