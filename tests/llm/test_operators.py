@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tests.compare import database, spark_rows, sql_rows
 from tests.llm.conftest import SF, TEXTS
 from tidewater.llm import avi, bpe, langid, lm_scoring, mixing, queries, sharding, simhash, token_counts, topk, toxicity
+from tidewater.llm.common import sampled
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -455,3 +457,49 @@ def test_a_cluster_must_name_a_shared_folder(spark, monkeypatch):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(lost)
     assert shared_dir(spark)
+
+
+@pytest.mark.parametrize("ids", [None, 4])
+def test_fits_are_bounded_by_rows_not_by_ids(spark, documents, ids):
+    """A shared id widens no class; repeated rows count once."""
+    docs = documents.withColumn("doc_id", F.lit(ids).cast("long"))
+    rows = docs.unionByName(docs).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang"))
+    taken = sampled(rows, "_lang", F.lit(5), 100)
+    per = {r._lang: r["count"] for r in taken.groupBy("_lang").count().collect()}
+    assert set(per) == {r.lang for r in documents.select("lang").distinct().collect()} and max(per.values()) < 25
+    with pytest.raises(ValueError, match="over 2 different values"):
+        sampled(rows, "_lang", F.lit(5), 2)
+
+
+def test_many_languages_are_learnt(spark):
+    rows = [(i * 4, chr(0x4E00 + i) * 9, f"x{i:03}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.fit(docs).langs) == sum((zlib.crc32(str(i).encode()) % 4) != 2 for i, _, _ in rows)
+
+
+def test_vectors_of_different_widths_are_an_error(spark):
+    rows = [(i, [0.5] * (3 + i % 2)) for i in range(9)]
+    with pytest.raises(ValueError, match="3 and of 4 components"):
+        topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True))
+
+
+def test_kept_pretokens_are_bounded_in_bytes():
+    coder = bpe.Codec(open(RANKS, "rb").read())
+    for i in range(4):
+        coder.learn([f"{i}-{j}" + "ab" * 50_000 for j in range(100)], set())
+        assert coder.held <= bpe.CACHED and len(coder.known) <= bpe.CACHED // bpe.cost("ab" * 50_000)
+        assert coder.held == sum(map(bpe.cost, coder.known))
+
+
+def test_long_texts_are_encoded_bit_by_bit():
+    coder, text = bpe.Codec(open(RANKS, "rb").read()), "naïve café 東京 🙂  it's 12345 tides\n\n" * 300
+    for digest in (False, True):
+        rows = next(bpe._each(iter([pa.array([text])]), open(RANKS, "rb").read(), public_tokenizers.PATTERN, digest)).to_pylist()[0]
+        assert tuple(rows.values()) == bpe._long(text, coder, regex.compile(public_tokenizers.PATTERN), digest, at_once=7)
+
+
+@pytest.mark.parametrize("size", [1, 5, 40, 10**6])
+def test_fingerprints_in_slices(size):
+    for t in [*TEXTS, "a bb ccc dddd " * 30]:
+        b = None if t is None else t.encode()
+        assert [x for s in simhash.shingle_hashes(b, size=size) for x in s] == [x for s in simhash.shingle_hashes(b) for x in s]

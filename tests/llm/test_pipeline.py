@@ -5,6 +5,7 @@ from collections import Counter
 import corpus_pipeline
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import SF
 from tests.llm.test_operators import RANKS, brute_classes, brute_fingerprint, library
@@ -85,3 +86,37 @@ def test_mixing_counts_the_copies_of_each_row(spark):
     for r in mixing.mix(docs).collect():
         want[r.source, r.size] += r.copies
     assert got == +want
+
+
+def awkward(spark):
+    """Rows that share files and places, and columns with dots, maps and names like the pipeline's own."""
+    rows = [(i % 7, f"tide {i % 5} rises over reef {i % 5} and sinks again", "en", "web" if i % 3 else None) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return d.withColumns({"a.b": F.lit(1), "m": F.create_map(F.lit("k"), F.col("doc_id")), "_tw_key": F.lit(7), "_tw_added": F.lit("mine"), "_tw_n": F.lit(2), "_TW_ORDER": F.lit(3), "deep": F.array(F.create_map(F.lit(1), F.lit(2)))})
+
+
+def by_row(df):
+    return Counter((r.doc_id, r.text, r.source) for r in df.select("doc_id", "text", "source").collect())
+
+
+def test_exploded_and_unioned_rows_are_rows_of_their_own(spark, documents):
+    some = documents.filter("doc_id < 60")
+    twice = some.withColumn("_n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_n")
+    for docs in (twice, some.unionByName(some), twice.join(some.select("doc_id").distinct(), "doc_id")):
+        rows = [(r.doc_id, r.text) for r in docs.collect()]
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+        prints = [brute_fingerprint(r.text) for r in kept]
+        assert len(kept) == len({c for _, _, c in brute_classes(rows)}) == len(set(prints))
+        want = Counter()
+        for r in mixing.mix(docs.select("doc_id", "text", "source"), carry=("text",)).collect():
+            want[r.doc_id, r.text, r.source] += r.copies
+        assert by_row(corpus_pipeline.mix_sources(spark, docs, SF)) == +want
+
+
+def test_awkward_columns(spark):
+    docs = awkward(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns, name
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert len(kept) == len({brute_fingerprint(r.text) for r in docs.collect()}) and {r["_tw_added"] for r in kept} == {"mine"}
+    assert corpus_pipeline.encode(spark, docs, SF).count() == 40

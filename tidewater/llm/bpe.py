@@ -3,7 +3,7 @@
 A partition's pre-tokens (matches of the split pattern) become rows (word, pos, tok), one per byte. A recursive query
 joins each token and its neighbour to the merge table and contracts each word's leftmost pair of minimum rank, until no
 pair of the word can merge; decoding is an ordered aggregation of the tokens' bytes. A worker keeps what it has encoded (a
-bounded number of distinct pre-tokens), so a pre-token is merged once and not once for each occurrence.
+bounded number of bytes), so a pre-token is merged once and not once for each occurrence.
 
 The merge table holds every split of a vocabulary entry into two entries; a pre-token that is itself an entry starts as
 that one token, as the tiktoken library does. The recursion keeps the rows of every round, up to half the square of a pre-token's bytes, so
@@ -11,7 +11,7 @@ a batch is bounded by the sum of these squares. Pre-tokens of over ``LONG`` byte
 all their rows, so they are merged by a heap in the same order instead (exact, n log n).
 
 A null text counts as empty: no ids, and the hash of the empty string. Null and repeated ids, and repeated rows, are rows
-like any other. Other columns, whatever their names, are not read.
+like any other. An empty table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -28,7 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG, SQUARES_AT_ONCE, CACHED = 400, 4_000_000, 260_000
+LONG, SQUARES_AT_ONCE = 400, 4_000_000
+CACHED, OVERHEAD = 120_000_000, 420  # bytes of kept pre-tokens and their results; what one takes besides its bytes
 
 MERGE = """
 WITH RECURSIVE step(word, pos, after, tok, nxt, round) AS (
@@ -51,6 +53,11 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
 
+def cost(word: str) -> int:
+    """About how many bytes a pre-token takes to keep, ids and decoded bytes included."""
+    return OVERHEAD + 5 * len(word)
+
+
 class Codec:
     """Encodes and decodes distinct pre-tokens; one for each Python worker."""
 
@@ -59,6 +66,7 @@ class Codec:
         self.names = {r: b for b, r in ranks.items()}
         self.first = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.held = 0
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": "", "preserve_insertion_order": "false"})
         splits = [(ranks[b[:i]], ranks[b[i:]], r) for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
         left, right, rank = (pa.array(x, pa.int32()) for x in zip(*splits, strict=True)) if splits else (pa.array([], pa.int32()),) * 3
@@ -69,8 +77,11 @@ class Codec:
 
     def learn(self, words: list[str], in_use: set[str] = frozenset()) -> None:
         """Encode words; if that is too much to keep, only what is in use stays."""
-        if len(self.known) + len(words) > CACHED:
+        new = sum(map(cost, words))
+        if self.held + new > CACHED:
             self.known = {w: x for w, x in self.known.items() if w in in_use}
+            self.held = sum(map(cost, self.known))
+        self.held += new
         held, squares = [], 0
         for w in words:
             n = len(w.encode())
@@ -150,18 +161,37 @@ def codec(data: bytes) -> Codec:
     return _codecs[key]
 
 
-def _groups(texts: pa.Array, at_once: int = 2_000_000):
+AT_ONCE = 2_000_000  # characters of texts that are cut together; a longer text is cut by itself, bit by bit
+
+
+def _groups(texts: pa.Array):
     held, size = [], 0
     for t in texts:
-        held.append(t.as_py() or "")
-        size += len(held[-1])
-        if size > at_once:
+        text = t.as_py() or ""
+        if held and size + len(text) > AT_ONCE:
             yield held
             held, size = [], 0
+        held.append(text)
+        size += len(text)
     if held:
         yield held
 
 
+def _long(text: str, coder: Codec, cut: regex.Pattern, digest: bool, at_once: int = 200_000) -> tuple:
+    """One text's row, with no more than at_once pre-tokens in hand."""
+    n, ids, decoded, begun = 0, hashlib.sha256() if digest else [], hashlib.sha256() if digest else [], False
+    put = (lambda to, x: to.update(x)) if digest else (lambda to, x: to.append(x))
+    matches = (m[0] for m in cut.finditer(text))
+    while ws := list(islice(matches, at_once)):
+        used = set(ws)
+        coder.learn(sorted(used.difference(coder.known)), used)
+        got = [coder.known[w] for w in ws]
+        put(ids, (b"," if begun else b"") + ",".join([x[0] for x in got]).encode())
+        put(decoded, b"".join([x[2] for x in got]))
+        n, begun = n + sum([x[1] for x in got]), True
+    return (n, ids.hexdigest(), decoded.hexdigest()) if digest else (b"".join(ids).decode(), n, b"".join(decoded))
+
+
 SCHEMA = "struct<ids: string, n_tokens: bigint, decoded: binary>"
 DIGEST = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>"
 
@@ -171,6 +201,9 @@ def _each(texts: Iterator[pa.Array], data: bytes, pattern: str, digest: bool) ->
     for batch in texts:
         rows: list[tuple] = []
         for group in _groups(batch):
+            if len(group) == 1 and len(group[0]) > AT_ONCE:
+                rows.append(_long(group[0], coder, cut, digest))
+                continue
             words = [cut.findall(t) for t in group]
             used = set().union(*words)
             coder.learn(sorted(used.difference(coder.known)), used)

@@ -135,6 +135,17 @@ def fitting(rows: pd.DataFrame, share: int) -> pd.DataFrame:
     return pd.DataFrame({"_key": keys or rows.nsmallest(1, "_size")["_key"].tolist()}, dtype="int64")
 
 
+def sampled(rows: DataFrame, class_col: str, most: Column, max_classes: int) -> DataFrame:
+    """rows (_id, _text, class_col) -> (class_col, _text, _h): some `most` different rows of each class (an expression over
+    it), by a hash of id and text; at least one. Equal rows count once, so no repeated row or shared id widens a class."""
+    unit = F.pmod(F.xxhash64("_id", class_col, "_text"), F.lit(1 << 30)) / float(1 << 30)
+    sizes = rows.groupBy(class_col).agg(F.count("*").alias("_n"), F.min(unit).alias("_least"))
+    if sizes.limit(max_classes + 1).count() > max_classes:
+        raise ValueError(f"over {max_classes} different values of {class_col}")
+    taken = rows.join(F.broadcast(sizes), class_col).filter((unit < most / F.col("_n")) | (unit == F.col("_least")))  # max_classes rows are broadcast
+    return taken.select(class_col, "_text", F.xxhash64("_id").alias("_h")).dropDuplicates()
+
+
 def taken_bytes(rows: DataFrame, class_col: str, max_bytes: int) -> list[Row]:
     """Rows (class_col, _text, _h) with max_bytes of text; where they hold more, an even share of it for each class.
 

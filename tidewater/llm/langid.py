@@ -4,8 +4,9 @@ Every text, lower-cased and framed by spaces, yields its 1- to 3-grams of code p
 The matrix of log-probabilities (languages x features) is broadcast; a batch of texts is scored as one sparse product:
 each n-gram picks its column, and columns are summed per text. The score is the posterior probability of the winner.
 
-Fitting takes some ``per_lang`` rows of each of at most ``max_langs`` languages, by a hash of the id, and ``max_bytes``
-of text, which the languages share evenly where it binds; none stays without a row. Null texts and texts without a letter are ``und`` with score 0, and so is everything if there
+Fitting takes some ``per_lang`` different rows of each language, by a hash of id and text, and ``max_bytes`` of text, which
+the languages share evenly where it binds; none stays without a row. More than ``max_langs`` languages are an error, as the
+matrix has a row for each. An empty table gives no rows. Null texts and texts without a letter are ``und`` with score 0, and so is everything if there
 is nothing to learn from. Ties go to the language that comes first in code-point order. Null and repeated ids, and repeated rows, are
 rows like any other. Other columns, whatever their names, are not read. A long text is scored in slices.
 """
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, taken_bytes
+from .common import held_out, sampled, taken_bytes
 
 BUCKETS = 1 << 15
 LONG = 300_000  # characters of a text that is scored in slices
@@ -106,13 +107,10 @@ def predict(model: Model | None, texts: list[str | None]) -> list[tuple[str, flo
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1500, max_langs: int = 500, max_bytes: int = 32_000_000) -> Model | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1500, max_langs: int = 2000, max_bytes: int = 32_000_000) -> Model | None:
     usable = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang")).filter(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & ~held_out(F.col("_id")))
-    unit = F.pmod(F.xxhash64("_id", "_lang"), F.lit(1 << 30)) / float(1 << 30)
-    sizes = usable.groupBy("_lang").agg(F.count("*").alias("n"), F.min(unit).alias("least")).orderBy(F.col("n").desc(), "_lang").limit(max_langs)
-    share = F.lit(per_lang) / F.col("n")
-    rows = usable.join(F.broadcast(sizes), "_lang").filter((unit < share) | (unit == F.col("least"))).select("_lang", "_text", F.xxhash64("_id").alias("_h"))  # max_langs rows are broadcast
-    return train([(r._lang, r._text) for r in taken_bytes(rows, "_lang", max_bytes)])
+    sample = sampled(usable, "_lang", F.lit(per_lang), max_langs)
+    return train([(r._lang, r._text) for r in taken_bytes(sample, "_lang", max_bytes)])
 
 
 def identifier(spark, model: Model | None):

@@ -32,7 +32,7 @@ def _items(docs: DataFrame, shards: int, stash: Stash) -> tuple[DataFrame, DataF
     parts = bytes_of.filter(F.col("all_bytes") * shards > max(total, 1)).withColumn("parts", F.ceil(F.col("all_bytes") * shards * 8 / max(total, 1)))  # at most `shards` rows
     rows = rows.join(F.broadcast(parts.drop("all_bytes")), ["t1", "t2"], "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_row", F.lit(1)), "parts")).cast("long")).drop("parts")
     rows = rows.withColumn("item", F.when(F.col("part") > 0, F.xxhash64("t1", "t2", "part")).otherwise(F.xxhash64("t1", "t2")))
-    items = rows.groupBy("item").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.log(F.max("size").cast("double")).alias("d_size"), (F.crc32(F.coalesce(F.min("source"), F.lit(""))) / float(1 << 32)).alias("d_source"), (F.crc32(F.coalesce(F.min("lang"), F.lit(""))) / float(1 << 32)).alias("d_lang"), F.coalesce(F.min("doc_id").cast("double"), F.lit(0.0)).alias("d_id"))
+    items = rows.groupBy("item").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.log(F.max("size").cast("double")).alias("d_size"), (F.crc32(F.coalesce(F.min("source"), F.lit(""))) / float(1 << 32)).alias("d_source"), (F.crc32(F.coalesce(F.min("lang"), F.lit(""))) / float(1 << 32)).alias("d_lang"), F.coalesce(F.min("doc_id").cast("string").try_cast("double"), F.crc32(F.min("doc_id").cast("string")).cast("double"), F.lit(0.0)).alias("d_id"))
     items = stash.put(items)
     ends = items.agg(*(f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max)))).first()
     for d in DIMS:

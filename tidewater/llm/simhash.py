@@ -10,11 +10,13 @@ of both, so each member is linked to the 65 words around it, and each word (whic
 members as a star. No pair is lost and no group is expanded into pairs.
 
 A null text counts as empty; a text without words has fingerprint zero and is linked like any other. Null and repeated ids,
-and repeated rows, are rows like any other: each gets a row. Other columns, whatever their names, are not read.
+and repeated rows, are rows like any other: each gets a row. A very long text is hashed in slices; an empty table gives no
+rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,27 +30,43 @@ from .common import ASCII_LOWER, Stash, join_counted
 from .graph import components
 
 
-def shingle_hashes(text: bytes | None, width: int = 3, seed: int = 42) -> list[int]:
-    words = text.translate(ASCII_LOWER).split() if text else []
-    if not words:
-        return []
-    line, h = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return [h(line, seed)]
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate([[0], ends[:-width]]).tolist()
-    return [h(line[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
+def slices(text: bytes, size: int) -> Iterator[list[bytes]]:
+    """The text's lower-cased words, some `size` bytes of text at a time; no word is cut."""
+    at = 0
+    while at < len(text):
+        stop = at + size
+        while stop < len(text) and text[stop] not in b" \t\n\x0b\x0c\r":
+            stop += 1
+        yield text[at:stop].translate(ASCII_LOWER).split()
+        at = stop
+
+
+def shingle_hashes(text: bytes | None, width: int = 3, seed: int = 42, size: int = 1_000_000) -> Iterator[list[int]]:
+    """Hashes of the word shingles, slice by slice; a slice's last words go before the next one's."""
+    h, before, whole = xxhash.xxh64_intdigest, [], True
+    for words in slices(text or b"", size):
+        words = before + words
+        if len(words) < width:
+            before = words
+            continue
+        line, whole = b" ".join(words), False
+        ends = np.cumsum([len(w) + 1 for w in words])
+        starts = np.concatenate([[0], ends[:-width]]).tolist()
+        yield [h(line[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
+        before = words[len(words) - width + 1 :]
+    if whole and before:
+        yield [h(b" ".join(before), seed)]
 
 
 def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
     """Bit i is 1 if it is set in over half of the shingles' hashes."""
-    hs = np.array(shingle_hashes(text, width, seed), dtype="<u8")
-    if not len(hs):
-        return 0
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hs), 65_536):
-        ones += np.unpackbits(hs[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hs), bitorder="little").view("<u8")[0])
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for some in shingle_hashes(text, width, seed):
+        hs = np.array(some, dtype="<u8")
+        n += len(hs)
+        for i in range(0, len(hs), 65_536):
+            ones += np.unpackbits(hs[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 @F.arrow_udf(T.LongType())
@@ -89,6 +107,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = close_pairs(classes.select("fp"), stash, max_block)
     root = components(edges, stash).withColumnRenamed("node", "fp")
     named = classes.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = stash.put(named.join(first, "root").select("fp", "component_id", "class_size"))
+    named = stash.put(named)
+    first = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    by_fp = stash.put(join_counted(named, first, "root", "n", named.count()).select("fp", "component_id", "class_size"))
     return join_counted(marked, by_fp, "fp", "class_size", marked.count()).select("doc_id", "fp", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id", "class_size")

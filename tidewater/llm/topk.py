@@ -19,8 +19,8 @@ Inside a pair, cover trees of either side go on in the same way: a pair of nodes
 worst kth score of the query node. A worker keeps the trees of the last cell and group it met. A node with no structure to prune by (its cover would need
 over ``FAN`` children, as in many dimensions) is a leaf, and a pair of leaves is one matrix product, in exact integers.
 
-Vectors that are null, empty, hold null or non-finite components, or differ in width from the table's most common width
-take no part, and neither do null ids. A row is never its own candidate; other rows with its id or vector are. Ties go to
+Vectors that are null, empty, or hold null or non-finite components take no part, and neither do null ids; other vectors of
+different widths are an error. An empty table gives no rows. A row is never its own candidate; other rows with its id or vector are. Ties go to
 the smaller id. Other columns of the table, whatever their names, are not read.
 """
 
@@ -216,11 +216,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     stash = Stash(spark)
     all_rows = vectors.select(F.col(id_col).cast("long").alias("id"), integers(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter(F.col("id").isNotNull() & F.col("v").isNotNull())
     all_rows = stash.put(all_rows.withColumn("row", F.monotonically_increasing_id()))
-    widths = all_rows.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "w").limit(1).collect()
+    widths = all_rows.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).orderBy("w").limit(2).collect()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not widths:
         return empty
-    usable = all_rows.filter(F.size("v") == widths[0].w)
+    if len(widths) > 1:
+        raise ValueError(f"vectors of {widths[0].w} and of {widths[1].w} components have no inner product")
+    usable = all_rows
     sample = sampled(usable, n_floor, widths[0].n)  # n_floor rows
     held = spark.sparkContext.broadcast((np.array([r.v for r in sample], dtype=np.int64), np.array([r.row for r in sample])))
 

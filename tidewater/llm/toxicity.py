@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, taken_bytes
+from .common import held_out, sampled, taken_bytes
 
 WINDOW, STEP, GRAM = 8, 4, 5
 THRESHOLD = 0.3
@@ -172,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).filter(F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     picked = [marks.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in ((1, max_toxic), (0, max_ordinary))]
     sample = F.broadcast(picked[0].union(picked[1]).distinct())  # max_toxic + max_ordinary rows at most
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).filter("_text is not null").join(sample, "_id").select("_y", "_text", F.xxhash64("_id").alias("_h"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).filter("_text is not null").join(sample, "_id").select("_id", "_text", "_y")
+    rows = sampled(rows, "_y", F.when(F.col("_y") == 1, max_toxic).otherwise(max_ordinary), 2)  # an id may have many documents
     texts: tuple[list[str], list[str]] = ([], [])
     for r in sorted(taken_bytes(rows, "_y", max_bytes), key=lambda r: (r._h, r._text)):
         texts[r._y].append(r._text)
