@@ -282,3 +282,20 @@ def test_path_conflicts(spark):
     want = [(i, j, "equal-path") for i, a in enumerate(clean) for j, b in enumerate(clean) if i < j and a == b]
     want += [(i, j, "ancestor-or-descendant") for i, a in enumerate(clean) for j, b in enumerate(clean) if b.startswith(a + "/")]
     assert got == sorted(want, key=str)
+
+
+def test_asof_of_one_key_in_many_tasks(spark):
+    """One hot key (and null keys, null times, ties) in ranges of time: the rows of the plain search, in many tasks."""
+    rng = random.Random(7)
+    facts = [(rng.choice(["hot"] * 9 + ["cold", None]), rng.choice([None] + list(range(400))), i) for i in range(600)]
+    probes = [(i, rng.choice(["hot"] * 9 + ["cold", None]), rng.choice([None] + list(range(-5, 410)))) for i in range(600)]
+    f, p = spark.createDataFrame(facts, "k string, at int, v int"), spark.createDataFrame(probes, "id int, k string, t int")
+    low = lambda x: -(10**9) if x is None else x
+    last = {i: max(((low(a), v) for g, a, v in facts if g == k and low(a) <= low(t)), default=(0, None))[1] for i, k, t in probes}
+    later = {i: min((a for g, a, v in facts if g == k and a is not None and low(a) > low(t)), default=None) for i, k, t in probes}
+    for n in (10**6, 50, 7):
+        got = temporal.asof_join(p, f, ["k"], "t", "at", "v", ["v"], range_rows=n)
+        assert {r.id: r.v for r in got.collect()} == last
+        if n == 7:
+            assert got.filter("k = 'hot'").select(F.spark_partition_id().alias("s")).distinct().count() > 4
+        assert {r.id: r.n for r in temporal.next_event(p, f, ["k"], "t", "at", "n", range_rows=n).collect()} == later

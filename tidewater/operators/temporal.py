@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scale import broadcast_if_small
+from .scale import RANGE_ROWS, broadcast_if_small, carried
 
 
 def contains(start: Column, end: Column, at: Column) -> Column:
@@ -50,17 +50,16 @@ def latest_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> Data
     return df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
-def asof_join(probes: DataFrame, facts: DataFrame, keys: list[str], probe_at: str, fact_at: str, tie: str, value_cols: list[str], within_days: int | None = None) -> DataFrame:
+def asof_join(probes: DataFrame, facts: DataFrame, keys: list[str], probe_at: str, fact_at: str, tie: str, value_cols: list[str], within_days: int | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Each probe with the last fact at or before it (greatest tie wins), null values if there is none.
 
-    One union and one window per key: a single shuffle on the keys, linear in rows, whatever the number of facts.
+    One union of both sides, scanned by key and range of time (scale.carried): linear in rows, and no key is one task.
     within_days keeps only facts that are at most so many days old (dates).
     """
     values = F.struct(*[F.col(c) for c in value_cols], F.col(fact_at).alias("_at"))
     f = facts.select(*keys, F.col(fact_at).alias("_t"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), values.alias("_v"), F.lit(None).cast(probes.select(F.struct("*")).schema[0].dataType).alias("_p"))
     p = probes.select(*keys, F.col(probe_at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(facts.schema[tie].dataType).alias("_tie"), F.lit(None).cast(f.schema["_v"].dataType).alias("_v"), F.struct(*probes.columns).alias("_p"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    got = f.unionByName(p).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1")
+    got = carried(f.unionByName(p), keys, ["_t", "_side", "_tie"], "_v", "_v", range_rows=range_rows).filter("_side = 1")
     if within_days is not None:
         got = got.withColumn("_v", F.when(F.date_diff(F.col("_t"), F.col("_v._at")) <= within_days, F.col("_v")))
     return got.select("_p.*", *[F.col(f"_v.{c}").alias(c) for c in value_cols])
@@ -132,12 +131,12 @@ def sell_available(trades: DataFrame, calendar: DataFrame, at: str, rule: str, o
     return later.withColumn(out, F.when(F.col(rule) == "SAME_MARKET_DATE", F.col(at)).otherwise(F.col(out)))
 
 
-def next_event(probes: DataFrame, events: DataFrame, keys: list[str], probe_at: str, event_at: str, out: str) -> DataFrame:
-    """The first event strictly after each probe, per key; one window over the union of both, from the latest backwards."""
+def next_event(probes: DataFrame, events: DataFrame, keys: list[str], probe_at: str, event_at: str, out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The first event strictly after each probe, per key: the union of both, scanned by key and range of time from the latest
+    backwards (scale.carried)."""
     p = probes.select(*keys, F.col(probe_at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(events.schema[event_at].dataType).alias("_e"), F.struct(*probes.columns).alias("_p"))
     e = events.select(*keys, F.col(event_at).alias("_t"), F.lit(0).alias("_side"), F.col(event_at).alias("_e"), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"))
-    w = Window.partitionBy(*keys).orderBy(F.col("_t").desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return p.unionByName(e).withColumn(out, F.last("_e", ignorenulls=True).over(w)).filter("_side = 1").select("_p.*", out)
+    return carried(p.unionByName(e), keys, ["_t", "_side"], "_e", "_next", backwards=True, upto=-1, range_rows=range_rows).filter("_side = 1").select("_p.*", F.col("_next").alias(out))
 
 
 def islands(df: DataFrame, keys: list[str], value: str, step: int | None = None) -> DataFrame:
