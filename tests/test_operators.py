@@ -299,3 +299,67 @@ def test_asof_of_one_key_in_many_tasks(spark):
         if n == 7:
             assert got.filter("k = 'hot'").select(F.spark_partition_id().alias("s")).distinct().count() > 4
         assert {r.id: r.n for r in temporal.next_event(p, f, ["k"], "t", "at", "n", range_rows=n).collect()} == later
+
+
+def test_overlaps_of_intervals(spark):
+    rng = random.Random(2)
+    data = []
+    for i in range(200):
+        a = rng.randrange(120)
+        e = rng.choice([None, a, a + rng.randrange(40), a - 3])
+        data.append((rng.choice("AAB"), i, day(a), None if e is None else day(e)))
+    far = dt.date(9999, 12, 31)
+    want = sorted((k, i, j) for k, i, s, e in data for m, j, t, f in data if k == m and i < j and s <= (e or far) and t <= (f or far) and max(s, t) <= min(e or far, f or far))
+    schema = "k string, id int, effective_from date, effective_to date"
+    assert sorted(map(tuple, temporal.conflicts(spark.createDataFrame(data, schema), "k", "id").collect())) == want
+    apart = spark.range(100_000).select(F.lit("one").alias("k"), "id", F.expr("date_add(date'1900-01-01', cast(3 * id as int))").alias("effective_from"), F.expr("date_add(date'1900-01-01', cast(3 * id + 2 as int))").alias("effective_to"))
+    assert temporal.conflicts(apart, "k", "id").count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 17, 64])
+def test_latest_available_input(spark, n):
+    """Any mixture of late inputs, ties of dates and moments, against a plain search."""
+    rng = random.Random(n)
+    moment = lambda x: dt.datetime(2024, 1, 1) + dt.timedelta(hours=x)
+    inputs = [(rng.choice("AB"), "f", day(rng.randrange(9)), moment(rng.randrange(12)), i, float(i)) for i in range(n)]
+    asked = [(i, rng.choice("ABC"), "f", day(rng.randrange(-1, 10)), moment(rng.randrange(-1, 13))) for i in range(40)]
+    i = spark.createDataFrame(inputs, "a string, field_name string, observation_date date, available_at timestamp, input_version_id int, value double")
+    d = spark.createDataFrame(asked, "decision_id int, a string, field_name string, factor_date date, decision_at timestamp")
+    got = {r.decision_id: r._best and tuple(r._best) for r in factors.latest_available(d, i, ["a", "field_name"]).collect()}
+    assert got == {k: max(((x[2], x[3], x[4], x[5]) for x in inputs if x[0] == a and x[2] <= f and x[3] <= t), default=None) for k, a, _, f, t in asked}
+
+
+def test_three_exposures_of_hot_and_small_sections(spark):
+    rng = np.random.default_rng(11)
+    data = [(s, i, *map(float, rng.normal(size=4) * [1, 1, 100, 1e-3] + [0, 5, 1e4, 0])) for s, n in ((1, 300), (2, 5), (3, 4), (None, 50)) for i in range(n)]
+    df = spark.createDataFrame(data, "s int, i int, y double, p double, q double, r double")
+    got = {(r.s, r.i): r.residual for r in factors.neutralize_many(df, ["s"], "i", "y", ["p", "q", "r"]).collect()}
+    for s in (1, 2, None):
+        m = np.array([x[2:] for x in data if x[0] == s])
+        a = np.column_stack([np.ones(len(m)), m[:, 1:]])
+        assert [got[s, i] for i in range(len(m))] == pytest.approx(list(m[:, 0] - a @ np.linalg.lstsq(a, m[:, 0], rcond=None)[0]), abs=1e-7)
+    assert [got[3, i] for i in range(4)] == pytest.approx([0] * 4, abs=1e-7)  # as many rows as unknowns
+    assert all(r.residual is None for r in factors.neutralize_many(df.filter("s = 3 and i < 3"), ["s"], "i", "y", ["p", "q", "r"]).collect())
+
+
+def test_a_long_chain_of_ids_streams(spark):
+    n = 60_000
+    df = spark.range(1, n + 1).select(F.lit("k").alias("k"), F.col("id").cast("int").alias("revision_position"), F.col("id").cast("string").alias("cid")).unionByName(spark.createDataFrame([(None, 1, "x")], "k string, revision_position int, cid string"))
+    last = versions.with_ids(df, "D", ["k"], "cid", "k").filter(f"revision_position = {n} or k is null").collect()
+    before = ""
+    for i in range(1, n + 1):
+        before = hashlib.sha256(f"{hashlib.sha256(chr(31).join((before, 'D', 'k', str(i))).encode()).hexdigest()}\x1f{i}".encode()).hexdigest()
+    assert {r.k: r.version_id for r in last}["k"] == before and len(last) == 2
+
+
+def test_negative_scores_costs_of_splits_and_faulty_factors(spark):
+    w = trading.score_weights(spark.createDataFrame([(1, "a", 3.0), (1, "b", -1.0), (2, "a", 1.0), (2, "b", 3.0), (3, "a", 0.0)], "g int, a string, s double"), ["g"], "a", "s")
+    assert [(r.g, r.a, r.status, r.weight and float(r.weight)) for r in w.orderBy("g", "a").collect()] == [(1, "a", "negative-score", None), (1, "b", "negative-score", None), (2, "a", "ok", 0.25), (2, "b", "ok", 0.75), (3, "a", "undefined", None)]
+    p = spark.createDataFrame([("x", day(0), 10, 6.0), ("y", day(0), 10, 6.0)], "a string, held_from date, quantity int, unit_cost double")
+    e = spark.createDataFrame([("e", "x", day(1), 2.0), ("f", "x", day(3), 1.5)], "event_id string, a string, effective_date date, ratio double")
+    got = {r.a: (r.adjusted_quantity, r.adjusted_cost) for r in trading.apply_actions(p, e, "a").collect()}
+    assert got == {"x": (30.0, 2.0), "y": (10.0, 6.0)}
+    prices = spark.createDataFrame([(a, day(i), 1.0) for a in "xy" for i in range(4)], "a string, d date, p double")
+    f = spark.createDataFrame([("x", day(i), 2.0) for i in range(4)] + [("y", day(0), 1e13), ("y", day(1), 1.0), ("y", day(1), 1.0), ("y", day(3), 1.0)], "a string, d date, factor double")
+    got = factors.adjust_prices(prices, f, "a", "d", "p", "backward").orderBy("a", "d").collect()
+    assert [(r.status, r.fault) for r in got] == [("OK", None)] * 4 + [("REJECTED", x) for x in ("out-of-range", "repeated", "missing", None)]

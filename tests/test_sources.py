@@ -202,6 +202,34 @@ def test_windowed_stream(spark, tmp_path):
     assert sorted((r.window_start.hour, r.n, r.total) for r in got)[:2] == [(12, 2, 3.0), (13, 1, 5.0)]  # the late row counts nowhere
 
 
+def test_late_rows_are_evidence(spark, tmp_path):
+    """Rows on both sides of what their key has reached, less the delay; the other key's clock has no say."""
+    batches = [[("a", at(60), 1.0), ("b", at(0), 1.0)], [("a", at(50), 2.0), ("a", at(49), 3.0), ("b", at(5), 2.0), ("a", None, 9.0)], [("a", at(300), 4.0), ("a", at(51), 5.0)], [("a", at(289), 6.0), ("a", at(290), 7.0)]]
+    got = run_stream(spark, tmp_path, lambda s: jobs.screened(s, "k", "ts", "10 minutes"), "k string, ts timestamp, v double", batches)
+    assert sorted((r.k, r.v, r.status, r.reached) for r in got if r.k == "a") == [("a", 1.0, "on-time", None), ("a", 2.0, "on-time", at(60)), ("a", 3.0, "late", at(60)), ("a", 4.0, "on-time", at(60)), ("a", 5.0, "on-time", at(60)), ("a", 6.0, "late", at(300)), ("a", 7.0, "on-time", at(300)), ("a", 9.0, "on-time", at(60))]
+    assert [r.status for r in got if r.k == "b"] == ["on-time"] * 2
+
+
+def test_a_stream_publishes_each_batch_once(spark, tmp_path):
+    path, schema = str(tmp_path / "chain"), "k string, ts timestamp, v string"
+    batches = [[("x", at(0), "a"), ("x", at(1), "a"), ("x", at(2), None), ("y", at(0), None)], [("x", at(3), None), ("x", at(4), "b"), ("y", at(1), None)], [("x", at(5), "b")], [("y", at(9), "c"), (None, at(9), "n")]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = jobs.publish_stream(source, path, str(tmp_path / "cp"), ["k"], ["ts"], "v").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+
+    def chain():
+        return sorted(((r.k, r.revision_position, r.v, r.predecessor_content) for r in spark.read.parquet(path).collect()), key=str)
+
+    want = [(None, 1, "n", None), ("x", 1, "a", None), ("x", 2, None, "a"), ("x", 3, "b", None), ("y", 1, None, None), ("y", 2, "c", None)]
+    assert chain() == sorted(want, key=str)
+    for n in (1, 3, 2):  # a replay
+        jobs.publish_batch(spark.createDataFrame(batches[n], schema), n, path, ["k"], ["ts"], "v")
+        assert chain() == sorted(want, key=str)
+
+
 def test_ledger_stream(spark, tmp_path):
     schema = "p string, asset_id string, request_id string, executed_at timestamp, side string, lots_wanted long, lot long, price double, halted boolean, reference_price double"
     batches = [[("x", "A", "1", at(0), "BUY", 5, 1, 10.0, False, None)], [("x", "A", "2", at(1), "BUY", 9, 1, 10.0, False, None), ("x", "A", "3", at(2), "SELL", 99, 1, 10.0, False, None), ("x", "A", "4", at(3), "SELL", 2, 1, 10.0, True, None)]]

@@ -60,7 +60,7 @@ def url_allowed(url: Column, origin: str, scope: str) -> Column:
     """https with an explicit port, no user, query or fragment, of this origin, below this path."""
     host, part = F.try_parse_url(url, F.lit("HOST")), lambda p: F.try_parse_url(url, F.lit(p))
     authority = part("AUTHORITY")
-    same = F.concat(F.lit("https://"), F.lower(authority)) == origin
+    same = F.concat(F.lit("https://"), F.lower(authority)) == F.lower(F.lit(origin))
     ok = (part("PROTOCOL") == "https") & host.isNotNull() & part("USERINFO").isNull() & part("QUERY").isNull() & part("REF").isNull() & authority.rlike(":[0-9]+$") & same
     return F.coalesce(ok & F.startswith(normalised_path(part("PATH")), F.lit(scope)), F.lit(False))
 

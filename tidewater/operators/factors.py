@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scale import broadcast_if_small
+from .temporal import asof_join
 
 #: The accepted transformations and bounds of a factor definition.
 TRANSFORMATIONS = ("lag", "simple_return", "log_return", "difference", "ratio", "rolling_mean", "rolling_std", "rank", "winsorize", "zscore", "neutralize", "identity")
@@ -115,18 +114,42 @@ def neutralize(df: DataFrame, section: list[str], y: str, x: str, out: str = "re
 
 
 def neutralize_many(df: DataFrame, section: list[str], asset: str, y: str, xs: list[str]) -> DataFrame:
-    """Residuals on several exposures, in their given order; null if the design's rank is deficient."""
-    schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in [*section, asset]] + ["residual double"])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.column_stack([np.ones(len(pdf)), *(pdf[x].astype(float) for x in xs)])
-        b = pdf[y].astype(float).to_numpy()
-        full = len(pdf) >= a.shape[1] and np.linalg.matrix_rank(a) == a.shape[1]
-        r = b - a @ np.linalg.lstsq(a, b, rcond=None)[0] if full else np.full(len(pdf), np.nan)
-        return pdf[[*section, asset]].assign(residual=pd.Series(r, index=pdf.index).where(np.isfinite(r), None))
-
-    ok = df.dropna(subset=[y, *xs]).select(*section, asset, y, *xs)
-    return ok.groupBy(*section).applyInPandas(solve, schema)
+    """Residuals on several exposures and a constant; null if the design's rank is deficient.
+
+    Each section's covariances are sums, so they are aggregated where the rows are; the normal equations of the standardised
+    exposures are solved by Cholesky factors, one column for each of their entries. A pivot of 1e-10 or less (of an exposure's
+    own dispersion) says that it depends on those before it."""
+    k, ok = len(xs), df.dropna(subset=[y, *xs]).select(*section, asset, F.col(y).cast("double").alias("_y"), *(F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)))
+    cov = [F.covar_pop(f"_x{i}", f"_x{j}").alias(f"s{i}_{j}") for i in range(k) for j in range(i + 1)] + [F.covar_pop(f"_x{i}", "_y").alias(f"c{i}") for i in range(k)]
+    g = ok.groupBy(*section).agg(F.count("*").alias("_n"), F.avg("_y").alias("my"), *(F.avg(f"_x{i}").alias(f"m{i}") for i in range(k)), *cov)
+    c = F.col
+    g = g.withColumns({f"d{i}": F.sqrt(F.when(c(f"s{i}_{i}") > 0, c(f"s{i}_{i}"))) for i in range(k)})
+    for j in range(k):  # the factor's columns, one after the other
+        pivot = F.lit(1.0)
+        for h in range(j):
+            pivot = pivot - c(f"l{j}_{h}") * c(f"l{j}_{h}")
+        g = g.withColumn(f"l{j}_{j}", F.sqrt(F.when(pivot > 1e-10, pivot)))
+        for i in range(j + 1, k):
+            rest = F.try_divide(c(f"s{i}_{j}"), c(f"d{i}") * c(f"d{j}"))
+            for h in range(j):
+                rest = rest - c(f"l{i}_{h}") * c(f"l{j}_{h}")
+            g = g.withColumn(f"l{i}_{j}", rest / c(f"l{j}_{j}"))
+    for i in range(k):
+        rest = F.try_divide(c(f"c{i}"), c(f"d{i}"))
+        for h in range(i):
+            rest = rest - c(f"l{i}_{h}") * c(f"z{h}")
+        g = g.withColumn(f"z{i}", rest / c(f"l{i}_{i}"))
+    for i in reversed(range(k)):
+        rest = c(f"z{i}")
+        for h in range(i + 1, k):
+            rest = rest - c(f"l{h}_{i}") * c(f"b{h}")
+        g = g.withColumn(f"b{i}", rest / c(f"l{i}_{i}"))
+    g = g.select(*(c(x).alias(f"_k_{x}") for x in section), "_n", "my", *(c(f"m{i}") for i in range(k)), *((c(f"b{i}") / c(f"d{i}")).alias(f"b{i}") for i in range(k)))
+    residual = c("_y") - c("my")
+    for i in range(k):
+        residual = residual - c(f"b{i}") * (c(f"_x{i}") - c(f"m{i}"))
+    same = [c(x).eqNullSafe(c(f"_k_{x}")) for x in section]
+    return ok.join(g, same).select(*section, asset, F.when(c("_n") > k, residual).alias("residual"))
 
 
 def point_in_time(inputs: DataFrame, decisions: DataFrame, asset: str, fields: list[str], depth: int = 8) -> DataFrame:
@@ -135,7 +158,7 @@ def point_in_time(inputs: DataFrame, decisions: DataFrame, asset: str, fields: l
 
     One window per asset and field over the union of inputs and decisions, by observation date: a decision looks at the
     `depth` inputs before it, latest first, and takes the first one that was available. Where none of them was and there
-    are more, all inputs of that asset and field are compared.
+    are more, latest_available() looks in all inputs of that asset and field, in n log n.
     """
     keys = [asset, "field_name"]
     used = inputs.filter(F.col("field_name").isin(fields))
@@ -155,19 +178,46 @@ def point_in_time(inputs: DataFrame, decisions: DataFrame, asset: str, fields: l
     unclear = F.col("_best").isNull() & (F.col("_place") > depth)
     done = seen.filter(~unclear).select("decision_id", *keys, "_best")
     rest = seen.filter(unclear).select("decision_id", *keys, "factor_date", "decision_at")
-    visible = rest.join(used, keys, "left").withColumn("_i", F.when((F.col("available_at") <= F.col("decision_at")) & (F.col("observation_date") <= F.col("factor_date")), F.struct("observation_date", "available_at", "input_version_id", "value")))
-    all_rows = done.unionByName(visible.groupBy("decision_id", *keys).agg(F.max("_i").alias("_best")))
+    late = used.join(rest.select(*keys).distinct(), keys, "left_semi")
+    all_rows = done.unionByName(latest_available(rest, late, keys).select("decision_id", *keys, "_best"))
     return all_rows.select("decision_id", *keys, "_best.*").withColumn("status", F.when(F.col("value").isNull(), "MISSING").otherwise("OK"))
 
 
+def latest_available(decisions: DataFrame, inputs: DataFrame, keys: list[str]) -> DataFrame:
+    """Each decision (decision_id, keys, factor_date, decision_at) with _best, its latest input (observation_date,
+    available_at, input_version_id, value) observed by the factor date and available by the decision; null if none is.
+
+    Of a key's inputs in the order of their availability, a decision may see the first c. These make up one block of 2 ** level
+    inputs for each bit of c, and an input lies in one block of each level; so each decision asks as many as-of lookups by
+    observation date as c has bits, and the latest of their answers counts. Rows grow by the logarithm of a key's inputs,
+    however many of them came late.
+    """
+    i = inputs.select(*keys, F.col("available_at").alias("_t"), F.lit(0).alias("_side"), F.struct("observation_date", "available_at", "input_version_id", "value").alias("_i"))
+    d = decisions.select(*keys, F.col("decision_at").alias("_t"), F.lit(1).alias("_side"), F.struct("decision_id", "factor_date", "decision_at").alias("_d"))
+    both = i.unionByName(d, allowMissingColumns=True).withColumn("_c", F.sum(1 - F.col("_side")).over(Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)))
+    levels = F.sequence(F.lit(0), F.lit(40))
+    shift = lambda c, level: F.call_function("shiftright", c, level)
+    both = both.withColumn("_top", F.floor(F.log2(F.greatest(F.max("_c").over(Window.partitionBy(*keys)), F.lit(1)).cast("double"))).cast("int"))
+    held = both.filter("_side = 0").select(*keys, F.col("_i.observation_date").alias("_on"), "_i", F.explode(F.sequence(F.lit(0), "_top")).alias("_level"), F.col("_c"))
+    held = held.withColumn("_block", shift(F.col("_c") - 1, F.col("_level"))).drop("_c")
+    bits = F.filter(levels, lambda level: shift(F.col("_c"), level) % 2 == 1)
+    asked = both.filter("_side = 1").select(*keys, "_d", F.col("_d.factor_date").alias("_on"), F.explode_outer(bits).alias("_level"), "_c").withColumn("_block", shift(F.col("_c"), F.col("_level")) - 1).drop("_c")
+    found = asof_join(asked, held, [*keys, "_level", "_block"], "_on", "_on", "_i", ["_i"])
+    best = found.groupBy(*keys, "_d").agg(F.max("_i").alias("_best"))
+    return best.select("_d.*", *keys, "_best")
+
+
 def adjust_prices(prices: DataFrame, factors: DataFrame, asset: str, at: str, price: str, mode: str) -> DataFrame:
     """Backward: price * f; forward: price * f / last f; unadjusted: as is. One factor per date within [1e-12, 1e12], or
-    the whole series is rejected (null, status REJECTED)."""
+    the whole series is rejected (null, status REJECTED) and each of its rows says in `fault` what is wrong with its own date:
+    missing, repeated or out-of-range (null where nothing is)."""
     if mode == "unadjusted":
-        return prices.withColumn("adjusted", F.col(price)).withColumn("status", F.lit("OK"))
+        return prices.withColumn("adjusted", F.col(price)).withColumn("status", F.lit("OK")).withColumn("fault", F.lit(None).cast("string"))
     f = factors.groupBy(asset, at).agg(F.count("*").alias("_n"), F.max("factor").alias("_f"))
     every = Window.partitionBy(asset)
     j = prices.join(f, [asset, at], "left")
-    bad = F.max(F.when(F.col("_n").isNull() | (F.col("_n") != 1) | ~F.col("_f").between(1e-12, 1e12), 1).otherwise(0)).over(every)
+    fault = F.when(F.col("_n").isNull() | F.col("_f").isNull(), "missing").when(F.col("_n") != 1, "repeated").when(~F.col("_f").between(1e-12, 1e12), "out-of-range")
+    j = j.withColumn("fault", fault)
+    bad = F.max(F.when(F.col("fault").isNotNull(), 1).otherwise(0)).over(every)
     base = F.max_by("_f", at).over(every) if mode == "forward" else F.lit(1.0)
     return j.withColumn("_bad", bad).withColumn("_base", base).withColumn("adjusted", F.when(F.col("_bad") == 0, F.col(price) * F.try_divide(F.col("_f"), F.col("_base")))).withColumn("status", F.when(F.col("_bad") == 0, "OK").otherwise("REJECTED")).drop("_n", "_f", "_bad", "_base")

@@ -72,7 +72,7 @@ def panel_contributions(df: DataFrame, weights: DataFrame, section: str, asset:
     return c.select("i", "w", "marginal", "component", F.try_divide(F.col("component"), F.when(F.col("variance") > 0, F.sqrt(F.when(F.col("variance") > 0, F.col("variance"))))).alias("component_vol"), "variance", F.when(F.col("_whole"), "OK").otherwise("INCOMPLETE").alias("status"))
 
 
-def symmetry(cov: DataFrame, key: str, tolerance: float = 1e-10) -> DataFrame:
+def symmetry(cov: DataFrame, key: str, tolerance: float = 1e-12) -> DataFrame:
     """Per matrix (key, i, j, v): the number of its assets, and whether it is whole and symmetric, by a join of (i, j) with
     (j, i)."""
     t = cov.select(F.col(key).alias("_k"), F.col("j").alias("_i"), F.col("i").alias("_j"), F.col("v").alias("_t"))
@@ -81,8 +81,8 @@ def symmetry(cov: DataFrame, key: str, tolerance: float = 1e-10) -> DataFrame:
     return g.select(key, F.col("n").cast("int").alias("n_assets"), (F.col("same") & (F.col("cells") == F.col("n") * F.col("n"))).alias("symmetric"))
 
 
-def psd_check(cov: DataFrame, key: str, tolerance: float = 1e-10) -> DataFrame:
-    """Per matrix: symmetric, smallest eigenvalue, and whether it is >= -tolerance. cov: (key, i, j, v).
+def psd_check(cov: DataFrame, key: str, tolerance: float = 1e-12) -> DataFrame:
+    """Per matrix: symmetric, smallest eigenvalue, and whether it is >= -tolerance * max(1, largest of the diagonal). cov: (key, i, j, v).
 
     Eigenvalues need a matrix whole in one task; one of over MATRIX_ASSETS assets is an error."""
     if cov.select(key, "i").distinct().groupBy(key).count().filter(F.col("count") > MATRIX_ASSETS).limit(1).count():
@@ -94,7 +94,7 @@ def psd_check(cov: DataFrame, key: str, tolerance: float = 1e-10) -> DataFrame:
         whole = a.shape[0] == a.shape[1] and not np.isnan(a).any()
         sym = bool(whole and np.allclose(a, a.T, rtol=0, atol=tolerance))
         low = float(np.linalg.eigvalsh((a + a.T) / 2)[0]) if sym else None
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "n_assets": [len(m)], "symmetric": [sym], "min_eigenvalue": [low], "psd": [bool(sym and low >= -tolerance * max(1.0, float(np.abs(a).max())))]})
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "n_assets": [len(m)], "symmetric": [sym], "min_eigenvalue": [low], "psd": [bool(sym and low >= -tolerance * max(1.0, float(np.abs(np.diag(a)).max())))]})
 
     return cov.groupBy(key).applyInPandas(check, f"{key} {cov.schema[key].dataType.simpleString()}, n_assets int, symmetric boolean, min_eigenvalue double, psd boolean")
 

@@ -175,17 +175,49 @@ def source_gaps(spans: DataFrame, days: DataFrame, keys: list[str], day: str) ->
 
 def path_conflicts(paths: DataFrame, id_col: str, path: str, separator: str = "/") -> DataFrame:
     """Pairs of rows of which one's path is the other's (equal-path) or lies below it (ancestor-or-descendant), by an equality
-    join of each path's ancestors with the paths."""
+    join of each path's ancestors with the paths. Short ancestors, which many paths share, are salted, and the few paths of
+    that length stand in every salt; so no root is one key."""
     parts = F.split(F.regexp_replace(F.col(path), f"{separator}+$", ""), separator)
     p = paths.select(F.col(id_col).alias("_id"), F.array_join(parts, separator).alias("_path"), F.size(parts).alias("_n"), parts.alias("_parts"))
     ups = p.select(F.col("_id").alias("_below"), "_n", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("_n")), lambda i: F.array_join(F.slice("_parts", 1, i), separator))).alias("_depth", "_path"))
-    j = ups.join(p.select(F.col("_id").alias("_above"), "_path"), "_path").withColumn("_equal", F.col("_depth") + 1 == F.col("_n"))
+    salts, shallow = 32, 3  # up to two parts below the root
+    ups = ups.withColumn("_salt", F.when(F.col("_depth") < shallow, F.pmod(F.xxhash64("_below"), F.lit(salts))).otherwise(0).cast("int"))
+    above = p.select(F.col("_id").alias("_above"), "_path", F.explode(F.when(F.col("_n") <= shallow, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"))
+    j = ups.join(above, ["_path", "_salt"]).withColumn("_equal", F.col("_depth") + 1 == F.col("_n"))
     j = j.filter(F.when(F.col("_equal"), F.col("_above") < F.col("_below")).otherwise(F.col("_above") != F.col("_below")))
     return j.select(F.col("_above").alias("left_id"), F.col("_below").alias("right_id"), F.when(F.col("_equal"), "equal-path").otherwise("ancestor-or-descendant").alias("conflict"))
 
 
+LEVELS = 22  # 2 ** 22 days from the year 0 reach beyond the year 9999
+
+
+def _day(c: Column) -> Column:
+    return F.unix_date(c) + 719528
+
+
+def blocks_of(first: Column, last: Column) -> Column:
+    """The fewest blocks (level, place), of 2 ** level days each, that make up the days first to last: two a level at most."""
+
+    def at(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        lo, hi = F.ceil(first / size).cast("long"), F.floor((last + 1) / size).cast("long")
+        one = lambda there, place: F.when((lo < hi) & there, F.struct(level.alias("level"), place.alias("place")))
+        return F.array(one(lo % 2 == 1, lo), one(hi % 2 == 1, hi - 1))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at)))
+
+
 def conflicts(spans: DataFrame, key: str, id_col: str, start: str = "effective_from", end: str = "effective_to") -> DataFrame:
-    """Pairs of overlapping intervals of one key."""
-    a = spans.select(F.col(key).alias("_k"), F.col(id_col).alias("left_id"), F.col(start).alias("_s1"), F.col(end).alias("_e1"))
-    b = spans.select(F.col(key).alias("_k"), F.col(id_col).alias("right_id"), F.col(start).alias("_s2"), F.col(end).alias("_e2"))
-    return a.join(b, "_k").filter((F.col("left_id") < F.col("right_id")) & overlaps(F.col("_s1"), F.col("_e1"), F.col("_s2"), F.col("_e2"))).select(F.col("_k").alias(key), "left_id", "right_id")
+    """Pairs of overlapping intervals of one key; an interval that ends before it begins overlaps none.
+
+    Two intervals overlap if the later start lies in the other. Each interval is cut into blocks of 2 ** level days, and each
+    start is looked up in the blocks that hold it, one of each level that occurs: an equality join that meets each pair once
+    and no other, so a key of any number of intervals that lie apart makes no pairs.
+    """
+    whole = spans.select(F.col(key).alias("_k"), F.col(id_col).alias("_id"), _day(F.col(start)).alias("_s"), _day(F.coalesce(F.col(end), F.lit("9999-12-31").cast("date"))).alias("_e")).filter("_s <= _e")
+    held = whole.select("_k", F.col("_id").alias("_a"), F.col("_s").alias("_sa"), F.explode(blocks_of(F.col("_s"), F.col("_e"))).alias("_b")).select("_k", "_a", "_sa", "_b.level", "_b.place")
+    levels = held.agg(F.collect_set("level").alias("_levels"))  # one row, LEVELS values
+    starts = whole.crossJoin(F.broadcast(levels)).select("_k", F.col("_id").alias("_c"), F.col("_s").alias("_sc"), F.explode("_levels").alias("level"))
+    starts = starts.withColumn("place", F.call_function("shiftright", F.col("_sc").cast("long"), F.col("level")))
+    met = held.join(starts, ["_k", "level", "place"]).filter((F.col("_sa") < F.col("_sc")) | ((F.col("_sa") == F.col("_sc")) & (F.col("_a") < F.col("_c"))))
+    return met.select(F.col("_k").alias(key), F.least("_a", "_c").alias("left_id"), F.greatest("_a", "_c").alias("right_id")).filter("left_id <> right_id")

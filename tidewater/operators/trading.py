@@ -118,11 +118,13 @@ def weight_check(weights: DataFrame, key: str, asset: str, weight: str) -> DataF
 
 def score_weights(df: DataFrame, key: list[str], asset: str, score: str, places: int = 12) -> DataFrame:
     """Weights in proportion to scores, floored to `places` decimals; the residual goes to the largest (first asset on
-    ties), so weights sum to exactly 1. Null scores drop out; a non-positive total is undefined."""
+    ties), so weights sum to exactly 1. Null scores drop out. status: ok, or, without weights, negative-score if a score of the
+    section is below zero, undefined if they sum to zero."""
     every = Window.partitionBy(*key)
     unit = 10**places
     s = F.col(score).cast("double")
-    ok = df.filter(F.col(score).isNotNull()).withColumn("_t", F.sum(s).over(every)).withColumn("_w", F.when(F.col("_t") > 0, F.floor(s / F.col("_t") * unit)))
+    ok = df.filter(F.col(score).isNotNull()).withColumn("_t", F.sum(s).over(every)).withColumn("status", F.when(F.min(s).over(every) < 0, "negative-score").when(F.col("_t") > 0, "ok").otherwise("undefined"))
+    ok = ok.withColumn("_w", F.when(F.col("status") == "ok", F.floor(s / F.col("_t") * unit)))
     first = F.row_number().over(every.orderBy(F.col("_w").desc(), asset))
     w = F.col("_w") + F.when(first == 1, F.lit(unit) - F.sum("_w").over(every)).otherwise(0)
     return ok.withColumn("weight", (w / unit).cast("decimal(20,12)")).drop("_t", "_w")
@@ -224,11 +226,14 @@ def cash_distributions(positions: DataFrame, actions: DataFrame, asset: str, wit
 
 def apply_actions(positions: DataFrame, actions: DataFrame, asset: str) -> DataFrame:
     """Positions after share-changing actions, each event once (of rows of one event the first), on positions held before
-    its effective date; what a share cost is divided by what its quantity is multiplied by.
-    positions: asset, held_from, quantity; actions: event_id, asset, effective_date, ratio."""
+    its effective date; what a share cost is divided by what its quantity is multiplied by, so the position's whole cost
+    stays (adjusted_cost is null where the ratio is not positive).
+    positions: asset, held_from, quantity, unit_cost (may be absent); actions: event_id, asset, effective_date, ratio."""
     once = actions.groupBy("event_id").agg(F.min(F.struct(asset, "effective_date", "ratio")).alias("_a")).select("event_id", "_a.*")
     j = positions.join(once.select(asset, "effective_date", "ratio"), asset, "left").withColumn("_r", F.when(F.col("effective_date") > F.col("held_from"), F.col("ratio")).otherwise(1.0))
-    return j.groupBy(asset, "held_from", "quantity").agg(F.coalesce(F.product("_r"), F.lit(1.0)).alias("ratio"), F.count_if(F.col("_r") != 1).alias("n_events")).withColumn("adjusted_quantity", F.col("quantity") * F.col("ratio"))
+    cost = ["unit_cost"] if "unit_cost" in positions.columns else []
+    out = j.groupBy(asset, "held_from", "quantity", *cost).agg(F.coalesce(F.product("_r"), F.lit(1.0)).alias("ratio"), F.count_if(F.col("_r") != 1).alias("n_events")).withColumn("adjusted_quantity", F.col("quantity") * F.col("ratio"))
+    return out.withColumn("adjusted_cost", F.try_divide(F.col("unit_cost"), F.when(F.col("ratio") > 0, F.col("ratio")))) if cost else out
 
 
 def optimise(df: DataFrame, key: str, asset: str, score: str, cap: float, max_holdings: int, group: str | None = None, group_cap: float = 1.0) -> DataFrame:

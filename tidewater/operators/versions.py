@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .temporal import latest_by
 
@@ -31,20 +36,30 @@ def publish(store: DataFrame, incoming: DataFrame, keys: list[str], content: str
 
 def with_ids(chained: DataFrame, dataset: str, keys: list[str], content_id_col: str, logical: str) -> DataFrame:
     """revision_id, version_id and predecessor_id of a chain(): each revision's id hashes its predecessor's version id, the
-    dataset, the logical key and the content id. The ids of a chain follow from one another, so a key's revisions (not
-    the table) are folded in order."""
-    sha = lambda *parts: F.sha2(F.concat_ws("\u001f", *parts), 256)
-    step = lambda acc, x: F.concat(acc, F.array(_identified(acc, x, dataset, sha)))
-    none = F.array().cast("array<struct<revision_position: int, predecessor_id: string, revision_id: string, version_id: string>>")
-    per = chained.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("revision_position", F.col(content_id_col).alias("cid"), F.col(logical).alias("key")))).alias("_c"))
-    ids = per.select(*keys, F.explode(F.aggregate("_c", none, step)).alias("_i")).select(*keys, "_i.*")
-    return chained.join(ids, [*keys, "revision_position"])
-
-
-def _identified(acc, x, dataset, sha):
-    before = F.try_element_at(acc, F.lit(-1))["version_id"]
-    revision = sha(F.coalesce(before, F.lit("")), F.lit(dataset), x["key"], x["cid"])
-    return F.struct(x["revision_position"].alias("revision_position"), before.alias("predecessor_id"), revision.alias("revision_id"), sha(revision, x["cid"]).alias("version_id"))
+    dataset, the logical key and the content id; nulls are left out of a hash.
+
+    The ids of a key follow from one another, so its revisions pass through one task in order; what is held of them is the
+    last id, so a key may have any number."""
+    cols = chained.columns
+    added = T.StructType(list(chained.schema)).add("predecessor_id", "string").add("revision_id", "string").add("version_id", "string")
+    sha = lambda *parts: sha256("\u001f".join(x for x in parts if x is not None).encode()).hexdigest()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, before = None, None
+        for b in batches:
+            ids: list[tuple] = []
+            for key, k, cid in zip(zip(*(b.column(c).to_pylist() for c in keys), strict=True), b.column("_key").to_pylist(), b.column("_cid").to_pylist(), strict=True):
+                if key != last:
+                    last, before = key, None
+                revision = sha(before or "", dataset, k, cid)
+                version = sha(revision, cid)
+                ids.append((before, revision, version))
+                before = version
+            new = [pa.array(x, pa.string()) for x in zip(*ids, strict=True)] or [pa.array([], pa.string())] * 3
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), *new], names=[*cols, "predecessor_id", "revision_id", "version_id"])
+
+    ordered = chained.withColumns({"_key": F.col(logical).cast("string"), "_cid": F.col(content_id_col).cast("string")}).repartition(*map(F.col, keys)).sortWithinPartitions(*keys, "revision_position")
+    return ordered.mapInArrow(fold, added)
 
 
 #: The fields of each dataset's content, and their kinds, in order.
