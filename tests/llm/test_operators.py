@@ -484,11 +484,16 @@ def test_vectors_of_different_widths_are_an_error(spark):
 
 
 def test_kept_pretokens_are_bounded_in_bytes():
-    coder = bpe.Codec(open(RANKS, "rb").read())
-    for i in range(4):
-        coder.learn([f"{i}-{j}" + "ab" * 50_000 for j in range(100)], set())
-        assert coder.held <= bpe.CACHED and len(coder.known) <= bpe.CACHED // bpe.cost("ab" * 50_000)
-        assert coder.held == sum(map(bpe.cost, coder.known))
+    coder, long = bpe.Codec(open(RANKS, "rb").read()), "ab" * 50_000
+    for i in range(6):
+        used = {f"{i}-{j}{long}" for j in range(60)} | {"tide"}
+        coder.learn(used)
+        assert used <= coder.known.keys() and coder.held == sum(map(bpe.cost, coder.known))
+        assert coder.held + sum(map(bpe.cost, coder.before)) <= bpe.CACHED + 2 * sum(map(bpe.cost, used))
+    assert coder.before  # the older generation, of which what is used comes back
+    again = set(list(coder.before)[:5])
+    coder.learn(again)
+    assert again <= coder.known.keys()
 
 
 def test_long_texts_are_encoded_bit_by_bit():

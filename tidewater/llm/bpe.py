@@ -29,8 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG, SQUARES_AT_ONCE = 400, 4_000_000
-CACHED, OVERHEAD = 120_000_000, 420  # bytes of kept pre-tokens and their results; what one takes besides its bytes
+LONG, SQUARES_AT_ONCE = 400, 2_000_000
+CACHED, OVERHEAD = 90_000_000, 420  # bytes of kept pre-tokens and their results; what one takes besides its bytes
 
 MERGE = """
 WITH RECURSIVE step(word, pos, after, tok, nxt, round) AS (
@@ -66,6 +66,7 @@ class Codec:
         self.names = {r: b for b, r in ranks.items()}
         self.first = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.before: dict[str, tuple[str, int, bytes]] = {}
         self.held = 0
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": "", "preserve_insertion_order": "false"})
         splits = [(ranks[b[:i]], ranks[b[i:]], r) for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
@@ -75,13 +76,16 @@ class Codec:
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM vocab")
 
-    def learn(self, words: list[str], in_use: set[str] = frozenset()) -> None:
-        """Encode words; if that is too much to keep, only what is in use stays."""
-        new = sum(map(cost, words))
-        if self.held + new > CACHED:
-            self.known = {w: x for w, x in self.known.items() if w in in_use}
-            self.held = sum(map(cost, self.known))
-        self.held += new
+    def learn(self, used: set[str]) -> None:
+        """Have all of these in `known`. What is known makes up two generations of half of CACHED each: when the newer is full
+        it becomes the older, what is used of that comes back, and the rest goes with the next change."""
+        if self.held > CACHED // 2:
+            self.before, self.known, self.held = self.known, {}, 0
+        words = used.difference(self.known)
+        self.held += sum(map(cost, words))
+        again = words.intersection(self.before)
+        self.known.update({w: self.before[w] for w in again})
+        words = sorted(words.difference(again))
         held, squares = [], 0
         for w in words:
             n = len(w.encode())
@@ -161,7 +165,7 @@ def codec(data: bytes) -> Codec:
     return _codecs[key]
 
 
-AT_ONCE = 2_000_000  # characters of texts that are cut together; a longer text is cut by itself, bit by bit
+AT_ONCE = 1_000_000  # characters of texts that are cut together; a longer text is cut by itself, bit by bit
 
 
 def _groups(texts: pa.Array):
@@ -184,7 +188,7 @@ def _long(text: str, coder: Codec, cut: regex.Pattern, digest: bool, at_once: in
     matches = (m[0] for m in cut.finditer(text))
     while ws := list(islice(matches, at_once)):
         used = set(ws)
-        coder.learn(sorted(used.difference(coder.known)), used)
+        coder.learn(used)
         got = [coder.known[w] for w in ws]
         put(ids, (b"," if begun else b"") + ",".join([x[0] for x in got]).encode())
         put(decoded, b"".join([x[2] for x in got]))
@@ -206,7 +210,7 @@ def _each(texts: Iterator[pa.Array], data: bytes, pattern: str, digest: bool) ->
                 continue
             words = [cut.findall(t) for t in group]
             used = set().union(*words)
-            coder.learn(sorted(used.difference(coder.known)), used)
+            coder.learn(used)
             get = coder.known.__getitem__
             for ws in words:
                 got = [get(w) for w in ws]
