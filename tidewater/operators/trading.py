@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 from fractions import Fraction
 
 import numpy as np
@@ -10,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .linear import Unproven, portfolio, smallest_infeasible
 from .scale import total_order
 from .temporal import next_event, resolve_exactly_one
 
@@ -130,27 +130,18 @@ def score_weights(df: DataFrame, key: list[str], asset: str, score: str, places:
     return ok.withColumn("weight", (w / unit).cast("decimal(20,12)")).drop("_t", "_w")
 
 
+def _exact(v) -> Fraction | None:
+    """A number as it is written in decimals; None for null and for what is no number."""
+    return None if v is None or not np.isfinite(float(v)) else Fraction(str(v))
+
+
 def infeasible_subsets(rows: DataFrame, key: str) -> DataFrame:
     """The smallest subset (then first ids) of linear constraints without a solution, per group; null if feasible.
 
-    rows: key, constraint_id, coefficients map<string,double>, lower, upper (nullable). Exact rationals, Fourier-Motzkin
-    elimination; exponential, meant for groups of a few constraints.
+    rows: key, constraint_id, coefficients map<string,double>, lower, upper (nullable). In exact rationals, groups in
+    parallel (linear.smallest_infeasible); a group holds the constraints of one portfolio, tens of them.
     """
 
-    def feasible(system: list[tuple[dict, Fraction]]) -> bool:
-        """sum c x <= b for all rows: eliminate one variable after the other."""
-        names = sorted({n for c, _ in system for n in c})
-        for n in names:
-            up = [(c, b) for c, b in system if c.get(n, 0) > 0]
-            down = [(c, b) for c, b in system if c.get(n, 0) < 0]
-            system = [(c, b) for c, b in system if not c.get(n, 0)]
-            for cu, bu in up:
-                for cd, bd in down:
-                    fu, fd = -cd[n], cu[n]
-                    c = {k: fu * cu.get(k, 0) + fd * cd.get(k, 0) for k in {*cu, *cd} - {n}}
-                    system.append(({k: v for k, v in c.items() if v}, fu * bu + fd * bd))
-        return all(b >= 0 for c, b in system if not c)
-
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = {}
         for r in pdf.itertuples(index=False):
@@ -158,13 +149,53 @@ def infeasible_subsets(rows: DataFrame, key: str) -> DataFrame:
             above = [] if pd.isna(r.upper) else [(c, Fraction(str(r.upper)))]
             below = [] if pd.isna(r.lower) else [({k: -v for k, v in c.items()}, -Fraction(str(r.lower)))]
             sides[r.constraint_id] = above + below
-        ids = sorted(sides)
-        hit = next((s for n in range(1, len(ids) + 1) for s in combinations(ids, n) if not feasible([x for i in s for x in sides[i]])), None)
+        hit = smallest_infeasible(sides)
         return pd.DataFrame({key: [pdf[key].iloc[0]], "subset": [",".join(hit) if hit else None]})
 
     return rows.groupBy(key).applyInPandas(find, f"{key} {rows.schema[key].dataType.simpleString()}, subset string")
 
 
+def target_weights(df: DataFrame, key: str, asset: str, score: str, cap: float, max_holdings: int = 10_000, group: str | None = None, lower: str | None = None, upper: str | None = None, current: str | None = None, cash: tuple[float, float] = (0.0, 1.0), turnover: float | None = None, penalty: float = 0.0) -> DataFrame:
+    """Long-only weights that maximise sum(score * weight) - penalty * sum(|weight - current|), in exact rationals:
+
+    weights and cash sum to 1, a weight is at most `cap`, cash lies in its bounds, each group's weights sum to between `lower`
+    and `upper` (columns, equal within a group; null: none), at most max_holdings weights are above zero, and one-way turnover
+    from the weights in `current` (null: none; what they leave is cash) is at most `turnover`. Of equal objectives the
+    lexicographically greatest weights by asset, then cash, win.
+
+    One row for each asset with a score, and one of a null asset for cash: weight, objective, status: OPTIMAL; INFEASIBLE if
+    nothing satisfies all bounds, UNPROVEN if branch and bound ended before it knew the best (both without figures);
+    INVALID if a lower bound is above its upper one or an asset stands twice. A held asset without a score is sold.
+    Portfolios are solved in parallel, each in its own task.
+    """
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, asset)}
+    schema = f"{key} {kinds[key]}, {asset} {kinds[asset]}, weight double, objective double, status string"
+    cols = {"_score": score, "_group": group, "_lower": lower, "_upper": upper, "_current": current}
+    given = df.select(key, asset, *((F.col(c) if c else F.lit(None).cast("string" if n == "_group" else "double")).alias(n) for n, c in cols.items()))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(asset)
+        rows = [(r[asset], r["_group"], *(_exact(r[c]) for c in ("_score", "_current", "_lower", "_upper"))) for r in pdf.to_dict("records")]
+        used = [r for r in rows if r[2] is not None or (r[3] or 0) > 0]
+        now = [r[3] or Fraction(0) for r in used]
+        caps = [Fraction(str(cap)) if r[2] is not None else Fraction(0) for r in used]
+        bounds = {g: (low or Fraction(0), Fraction(1) if high is None else high) for _, g, _, _, low, high in rows if g is not None}
+        groups = [([i for i, r in enumerate(used) if r[1] == g], lo, hi) for g, (lo, hi) in bounds.items()]
+        names, got, status = [r[0] for r in used], None, "OPTIMAL"
+        if len(set(names)) < len(names) or any(lo > hi for _, lo, hi in groups):
+            status = "INVALID"
+        else:
+            try:
+                got = portfolio([r[2] or Fraction(0) for r in used], caps, now, groups, (Fraction(str(cash[0])), Fraction(str(cash[1]))), 1 - sum(now), max_holdings, None if turnover is None else Fraction(str(turnover)), Fraction(str(penalty)))
+                status = "OPTIMAL" if got else "INFEASIBLE"
+            except Unproven:
+                status = "UNPROVEN"
+        weights, value = ([float(w) for w in got[0]], float(got[1])) if got else ([None] * (len(names) + 1), None)
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(weights), asset: pd.Series([*names, None], dtype=object), "weight": pd.Series(weights, dtype=object), "objective": [value] * len(weights), "status": [status] * len(weights)})
+
+    return given.groupBy(key).applyInPandas(solve, schema)
+
+
 def affordable(cash: Column, price: Column, lot: Column, rate: float, minimum: float) -> Column:
     """The most whole lots that cash pays for when costs are max(rate * gross, minimum); 0 if not even one, or no price."""
     spend = F.least(cash / (1 + rate), cash - minimum)
@@ -249,9 +280,10 @@ def optimise(df: DataFrame, key: str, asset: str, score: str, cap: float, max_ho
     if group:
         used = F.coalesce(F.sum("_cap").over(before(Window.partitionBy(key, group))), F.lit(0.0))
         r = r.withColumn("_cap", F.greatest(F.least(F.lit(float(cap)), F.lit(float(group_cap)) - used), F.lit(0.0)))
-    r = r.withColumn("_r", F.sum(F.when(F.col("_cap") > 1e-12, 1).otherwise(0)).over(section.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    r = r.withColumn("_cap", F.when((F.col("_r") <= max_holdings) & (F.col("_cap") > 1e-12), F.col("_cap")).otherwise(0.0))
+    if not group:  # equal caps: the best scores are the best holdings
+        r = r.withColumn("_cap", F.when(F.row_number().over(section.orderBy(*order)) <= max_holdings, F.col("_cap")).otherwise(0.0))
     left = 1.0 - F.coalesce(F.sum("_cap").over(before(section)), F.lit(0.0))
-    ok = F.sum("_cap").over(section) >= 1 - 1e-12
-    weight = F.greatest(F.least(F.col("_cap"), left), F.lit(0.0))
-    return r.withColumn("weight", F.when(ok, weight)).withColumn("status", F.when(ok, "OPTIMAL").otherwise("INFEASIBLE")).drop("_r", "_cap")
+    r = r.withColumn("_w", F.greatest(F.least(F.col("_cap"), left), F.lit(0.0)))
+    held = F.sum(F.when(F.col("_w") > 1e-12, 1).otherwise(0)).over(section)
+    status = F.when(F.sum("_cap").over(section) < 1 - 1e-12, "INFEASIBLE").when(held > max_holdings, "COUNT-BINDS").otherwise("OPTIMAL")
+    return r.withColumn("status", status).withColumn("weight", F.when(F.col("status") == "OPTIMAL", F.col("_w"))).drop("_w", "_cap")

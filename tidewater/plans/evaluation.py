@@ -265,6 +265,20 @@ def grouped_optimum(spark, sf_dir):
     return trading.optimise(p, "bar_date", "asset_id", "factor", 0.2, 8, "g", 0.3).select("bar_date", "asset_id", F.round("weight", 8).alias("weight"), "status")
 
 
+@query(_P + """, ng AS (SELECT bar_date, 0.1::DOUBLE * count(DISTINCT substr(asset_id, 7, 1)) AS need FROM panel GROUP BY 1),
+r AS (SELECT bar_date, asset_id, factor, need, substr(asset_id, 7, 1) AS g FROM panel JOIN ng USING (bar_date) WHERE factor IS NOT NULL AND NOT (month(bar_date) % 4 = 0 AND asset_id LIKE 'Brand#1%')),
+i AS (SELECT *, 0.2::DOUBLE * (row_number() OVER (PARTITION BY bar_date, g ORDER BY factor DESC, asset_id) - 1) AS a FROM r),
+p AS (SELECT *, greatest(least(a + 0.2, 0.1::DOUBLE) - a, 0) AS low, greatest(least(a + 0.2, 0.3::DOUBLE) - greatest(a, 0.1::DOUBLE), 0) AS more FROM i),
+f AS (SELECT *, coalesce(sum(more) OVER (PARTITION BY bar_date ORDER BY factor DESC, asset_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(low) OVER (PARTITION BY bar_date) AS lows, sum(low + more) OVER (PARTITION BY bar_date) AS whole FROM p)
+SELECT bar_date, asset_id, round(CASE WHEN lows > need - 1e-9 AND whole > 1 - 1e-9 THEN low + greatest(least(more, 1 - need - before), 0) END, 8) AS weight, CASE WHEN lows > need - 1e-9 AND whole > 1 - 1e-9 THEN 'OPTIMAL' ELSE 'INFEASIBLE' END AS status FROM f""")
+def bounded_optimum(spark, sf_dir):
+    """Lower and upper bounds of groups by the exact solver; the SQL fills each group to its lower bound, then the best."""
+    p = panel(spark, sf_dir).withColumn("g", F.substring("asset_id", 7, 1)).withColumns({"lo": F.lit(0.1), "hi": F.lit(0.3)})
+    p = p.withColumn("factor", F.when(~((F.month("bar_date") % 4 == 0) & F.startswith("asset_id", F.lit("Brand#1"))), F.col("factor")))
+    got = trading.target_weights(p, "bar_date", "asset_id", "factor", 0.2, group="g", lower="lo", upper="hi", cash=(0.0, 0.0))
+    return got.filter("asset_id is not null").select("bar_date", "asset_id", F.round("weight", 8).alias("weight"), "status")
+
+
 @query(with_views("nav") + " SELECT round(sum(CASE WHEN benchmark > 0 AND value > 0 THEN value * benchmark END) / sum(CASE WHEN benchmark > 0 AND value > 0 THEN value END), 2) AS weighted_mean, max(value) - min(value) AS value_range, count(DISTINCT benchmark) AS n_distinct FROM nav")
 def weighted_mean(spark, sf_dir):
     ok = (F.col("benchmark") > 0) & (F.col("value") > 0)
