@@ -19,7 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import duckdb
@@ -76,9 +76,10 @@ class Codec:
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM vocab")
 
-    def learn(self, used: set[str]) -> None:
+    def learn(self, used: Iterable[str]) -> None:
         """Have all of these in `known`. What is known makes up two generations of half of CACHED each: when the newer is full
         it becomes the older, what is used of that comes back, and the rest goes with the next change."""
+        used = set(used)
         if self.held > CACHED // 2:
             self.before, self.known, self.held = self.known, {}, 0
         words = used.difference(self.known)
