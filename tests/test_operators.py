@@ -363,3 +363,12 @@ def test_negative_scores_costs_of_splits_and_faulty_factors(spark):
     f = spark.createDataFrame([("x", day(i), 2.0) for i in range(4)] + [("y", day(0), 1e13), ("y", day(1), 1.0), ("y", day(1), 1.0), ("y", day(3), 1.0)], "a string, d date, factor double")
     got = factors.adjust_prices(prices, f, "a", "d", "p", "backward").orderBy("a", "d").collect()
     assert [(r.status, r.fault) for r in got] == [("OK", None)] * 4 + [("REJECTED", x) for x in ("out-of-range", "repeated", "missing", None)]
+
+
+def test_search_by_trigrams(spark):
+    df = spark.createDataFrame([(1, "Harbour Light", "HL"), (2, "harbor", "LIGHT"), (3, None, "ab"), (4, "a light harbour", ""), (5, "lig ght igh", "x")], "id int, name string, symbol string")
+    postings = query.trigrams(df, "id", ["name", "symbol"])
+    for text in ("light", "Harbour", "ab", "ghT h", "zzz", " light "):
+        plain, fast = (query.search(df, text, ["name", "symbol"], 50), query.search_indexed(df, postings, "id", text, ["name", "symbol"], 50))
+        assert fast.collect() == plain.collect()
+    assert sorted(r.id for r in query.candidates(df, postings, "id", "light").collect()) == [1, 2, 4, 5]  # 5 has all grams and not the text

@@ -119,6 +119,30 @@ def search(df: DataFrame, text: str, columns: list[str], limit: int) -> DataFram
     return df.filter(reduce(or_, [F.lower(F.col(c)).contains(q) for c in columns])).orderBy(*columns).limit(max(1, min(50, limit)))
 
 
+def trigrams(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """A posting table for substring search: one row (gram, id, column) for each run of three characters of the lower-cased
+    columns, dealt by gram. Write it once, bucketed or sorted by gram, and a search reads the grams of its text only."""
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
+    each = [F.struct(F.lit(c).alias("column"), F.when(F.length(c) >= 3, grams(F.lower(F.col(c)))).alias("grams")) for c in columns]
+    rows = df.select(F.col(id_col).alias("id"), F.explode(F.array(*each)).alias("e")).select("id", "e.column", F.explode("e.grams").alias("gram"))
+    return rows.repartition("gram").sortWithinPartitions("gram")
+
+
+def candidates(df: DataFrame, postings: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The rows that hold every trigram of the text in one column; all rows, if it has none."""
+    q = text.strip().lower()
+    grams = sorted({q[i : i + 3] for i in range(len(q) - 2)})
+    if not grams:
+        return df
+    held = postings.filter(F.col("gram").isin(grams)).groupBy("id", "column").agg(F.count("*").alias("_n")).filter(F.col("_n") == len(grams))
+    return df.join(held.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
+
+
+def search_indexed(df: DataFrame, postings: DataFrame, id_col: str, text: str, columns: list[str], limit: int) -> DataFrame:
+    """search() on the rows alone that the trigram postings name; a text of under three characters is searched in all rows."""
+    return search(candidates(df, postings, id_col, text), text, columns, limit)
+
+
 def select(df: DataFrame, columns: list[str], conditions: list[tuple[str, str, object]], limit: int | None) -> DataFrame:
     """A single-table projection with comparison predicates; a limit is 1..10001 rows, None asks for all."""
     if limit is not None and not 1 <= limit <= MAX_LIMIT + 1:

@@ -53,6 +53,14 @@ def substring_catalog(spark, sf_dir):
     return Q.search(load(spark, sf_dir, "part"), " #1 ", ["p_name", "p_brand"], 500).select("p_name", "p_brand")
 
 
+@query("""SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), 'brand#2') OR contains(lower(p_brand), 'brand#2') """)
+def substring_indexed(spark, sf_dir):
+    """All matches, by the trigram postings."""
+    p = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    postings = Q.trigrams(p, "p_partkey", ["p_name", "p_brand"])
+    return Q.candidates(p, postings, "p_partkey", "Brand#2").filter(F.lower("p_name").contains("brand#2") | F.lower("p_brand").contains("brand#2"))
+
+
 @query("""SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
 def optional_filter(spark, sf_dir):
     return Q.optional(load(spark, sf_dir, "orders"), o_orderstatus="F", o_orderpriority=None).groupBy("o_orderpriority").agg(F.count("*").alias("n"))

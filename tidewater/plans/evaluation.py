@@ -218,7 +218,7 @@ def neutralize_ols_multi(spark, sf_dir):
     return X.neutralize_many(panel(spark, sf_dir), _S, "asset_id", "factor", ["weight", "close"]).select("asset_id", "bar_date", F.round("residual", 6).alias("residual"))
 
 
-@query(with_views("observations") + """, d AS (SELECT 1 AS decision_id, max(logical_date) - 5 AS factor_date, max(available_at) - INTERVAL 5 DAY AS decision_at FROM observations UNION ALL SELECT 2, max(logical_date) - 12, max(available_at) - INTERVAL 10 DAY FROM observations),
+@query(with_views("observations") + """, d AS (SELECT 1 AS decision_id, max(logical_date) - 5 AS factor_date, max(available_at) - INTERVAL 5 DAY AS decision_at FROM observations UNION ALL SELECT 2, max(logical_date) - 27, max(available_at) - INTERVAL 27 DAY FROM observations),
 vis AS (SELECT d.decision_id, o.asset_id, o.metric AS field_name, arg_max(o.value, row(o.logical_date, o.available_at, o.event_id)) AS value FROM observations o JOIN d ON o.available_at <= d.decision_at AND o.logical_date <= d.factor_date GROUP BY 1, 2, 3),
 w AS (SELECT decision_id, asset_id, field_name FROM (SELECT DISTINCT asset_id FROM observations), (SELECT decision_id FROM d), (SELECT unnest(['click', 'view']) AS field_name))
 SELECT w.decision_id, w.asset_id, w.field_name, round(v.value, 6) AS value, CASE WHEN v.value IS NULL THEN 'MISSING' ELSE 'OK' END AS status FROM w LEFT JOIN vis v USING (decision_id, asset_id, field_name)""")
@@ -226,7 +226,7 @@ def factor_point_in_time(spark, sf_dir):
     o = observations(spark, sf_dir).select("asset_id", F.col("metric").alias("field_name"), "value", F.col("logical_date").alias("observation_date"), "available_at", F.col("event_id").alias("input_version_id"))
     last = o.agg(F.max("observation_date").alias("d"), F.max("available_at").alias("t"))
     one = lambda i, days, back: last.select(F.lit(i).alias("decision_id"), F.date_sub("d", days).alias("factor_date"), (F.col("t") - F.expr(f"interval {back} days")).alias("decision_at"))
-    got = X.point_in_time(o, one(1, 5, 5).union(one(2, 12, 10)), "asset_id", ["click", "view"])
+    got = X.point_in_time(o, one(1, 5, 5).union(one(2, 27, 27)), "asset_id", ["click", "view"])
     return got.select("decision_id", "asset_id", "field_name", F.round("value", 6).alias("value"), "status")
 
 

@@ -106,10 +106,10 @@ def event_total_order(spark, sf_dir):
     return scale.total_order(o, F.col("o_orderdate").cast("date"), ["o_orderdate", "o_custkey", "o_orderkey"], "seq").select("seq", "o_orderkey")
 
 
-@query(with_views("nav") + """, a AS (SELECT nav_date, value, round(value, -3) AS other FROM nav) SELECT nav_date, abs(value - other) <= 1e-3 * greatest(1, abs(value), abs(other)) AS same, value < other AS rose FROM a""")
+@query(with_views("nav") + """, a AS (SELECT nav_date, value, round(value, -3) * CASE WHEN month(nav_date) % 2 = 1 THEN 1.01::DOUBLE ELSE 1 END AS other FROM nav) SELECT nav_date, abs(value - other) <= 1e-3 * greatest(1, abs(value), abs(other)) AS same, value < other AS rose FROM a""")
 def run_comparison(spark, sf_dir):
     a = nav(spark, sf_dir).select("nav_date", "value")
-    b = a.select("nav_date", F.round("value", -3).alias("other"))
+    b = a.select("nav_date", (F.round("value", -3) * F.when(F.month("nav_date") % 2 == 1, 1.01).otherwise(1.0)).alias("other"))
     return a.join(b, "nav_date", "full").select("nav_date", close_enough(F.col("value"), F.col("other"), 1e-3).alias("same"), (F.col("value") < F.col("other")).alias("rose"))
 
 
