@@ -508,3 +508,16 @@ def test_fingerprints_in_slices(size):
     for t in [*TEXTS, "a bb ccc dddd " * 30]:
         b = None if t is None else t.encode()
         assert [x for s in simhash.shingle_hashes(b, size=size) for x in s] == [x for s in simhash.shingle_hashes(b) for x in s]
+
+
+def test_ball_trees_of_several_levels(spark):
+    """Clusters in clusters: the pairs left by descending both trees hold every pair of balls whose bound is high enough."""
+    rng = np.random.default_rng(4)
+    v = (rng.normal(size=(12, 1, 6)) * 900 + rng.normal(size=(12, 60, 6)) * 30).reshape(-1, 6).round().astype(int)
+    df = spark.createDataFrame([(i, [float(x) / 256 for x in r]) for i, r in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 4 == 0, n_floor=8, cell_rows=4, group_rows=4).collect()
+    s = v @ v.T
+    want = [(q, k + 1, i, int(s[q, i])) for q in range(0, len(v), 4) for k, i in enumerate(sorted((j for j in range(len(v)) if j != q), key=lambda j: (-s[q, j], j))[:5])]
+    assert sorted(map(tuple, got)) == want
+    plan = topk.top_k(df, F.col("vec_id") % 4 == 0, n_floor=8, cell_rows=4, group_rows=4)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -9,11 +9,14 @@ ball of candidates (centre c, radius s),
 
     x . y  <=  q . c + |q| s + |c| r + r s
 
-for all queries x and candidates y in them. The search has two rounds, and only balls meet before a vector is sent:
+for all queries x and candidates y in them. Over the balls of either side stands a tree: neighbouring balls lie in a larger
+one, about ``FAN`` in each, up to one root, and the least kth score of a node's queries goes up with them. The search has two
+rounds, and only balls meet before a vector is sent. Each goes down both trees at once from the pair of roots, a level a join:
 
-1. each group goes to the cell of its highest bound, which gives each query a kth best score (before that, its kth best
-   among the pivots);
-2. it then goes to every other cell whose bound reaches the least kth score of its queries.
+1. each group takes, level by level, the cell of the highest bound below where it is; the cell that it ends in gives each
+   query a kth best score (before that, its kth best among the pivots);
+2. a pair of nodes whose bound is below the least kth score of its queries is dropped with all that lies below it; groups then
+   go to the cells that are left.
 
 Inside a pair, cover trees of either side go on in the same way: a pair of nodes is dropped if its bound is below the
 worst kth score of the query node. A worker keeps the trees of the last cell and group it met. A node with no structure to prune by (its cover would need
@@ -210,6 +213,55 @@ def ball(packed: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("centre", pa.list_(pa.float64())), ("norm", pa.float64()), ("radius", pa.float64())]))
 
 
+@F.arrow_udf(BALL)
+def covering(packed: pa.Array) -> pa.Array:
+    """The ball around each packed row's balls."""
+    out = []
+    for one in packed:
+        v, r = _matrix(one.values.field("centre")), np.asarray(one.values.field("radius"))
+        c = v.mean(axis=0)
+        out.append({"centre": c.tolist(), "norm": float(np.sqrt(c @ c)), "radius": float((np.sqrt(np.square(v - c).sum(axis=1)) + r).max()) * (1 + 1e-9)})
+    return pa.array(out, pa.struct([("centre", pa.list_(pa.float64())), ("norm", pa.float64()), ("radius", pa.float64())]))
+
+
+def ball_tree(balls: DataFrame, stash: Stash) -> list[DataFrame]:
+    """balls (node, b) -> a table (node, parent, b) for each level, from these up to the one that has a single node."""
+    out = []
+    while balls.count() > 1:
+        rows = dealt(balls.select(F.col("node").alias("row"), F.col("b.centre").alias("v"), "b"), FAN, "parent", stash)
+        out.append(stash.put(rows.select(F.col("row").alias("node"), "parent", "b")))
+        packed = out[-1].groupBy("parent").agg(F.collect_list(F.struct("b.centre", "b.radius")).alias("bs"))  # some 2 * FAN balls at most
+        balls = stash.put(packed.select(F.col("parent").alias("node"), covering("bs").alias("b")))
+    return [*out, balls.withColumn("parent", F.lit(None).cast("long"))]
+
+
+def descended(q: list[DataFrame], x: list[DataFrame], stash: Stash, least: DataFrame | None = None) -> DataFrame:
+    """Pairs (grp, cell) of the trees' lowest nodes: without `least`, for each group one cell, of the highest bound at every
+    level; with it (node, least), all whose bound reaches the least score that the group's queries ask for."""
+    dot = F.aggregate(F.zip_with("qb.centre", "xb.centre", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    most = dot + F.col("qb.norm") * F.col("xb.radius") + F.col("xb.norm") * F.col("qb.radius") + F.col("qb.radius") * F.col("xb.radius")
+    asked = [least]
+    for level in q[:-1] if least is not None else []:
+        asked.append(stash.put(level.join(asked[-1], "node").groupBy(F.col("parent").alias("node")).agg(F.min("least").alias("least"))))
+    roots = [t[-1].select("node").first() for t in (q, x)]  # a node each
+    pairs = stash.spark.createDataFrame([tuple(r.node for r in roots)] if all(roots) else [], "qn long, xn long")
+    i, j = len(q) - 1, len(x) - 1
+    while i or j:
+
+        def below(levels: list[DataFrame], at: int, name: str) -> DataFrame:
+            t = levels[max(at - 1, 0)]
+            return t.select(F.col("parent" if at else "node").alias(f"{name}n"), F.col("node").alias(f"{name}c"), F.col("b").alias(f"{name}b"))
+
+        met = pairs.join(below(q, i, "q"), "qn").join(below(x, j, "x"), "xn").select("qc", "xc", (most + F.abs(most) * 1e-9 + 1e-6).alias("most"))
+        i, j = max(i - 1, 0), max(j - 1, 0)
+        if least is None:
+            met = met.groupBy("qc").agg(F.max_by("xc", F.struct("most", "xc")).alias("xc"))
+        else:
+            met = met.join(asked[i].withColumnRenamed("node", "qc"), "qc").filter(F.col("most") >= F.col("least"))
+        pairs = stash.put(met.select(F.col("qc").alias("qn"), F.col("xc").alias("xn")))
+    return pairs.select(F.col("qn").alias("grp"), F.col("xn").alias("cell"))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, cell_rows: int = 2048, group_rows: int = 512, n_floor: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best candidates, fewer if there are fewer."""
     spark = vectors.sparkSession
@@ -244,11 +296,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         return stash.put(rows.groupBy("grp").agg(F.collect_list(F.struct("id", "row", "floor", "v")).alias("qs"), F.min("floor").alias("least")).withColumn("q", ball("qs")))
 
     first_groups = groups(asked)
-    dot = F.aggregate(F.zip_with("q.centre", "x.centre", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    most = dot + F.col("q.norm") * F.col("x.radius") + F.col("x.norm") * F.col("q.radius") + F.col("q.radius") * F.col("x.radius")
     # Balls only: one row for group_rows queries or cell_rows candidates.
-    bounds = stash.put(first_groups.select("grp", "q").crossJoin(cells.select("cell", "x")).select("grp", "cell", (most + F.abs(most) * 1e-9 + 1e-6).alias("most")))
-    nearest = stash.put(bounds.groupBy("grp").agg(F.max_by("cell", F.struct("most", "cell")).alias("cell")))
+    trees = [ball_tree(t.select(F.col(n).cast("long").alias("node"), F.col(b).alias("b")), stash) for t, n, b in ((first_groups, "grp", "q"), (cells, "cell", "x"))]
+    nearest = descended(*trees, stash)
 
     def met(pairs: DataFrame, packed: DataFrame) -> DataFrame:
         def find(batches):
@@ -268,7 +318,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     begun = stash.put(met(nearest, first_groups))
     kth = begun.groupBy("q_row").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k).select(F.col("q_row").alias("row"), "kth")
     second_groups = groups(asked.join(kth, "row", "left").withColumn("floor", F.greatest("floor", F.coalesce("kth", F.lit(LOWEST)))).drop("kth"))
-    open_pairs = bounds.join(nearest, ["grp", "cell"], "left_anti").join(second_groups.select("grp", "least"), "grp").filter(F.col("most") >= F.col("least")).select("grp", "cell")
+    reach = descended(*trees, stash, second_groups.select(F.col("grp").alias("node"), "least"))
+    open_pairs = reach.join(nearest, ["grp", "cell"], "left_anti")
     found = begun.unionByName(met(open_pairs, second_groups))
     order = Window.partitionBy("q_row").orderBy(F.col("score").desc(), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
