@@ -8,7 +8,7 @@ unpacked as whole arrays. The reader takes any Huffman table: tables of another
 Shots: the grey histograms of neighbouring frames are compared; a cut lies where their distance exceeds the mean of the
 last eight distances by three standard deviations, and a floor. Each shot is a clip row with its start and end time.
 
-A null or empty text is one frame of spaces. Null and repeated ids, and repeated rows, are rows like any other; columns
+A null or empty text is one frame of spaces; a very long one is packed and read in runs of frames. An empty table gives no rows. Null and repeated ids, and repeated rows, are rows like any other; columns
 that are not named, whatever they are called, are not read.
 """
 

@@ -21,7 +21,7 @@ where the text is read. Which pairs these are changes no score, only where it is
 
 Texts are read in chunks of bounded bytes, and what a worker holds of words and pairs is bounded too.
 
-Nulls and texts without words score 0 with no tokens. Rows that share a doc_id (null included) are scored one by one and
+Nulls and texts without words score 0 with no tokens; a very long text is one chunk. An empty table gives no rows. Rows that share a doc_id (null included) are scored one by one and
 summed. Other columns, whatever their names, are not read.
 """
 

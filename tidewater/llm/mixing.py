@@ -11,7 +11,7 @@ the one that fits what is left best, closes that.
 The cut in each source is found from sums over 1/256-wide steps of the rank's logarithm (no step holds over a
 thousandth of a source), then row by row inside one step; no source is sorted or gathered as a whole.
 
-A null text has size 0; rows without words are never taken. A null source is a source of its own, the last. Rows that
+A null text has size 0; of a text of any length only its size and hash are kept. An empty table gives no rows. Rows without words are never taken. A null source is a source of its own, the last. Rows that
 share a doc_id, or have none, are drawn each by itself, and rows that are equal throughout by their number among each
 other, so reruns agree. Source sizes are one row for each source, a small table. Other columns, whatever their names, are
 not read, but for those to carry.

@@ -10,7 +10,8 @@ cut is so large that either side would be uneven, it is put on the left and the
 
 Only a text whose copies outweigh a whole shard is divided among shards, row by row. A null text is a text of its own
 with size 1. Slots number a shard's rows from 0 without gaps: sums over hash buckets give each bucket its first slot.
-Null and repeated ids, and repeated rows, are rows like any other. Other columns, whatever their names, are not read.
+Of a text of any length only size and hashes are kept; an empty table gives no rows. Ids
+that are no numbers count by their crc32. Null and repeated ids, and repeated rows, are rows like any other. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ window as wide as the longest piece, so a run of letters of any length takes bou
 ``max_nodes`` nodes is dropped and begun anew, and so are the counts remembered of whole pre-tokens (by their bytes): both
 bound memory and change no count.
 
-A null or empty text has no tokens; rows that repeat are counted each. Other columns, whatever their names, are not read.
+A null or empty text has no tokens, an empty table no rows; rows that repeat are counted each. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

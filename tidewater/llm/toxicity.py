@@ -14,7 +14,7 @@ predicted toxic.
 
 Fitting takes a bounded sample of labelled rows: at most ``max_toxic`` and ``max_ordinary`` rows, in the order of a hash
 of their ids, and ``max_bytes`` of text, which both kinds share evenly where it binds. Scoring takes every window of every text. Null and empty texts have no
-window and get the score of no evidence. Without labelled rows of both kinds every score is 0. Null and repeated ids, and
+window and get the score of no evidence. Without labelled rows of both kinds every score is 0. An empty table gives no rows. Null and repeated ids, and
 repeated rows, are scored each by itself (a repeated label counts once, a null id has none). Other columns, whatever their
 names, are not read.
 """
