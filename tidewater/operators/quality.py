@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_aware, minutes, money_metric
+from .scale import broadcast_if_small
 
 #: Bounds of accepted observations.
 PRICE_MIN, PRICE_MAX = "0.00000001", "999999999999.99999999"
@@ -249,7 +250,7 @@ def severity(ordinal: Column) -> Column:
 
 
 def issues(observations: DataFrame, rules: DataFrame, checks: dict[str, Column], id_col: str, dataset: Column | None = None, unique: list[str] | None = None) -> DataFrame:
-    """Failing (rule, observation) pairs of enabled rules. rules (one row per rule, broadcast): rule_id, rule_kind,
+    """Failing (rule, observation) pairs of enabled rules. rules (one row per rule, broadcast if they are few): rule_id, rule_kind,
     severity, enabled, and, if dataset is given, applicable_to, the datasets a rule is for. checks: kind -> what a failing
     row looks like. The kind `uniqueness` fails for every row whose `unique` columns another row has too. Each row explodes
     to the kinds it fails only."""
@@ -261,7 +262,7 @@ def issues(observations: DataFrame, rules: DataFrame, checks: dict[str, Column],
         checks = checks | {"uniqueness": F.col("_shared").isNotNull()}
     failed = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(kind)) for kind, bad in checks.items()]))
     hit = rows.select(F.col(id_col), F.explode(failed).alias("rule_kind"), (F.lit(None).cast("string") if dataset is None else dataset).alias("_dataset"))
-    found = hit.join(F.broadcast(rules.filter("enabled")), "rule_kind")
+    found = hit.join(broadcast_if_small(rules.filter("enabled")), "rule_kind")
     if dataset is not None:
         found = found.filter(F.array_contains("applicable_to", F.col("_dataset")))
     return found.select("rule_id", "rule_kind", "severity", id_col)
