@@ -29,8 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG, SQUARES_AT_ONCE = 400, 2_000_000
-CACHED, OVERHEAD = 90_000_000, 420  # bytes of kept pre-tokens and their results; what one takes besides its bytes
+LONG, SQUARES_AT_ONCE = 400, 3_000_000
+CACHED, OVERHEAD = 100_000_000, 420  # bytes of kept pre-tokens and their results; what one takes besides its bytes
 
 MERGE = """
 WITH RECURSIVE step(word, pos, after, tok, nxt, round) AS (
@@ -166,7 +166,7 @@ def codec(data: bytes) -> Codec:
     return _codecs[key]
 
 
-AT_ONCE = 1_000_000  # characters of texts that are cut together; a longer text is cut by itself, bit by bit
+AT_ONCE = 2_000_000  # characters of texts that are cut together; a longer text is cut by itself, bit by bit
 
 
 def _groups(texts: pa.Array):
