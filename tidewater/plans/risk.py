@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import attribution as A
+from ..operators import factorise
 from ..operators import risk as R
 from ..tables import bars, holdings, load, nav, with_views
 from .registry import query
@@ -79,6 +80,24 @@ def psd_check(spark, sf_dir):
     return R.psd_check(cov.withColumn("matrix_id", F.lit(1)), "matrix_id").select("matrix_id", "n_assets", "symmetric", "psd")
 
 
+_STRESSED = """WITH c AS (SELECT l_returnflag, corr(l_quantity, l_extendedprice) AS a, corr(l_quantity, l_discount) AS b, corr(l_extendedprice, l_discount) AS c FROM lineitem GROUP BY 1),
+m AS (SELECT l_returnflag || ':' || s AS matrix_id, a, b - s / 10.0::DOUBLE AS b, c + s / 10.0::DOUBLE AS c FROM c, generate_series(0, 9) t(s))"""
+
+
+@query(_STRESSED + " SELECT matrix_id, 3 AS n_assets, true AS symmetric, a * a <= 1 AND b * b <= 1 AND c * c <= 1 AND 1 + 2 * a * b * c - a * a - b * b - c * c >= 0 AS psd FROM m")
+def psd_of_stressed_correlations(spark, sf_dir):
+    """Correlations of three measures, one pair moved down and one up in steps, until no panel could have them; the SQL takes
+    the principal minors."""
+    li = load(spark, sf_dir, "lineitem")
+    pairs = [("q", "p", F.corr("l_quantity", "l_extendedprice"), 0), ("q", "d", F.corr("l_quantity", "l_discount"), -1), ("p", "d", F.corr("l_extendedprice", "l_discount"), 1)]
+    c = li.groupBy("l_returnflag").agg(*[x.alias(i + j) for i, j, x, _ in pairs]).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    cell = lambda i, j, v: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), v.alias("v"))
+    moved = [(i, j, F.col(i + j) + side * F.col("s") / 10.0) for i, j, _, side in pairs]
+    cells = [cell(i, j, v) for i, j, v in moved] + [cell(j, i, v) for i, j, v in moved] + [cell(i, i, F.lit(1.0)) for i in "qpd"]
+    cov = c.select(F.concat_ws(":", "l_returnflag", "s").alias("matrix_id"), F.explode(F.array(*cells)).alias("x")).select("matrix_id", "x.*")
+    return factorise.psd_by_tiles(cov, "matrix_id", side=2)
+
+
 @query(with_views("holdings") + """, t AS (SELECT sum(value)::DOUBLE AS t FROM holdings), l AS (SELECT 'industry' AS dimension, industry AS member, value FROM holdings UNION ALL SELECT 'market', market, value FROM holdings UNION ALL SELECT 'currency', currency, value FROM holdings)
 SELECT dimension, member, round(sum(value)::DOUBLE / (SELECT t FROM t), 10) AS share FROM l GROUP BY 1, 2""")
 def concentration(spark, sf_dir):
