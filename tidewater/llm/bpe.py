@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG, SQUARES_AT_ONCE = 400, 3_000_000
-CACHED, OVERHEAD = 100_000_000, 420  # bytes of kept pre-tokens and their results; what one takes besides its bytes
+CACHED, OVERHEAD, KEPT = 100_000_000, 420, 5  # bytes of kept pre-tokens and their results; what one takes, and each of its characters
 
 MERGE = """
 WITH RECURSIVE step(word, pos, after, tok, nxt, round) AS (
@@ -55,7 +55,7 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 def cost(word: str) -> int:
     """About how many bytes a pre-token takes to keep, ids and decoded bytes included."""
-    return OVERHEAD + 5 * len(word)
+    return OVERHEAD + KEPT * len(word)
 
 
 class Codec:
@@ -86,44 +86,38 @@ class Codec:
         self.held += sum(map(cost, words))
         again = words.intersection(self.before)
         self.known.update({w: self.before[w] for w in again})
-        words = sorted(words.difference(again))
         held, squares = [], 0
-        for w in words:
-            n = len(w.encode())
-            n = n * n if n <= LONG else 1  # longer ones don't enter the recursion
+        for w in words.difference(again):
+            b = w.encode()
+            n = len(b) ** 2
+            if len(b) > LONG and b not in self.ranks:
+                out = self.by_heap(b)
+                self.known[w] = (",".join(map(str, out)), len(out), b"".join(map(self.names.__getitem__, out)))
+                continue
             if held and squares + n > SQUARES_AT_ONCE:
                 self._merge(held)
                 held, squares = [], 0
-            held.append(w)
+            held.append((w, b))
             squares += n
         if held:
             self._merge(held)
 
-    def _merge(self, words: list[str]) -> None:
-        ids: list[np.ndarray] = []
-        some: list[str] = []
-        for w in words:
-            b = w.encode()
-            whole = self.ranks.get(b)
-            if whole is None and len(b) > LONG:
-                out = self.by_heap(b)
-                self.known[w] = (",".join(map(str, out)), len(out), b"".join(map(self.names.__getitem__, out)))
-                continue
-            some.append(w)
-            ids.append(np.array([whole]) if whole is not None else self.first[np.frombuffer(b, dtype=np.uint8)])
-        if not some:
-            return
-        size = np.array([len(x) for x in ids])
+    def _merge(self, words: list[tuple[str, bytes]]) -> None:
+        """Encode and decode (pre-token, its UTF-8), by one query for all of them."""
+        parts = [x for x in words if x[1] not in self.ranks]
+        whole = [x for x in words if x[1] in self.ranks]  # these begin as one token each
+        some = [w for w, _ in parts] + [w for w, _ in whole]
+        size = np.array([len(b) for _, b in parts] + [1] * len(whole))
         begins = np.repeat(np.cumsum(size) - size, size)
-        tok = np.concatenate(ids).astype(np.int32)
+        tok = np.concatenate([self.first[np.frombuffer(b"".join([b for _, b in parts]), dtype=np.uint8)], np.array([self.ranks[b] for _, b in whole], dtype=np.int64)]).astype(np.int32)
         is_last = np.zeros(len(tok), dtype=bool)
         is_last[np.cumsum(size) - 1] = True
         tokens = pa.table({"word": np.repeat(np.arange(len(some), dtype=np.int32), size), "pos": (np.arange(len(tok)) - begins).astype(np.int32), "tok": tok, "nxt": pa.array(np.append(tok[1:], np.int32(0)), mask=is_last)})
         self.con.register("tokens", tokens)
         got = self.con.sql(MERGE).to_arrow_table()
         self.con.unregister("tokens")
-        for i, s, n, h in zip(*(got.column(c).to_pylist() for c in ("word", "ids", "n", "bytes")), strict=True):
-            self.known[some[i]] = (s, n, bytes.fromhex(h))
+        word, ids, n, hexed = (got.column(c).to_numpy().tolist() for c in ("word", "ids", "n", "bytes"))
+        self.known.update(zip(map(some.__getitem__, word), zip(ids, n, map(bytes.fromhex, hexed), strict=True), strict=True))
 
     def by_heap(self, word: bytes) -> list[int]:
         ranks, n = self.ranks, len(word)
@@ -214,9 +208,8 @@ def _each(texts: Iterator[pa.Array], data: bytes, pattern: str, digest: bool) ->
             coder.learn(used)
             get = coder.known.__getitem__
             for ws in words:
-                got = [get(w) for w in ws]
-                ids, decoded = ",".join([x[0] for x in got]), b"".join([x[2] for x in got])
-                n = sum([x[1] for x in got])
+                each, counts, decodes = zip(*map(get, ws), strict=True) if ws else ((), (), ())
+                ids, n, decoded = ",".join(each), sum(counts), b"".join(decodes)
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()) if digest else (ids, n, decoded))
         cols = list(zip(*rows, strict=True)) or [(), (), ()]
         names, kinds = (("n_tokens", "ids_sha256", "decoded_sha256"), (pa.int64(), pa.string(), pa.string())) if digest else (("ids", "n_tokens", "decoded"), (pa.string(), pa.int64(), pa.binary()))
