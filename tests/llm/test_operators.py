@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -496,6 +497,19 @@ def test_kept_pretokens_are_bounded_in_bytes():
     assert again <= coder.known.keys()
 
 
+def test_a_kept_pretoken_takes_little_beside_itself():
+    """90 bytes measured; with its decoded bytes and its number of ids, 196."""
+    coder, rng = bpe.Codec(open(RANKS, "rb").read()), np.random.default_rng(9)
+    words = {"".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(20_000)}
+    coder.learn(["tide"])
+    tracemalloc.start()
+    coder.learn(words)
+    took = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert took < 130 * len(words)
+    assert bpe.decoded(["a", "b", "ß"], {}) == "abß".encode() and bpe.decoded(["a", "b", "ß"], {"b": b"\xff"}) == b"a\xff\xc3\x9f"
+
+
 def test_long_texts_are_encoded_bit_by_bit():
     coder, text = bpe.Codec(open(RANKS, "rb").read()), "naïve café 東京 🙂  it's 12345 tides\n\n" * 300
     for digest in (False, True):

@@ -3,7 +3,8 @@
 A partition's pre-tokens (matches of the split pattern) become rows (word, pos, tok), one per byte. A recursive query
 joins each token and its neighbour to the merge table and contracts each word's leftmost pair of minimum rank, until no
 pair of the word can merge; decoding is an ordered aggregation of the tokens' bytes. A worker keeps what it has encoded (a
-bounded number of bytes), so a pre-token is merged once and not once for each occurrence.
+bounded number of bytes), so a pre-token is merged once and not once for each occurrence. Of what the ids decode to it keeps
+only what differs from the pre-token's own bytes (with a vocabulary that tells all bytes apart, nothing).
 
 The merge table holds every split of a vocabulary entry into two entries; a pre-token that is itself an entry starts as
 that one token, as the tiktoken library does. The recursion keeps the rows of every round, up to half the square of a pre-token's bytes, so
@@ -19,7 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from itertools import islice
 
 import duckdb
@@ -30,21 +31,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG, SQUARES_AT_ONCE = 400, 3_000_000
-CACHED, OVERHEAD, KEPT = 100_000_000, 420, 5  # bytes of kept pre-tokens and their results; what one takes, and each of its characters
+CACHED, OVERHEAD, KEPT = 80_000_000, 230, 5  # bytes of kept pre-tokens and their results; what one takes, and each of its characters
 
 MERGE = """
-WITH RECURSIVE step(word, pos, after, tok, nxt, round) AS (
-    SELECT word, pos, CASE WHEN nxt IS NOT NULL THEN pos + 1 END, tok, nxt, 0 FROM tokens
+WITH RECURSIVE step(word, pos, after, tok, nxt, best, round) AS (
+    SELECT t.word, t.pos, CASE WHEN t.nxt IS NOT NULL THEN t.pos + 1 END, t.tok, t.nxt, m.rank::BIGINT * 1048576 + t.pos, 0
+    FROM tokens t LEFT JOIN merges m ON m.l = t.tok AND m.r = t.nxt
   UNION ALL
-    (WITH best AS (SELECT s.word, min(m.rank::BIGINT * 1048576 + s.pos) AS b FROM step s JOIN merges m ON m.l = s.tok AND m.r = s.nxt GROUP BY s.word),
-     pair AS (SELECT b.word, s.pos AS at, (b.b // 1048576)::INTEGER AS rank, s.after AS gone FROM best b JOIN step s ON s.word = b.word AND s.pos = b.b % 1048576),
-     cut AS (SELECT p.*, s.after AS beyond, s.nxt AS follows FROM pair p JOIN step s ON s.word = p.word AND s.pos = p.gone)
-     SELECT s.word, s.pos, CASE WHEN s.pos = c.at THEN c.beyond ELSE s.after END,
-            CASE WHEN s.pos = c.at THEN c.rank ELSE s.tok END,
-            CASE WHEN s.pos = c.at THEN c.follows WHEN s.after = c.at THEN c.rank ELSE s.nxt END, s.round + 1
-     FROM step s JOIN cut c ON c.word = s.word WHERE s.pos <> c.gone)
+    (WITH pair AS (SELECT word, min(best) AS b, arg_min(after, best) AS gone FROM step GROUP BY word HAVING min(best) IS NOT NULL),
+     cut AS (SELECT p.word, (p.b % 1048576)::INTEGER AS at, (p.b // 1048576)::INTEGER AS rank, p.gone, s.after AS beyond, s.nxt AS follows FROM pair p JOIN step s ON s.word = p.word AND s.pos = p.gone),
+     now AS (SELECT s.word, s.pos, CASE WHEN s.pos = c.at THEN c.beyond ELSE s.after END AS after,
+                    CASE WHEN s.pos = c.at THEN c.rank ELSE s.tok END AS tok,
+                    CASE WHEN s.pos = c.at THEN c.follows WHEN s.after = c.at THEN c.rank ELSE s.nxt END AS nxt,
+                    s.best, s.pos = c.at OR coalesce(s.after = c.at, false) AS fresh, s.round + 1 AS round
+             FROM step s JOIN cut c ON c.word = s.word WHERE s.pos <> c.gone)
+     SELECT n.word, n.pos, n.after, n.tok, n.nxt, CASE WHEN n.fresh THEN m.rank::BIGINT * 1048576 + n.pos ELSE n.best END, n.round
+     FROM now n LEFT JOIN merges m ON m.l = CASE WHEN n.fresh THEN n.tok END AND m.r = n.nxt)
 ), last AS (SELECT word, max(round) AS round FROM step GROUP BY word)
-SELECT word, string_agg(v.name, ',' ORDER BY pos) AS ids, count(*) AS n, string_agg(v.hexed, '' ORDER BY pos) AS bytes
+SELECT word, string_agg(v.name, ',' ORDER BY pos) AS ids, string_agg(v.hexed, '' ORDER BY pos) AS bytes
 FROM step JOIN last USING (word, round) JOIN vocab v ON v.id = step.tok GROUP BY word ORDER BY word
 """
 
@@ -54,10 +58,34 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 
 def cost(word: str) -> int:
-    """About how many bytes a pre-token takes to keep, ids and decoded bytes included."""
+    """About how many bytes a pre-token takes to keep, ids included."""
     return OVERHEAD + KEPT * len(word)
 
 
+class Known(Mapping):
+    """What a codec keeps, as pre-token -> (ids, number of ids, decoded bytes)."""
+
+    def __init__(self, ids: dict[str, str], odd: dict[str, bytes]):
+        self.ids, self.odd = ids, odd
+
+    def __getitem__(self, word: str) -> tuple[str, int, bytes]:
+        ids = self.ids[word]
+        return ids, ids.count(",") + 1, decoded([word], self.odd)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.ids)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
+def decoded(words: list[str], odd: dict[str, bytes]) -> bytes:
+    """What the ids of these pre-tokens decode to: their own bytes, but for those in `odd`."""
+    if not odd:
+        return "".join(words).encode()
+    return b"".join([odd[w] if w in odd else w.encode() for w in words])
+
+
 class Codec:
     """Encodes and decodes distinct pre-tokens; one for each Python worker."""
 
@@ -65,8 +93,9 @@ class Codec:
         self.ranks = ranks = parse_ranks(data)
         self.names = {r: b for b, r in ranks.items()}
         self.first = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.before: dict[str, tuple[str, int, bytes]] = {}
+        self.ids: dict[str, str] = {}
+        self.before: dict[str, str] = {}
+        self.odd: dict[str, bytes] = {}  # pre-tokens whose ids decode to other bytes than theirs
         self.held = 0
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": "", "preserve_insertion_order": "false"})
         splits = [(ranks[b[:i]], ranks[b[i:]], r) for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
@@ -76,23 +105,27 @@ class Codec:
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM vocab")
 
+    @property
+    def known(self) -> Known:
+        return Known(self.ids, self.odd)
+
     def learn(self, used: Iterable[str]) -> None:
         """Have all of these in `known`. What is known makes up two generations of half of CACHED each: when the newer is full
         it becomes the older, what is used of that comes back, and the rest goes with the next change."""
         used = set(used)
         if self.held > CACHED // 2:
-            self.before, self.known, self.held = self.known, {}, 0
-        words = used.difference(self.known)
-        self.held += sum(map(cost, words))
+            self.before, self.ids, self.held = self.ids, {}, 0
+        words = used.difference(self.ids)
+        self.held += OVERHEAD * len(words) + KEPT * sum(map(len, words))
         again = words.intersection(self.before)
-        self.known.update({w: self.before[w] for w in again})
+        self.ids.update({w: self.before[w] for w in again})
         held, squares = [], 0
         for w in words.difference(again):
             b = w.encode()
             n = len(b) ** 2
             if len(b) > LONG and b not in self.ranks:
                 out = self.by_heap(b)
-                self.known[w] = (",".join(map(str, out)), len(out), b"".join(map(self.names.__getitem__, out)))
+                self._keep(w, b, ",".join(map(str, out)), b"".join(map(self.names.__getitem__, out)))
                 continue
             if held and squares + n > SQUARES_AT_ONCE:
                 self._merge(held)
@@ -102,11 +135,16 @@ class Codec:
         if held:
             self._merge(held)
 
+    def _keep(self, word: str, own: bytes, ids: str, decodes: bytes) -> None:
+        self.ids[word] = ids
+        if decodes != own:
+            self.odd[word] = decodes
+
     def _merge(self, words: list[tuple[str, bytes]]) -> None:
         """Encode and decode (pre-token, its UTF-8), by one query for all of them."""
         parts = [x for x in words if x[1] not in self.ranks]
         whole = [x for x in words if x[1] in self.ranks]  # these begin as one token each
-        some = [w for w, _ in parts] + [w for w, _ in whole]
+        some = parts + whole
         size = np.array([len(b) for _, b in parts] + [1] * len(whole))
         begins = np.repeat(np.cumsum(size) - size, size)
         tok = np.concatenate([self.first[np.frombuffer(b"".join([b for _, b in parts]), dtype=np.uint8)], np.array([self.ranks[b] for _, b in whole], dtype=np.int64)]).astype(np.int32)
@@ -116,8 +154,9 @@ class Codec:
         self.con.register("tokens", tokens)
         got = self.con.sql(MERGE).to_arrow_table()
         self.con.unregister("tokens")
-        word, ids, n, hexed = (got.column(c).to_numpy().tolist() for c in ("word", "ids", "n", "bytes"))
-        self.known.update(zip(map(some.__getitem__, word), zip(ids, n, map(bytes.fromhex, hexed), strict=True), strict=True))
+        word, ids, hexed = (got.column(c).to_numpy().tolist() for c in ("word", "ids", "bytes"))
+        for k, i, h in zip(word, ids, hexed, strict=True):
+            self._keep(*some[k], i, bytes.fromhex(h))
 
     def by_heap(self, word: bytes) -> list[int]:
         ranks, n = self.ranks, len(word)
@@ -178,17 +217,17 @@ def _groups(texts: pa.Array):
 
 def _long(text: str, coder: Codec, cut: regex.Pattern, digest: bool, at_once: int = 200_000) -> tuple:
     """One text's row, with no more than at_once pre-tokens in hand."""
-    n, ids, decoded, begun = 0, hashlib.sha256() if digest else [], hashlib.sha256() if digest else [], False
+    n, ids, decodes, begun = 0, hashlib.sha256() if digest else [], hashlib.sha256() if digest else [], False
     put = (lambda to, x: to.update(x)) if digest else (lambda to, x: to.append(x))
     matches = (m[0] for m in cut.finditer(text))
     while ws := list(islice(matches, at_once)):
         used = set(ws)
         coder.learn(used)
-        got = [coder.known[w] for w in ws]
-        put(ids, (b"," if begun else b"") + ",".join([x[0] for x in got]).encode())
-        put(decoded, b"".join([x[2] for x in got]))
-        n, begun = n + sum([x[1] for x in got]), True
-    return (n, ids.hexdigest(), decoded.hexdigest()) if digest else (b"".join(ids).decode(), n, b"".join(decoded))
+        some = ",".join(map(coder.ids.__getitem__, ws))
+        put(ids, (b"," if begun else b"") + some.encode())
+        put(decodes, decoded(ws, coder.odd))
+        n, begun = n + some.count(",") + 1, True
+    return (n, ids.hexdigest(), decodes.hexdigest()) if digest else (b"".join(ids).decode(), n, b"".join(decodes))
 
 
 SCHEMA = "struct<ids: string, n_tokens: bigint, decoded: binary>"
@@ -206,11 +245,11 @@ def _each(texts: Iterator[pa.Array], data: bytes, pattern: str, digest: bool) ->
             words = [cut.findall(t) for t in group]
             used = set().union(*words)
             coder.learn(used)
-            get = coder.known.__getitem__
+            get = coder.ids.__getitem__
             for ws in words:
-                each, counts, decodes = zip(*map(get, ws), strict=True) if ws else ((), (), ())
-                ids, n, decoded = ",".join(each), sum(counts), b"".join(decodes)
-                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()) if digest else (ids, n, decoded))
+                ids, decodes = ",".join(map(get, ws)), decoded(ws, coder.odd)
+                n = ids.count(",") + 1 if ws else 0
+                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decodes).hexdigest()) if digest else (ids, n, decodes))
         cols = list(zip(*rows, strict=True)) or [(), (), ()]
         names, kinds = (("n_tokens", "ids_sha256", "decoded_sha256"), (pa.int64(), pa.string(), pa.string())) if digest else (("ids", "n_tokens", "decoded"), (pa.string(), pa.int64(), pa.binary()))
         yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], list(names))
