@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,24 +137,38 @@ def _exact(v) -> Fraction | None:
     return None if v is None or not np.isfinite(float(v)) else Fraction(str(v))
 
 
+@lru_cache(maxsize=65_536, typed=True)
+def _written(v) -> Fraction:
+    return Fraction(str(v))
+
+
 def infeasible_subsets(rows: DataFrame, key: str) -> DataFrame:
     """The smallest subset (then first ids) of linear constraints without a solution, per group; null if feasible.
 
-    rows: key, constraint_id, coefficients map<string,double>, lower, upper (nullable). In exact rationals, groups in
-    parallel (linear.smallest_infeasible); a group holds the constraints of one portfolio, tens of them.
+    rows: key, constraint_id, coefficients map<string,double>, lower, upper (nullable); rows that share an id in a group are one
+    constraint. In exact rationals, groups in parallel (linear.smallest_infeasible); a group holds the constraints of one
+    portfolio, tens of them.
     """
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = {}
-        for r in pdf.itertuples(index=False):
-            c = {k: Fraction(str(v)) for k, v in (r.coefficients.items() if hasattr(r.coefficients, "items") else r.coefficients)}
-            above = [] if pd.isna(r.upper) else [(c, Fraction(str(r.upper)))]
-            below = [] if pd.isna(r.lower) else [({k: -v for k, v in c.items()}, -Fraction(str(r.lower)))]
-            sides[r.constraint_id] = above + below
+    bounds = [F.col(c).cast("string").cast("double").alias(c) if rows.schema[c].dataType.typeName() == "float" else F.col(c) for c in ("lower", "upper")]
+
+    def first(group: pa.Scalar) -> str | None:
+        sides: dict = {}
+        for r in group.as_py():
+            c = {e["key"]: _written(e["value"]) for e in r["c"] or ()}
+            own = sides.setdefault(r["constraint_id"], [])
+            if r["upper"] is not None and r["upper"] == r["upper"]:
+                own.append((c, _written(r["upper"])))
+            if r["lower"] is not None and r["lower"] == r["lower"]:
+                own.append(({k: -v for k, v in c.items()}, -_written(r["lower"])))
         hit = smallest_infeasible(sides)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "subset": [",".join(hit) if hit else None]})
+        return ",".join(hit) if hit else None
+
+    @F.arrow_udf("string")
+    def find(groups: pa.Array) -> pa.Array:
+        return pa.array(map(first, groups), pa.string())
 
-    return rows.groupBy(key).applyInPandas(find, f"{key} {rows.schema[key].dataType.simpleString()}, subset string")
+    one = F.struct("constraint_id", F.map_entries("coefficients").alias("c"), *bounds)
+    return rows.groupBy(key).agg(F.collect_list(one).alias("_rows")).select(key, find("_rows").alias("subset"))
 
 
 def target_weights(df: DataFrame, key: str, asset: str, score: str, cap: float, max_holdings: int = 10_000, group: str | None = None, lower: str | None = None, upper: str | None = None, current: str | None = None, cash: tuple[float, float] = (0.0, 1.0), turnover: float | None = None, penalty: float = 0.0) -> DataFrame:
