@@ -316,6 +316,21 @@ def test_overlaps_of_intervals(spark):
     assert temporal.conflicts(apart, "k", "id").count() == 0
 
 
+def test_few_intervals_of_a_key_are_not_cut(spark, monkeypatch):
+    """Keys of few intervals, beside those of many and of none, make a row for each interval; all cut to blocks gives the same."""
+    rng = random.Random(6)
+    sizes = {None: 5, "one": 1, "some": temporal.FEW, "more": temporal.FEW + 1, "many": 3 * temporal.FEW}
+    begins = [(k, i, rng.randrange(200)) for k, n in sizes.items() for i in range(n)]
+    spans = [(k, rng.randrange(a, 240) if i % 7 else None, a) for k, i, a in begins]
+    data = [(k, i, day(a), None if e is None else day(e)) for i, (k, e, a) in enumerate(spans)] + [("one", 999, None, day(3)), ("some", 998, day(9), day(2))]
+    far = dt.date(9999, 12, 31)
+    want = sorted((k, i, j) for k, i, s, e in data for m, j, t, f in data if k == m and k is not None and i < j and None not in (s, t) and s <= (e or far) and t <= (f or far) and max(s, t) <= min(e or far, f or far))
+    df = spark.createDataFrame(data, "k string, id int, effective_from date, effective_to date")
+    for few in (temporal.FEW, 0):
+        monkeypatch.setattr(temporal, "FEW", few)
+        assert sorted(map(tuple, temporal.conflicts(df, "k", "id").collect())) == want
+
+
 @pytest.mark.parametrize("n", [1, 2, 17, 64])
 def test_latest_available_input(spark, n):
     """Any mixture of late inputs, ties of dates and moments, against a plain search."""

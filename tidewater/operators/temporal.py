@@ -207,17 +207,28 @@ def blocks_of(first: Column, last: Column) -> Column:
     return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at)))
 
 
+FEW = 64  # intervals of a key that are compared with one another
+
+
 def conflicts(spans: DataFrame, key: str, id_col: str, start: str = "effective_from", end: str = "effective_to") -> DataFrame:
     """Pairs of overlapping intervals of one key; an interval that ends before it begins overlaps none.
 
-    Two intervals overlap if the later start lies in the other. Each interval is cut into blocks of 2 ** level days, and each
-    start is looked up in the blocks that hold it, one of each level that occurs: an equality join that meets each pair once
-    and no other, so a key of any number of intervals that lie apart makes no pairs.
+    Two intervals overlap if the later start lies in the other. A key of at most FEW intervals is joined with itself, a row for
+    each interval. Of other keys each interval is cut into blocks of 2 ** level days, and each start is looked up in the blocks
+    that hold it, one of each level that occurs: an equality join that meets each pair once and no other, so a key of any
+    number of intervals that lie apart makes no pairs.
     """
     whole = spans.select(F.col(key).alias("_k"), F.col(id_col).alias("_id"), _day(F.col(start)).alias("_s"), _day(F.coalesce(F.col(end), F.lit("9999-12-31").cast("date"))).alias("_e")).filter("_s <= _e")
-    held = whole.select("_k", F.col("_id").alias("_a"), F.col("_s").alias("_sa"), F.explode(blocks_of(F.col("_s"), F.col("_e"))).alias("_b")).select("_k", "_a", "_sa", "_b.level", "_b.place")
+    large = whole.groupBy("_k").agg(F.count("*").alias("_n")).filter(F.col("_n") > FEW).select("_k")
+    few, many = whole.join(large, "_k", "left_anti"), whole.join(large, "_k", "left_semi")
+    later = (F.col("_sa") < F.col("_sc")) | ((F.col("_sa") == F.col("_sc")) & (F.col("_a") < F.col("_c")))
+
+    near = few.select("_k", F.col("_id").alias("_a"), F.col("_s").alias("_sa"), F.col("_e").alias("_ea")).join(few.select("_k", F.col("_id").alias("_c"), F.col("_s").alias("_sc")), "_k")
+    near = near.filter(later & (F.col("_sc") <= F.col("_ea")))
+
+    held = many.select("_k", F.col("_id").alias("_a"), F.col("_s").alias("_sa"), F.explode(blocks_of(F.col("_s"), F.col("_e"))).alias("_b")).select("_k", "_a", "_sa", "_b.level", "_b.place")
     levels = held.agg(F.collect_set("level").alias("_levels"))  # one row, LEVELS values
-    starts = whole.crossJoin(F.broadcast(levels)).select("_k", F.col("_id").alias("_c"), F.col("_s").alias("_sc"), F.explode("_levels").alias("level"))
+    starts = many.crossJoin(F.broadcast(levels)).select("_k", F.col("_id").alias("_c"), F.col("_s").alias("_sc"), F.explode("_levels").alias("level"))
     starts = starts.withColumn("place", F.call_function("shiftright", F.col("_sc").cast("long"), F.col("level")))
-    met = held.join(starts, ["_k", "level", "place"]).filter((F.col("_sa") < F.col("_sc")) | ((F.col("_sa") == F.col("_sc")) & (F.col("_a") < F.col("_c"))))
+    met = near.select("_k", "_a", "_c").unionByName(held.join(starts, ["_k", "level", "place"]).filter(later).select("_k", "_a", "_c"))
     return met.select(F.col("_k").alias(key), F.least("_a", "_c").alias("left_id"), F.greatest("_a", "_c").alias("right_id")).filter("left_id <> right_id")
