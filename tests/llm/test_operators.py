@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tests.compare import database, spark_rows, sql_rows
 from tests.llm.conftest import SF, TEXTS
-from tidewater.llm import avi, bpe, langid, lm_scoring, mixing, queries, sharding, simhash, token_counts, topk, toxicity
+from tidewater.llm import avi, bpe, common, langid, lm_scoring, mixing, queries, sharding, simhash, token_counts, topk, toxicity
 from tidewater.llm.common import sampled
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -535,3 +535,12 @@ def test_ball_trees_of_several_levels(spark):
     assert sorted(map(tuple, got)) == want
     plan = topk.top_k(df, F.col("vec_id") % 4 == 0, n_floor=8, cell_rows=4, group_rows=4)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_a_worker_keeps_one_thing_and_lets_it_go():
+    data = open(RANKS, "rb").read()
+    assert bpe.codec(data) is bpe.codec(data) and len(common._kept) == 1
+    common.worker_keeps("other", list)
+    assert list(common._kept) == ["other"]
+    common.worker_lets_go()
+    assert not common._kept

@@ -30,8 +30,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG, SQUARES_AT_ONCE = 400, 3_000_000
-CACHED, OVERHEAD, KEPT = 80_000_000, 230, 5  # bytes of kept pre-tokens and their results; what one takes, and each of its characters
+from .common import worker_keeps
+
+LONG, SQUARES_AT_ONCE = 400, 2_000_000
+CACHED, OVERHEAD, KEPT = 60_000_000, 230, 5  # bytes of kept pre-tokens and their results; what one takes, and each of its characters
 
 MERGE = """
 WITH RECURSIVE step(word, pos, after, tok, nxt, best, round) AS (
@@ -188,15 +190,8 @@ class Codec:
         return out
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(data: bytes) -> Codec:
-    key = hashlib.sha256(data).hexdigest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(data)
-    return _codecs[key]
+    return worker_keeps("bpe " + hashlib.sha256(data).hexdigest(), lambda: Codec(data))
 
 
 AT_ONCE = 2_000_000  # characters of texts that are cut together; a longer text is cut by itself, bit by bit

@@ -161,3 +161,19 @@ def taken_bytes(rows: DataFrame, class_col: str, max_bytes: int) -> list[Row]:
     out = list(taken.select(rows.columns).toLocalIterator())
     stash.drop(kept)
     return out
+
+
+_kept: dict[str, object] = {}
+
+
+def worker_keeps(key: str, make):
+    """What a Python worker keeps from one task to the next: one thing, which goes when another is asked for."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def worker_lets_go() -> None:
+    """For tasks that keep nothing: a worker outlives its stage, and what an earlier stage kept would take its memory on."""
+    _kept.clear()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, sampled, taken_bytes
+from .common import held_out, sampled, taken_bytes, worker_lets_go
 
 BUCKETS = 1 << 15
 LONG = 300_000  # characters of a text that is scored in slices
@@ -119,6 +119,7 @@ def identifier(spark, model: Model | None):
 
     @F.arrow_udf(SCHEMA)
     def identify(texts: pa.Array) -> pa.Array:
+        worker_lets_go()
         out: list[tuple[str, float]] = []
         held: list[str | None] = []
         size = 0

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, sampled, taken_bytes
+from .common import held_out, sampled, taken_bytes, worker_lets_go
 
 WINDOW, STEP, GRAM = 8, 4, 5
 THRESHOLD = 0.3
@@ -186,6 +186,7 @@ def scorer(spark, model: Model | None):
 
     @F.arrow_udf(SCHEMA)
     def score(texts: pa.Array) -> pa.Array:
+        worker_lets_go()
         model = shared.value
         judge = Scorer(model) if model else None
         out = []
