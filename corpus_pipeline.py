@@ -96,10 +96,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, with the check that they decode to its text."""
-    code = bpe.encoder(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    code = bpe.encoder(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, check=True)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    coded = docs.select("doc_id", "source", "lang", text.alias("text"), code(text).alias("c"))
-    return coded.select("doc_id", "source", "lang", F.col("c.n_tokens").alias("n_tokens"), F.col("c.ids").alias("ids"), (F.col("c.decoded") == F.encode("text", "UTF-8")).alias("round_trip"))
+    return docs.select("doc_id", "source", "lang", code(text).alias("c")).select("doc_id", "source", "lang", "c.n_tokens", "c.ids", "c.round_trip")
 
 
 STAGES = [

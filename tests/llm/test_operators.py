@@ -517,6 +517,21 @@ def test_long_texts_are_encoded_bit_by_bit():
         assert tuple(rows.values()) == bpe._long(text, coder, regex.compile(public_tokenizers.PATTERN), digest, at_once=7)
 
 
+def test_a_batch_is_given_back_group_by_group(monkeypatch):
+    monkeypatch.setattr(bpe, "AT_ONCE", 100)
+    data, texts = open(RANKS, "rb").read(), [None, "", "naïve café 東京 🙂", *["tides rise and tides fall"] * 40, "harbour pilots " * 20]
+    whole, checked = (list(bpe._each(iter([pa.array(texts), pa.array([], pa.string())]), data, public_tokenizers.PATTERN, False, *check)) for check in ((), (True,)))
+    assert max(map(len, whole)) <= 6 and [len(a) for a in whole] == [len(a) for a in checked]
+    rows = [r for a in whole for r in a.to_pylist()]
+    assert [r["decoded"].decode() for r in rows] == [t or "" for t in texts]
+    assert [r for a in checked for r in a.to_pylist()] == [{"ids": r["ids"], "n_tokens": r["n_tokens"], "round_trip": True} for r in rows]
+    coder = bpe.codec(data)
+    for cut, same in (("[a-z]+", False), (public_tokenizers.PATTERN, True)):
+        for at_once in (1, 3, 1000):
+            assert bpe._long("tides  rise", coder, regex.compile(cut), False, True, at_once)[2] is same
+        assert bpe._rows(["tides  rise"], coder, regex.compile(cut), False, True)[0][2] is same
+
+
 @pytest.mark.parametrize("size", [1, 5, 40, 10**6])
 def test_fingerprints_in_slices(size):
     for t in [*TEXTS, "a bb ccc dddd " * 30]:

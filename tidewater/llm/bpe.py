@@ -210,9 +210,10 @@ def _groups(texts: pa.Array):
         yield held
 
 
-def _long(text: str, coder: Codec, cut: regex.Pattern, digest: bool, at_once: int = 200_000) -> tuple:
+def _long(text: str, coder: Codec, cut: regex.Pattern, digest: bool, check: bool = False, at_once: int = 200_000) -> tuple:
     """One text's row, with no more than at_once pre-tokens in hand."""
     n, ids, decodes, begun = 0, hashlib.sha256() if digest else [], hashlib.sha256() if digest else [], False
+    own, at, same = text.encode() if check else b"", 0, True
     put = (lambda to, x: to.update(x)) if digest else (lambda to, x: to.append(x))
     matches = (m[0] for m in cut.finditer(text))
     while ws := list(islice(matches, at_once)):
@@ -220,44 +221,64 @@ def _long(text: str, coder: Codec, cut: regex.Pattern, digest: bool, at_once: in
         coder.learn(used)
         some = ",".join(map(coder.ids.__getitem__, ws))
         put(ids, (b"," if begun else b"") + some.encode())
-        put(decodes, decoded(ws, coder.odd))
+        said = decoded(ws, coder.odd)
+        if check:
+            same = same and own.startswith(said, at)
+            at += len(said)
+        else:
+            put(decodes, said)
         n, begun = n + some.count(",") + 1, True
-    return (n, ids.hexdigest(), decodes.hexdigest()) if digest else (b"".join(ids).decode(), n, b"".join(decodes))
+    if digest:
+        return n, ids.hexdigest(), decodes.hexdigest()
+    return b"".join(ids).decode(), n, same and at == len(own) if check else b"".join(decodes)
 
 
 SCHEMA = "struct<ids: string, n_tokens: bigint, decoded: binary>"
+CHECKED = "struct<ids: string, n_tokens: bigint, round_trip: boolean>"
 DIGEST = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>"
 
 
-def _each(texts: Iterator[pa.Array], data: bytes, pattern: str, digest: bool) -> Iterator[pa.Array]:
+def _rows(group: list[str], coder: Codec, cut: regex.Pattern, digest: bool, check: bool) -> list[tuple]:
+    if len(group) == 1 and len(group[0]) > AT_ONCE:
+        return [_long(group[0], coder, cut, digest, check)]
+    words = [cut.findall(t) for t in group]
+    used = set().union(*words)
+    coder.learn(used)
+    get, rows = coder.ids.__getitem__, []
+    for text, ws in zip(group, words, strict=True):
+        ids, decodes = ",".join(map(get, ws)), decoded(ws, coder.odd)
+        n = ids.count(",") + 1 if ws else 0
+        if digest:
+            rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decodes).hexdigest()))
+        else:
+            rows.append((ids, n, decodes == text.encode() if check else decodes))
+    return rows
+
+
+def _each(texts: Iterator[pa.Array], data: bytes, pattern: str, digest: bool, check: bool = False) -> Iterator[pa.Array]:
+    """An array for each group of texts, not for each batch: a batch's ids take several times what its texts do."""
     coder, cut = codec(data), regex.compile(pattern)
+    if digest:
+        names, kinds = ("n_tokens", "ids_sha256", "decoded_sha256"), (pa.int64(), pa.string(), pa.string())
+    else:
+        names, kinds = ("ids", "n_tokens", "round_trip" if check else "decoded"), (pa.string(), pa.int64(), pa.bool_() if check else pa.binary())
     for batch in texts:
-        rows: list[tuple] = []
         for group in _groups(batch):
-            if len(group) == 1 and len(group[0]) > AT_ONCE:
-                rows.append(_long(group[0], coder, cut, digest))
-                continue
-            words = [cut.findall(t) for t in group]
-            used = set().union(*words)
-            coder.learn(used)
-            get = coder.ids.__getitem__
-            for ws in words:
-                ids, decodes = ",".join(map(get, ws)), decoded(ws, coder.odd)
-                n = ids.count(",") + 1 if ws else 0
-                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decodes).hexdigest()) if digest else (ids, n, decodes))
-        cols = list(zip(*rows, strict=True)) or [(), (), ()]
-        names, kinds = (("n_tokens", "ids_sha256", "decoded_sha256"), (pa.int64(), pa.string(), pa.string())) if digest else (("ids", "n_tokens", "decoded"), (pa.string(), pa.int64(), pa.binary()))
-        yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], list(names))
-
-
-def encoder(spark, ranks_path: str, pattern: str, digest: bool = False):
-    """A column function: text -> struct(ids, n_tokens, decoded), or their digests, made where the ids are."""
+            cols = zip(*_rows(group, coder, cut, digest, check), strict=True)
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], list(names))
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
+def encoder(spark, ranks_path: str, pattern: str, digest: bool = False, check: bool = False):
+    """A column function: text -> struct(ids, n_tokens, decoded), or their digests, made where the ids are; or with `check`
+    struct(ids, n_tokens, round_trip), whether the ids decode to the text, which spares sending what they decode to."""
     with open(ranks_path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
 
-    @F.arrow_udf(DIGEST if digest else SCHEMA)
+    @F.arrow_udf(DIGEST if digest else CHECKED if check else SCHEMA)
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from _each(texts, shared.value, pattern, digest)
+        yield from _each(texts, shared.value, pattern, digest, check)
 
     return encode
 

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -176,4 +177,6 @@ def worker_keeps(key: str, make):
 
 def worker_lets_go() -> None:
     """For tasks that keep nothing: a worker outlives its stage, and what an earlier stage kept would take its memory on."""
-    _kept.clear()
+    if _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()  # what Arrow has freed, its pool still holds
