@@ -1,5 +1,6 @@
 """Every training-data operator beside SQL, a brute-force version, an exact round trip or held-out accuracy."""
 
+import base64
 import hashlib
 import math
 import tracemalloc
@@ -510,6 +511,25 @@ def test_a_kept_pretoken_takes_little_beside_itself():
     assert bpe.decoded(["a", "b", "ß"], {}) == "abß".encode() and bpe.decoded(["a", "b", "ß"], {"b": b"\xff"}) == b"a\xff\xc3\x9f"
 
 
+def test_a_merge_round_keeps_lists_not_rows():
+    """A round with a row for each token takes over 40 MB here."""
+    coder, rng = bpe.Codec(open(RANKS, "rb").read()), np.random.default_rng(1)
+    words = sorted({"".join(rng.choice(list("abcdefghij"), 100)) for _ in range(190)} | {"é" * 40, "東京" * 20})
+    coder.con.execute("SET memory_limit = '30MB'")
+    coder.learn(words)
+    whole = library(RANKS)
+    assert [coder.ids[w] for w in words] == [",".join(map(str, whole.encode_ordinary(w))) for w in words] and not coder.odd
+
+
+def test_ids_decode_by_a_vocabulary_with_gaps():
+    ranks = {bytes([i]): 2 * i for i in range(256)} | {b"ab": 900, b"abc": 1000}
+    coder = bpe.Codec(b"\n".join(base64.b64encode(b) + b" %d" % r for b, r in ranks.items()))
+    coder.learn(["abcab", "xé", "abc"])
+    assert coder.ids == {"abcab": "1000,900", "xé": "240,390,338", "abc": "1000"} and not coder.odd
+    decodes, at = coder._decode(np.array([900, 240, 1000]), np.array([0, 2, 2, 3]))
+    assert (decodes, at.tolist()) == (b"abxabc", [0, 3, 3, 6])
+
+
 def test_long_texts_are_encoded_bit_by_bit():
     coder, text = bpe.Codec(open(RANKS, "rb").read()), "naïve café 東京 🙂  it's 12345 tides\n\n" * 300
     for digest in (False, True):

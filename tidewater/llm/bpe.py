@@ -1,13 +1,15 @@
 """Byte-level BPE by DuckDB recursive queries, run inside each partition.
 
-A partition's pre-tokens (matches of the split pattern) become rows (word, pos, tok), one per byte. A recursive query
-joins each token and its neighbour to the merge table and contracts each word's leftmost pair of minimum rank, until no
-pair of the word can merge; decoding is an ordered aggregation of the tokens' bytes. A worker keeps what it has encoded (a
-bounded number of bytes), so a pre-token is merged once and not once for each occurrence. Of what the ids decode to it keeps
-only what differs from the pre-token's own bytes (with a vocabulary that tells all bytes apart, nothing).
+A partition's pre-tokens (matches of the split pattern) become rows (word, toks, ranks): a list of tokens, at first one per
+byte, and a list of the ranks at which a token merges with the one before it (null: never; one more than tokens, the first
+and last are null). A recursive query contracts each word's leftmost pair of minimum rank and joins the new token and its
+neighbours on both sides to the merge table, until no pair of the word can merge; decoding gathers the bytes of all tokens of
+a batch from the vocabulary's. A worker keeps what it has encoded (a bounded number of bytes), so a pre-token is merged once
+and not once for each occurrence. Of what the ids decode to it keeps only what differs from the pre-token's own bytes (with a
+vocabulary that tells all bytes apart, nothing).
 
 The merge table holds every split of a vocabulary entry into two entries; a pre-token that is itself an entry starts as
-that one token, as the tiktoken library does. The recursion keeps the rows of every round, up to half the square of a pre-token's bytes, so
+that one token, as the tiktoken library does. The recursion keeps the lists of every round, up to half the square of a pre-token's bytes, so
 a batch is bounded by the sum of these squares. Pre-tokens of over ``LONG`` bytes take one recursion step per merge over
 all their rows, so they are merged by a heap in the same order instead (exact, n log n).
 
@@ -36,22 +38,15 @@ LONG, SQUARES_AT_ONCE = 400, 2_000_000
 CACHED, OVERHEAD, KEPT = 60_000_000, 230, 5  # bytes of kept pre-tokens and their results; what one takes, and each of its characters
 
 MERGE = """
-WITH RECURSIVE step(word, pos, after, tok, nxt, best, round) AS (
-    SELECT t.word, t.pos, CASE WHEN t.nxt IS NOT NULL THEN t.pos + 1 END, t.tok, t.nxt, m.rank::BIGINT * 1048576 + t.pos, 0
-    FROM tokens t LEFT JOIN merges m ON m.l = t.tok AND m.r = t.nxt
+WITH RECURSIVE step(word, toks, ranks, low) AS (
+    SELECT word, toks, ranks, list_min(ranks) FROM tokens
   UNION ALL
-    (WITH pair AS (SELECT word, min(best) AS b, arg_min(after, best) AS gone FROM step GROUP BY word HAVING min(best) IS NOT NULL),
-     cut AS (SELECT p.word, (p.b % 1048576)::INTEGER AS at, (p.b // 1048576)::INTEGER AS rank, p.gone, s.after AS beyond, s.nxt AS follows FROM pair p JOIN step s ON s.word = p.word AND s.pos = p.gone),
-     now AS (SELECT s.word, s.pos, CASE WHEN s.pos = c.at THEN c.beyond ELSE s.after END AS after,
-                    CASE WHEN s.pos = c.at THEN c.rank ELSE s.tok END AS tok,
-                    CASE WHEN s.pos = c.at THEN c.follows WHEN s.after = c.at THEN c.rank ELSE s.nxt END AS nxt,
-                    s.best, s.pos = c.at OR coalesce(s.after = c.at, false) AS fresh, s.round + 1 AS round
-             FROM step s JOIN cut c ON c.word = s.word WHERE s.pos <> c.gone)
-     SELECT n.word, n.pos, n.after, n.tok, n.nxt, CASE WHEN n.fresh THEN m.rank::BIGINT * 1048576 + n.pos ELSE n.best END, n.round
-     FROM now n LEFT JOIN merges m ON m.l = CASE WHEN n.fresh THEN n.tok END AND m.r = n.nxt)
-), last AS (SELECT word, max(round) AS round FROM step GROUP BY word)
-SELECT word, string_agg(v.name, ',' ORDER BY pos) AS ids, string_agg(v.hexed, '' ORDER BY pos) AS bytes
-FROM step JOIN last USING (word, round) JOIN vocab v ON v.id = step.tok GROUP BY word ORDER BY word
+    SELECT word, toks, ranks, list_min(ranks)
+    FROM (SELECT c.word, c.toks[1:c.at - 2] || [c.low] || c.toks[c.at + 1:] AS toks, c.ranks[1:c.at - 2] || [l.rank, r.rank] || c.ranks[c.at + 2:] AS ranks
+          FROM (SELECT *, list_position(ranks, low) AS at FROM step WHERE low IS NOT NULL) c
+          LEFT JOIN merges l ON l.l = c.toks[c.at - 2] AND l.r = c.low LEFT JOIN merges r ON r.l = c.low AND r.r = c.toks[c.at + 1])
+)
+SELECT word, toks, array_to_string(toks, ',') AS ids FROM step WHERE low IS NULL ORDER BY word
 """
 
 
@@ -103,9 +98,12 @@ class Codec:
         splits = [(ranks[b[:i]], ranks[b[i:]], r) for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
         left, right, rank = (pa.array(x, pa.int32()) for x in zip(*splits, strict=True)) if splits else (pa.array([], pa.int32()),) * 3
         merges = pa.table({"l": left, "r": right, "rank": rank})  # noqa: F841
-        vocab = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "name": [str(r) for r in ranks.values()], "hexed": [b.hex() for b in ranks]})  # noqa: F841
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges")
-        self.con.execute("CREATE TABLE vocab AS SELECT * FROM vocab")
+        self.pairs = np.array([ranks.get(bytes([i, j]), -1) for i in range(256) for j in range(256)], dtype=np.int32)
+        self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int32)
+        self.sizes[list(ranks.values())] = [len(b) for b in ranks]
+        self.begins = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        self.bytes = np.frombuffer(b"".join([self.names[r] for r in sorted(self.names)]), dtype=np.uint8)
 
     @property
     def known(self) -> Known:
@@ -146,19 +144,28 @@ class Codec:
         """Encode and decode (pre-token, its UTF-8), by one query for all of them."""
         parts = [x for x in words if x[1] not in self.ranks]
         whole = [x for x in words if x[1] in self.ranks]  # these begin as one token each
-        some = parts + whole
+        some, raw = parts + whole, np.frombuffer(b"".join([b for _, b in parts]), dtype=np.uint8)
         size = np.array([len(b) for _, b in parts] + [1] * len(whole))
-        begins = np.repeat(np.cumsum(size) - size, size)
-        tok = np.concatenate([self.first[np.frombuffer(b"".join([b for _, b in parts]), dtype=np.uint8)], np.array([self.ranks[b] for _, b in whole], dtype=np.int64)]).astype(np.int32)
-        is_last = np.zeros(len(tok), dtype=bool)
-        is_last[np.cumsum(size) - 1] = True
-        tokens = pa.table({"word": np.repeat(np.arange(len(some), dtype=np.int32), size), "pos": (np.arange(len(tok)) - begins).astype(np.int32), "tok": tok, "nxt": pa.array(np.append(tok[1:], np.int32(0)), mask=is_last)})
+        tok = np.concatenate([self.first[raw], np.array([self.ranks[b] for _, b in whole], dtype=np.int64)]).astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        behind = ends + np.arange(len(ends), dtype=np.int32)
+        ranks = np.full(len(tok) + len(some), -1, dtype=np.int32)
+        ranks[np.arange(1, len(raw)) + np.repeat(np.arange(len(parts)), size[: len(parts)])[1:]] = self.pairs[raw[:-1].astype(np.int32) * 256 + raw[1:]]
+        ranks[behind[:-1]] = -1
+        tokens = pa.table({"word": np.arange(len(some), dtype=np.int32), "toks": pa.ListArray.from_arrays(ends, tok), "ranks": pa.ListArray.from_arrays(behind, pa.array(ranks, mask=ranks < 0))})
         self.con.register("tokens", tokens)
-        got = self.con.sql(MERGE).to_arrow_table()
+        got = self.con.sql(MERGE).to_arrow_table().combine_chunks()
         self.con.unregister("tokens")
-        word, ids, hexed = (got.column(c).to_numpy().tolist() for c in ("word", "ids", "bytes"))
-        for k, i, h in zip(word, ids, hexed, strict=True):
-            self._keep(*some[k], i, bytes.fromhex(h))
+        toks = got.column("toks").combine_chunks()
+        decodes, at = self._decode(toks.flatten().to_numpy(), np.append(0, np.cumsum(toks.value_lengths().to_numpy())))
+        for (w, own), ids, i, j in zip(some, got.column("ids").to_numpy().tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+            self._keep(w, own, ids, decodes[i:j])
+
+    def _decode(self, toks: np.ndarray, cuts: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all tokens, one after the other, and where those of each run of tokens begin and end."""
+        size = self.sizes[toks]
+        ends = np.append(0, np.cumsum(size, dtype=np.int64))
+        return self.bytes[np.arange(ends[-1]) + np.repeat(self.begins[toks] - ends[:-1], size)].tobytes(), ends[cuts]
 
     def by_heap(self, word: bytes) -> list[int]:
         ranks, n = self.ranks, len(word)
