@@ -4,9 +4,12 @@ Texts are read into shards of some ``SHARD`` words. A shard's words get ids, its
 numpy (ranks of 1, 2, 4 words, each from two ranks of half the length), and the intervals of the suffix array over which the
 longest common prefix stays n words or more are its n-grams with their counts. The shards' counts are merged by key.
 
-What can't be frequent is not sent: a first pass counts words, a second pairs of words that are both frequent, a third longer
-phrases in which every pair is frequent. Workers know frequent words and pairs by a bitmap over their hashes (at most
-2 ** ``MOST_BITS`` bits, 32 MB): a collision keeps a phrase that the exact merged count then drops, so no count depends on it.
+What can't be frequent is not sent: a first pass counts words, a second hashes of pairs of words that are both frequent, a
+third phrases in which every pair may be frequent, pairs included. A shard sends its pairs' hashes (20 to ``HASH_BITS`` bits,
+as many as the corpus asks for) by ranges of 2 ** ``RANGE_BITS``, sorted, as differences, and a range is summed in as many
+counters. Workers know frequent words and pairs by a bitmap over their hashes (at most 2 ** ``MOST_BITS`` bits, 32 MB). Hashes
+that collide add up, so no frequent pair is missed, and what they keep too much the exact count of the third pass drops: no
+result depends on them.
 
 Words are told apart by language, so no language, source or word is ever gathered in a task: a shard sends one row for each
 distinct n-gram, and merging is a sum.
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, Stash, join_counted
 
 SHARD, SEGMENT, LONGEST, MOST_BITS = 1_500_000, 4_000_000, 5, 28
+HASH_BITS, RANGE_BITS = 32, 20
 SPACE, END = 1, 2
 #: What a byte is to the splitter: a space between words, the end of a piece, or part of a word.
 KIND = np.zeros(256, np.uint8)
@@ -37,6 +41,7 @@ KIND[list(b" \t")] = SPACE
 KIND[list(b".,;:!?\n\x0b\x0c\r")] = END
 LOWER = np.frombuffer(ASCII_LOWER, np.uint8)
 COUNTS = "lang string, phrase string, words int, n bigint"
+HASHED = "part bigint, steps binary, counts binary"
 
 
 def segments(text: np.ndarray, size: int = SEGMENT) -> Iterator[np.ndarray]:
@@ -200,40 +205,80 @@ def intervals(words_: np.ndarray, joined: np.ndarray, own: np.ndarray, least: in
             yield n, order[begins], np.add.reduceat((there & own[order]).astype(np.int64), begins)
 
 
+class Coded:
+    """A shard's words as numbers of (language, word), without those that can't be in a frequent phrase."""
+
+    def __init__(self, shard: Shard, frequent: list[Bitmap]):
+        data, sizes, lang, joined, own = (np.concatenate(x) for x in zip(*shard.parts, strict=True))
+        shard.parts.clear()
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+        texts = coded.dictionary
+        kinds, word = np.unique(lang * len(texts) + coded.indices.to_numpy(), return_inverse=True)
+        kind_lang, kind_text = kinds // len(texts), kinds % len(texts)
+        del data, coded, lang
+        names = list(shard.langs)
+        if frequent:
+            seeds = [xxhash.xxh64_intdigest(x) for x in names]
+            raw = texts.to_pylist()
+            self.hashes = hashes = np.array([xxhash.xxh64_intdigest(raw[t], seeds[c]) for c, t in zip(kind_lang.tolist(), kind_text.tolist(), strict=True)], np.uint64)
+            keep = frequent[0].has(hashes)[word]
+            joined[1:] &= keep[:-1]
+            word, joined, own = word[keep], joined[keep], own[keep]
+            if len(frequent) > 1 and len(word):
+                h = hashes[word]
+                joined[1:] &= frequent[1].has(pair_hash(h[:-1], h[1:]))
+                keep = joined | np.append(joined[1:], False)
+                word, joined, own = word[keep], joined[keep], own[keep]
+        joined[:1] = False
+        self.word, self.joined, self.own = word, joined, own
+        self.texts, self.names, self.kind_lang, self.kind_text = texts, names, kind_lang, kind_text
+
+    def intervals(self, least: int, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if len(self.word):
+            for n, begin, count in intervals(self.word, self.joined, self.own, least, most):
+                yield n, begin[count > 0], count[count > 0]
+
+
 def counted(shard: Shard, least: int, most: int, frequent: list[Bitmap]) -> Iterator[pa.RecordBatch]:
     """The shard's n-grams of least to most words with their counts."""
-    data, sizes, lang, joined, own = (np.concatenate(x) for x in zip(*shard.parts, strict=True))
-    shard.parts.clear()
-    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    coded = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
-    texts = coded.dictionary
-    kinds, word = np.unique(lang * len(texts) + coded.indices.to_numpy(), return_inverse=True)
-    kind_lang, kind_text = kinds // len(texts), kinds % len(texts)
-    del data, coded, lang
-    names = list(shard.langs)
-    if frequent:
-        seeds = [xxhash.xxh64_intdigest(x) for x in names]
-        raw = texts.to_pylist()
-        hashes = np.array([xxhash.xxh64_intdigest(raw[t], seeds[c]) for c, t in zip(kind_lang.tolist(), kind_text.tolist(), strict=True)], np.uint64)
-        keep = frequent[0].has(hashes)[word]
-        joined[1:] &= keep[:-1]
-        word, joined, own = word[keep], joined[keep], own[keep]
-        if len(frequent) > 1 and len(word):
-            h = hashes[word]
-            joined[1:] &= frequent[1].has(pair_hash(h[:-1], h[1:]))
-            keep = joined | np.append(joined[1:], False)
-            word, joined, own = word[keep], joined[keep], own[keep]
-    if not len(word):
-        return
-    joined[0] = False
-    texts, lang_names = texts.cast(pa.string()), pa.array(names, pa.string())
-    for n, begin, count in intervals(word, joined, own, least, most):
-        begin, count = begin[count > 0], count[count > 0]
+    c = Coded(shard, frequent)
+    texts, lang_names = c.texts.cast(pa.string()), pa.array(c.names, pa.string())
+    for n, begin, count in c.intervals(least, most):
         for a in range(0, len(begin), 200_000):
             at = begin[a : a + 200_000]
-            each = [texts.take(pa.array(kind_text[word[at + d]])) for d in range(n)]
+            each = [texts.take(pa.array(c.kind_text[c.word[at + d]])) for d in range(n)]
             phrase = pc.binary_join_element_wise(*each, " ") if n > 1 else each[0]
-            yield pa.RecordBatch.from_arrays([lang_names.take(pa.array(kind_lang[word[at]])), phrase, pa.array(np.full(len(at), n, np.int32)), pa.array(count[a : a + 200_000])], ["lang", "phrase", "words", "n"])
+            yield pa.RecordBatch.from_arrays([lang_names.take(pa.array(c.kind_lang[c.word[at]])), phrase, pa.array(np.full(len(at), n, np.int32)), pa.array(count[a : a + 200_000])], ["lang", "phrase", "words", "n"])
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32 as their lowest bytes, then their second ones, and so on: zeros lie together."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def of_planes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
+def paired(shard: Shard, frequent: list[Bitmap], bits: int) -> Iterator[pa.RecordBatch]:
+    """How often the first `bits` bits of its pairs' hashes occur in the shard: a row for each range of them, with each one's
+    distance from the one before it (the first's from where the range begins) and its count."""
+    c = Coded(shard, frequent)
+    for _, begin, count in c.intervals(2, 2):
+        key = place(pair_hash(c.hashes[c.word[begin]], c.hashes[c.word[begin + 1]]), bits)
+        order = np.argsort(key)
+        key, count = key[order], count[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        if not len(first):
+            continue
+        key, count = key[first], np.add.reduceat(count, first)
+        part = key >> RANGE_BITS
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        step = np.diff(key, prepend=0)
+        step[cuts] = key[cuts] - (part[cuts] << RANGE_BITS)
+        runs = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array([planes(step[i:j]) for i, j in runs], pa.binary()), pa.array([planes(count[i:j]) for i, j in runs], pa.binary())], ["part", "steps", "counts"])
 
 
 def _merged(source: DataFrame, least: int, most: int, frequent: list, shard: int, segment: int) -> DataFrame:
@@ -247,24 +292,52 @@ def _merged(source: DataFrame, least: int, most: int, frequent: list, shard: int
     return source.mapInArrow(count, COUNTS).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
 
 
-def _hashed(rows: pa.RecordBatch) -> np.ndarray:
-    each = [[word_hash(lang, w) for w in phrase.encode().split(b" ")] for lang, phrase in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)]
-    cols = np.array(each, np.uint64).T
-    return cols[0] if len(cols) == 1 else pair_hash(cols[0], cols[1])
+def _power(n: int) -> int:
+    return min(MOST_BITS, max(16, (16 * n).bit_length()))
 
 
-def bitmap(frequent: DataFrame):
-    """A broadcast Bitmap of words or pairs (lang, phrase), of 16 to 32 bits for each of them, 2 ** MOST_BITS at most."""
-    spark = frequent.sparkSession
-    power = min(MOST_BITS, max(16, (16 * frequent.count()).bit_length()))
+def _bitmap(at: DataFrame, power: int):
+    """A broadcast Bitmap of places (at, from 0)."""
+    at = at.select((F.col("at") + 1).alias("at"))
+    bits = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    return at.sparkSession.sparkContext.broadcast(Bitmap(power, [(r.bucket, bytes(r.bits)) for r in bits.collect()]))  # 8,192 rows of 4 kB at most
+
+
+def word_bitmap(frequent: DataFrame, n: int):
+    """A broadcast Bitmap of n words (lang, phrase), of 16 to 32 bits for each of them, 2 ** MOST_BITS at most."""
+    power = _power(n)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(place(_hashed(b), power) + 1)], ["at"])
+                each = [word_hash(lang, w.encode()) for lang, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(place(np.array(each, np.uint64), power))], ["at"])
+
+    return _bitmap(frequent.select("lang", "phrase").mapInArrow(places, "at bigint"), power)
+
+
+def pair_bitmap(source: DataFrame, words_: list, n: int, least: int, shard: int, segment: int, stash: Stash):
+    """A broadcast Bitmap of hashes of pairs that occur `least` times or more; n words are in words_ (its one Bitmap), repeats
+    included, so there are no more pairs than that."""
+    bits = min(HASH_BITS, max(RANGE_BITS, (16 * n).bit_length()))
 
-    bits = frequent.select("lang", "phrase").mapInArrow(places, "at bigint").groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    return spark.sparkContext.broadcast(Bitmap(power, [(r.bucket, bytes(r.bits)) for r in bits.collect()]))  # 8,192 rows of 4 kB at most
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = [b.value for b in words_]
+        for s in shards(batches, shard, segment):
+            yield from paired(s, maps, bits)
+
+    def enough(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << RANGE_BITS, np.int64)
+        for b in batches:
+            for steps, counts in zip(b.column(1), b.column(2), strict=True):
+                sums[np.cumsum(of_planes(steps.as_py()))] += of_planes(counts.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array((key[0].as_py() << RANGE_BITS) + np.flatnonzero(sums >= least))], ["hash"])
+
+    hashes = stash.put(source.mapInArrow(count, HASHED).groupBy("part").applyInArrow(enough, "hash bigint"))
+    power = min(bits, _power(hashes.count()))
+    out = _bitmap(hashes.select(F.shiftright("hash", bits - power).alias("at")), power)
+    stash.drop(hashes)
+    return out
 
 
 def _looked_up(rows: DataFrame, key: str, counts: DataFrame, out: str) -> DataFrame:
@@ -309,11 +382,11 @@ def count_phrases(docs: DataFrame, least: int, shard: int = SHARD, segment: int
     enough = F.col("n") >= least
     single = stash.put(every.filter(enough))
     stash.drop(every)
-    maps = [bitmap(single)]
-    pairs = stash.put(_merged(source, 2, 2, maps, shard, segment).filter(enough))
-    maps.append(bitmap(pairs))
-    longer = stash.put(_merged(source, 3, LONGEST, maps, shard, segment).filter(enough))
-    return single.unionByName(pairs).unionByName(longer), totals
+    kinds, n = single.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    maps = [word_bitmap(single, kinds)]
+    maps.append(pair_bitmap(source, maps, n, least, shard, segment, stash))
+    longer = stash.put(_merged(source, 2, LONGEST, maps, shard, segment).filter(enough))
+    return single.unionByName(longer), totals
 
 
 def collocations(docs: DataFrame, least: int = 100, percent: int = 100, top: int = 2000, **sizes) -> DataFrame:
