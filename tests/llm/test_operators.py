@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -579,3 +580,12 @@ def test_a_worker_keeps_one_thing_and_lets_it_go():
     assert list(common._kept) == ["other"]
     common.worker_lets_go()
     assert not common._kept
+
+
+def test_a_stash_is_told_from_the_folders_of_a_factorisation(spark):
+    stash = common.Stash(spark)
+    for _ in range(9):
+        stash.put(spark.range(1))
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    assert not [f for f in os.listdir(shared) if f.startswith("tidewater-") and len(os.listdir(os.path.join(shared, f))) > 8]
+    assert len([f for f in os.listdir(stash.root.removeprefix("file:")) if not f.startswith(".")]) == 9

@@ -37,7 +37,7 @@ class Stash:
     A result may read them whenever it is asked for, so they stay until the session ends; clear() drops them before."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/tidewater-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}", 0
         STASHES.append(self)
 
     def put(self, df: DataFrame) -> DataFrame:
